@@ -1,0 +1,29 @@
+"""Separating keys that hold too many rows for one window partition."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_KEY_ROWS = 1_000_000
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys):
+    """Join condition in which NULL keys match each other, as they do in a grouping."""
+    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
+
+
+def split_hot(df: DataFrame, keys, limit: int = HOT_KEY_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary keys, rows of keys with more than `limit` rows).
+
+    The list of hot keys has at most count / limit entries, so it can always be
+    broadcast: a million keys for 10^12 rows at the default limit.
+    """
+    hot = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
+    condition = same_keys(df, hot, keys)
+    return (
+        df.join(F.broadcast(hot), condition, "left_anti"),
+        df.join(F.broadcast(hot), condition, "left_semi"),
+    )
