@@ -77,7 +77,10 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_id
 FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(15,2)) AS price FROM lineitem WHERE l_tax > 0)"""
 
 STEPS["vendors"] = """
-SELECT p_partkey AS item_id, p_partkey % (SELECT count(*) FROM supplier) AS vendor_code FROM part"""
+SELECT p_partkey AS item_id,
+  (CAST(substr(p_brand, 7) AS BIGINT) * 4 + p_partkey % 4) % (SELECT count(*) FROM supplier)
+    AS vendor_code
+FROM part"""
 
 STEPS["companies"] = """
 SELECT s_suppkey AS vendor_code, 'C' || s_nationkey AS company_code, n_name AS company_name
@@ -202,8 +205,8 @@ SELECT * FROM raw_events QUALIFY row_number() OVER (
 def standards(source: str) -> str:
     return f"""
 SELECT event_name, event_year, event_month, promo_start_date, promo_end_date,
-  count(*) AS frequency
-FROM {source} GROUP BY ALL
+  frequency
+FROM (SELECT * EXCLUDE (item_id, line_id), count(*) AS frequency FROM {source} GROUP BY ALL)
 QUALIFY frequency >= 3 AND row_number() OVER (PARTITION BY event_name, event_year
   ORDER BY frequency DESC, promo_start_date, promo_end_date, event_month) = 1"""
 
@@ -491,7 +494,9 @@ STEPS["deal_v1_items"] = metrics_v1(
     "item_id, item_name, category_code, brand_code, brand_name, event_name, promo_start_date,"
     " promo_end_date, event_duration_days, CAST(month(promo_start_date) AS INT) AS event_month,"
     " CAST(year(promo_start_date) AS INT) AS event_year",
-    "daily_deal", "event_duration_days", "GROUP BY ALL",
+    "daily_deal", "event_duration_days",
+    "GROUP BY item_id, item_name, category_code, brand_code, brand_name, event_name,"
+    " promo_start_date, promo_end_date, event_duration_days",
 )
 STEPS["deal_v1"] = """
 SELECT d.*, vendor_code FROM deal_v1_items d LEFT JOIN vendors v ON v.item_id = d.item_id"""
@@ -512,7 +517,8 @@ GROUP BY s.item_id, promo_start_date, event_name"""
 def _ratio(name: str, metric: str) -> str:
     base = f"daily_pre_deal_{metric}"
     divisor = f"CASE WHEN coalesce({base}, 0) = 0 THEN 1e-9::DOUBLE ELSE {base} END"
-    return f"round(daily_deal_{metric} / {divisor} - 1, 2) AS {name}"
+    ratio = f"CAST(daily_deal_{metric} / {divisor} - 1 AS DECIMAL(38,9))"
+    return f"CAST(round({ratio}, 2) AS DOUBLE) AS {name}"
 
 
 STEPS["growth_v1_inputs"] = f"""

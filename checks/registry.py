@@ -314,10 +314,12 @@ SELECT item_id, gap_bucket, CAST(sum(customers) AS BIGINT) AS customers,
     AS seq
 FROM cohort GROUP BY ALL"""))
 register("purchase_type_share", from_cohort(cohorts.purchase_type_share), o.sql("""
-SELECT *, CASE WHEN round(pct, 1) >= 2 THEN gap_bucket ELSE '' END AS label FROM (
-  SELECT vendor_code, gap_bucket, CAST(sum(customers) AS BIGINT) AS customers,
-    round(sum(customers) * 100 / sum(sum(customers)) OVER (PARTITION BY vendor_code), 6) AS pct
-  FROM cohort GROUP BY ALL)"""))
+SELECT *, round(customers * 100 / sum(customers) OVER v, 6) AS pct,
+  CASE WHEN round(customers * 100 / sum(customers) OVER v, 1) >= 2 THEN gap_bucket ELSE '' END
+    AS label
+FROM (SELECT vendor_code, gap_bucket, CAST(sum(customers) AS BIGINT) AS customers FROM cohort
+  GROUP BY ALL)
+WINDOW v AS (PARTITION BY vendor_code)"""))
 register("return_purchases", from_cohort(cohorts.return_purchases), o.sql("""
 SELECT vendor_code, item_id, gap_bucket, CAST(sum(customers) AS BIGINT) AS customers FROM cohort
 WHERE gap_bucket <> 'new to brand' GROUP BY ALL"""))

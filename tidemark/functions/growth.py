@@ -16,6 +16,7 @@ def daily(total: Column, days: Column | int, integer: bool = False) -> Column:
 
 
 def growth_ratio(deal: Column, base: Column, zero_base: float = ZERO_BASE) -> Column:
-    """deal / base - 1, to two places."""
+    """deal / base - 1, to two places; halves go up, whatever their last binary digit."""
     divisor = F.when(F.coalesce(base, F.lit(0)) == 0, F.lit(zero_base)).otherwise(base)
-    return F.round(deal.cast("double") / divisor - 1, 2)
+    ratio = deal.cast("double") / divisor - 1
+    return F.round(ratio.cast("decimal(38,9)"), 2).cast("double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..scope import LOOKBACK_DAYS
 from .periods import DEAL, PRE_DEAL
-from .skew import HOT_KEY_ROWS, same_keys, split_hot
+from .skew import HOT_KEY_ROWS, join_groups, split_hot
 
 PURCHASE_KEYS = ("customer_id", "item_id", "brand_code", "company_code", "category_code")
 FIRST_KEYS = {
@@ -48,9 +48,7 @@ def _levels_by_join(purchases: DataFrame) -> DataFrame:
     result = purchases
     for name, keys in FIRST_KEYS.items():
         level = purchases.groupBy(*keys).agg(F.min("first_date").alias(name))
-        condition = same_keys(result, level, keys)
-        columns = [result[c] for c in result.columns]
-        result = result.join(level, condition).select(*columns, name)
+        result = join_groups(result, level, keys)
     return result
 
 
@@ -87,9 +85,7 @@ def flag_new_by_period(
     if null_keys_are_new:
         joined = orders.join(firsts, list(PURCHASE_KEYS), "left")
     else:
-        joined = orders.join(firsts, same_keys(orders, firsts, PURCHASE_KEYS), "left").select(
-            *[orders[c] for c in orders.columns], *FIRST_KEYS
-        )
+        joined = join_groups(orders, firsts, PURCHASE_KEYS, "left")
     period = F.col("period_type")
     start = F.when(period == DEAL, F.col("deal_start_date")).when(
         period == PRE_DEAL, F.col("pre_deal_start_date")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import HOT_KEY_ROWS, same_keys, split_hot
+from .skew import HOT_KEY_ROWS, join_groups, split_hot
 
 MISSING_VENDOR = "NaN"  # fixed value: how text sources print a missing vendor
 EXCLUDED_CONDITIONS = (6,)
@@ -70,8 +70,8 @@ def _history_by_hour(rows: DataFrame, keys) -> DataFrame:
         F.row_number().over(Window.partitionBy(*chunk).orderBy("order_ts", "line_id")),
     )
     starts_hour = F.col("position") == 1
-    return inside.join(hours, same_keys(inside, hours, chunk)).select(
-        *[inside[c] for c in rows.columns if c != "hour"],
+    return join_groups(inside, hours, chunk).select(
+        *[c for c in rows.columns if c != "hour"],
         F.when(starts_hour, F.col("carried.order_ts"))
         .otherwise(F.col("last_order_ts")).alias("last_order_ts"),
         F.when(starts_hour, F.col("carried.item_id"))

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 HOT_KEY_ROWS = 1_000_000
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys):
-    """Join condition in which NULL keys match each other, as they do in a grouping."""
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
+def join_groups(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi join in which NULL keys match each other, as they do in a grouping."""
+    renamed = right.withColumnsRenamed({k: f"right_{k}" for k in keys})
+    same = (F.col(k).eqNullSafe(F.col(f"right_{k}")) for k in keys)
+    joined = left.join(renamed, reduce(lambda a, b: a & b, same), how)
+    return joined.drop(*[f"right_{k}" for k in keys])
 
 
 def split_hot(df: DataFrame, keys, limit: int = HOT_KEY_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -22,8 +25,5 @@ def split_hot(df: DataFrame, keys, limit: int = HOT_KEY_ROWS) -> tuple[DataFrame
     broadcast: a million keys for 10^12 rows at the default limit.
     """
     hot = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-    condition = same_keys(df, hot, keys)
-    return (
-        df.join(F.broadcast(hot), condition, "left_anti"),
-        df.join(F.broadcast(hot), condition, "left_semi"),
-    )
+    hot = F.broadcast(hot)
+    return join_groups(df, hot, keys, "left_anti"), join_groups(df, hot, keys, "left_semi")

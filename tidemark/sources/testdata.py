@@ -7,12 +7,12 @@ so promotions grow with suppliers and promotion lines with order lines.
 from __future__ import annotations
 
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scope import Scope
-from .tables import Sources
 
 RUN_DATE = date(2001, 8, 1)
 SCOPE = Scope(categories={1: "Economy", 2: "Large", 3: "Medium", 4: "Promo", 5: "Small"})
@@ -91,139 +91,179 @@ def _category() -> Column:
     return code
 
 
-def _calendar() -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(number).cast("long").alias("number"),
-            F.lit(title).alias("title"),
-            F.lit(start).cast("timestamp_ntz").alias("start_ts"),
-            F.lit(end).cast("timestamp_ntz").alias("end_ts"),
-            F.lit(status).alias("approval_status"),
-            F.lit(kind).alias("promotion_type"),
-            F.lit(marketplace).alias("marketplace_id"),
-        )
+def _calendar() -> str:
+    """The calendar as a SQL array of structs."""
+    rows = (
+        f"named_struct('number', {number}L, 'title', '{title}', "
+        f"'start_ts', timestamp_ntz '{start}', 'end_ts', timestamp_ntz '{end}', "
+        f"'approval_status', '{status}', 'promotion_type', '{kind}', "
+        f"'marketplace_id', {marketplace})"
         for number, title, start, end, status, kind, marketplace in CALENDAR
-    ])
+    )
+    return f"array({', '.join(rows)})"
 
 
-def _promotion_key(owner: Column, number: Column) -> Column:
-    return owner * 100 + number
+def _promotion_key(owner: str) -> Column:
+    return (F.col(owner) * 100 + F.col("number")).alias("promotion_key")
 
 
-def load_testdata(spark: SparkSession, sf_dir: str) -> Sources:
-    part = _read(spark, sf_dir, "part")
-    supplier = _read(spark, sf_dir, "supplier")
-    order_lines = _read(spark, sf_dir, "lineitem").join(
-        _read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
-    )
-    place = (F.lit(MARKETPLACE).alias("marketplace_id"), F.lit(REGION).alias("region_id"))
+def _place() -> tuple[Column, Column]:
+    return F.lit(MARKETPLACE).alias("marketplace_id"), F.lit(REGION).alias("region_id")
 
-    shipments = order_lines.select(
-        F.col("l_partkey").alias("item_id"),
-        F.floor(F.col("o_custkey") / 10).alias("customer_id"),
-        _line_id().alias("line_id"),
-        F.col("o_orderdate").alias("order_ts"),
-        F.col("l_quantity").cast("int").alias("units"),
-        F.when(F.col("l_orderkey") % 20 == 0, 1).otherwise(MARKETPLACE).alias("marketplace_id"),
-        F.lit(REGION).alias("region_id"),
-        F.when(F.col("l_suppkey") % 10 == 3, "N").otherwise("Y").alias("is_retail"),
-        _condition().alias("condition_code"),
-    )
 
-    branded = F.col("p_partkey") % 50 != 0
-    items = part.select(
-        F.col("p_partkey").alias("item_id"),
-        *place,
-        F.col("p_name").alias("item_name"),
-        _category().alias("category_code"),
-        F.when(branded, F.col("p_brand")).alias("brand_code"),
-        F.when(branded, F.concat(F.lit("Name "), F.col("p_brand"))).alias("brand_name"),
-    )
+def _branded() -> Column:
+    return F.col("p_partkey") % 50 != 0
 
-    price = F.col("l_extendedprice").cast("decimal(15,2)")
-    rate = lambda name: F.col(name).cast("decimal(4,2)")
-    contribution = _read(spark, sf_dir, "lineitem").filter("l_tax > 0").select(
-        _line_id().alias("line_id"),
-        F.col("l_partkey").alias("item_id"),
-        place[0],
-        _money(price * (1 - rate("l_discount"))).alias("revenue"),
-        _money(price * rate("l_tax")).alias("ads_amt"),
-        F.when(F.col("l_linestatus") == "O", _money(price * F.lit("0.01").cast("decimal(4,2)")))
-        .otherwise(F.lit(0).cast("decimal(18,2)"))
-        .alias("subscription_amt"),
-    )
 
-    suppliers = supplier.agg(F.count("*").alias("n")).scalar()
-    item_vendor = part.select(
-        F.col("p_partkey").alias("item_id"),
-        *place,
-        (F.col("p_partkey") % suppliers).alias("vendor_code"),
-    )
-    vendor_company = (
-        supplier.filter("s_suppkey % 10 <> 0")
-        .join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("s_suppkey").alias("vendor_code"),
-            F.concat(F.lit("C"), F.col("s_nationkey")).alias("company_code"),
-            F.col("n_name").alias("company_name"),
+class TestdataSources:
+    """The tables of `Sources`, each built when it is first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def _file(self, name: str) -> DataFrame:
+        return _read(self.spark, self.sf_dir, name)
+
+    @cached_property
+    def _order_lines(self) -> DataFrame:
+        return self._file("lineitem").join(
+            self._file("orders"), F.col("l_orderkey") == F.col("o_orderkey")
         )
-    )
 
-    promotions = supplier.select("s_suppkey", "s_name", F.inline(_calendar())).select(
-        _promotion_key(F.col("s_suppkey"), F.col("number")).alias("promotion_key"),
-        "start_ts",
-        "end_ts",
-        F.concat_ws(" - ", "title", "s_name").alias("promo_title"),
-        "marketplace_id",
-        "approval_status",
-        "promotion_type",
-    )
-    running = F.filter(
-        _calendar(), lambda c: F.col("o_orderdate").between(c["start_ts"], c["end_ts"])
-    )
-    promo_lines = (
-        order_lines.filter("l_discount >= 0.05")
-        .select("l_partkey", "l_suppkey", _line_id().alias("line_id"), F.inline(running))
-        .select(
-            _promotion_key(F.col("l_suppkey"), F.col("number")).alias("promotion_key"),
+    @cached_property
+    def shipments(self) -> DataFrame:
+        return self._order_lines.select(
             F.col("l_partkey").alias("item_id"),
-            "line_id",
-            *place,
+            F.floor(F.col("o_custkey") / 10).alias("customer_id"),
+            _line_id().alias("line_id"),
+            F.col("o_orderdate").alias("order_ts"),
+            F.col("l_quantity").cast("int").alias("units"),
+            F.when(F.col("l_orderkey") % 20 == 0, 1).otherwise(MARKETPLACE).alias(
+                "marketplace_id"
+            ),
+            F.lit(REGION).alias("region_id"),
+            F.when(F.col("l_suppkey") % 10 == 3, "N").otherwise("Y").alias("is_retail"),
+            _condition().alias("condition_code"),
         )
-    )
 
-    subscriptions_daily = (
-        order_lines.filter("l_linestatus = 'O'")
-        .groupBy("l_partkey", "l_suppkey", "o_orderdate")
-        .agg(F.sum("l_quantity").cast("long").alias("active_subscribers"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            F.col("l_partkey").alias("item_id"),
-            F.col("o_orderdate").alias("snapshot_date"),
-            "active_subscribers",
-            *place,
+    @cached_property
+    def items(self) -> DataFrame:
+        return self._file("part").select(
+            F.col("p_partkey").alias("item_id"),
+            *_place(),
+            F.col("p_name").alias("item_name"),
             _category().alias("category_code"),
+            F.when(_branded(), F.col("p_brand")).alias("brand_code"),
+            F.when(_branded(), F.concat(F.lit("Name "), F.col("p_brand"))).alias("brand_name"),
         )
-    )
 
-    cohort_orders = order_lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.when(branded, F.col("p_brand")).otherwise("NaN").alias("vendor_code"),
-        F.col("l_partkey").alias("item_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").alias("order_ts"),
-        _condition().alias("condition_code"),
-        _line_id().alias("line_id"),
-    )
+    @cached_property
+    def contribution(self) -> DataFrame:
+        price = F.col("l_extendedprice").cast("decimal(15,2)")
+        discount, tax = (F.col(c).cast("decimal(4,2)") for c in ("l_discount", "l_tax"))
+        subscribed = _money(price * F.lit("0.01").cast("decimal(4,2)"))
+        return self._file("lineitem").filter("l_tax > 0").select(
+            _line_id().alias("line_id"),
+            F.col("l_partkey").alias("item_id"),
+            F.lit(MARKETPLACE).alias("marketplace_id"),
+            _money(price * (1 - discount)).alias("revenue"),
+            _money(price * tax).alias("ads_amt"),
+            F.when(F.col("l_linestatus") == "O", subscribed)
+            .otherwise(F.lit(0).cast("decimal(18,2)"))
+            .alias("subscription_amt"),
+        )
 
-    return Sources(
-        shipments, items, contribution, item_vendor, vendor_company,
-        promo_lines, promotions, subscriptions_daily, cohort_orders,
-    )
+    @cached_property
+    def item_vendor(self) -> DataFrame:
+        """A brand sells through up to four vendors, however many suppliers there are."""
+        suppliers = self._file("supplier").agg(F.count("*").alias("n")).scalar()
+        brand = F.substring("p_brand", 7, 10).cast("long")
+        return self._file("part").select(
+            F.col("p_partkey").alias("item_id"),
+            *_place(),
+            ((brand * 4 + F.col("p_partkey") % 4) % suppliers).alias("vendor_code"),
+        )
+
+    @cached_property
+    def vendor_company(self) -> DataFrame:
+        nation = self._file("nation")
+        return (
+            self._file("supplier").filter("s_suppkey % 10 <> 0")
+            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+            .select(
+                F.col("s_suppkey").alias("vendor_code"),
+                F.concat(F.lit("C"), F.col("s_nationkey")).alias("company_code"),
+                F.col("n_name").alias("company_name"),
+            )
+        )
+
+    @cached_property
+    def promotions(self) -> DataFrame:
+        return self._file("supplier").selectExpr(
+            "s_suppkey", "s_name", f"inline({_calendar()})"
+        ).select(
+            _promotion_key("s_suppkey"),
+            "start_ts",
+            "end_ts",
+            F.concat_ws(" - ", "title", "s_name").alias("promo_title"),
+            "marketplace_id",
+            "approval_status",
+            "promotion_type",
+        )
+
+    @cached_property
+    def promo_lines(self) -> DataFrame:
+        running = (
+            f"inline(filter({_calendar()}, c -> o_orderdate BETWEEN c.start_ts AND c.end_ts))"
+        )
+        return (
+            self._order_lines.filter("l_discount >= 0.05")
+            .select("l_partkey", "l_suppkey", _line_id().alias("line_id"), F.expr(running))
+            .select(
+                _promotion_key("l_suppkey"),
+                F.col("l_partkey").alias("item_id"),
+                "line_id",
+                *_place(),
+            )
+        )
+
+    @cached_property
+    def subscriptions_daily(self) -> DataFrame:
+        return (
+            self._order_lines.filter("l_linestatus = 'O'")
+            .groupBy("l_partkey", "l_suppkey", "o_orderdate")
+            .agg(F.sum("l_quantity").cast("long").alias("active_subscribers"))
+            .join(self._file("part"), F.col("l_partkey") == F.col("p_partkey"))
+            .select(
+                F.col("l_partkey").alias("item_id"),
+                F.col("o_orderdate").alias("snapshot_date"),
+                "active_subscribers",
+                *_place(),
+                _category().alias("category_code"),
+            )
+        )
+
+    @cached_property
+    def cohort_orders(self) -> DataFrame:
+        part = self._file("part")
+        return self._order_lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+            F.when(_branded(), F.col("p_brand")).otherwise("NaN").alias("vendor_code"),
+            F.col("l_partkey").alias("item_id"),
+            F.col("o_custkey").alias("customer_id"),
+            F.col("o_orderdate").alias("order_ts"),
+            _condition().alias("condition_code"),
+            _line_id().alias("line_id"),
+        )
+
+
+def load_testdata(spark: SparkSession, sf_dir: str) -> TestdataSources:
+    return TestdataSources(spark, sf_dir)
 
 
 def titled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One title and start date per order, so that all rules meet all months."""
-    samples = F.array(*[F.lit(t) for t in TITLE_SAMPLES])
+    quoted = ", ".join(f'"{t}"' for t in TITLE_SAMPLES)
+    samples = F.expr(f"array({quoted})")
     position = (F.col("o_orderkey") % len(TITLE_SAMPLES)).cast("int")
     return _read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("promotion_key"),
