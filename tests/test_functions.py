@@ -1,0 +1,143 @@
+from datetime import date, datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import (
+    bucket_labels, classify_event, daily, event_priority, gap_bucket, growth_ratio,
+    repeat_purchase,
+)
+
+MARCH = date(2001, 3, 10)
+TITLES = [
+    ("BSS spring", MARCH, "BSS"),
+    ("big spring sale", MARCH, "BSS"),
+    ("Prime Big Deal Day", date(2001, 7, 31), "PRIME DAY"),
+    ("PEBD", date(2001, 6, 25), "PRIME DAY"),
+    ("PEBD", date(2001, 6, 24), "OTHER"),
+    ("Prime Day", date(2001, 8, 1), "OTHER"),
+    ("Price update", date(2001, 7, 5), "PRIME DAY"),  # "update" holds the pattern PD
+    ("Price update", MARCH, "OTHER"),
+    ("Prime Day Cyber Monday", date(2001, 10, 1), "CYBER MONDAY"),  # falls through its gate
+    ("PBDD", MARCH, "PBDD"),
+    ("BFCM", MARCH, "BLACK FRIDAY"),
+    ("Black  Friday", MARCH, "BLACK FRIDAY"),
+    ("cyber x monday", MARCH, "CYBER MONDAY"),
+    ("Boxing Day", MARCH, "BOXING WEEK"),
+    ("boxing week", MARCH, "BOXING WEEK"),
+    ("T5", MARCH, "T5/11/12"),
+    ("T11", MARCH, "T5/11/12"),
+    ("xT12x", MARCH, "T5/11/12"),
+    ("Back to School", MARCH, "BACK TO SCHOOL"),
+    ("Back to University", MARCH, "BACK TO UNIVERSITY"),
+    ("NYNY", MARCH, "NYNY"),
+    ("Mother's Day", date(2001, 5, 1), "MOTHERS DAY"),
+    ("MOTHERS DAY", date(2001, 4, 25), "MOTHERS DAY"),
+    ("Mothers Day", date(2001, 4, 24), "OTHER"),
+    ("Father_s Day", MARCH, "FATHERS DAY"),
+    ("Valentine's Day", MARCH, "VALENTINES DAY"),
+    ("giftmania", MARCH, "GIFT MANIA"),
+    ("gift for mania", MARCH, "GIFT MANIA"),
+    ("Halloween", MARCH, "HALLOWEEN"),
+    ("Holiday", MARCH, "HOLIDAY"),
+    ("Lunar New Year", MARCH, "LUNAR NEW YEAR"),
+    ("Daily Essentials", MARCH, "DAILY ESSENTIALS"),
+    ("Beauty Haul", MARCH, "BEAUTY HAUL"),
+    ("Pet Month", date(2001, 5, 31), "PET DAY"),
+    ("Pet Day", date(2001, 4, 24), "OTHER"),
+    ("Health & Wellness", MARCH, "HEALTH & WELLNESS MONTH"),
+    ("Gaming Month", MARCH, "GAMING MONTH"),
+    ("Baby Savings", MARCH, "BABY SAVINGS"),
+    ("Beauty Week", MARCH, "BEAUTY WEEK"),
+    ("Diwali", MARCH, "DIWALI"),
+    ("Movember", MARCH, "MOVEMBER"),
+    ("Flash Sale", MARCH, "FLASH SALE"),
+    ("anything", MARCH, "OTHER"),
+    (None, MARCH, "OTHER"),
+]
+
+
+def test_every_label_and_month_gate(spark):
+    df = spark.createDataFrame(TITLES, "title string, start date, expected string")
+    label = classify_event(F.col("title"), F.col("start"))
+    wrong = df.withColumn("label", label).filter("label <> expected").collect()
+    assert wrong == []
+
+
+def test_v1_has_no_month_gates(spark):
+    df = spark.createDataFrame(
+        [("Prime Day", "PRIME DAY"), ("Pet Day", "PET DAY"), ("Mothers Day", "MOTHERS DAY")],
+        "title string, expected string",
+    )
+    assert df.filter(classify_event(F.col("title")) != F.col("expected")).count() == 0
+
+
+def test_no_promotion(spark):
+    df = spark.createDataFrame([(None, "BSS"), (1, "BSS")], "key int, title string")
+    label = classify_event(F.col("title"), key=F.col("key"))
+    assert [r[0] for r in df.select(label).collect()] == ["NO_PROMOTION", "BSS"]
+
+
+def test_event_priority(spark):
+    df = spark.createDataFrame(
+        [("PRIME DAY", 1), ("T5/11/12", 1), ("BLACK FRIDAY", 2), ("CYBER MONDAY", 3),
+         ("BOXING WEEK", 4), ("NYNY", 5), ("DIWALI", 99)], "event string, expected int")
+    assert df.filter(event_priority(F.col("event")) != F.col("expected")).count() == 0
+
+
+@pytest.mark.parametrize("days, hours, label", [
+    (0, 0, "1 mo"), (30, 0, "1 mo"), (30, 23, "1 mo"), (31, 0, "2 mo"), (60, 23, "2 mo"),
+    (61, 0, "3 mo"), (90, 0, "3 mo"), (91, 0, "> 3 mo"), (400, 0, "> 3 mo"),
+])
+def test_gap_bucket_edges(spark, days, hours, label):
+    last = datetime(2001, 1, 1, 8)
+    df = spark.createDataFrame(
+        [(last + timedelta(days=days, hours=hours), last)], "t timestamp_ntz, last timestamp_ntz")
+    assert df.select(gap_bucket(F.col("t"), F.col("last"))).first()[0] == label
+
+
+def test_gap_bucket_first_purchase_and_labels(spark):
+    df = spark.createDataFrame([(datetime(2001, 1, 1), None)], "t timestamp, last timestamp")
+    assert df.select(gap_bucket(F.col("t"), F.col("last"))).first()[0] == "new to brand"
+    assert bucket_labels() == ["new to brand", "1 mo", "2 mo", "3 mo", "> 3 mo"]
+    assert bucket_labels((7, 14)) == ["new to brand", "1 mo", "2 mo", "> 2 mo"]
+
+
+@pytest.mark.parametrize("t, last, by_day, by_gap", [
+    (datetime(2001, 7, 10, 20), datetime(2001, 7, 10, 8), False, False),  # same day
+    (datetime(2001, 7, 11), datetime(2001, 7, 10), False, False),  # next day
+    (datetime(2001, 8, 1), datetime(2001, 7, 31), False, False),  # next day, next month
+    (datetime(2001, 3, 5), datetime(2001, 1, 20), False, True),  # lost by day numbers
+    (datetime(2001, 3, 25), datetime(2001, 1, 20), True, True),
+    (datetime(2001, 7, 12), datetime(2001, 7, 10), True, True),
+])
+def test_repeat_filters(spark, t, last, by_day, by_gap):
+    df = spark.createDataFrame([(t, last)], "t timestamp_ntz, last timestamp_ntz")
+    day, gap = df.select(
+        repeat_purchase(F.col("t"), F.col("last")),
+        repeat_purchase(F.col("t"), F.col("last"), "elapsed_days"),
+    ).first()
+    assert (day, gap) == (by_day, by_gap)
+    with pytest.raises(ValueError):
+        repeat_purchase(F.col("t"), F.col("last"), "weekly")
+
+
+def test_growth_ratio(spark):
+    df = spark.createDataFrame(
+        [(2.0, 1.0), (1.0, 1.0), (1.0, 0.0), (1.0, None), (None, 1.0), (0.0, None)],
+        "deal double, base double")
+    got = [r[0] for r in df.select(growth_ratio(F.col("deal"), F.col("base"))).collect()]
+    assert got == [1.0, 0.0, 999999999.0, 999999999.0, None, -1.0]
+
+
+def test_growth_ratio_rounds_halves_up(spark):
+    df = spark.createDataFrame([(0.05, 2 / 91)], "deal double, base double")  # 2.275 - 1
+    assert df.select(growth_ratio(F.col("deal"), F.col("base"))).first()[0] == 1.28
+
+
+def test_daily(spark):
+    df = spark.createDataFrame([(59, 29), (59, 0)], "total long, days int")
+    total, days = F.col("total"), F.col("days")
+    a, b = df.select(daily(total, days), daily(total, days, integer=True)).collect()
+    assert tuple(a) == (59 / 29, 2)
+    assert tuple(b) == (None, None)

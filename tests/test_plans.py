@@ -1,0 +1,88 @@
+"""The physical plans: what is pushed down, exchanged and left out."""
+
+import re
+from datetime import date
+
+import pytest
+
+from checks.registry import QUERIES
+from tidemark.operators import firsts, orders
+from tidemark.plans import EventPipeline, ItemGrowthPipeline, run_event_reports
+from tidemark.sources.testdata import RUN_DATE, SCOPE, load_testdata
+
+FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct",
+             "BroadcastNestedLoopJoin")
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", [
+    "report_item", "report_event", "report_item_v1", "cohort_table", "period_orders",
+    "first_purchase_levels", "sample_orders", "peer_comparison", "subscriber_metrics_v1",
+])
+def test_no_python_and_no_cross_join(spark, sf_dir, name):
+    text = plan(QUERIES[name](spark, sf_dir))
+    assert not [word for word in FORBIDDEN if word in text]
+
+
+def test_whole_lazy_pipeline_has_no_python_and_no_cross_join(spark, sf_dir):
+    for pipeline in (EventPipeline, ItemGrowthPipeline):
+        p = pipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE, stage_tables=False)
+        text = plan(p.report("brand") if pipeline is EventPipeline else p.report)
+        assert not [word for word in FORBIDDEN if word in text]
+
+
+def test_history_bounds_reach_the_scan(spark, sf_dir):
+    text = plan(orders.shipped_lines(load_testdata(spark, sf_dir), SCOPE, RUN_DATE))
+    assert "GreaterThanOrEqual(o_orderdate,1999-08-02" in text
+    assert "LessThanOrEqual(o_orde" in text  # the plan text is cut here
+
+
+def test_scan_reads_only_needed_columns(spark, sf_dir):
+    text = plan(load_testdata(spark, sf_dir).cohort_orders.groupBy("vendor_code").count())
+    assert not re.search(r"FileScan[^\n]*l_extendedprice", text)
+
+
+def test_first_purchase_windows_share_one_exchange(spark):
+    base = spark.createDataFrame(
+        [(1, 2, "B", "C", 1, date(2001, 7, 1))],
+        "customer_id int, item_id int, brand_code string, company_code string, "
+        "category_code int, order_date date")
+    purchases = base.groupBy(*firsts.PURCHASE_KEYS).agg({"order_date": "min"}).withColumnRenamed(
+        "min(order_date)", "first_date")
+    text = plan(firsts._levels_by_window(purchases))
+    initial = text[text.index("AdaptiveSparkPlan"):]
+    assert initial.count("Window [") == 4
+    assert len(re.findall(r"Exchange hashpartitioning", initial)) == 2  # grouping, customers
+
+
+def test_run_event_reports_writes_every_level(spark, sf_dir):
+    p = EventPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE)
+    written = {}
+    run_event_reports(p, lambda df, level: written.update({level: df.count()}))
+    assert list(written) == ["item", "brand", "company", "category", "event"]
+    assert all(written.values())
+
+
+def test_staged_and_lazy_pipelines_agree(spark, sf_dir):
+    staged, lazy = (
+        EventPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE, stage_tables=s)
+        for s in (True, False)
+    )
+    assert staged.flags.exceptAll(lazy.flags.select(*staged.flags.columns)).isEmpty()
+    assert staged.flags.count() == lazy.flags.count()
+
+
+def test_expected_counts(spark, sf_dir):
+    p = EventPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE)
+    assert p.base_lines.count() == 815
+    assert p.promo_events.count() == 287
+    assert p.resolved.count() == 269
+    assert p.standards.count() == 11
+    assert p.windows.count() == 250
+    by_period = dict(p.flags.groupBy("period_type").count().collect())
+    assert by_period == {"PRE_DEAL": 51, "DEAL": 148}
+    deal = p.flags.filter("period_type = 'DEAL'")
+    assert deal.groupBy().sum(*firsts.FLAGS).first() == (133, 109, 119, 77)

@@ -1,0 +1,45 @@
+import hashlib
+from datetime import datetime
+
+import pytest
+
+from tests.conftest import rows
+from tidemark.operators import samples
+
+
+def by_hash(lines, seed):
+    return sorted(lines, key=lambda r: (hashlib.md5(f"{seed}-{r[0]}".encode()).hexdigest(), r))
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 100, 5000])
+def test_sample_has_exactly_n_rows(spark, n):
+    lines = [(f"l{i}", i) for i in range(300)]
+    frame = spark.createDataFrame(lines, "line_id string, x int").repartition(5)
+    got = rows(samples.sample_orders(frame, n, seed=3))
+    assert got == sorted(by_hash(lines, 3)[:n])
+
+
+@pytest.mark.parametrize("n", [1, 40, 99, 150])
+def test_sample_with_copies(spark, n):
+    lines = [("same", 1)] * 90 + [("same", 2)] * 10 + [(f"l{i}", i) for i in range(60)]
+    frame = spark.createDataFrame(lines, "line_id string, x int")
+    assert rows(samples.sample_orders(frame, n, seed=1)) == sorted(by_hash(lines, 1)[:n])
+
+
+def test_sample_depends_on_the_seed(spark):
+    frame = spark.range(200).selectExpr("cast(id as string) as line_id")
+    one, again = (rows(samples.sample_orders(frame, 20, seed=1)) for _ in range(2))
+    assert one == again != rows(samples.sample_orders(frame, 20, seed=2))
+
+
+def test_clean_orders(spark):
+    frame = spark.createDataFrame(
+        [("17.0", "3", "2001-02-03 04:05:06"), ("n/a", "4.6", "2001/02/03"),
+         (None, "1e3", "02/03/2001 04:05"), ("5", "x", "03 Feb 2001"), ("6", "7", "soon")],
+        "customer_id string, vendor_id string, order_ts string")
+    got = [tuple(r) for r in samples.clean_orders(frame).collect()]
+    assert got == [
+        ("17", "3", datetime(2001, 2, 3, 4, 5, 6)), (None, "5", datetime(2001, 2, 3)),
+        (None, "1000", datetime(2001, 2, 3, 4, 5)), ("5", None, datetime(2001, 2, 3)),
+        ("6", "7", None),
+    ]
