@@ -83,8 +83,10 @@ SELECT p_partkey AS item_id,
 FROM part"""
 
 STEPS["companies"] = """
-SELECT s_suppkey AS vendor_code, 'C' || s_nationkey AS company_code, n_name AS company_name
-FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 10 <> 0"""
+SELECT s_suppkey AS vendor_code,
+  CASE WHEN s_suppkey % 10 <> 0 THEN 'C' || s_nationkey END AS company_code,
+  CASE WHEN s_suppkey % 10 <> 0 THEN n_name END AS company_name
+FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 
 STEPS["calendar"] = f"""
 SELECT number, title, CAST(first AS DATE) AS first, CAST(final AS DATE) AS final, status, kind,

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from tests.conftest import rows
 from tidemark.functions import bucket_labels
 from tidemark.operators import cohorts, history
+from tidemark.sources import load_testdata
 
 SCHEMA = (
     "vendor_code string, item_id int, customer_id int, order_ts timestamp_ntz, "
@@ -81,6 +82,14 @@ def test_hour_by_hour_equals_whole_customers(spark, drawn):
         assert rows(got, *COLUMNS) == expected, hot_rows
 
 
+def test_hour_by_hour_on_the_test_data(spark, sf_dir):
+    frame = load_testdata(spark, sf_dir).cohort_orders
+    whole = history.purchase_history(frame, hot_rows=None)
+    split = history.purchase_history(frame, hot_rows=2).select(*whole.columns)
+    assert whole.exceptAll(split).isEmpty()
+    assert whole.count() == split.count()
+
+
 def cohort(spark, *lines, **options):
     return cohorts.cohort_table(history.purchase_history(orders(spark, *lines)), **options)
 

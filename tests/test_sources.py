@@ -66,3 +66,10 @@ def test_without_a_shared_folder_the_plan_stays_lazy(spark, monkeypatch):
     monkeypatch.setattr(session, "shared_folder", lambda _: None)
     frame = spark.range(3)
     assert session.stage(frame, "numbers") is frame
+
+
+def test_shuffle_partitions_follow_the_data(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    session.configure(spark, shuffled_bytes=10 * 1024**4)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "40960"
+    spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -18,10 +18,21 @@ RUNTIME_SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Set the runtime settings the operators rely on."""
+SHUFFLE_PARTITION_BYTES = 256 * 1024**2
+
+
+def configure(spark: SparkSession, shuffled_bytes: int | None = None) -> SparkSession:
+    """Set the runtime settings the operators rely on.
+
+    `shuffled_bytes`, the size of the pruned order lines, sets the number of shuffle
+    partitions so that each fits in a task's memory; run-time coalescing merges the
+    small ones. Without it the session's own number stays.
+    """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    if shuffled_bytes is not None:
+        partitions = max(1, -(-shuffled_bytes // SHUFFLE_PARTITION_BYTES))
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     return spark
 
 

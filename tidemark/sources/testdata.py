@@ -186,14 +186,16 @@ class TestdataSources:
 
     @cached_property
     def vendor_company(self) -> DataFrame:
+        """Every tenth supplier belongs to no company."""
+        owned = F.col("s_suppkey") % 10 != 0
         nation = self._file("nation")
         return (
-            self._file("supplier").filter("s_suppkey % 10 <> 0")
+            self._file("supplier")
             .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
             .select(
                 F.col("s_suppkey").alias("vendor_code"),
-                F.concat(F.lit("C"), F.col("s_nationkey")).alias("company_code"),
-                F.col("n_name").alias("company_name"),
+                F.when(owned, F.concat(F.lit("C"), F.col("s_nationkey"))).alias("company_code"),
+                F.when(owned, F.col("n_name")).alias("company_name"),
             )
         )
 
@@ -213,16 +215,23 @@ class TestdataSources:
 
     @cached_property
     def promo_lines(self) -> DataFrame:
+        """Discounted lines of orders placed while a promotion of the supplier ran."""
+        first, last = min(c[2] for c in CALENDAR), max(c[3] for c in CALENDAR)
         running = (
             f"inline(filter({_calendar()}, c -> o_orderdate BETWEEN c.start_ts AND c.end_ts))"
         )
+        orders = (
+            self._file("orders")
+            .filter(f"o_orderdate BETWEEN timestamp_ntz '{first}' AND timestamp_ntz '{last}'")
+            .selectExpr("o_orderkey", running)
+        )
         return (
-            self._order_lines.filter("l_discount >= 0.05")
-            .select("l_partkey", "l_suppkey", _line_id().alias("line_id"), F.expr(running))
+            self._file("lineitem").filter("l_discount >= 0.05")
+            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
                 _promotion_key("l_suppkey"),
                 F.col("l_partkey").alias("item_id"),
-                "line_id",
+                _line_id().alias("line_id"),
                 *_place(),
             )
         )
