@@ -449,6 +449,21 @@ SELECT DISTINCT b.*, r.* EXCLUDE (item_id, pre_deal_start_date, pre_deal_end_dat
 FROM base_v1 b JOIN ranges r ON r.item_id = b.item_id
   AND order_date BETWEEN pre_deal_start_date AND pre_deal_end_date"""
 
+STEPS["deal_orders_v2"] = f"""
+SELECT b.*, p.* EXCLUDE (item_id, line_id), {V1_DURATION} AS event_duration_days,
+  'DEAL' AS period_type, 'Y' AS is_promotion,
+  promo_start_date - 29 AS pre_deal_start_date, promo_start_date - 1 AS pre_deal_end_date
+FROM base b JOIN consolidated_strict p ON p.item_id = b.item_id AND p.line_id = b.line_id
+  AND order_date BETWEEN promo_start_date AND promo_end_date"""
+
+STEPS["pre_deal_orders_v2"] = """
+SELECT DISTINCT b.*, r.* EXCLUDE (i), 'PRE_DEAL' AS period_type, 'N' AS is_promotion
+FROM base b JOIN (
+  SELECT item_id AS i, event_name, event_year, event_month,
+    min(c.promo_start_date) AS promo_start_date, max(c.promo_end_date) AS promo_end_date
+  FROM consolidated_strict c GROUP BY item_id, event_name, event_year, event_month) r
+ON i = item_id AND order_date BETWEEN promo_start_date - 91 AND promo_start_date - 1"""
+
 STEPS["first_v1"] = """
 SELECT customer_id, brand_code, min(order_date) AS first_purchase_date
 FROM (SELECT customer_id, brand_code, order_date FROM deal_orders_v1 UNION ALL
@@ -545,20 +560,28 @@ FROM growth_v1 t LEFT JOIN growth_v1 y ON y.item_id = t.item_id AND y.event_name
 
 # ---- cohorts ------------------------------------------------------------------------
 
-STEPS["history"] = """
+HISTORY = """
 SELECT vendor_code, item_id, customer_id, order_ts,
   CAST(dense_rank() OVER (c ORDER BY order_ts) AS INT) AS purchase_rank,
   lag(order_ts) OVER (c ORDER BY order_ts, line_id) AS last_order_ts,
   lag(item_id) OVER (c ORDER BY order_ts, line_id) AS last_item_id
-FROM cohort_orders WHERE vendor_code <> 'NaN' AND condition_code <> 6
+FROM {} WHERE vendor_code <> 'NaN' AND condition_code <> 6
 WINDOW c AS (PARTITION BY vendor_code, customer_id)"""
+STEPS["history"] = HISTORY.format("cohort_orders")
+STEPS["clicked_orders"] = """
+SELECT 'shop' AS vendor_code, event_id AS item_id, user_id AS customer_id, ts AS order_ts,
+  1 AS condition_code, lpad(CAST(event_id AS VARCHAR), 20, '0') AS line_id
+FROM events WHERE event_type = 'purchase'"""
+STEPS["clicked_history"] = HISTORY.format("clicked_orders")
 
 GAP_DAYS = "date_sub('day', last_order_ts, order_ts)"
 
-STEPS["buckets"] = f"""
+BUCKETS = f"""
 SELECT *, CASE WHEN last_order_ts IS NULL THEN 'new to brand' WHEN {GAP_DAYS} > 90 THEN '> 3 mo'
   WHEN {GAP_DAYS} > 60 THEN '3 mo' WHEN {GAP_DAYS} > 30 THEN '2 mo' ELSE '1 mo' END AS gap_bucket
-FROM history"""
+FROM """
+STEPS["buckets"] = BUCKETS + "history"
+STEPS["clicked_buckets"] = BUCKETS + "clicked_history"
 
 
 def cohort(repeat: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import timedelta
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +14,11 @@ from tidemark.operators import cohorts, compare, events, firsts, history, item_g
 from tidemark.operators import orders, periods, samples, shares
 from tidemark.operators.metrics import LEVELS, METRICS
 from tidemark.plans import EventPipeline, ItemGrowthPipeline
-from tidemark.session import configure
-from tidemark.sources.testdata import RUN_DATE, SCOPE, load_testdata, raw_orders, titled_orders
+from tidemark.session import configure, shared_folder
+from tidemark.sources import read_orders_csv, write_csv
+from tidemark.sources.testdata import (
+    RUN_DATE, SCOPE, clicked_orders, load_testdata, raw_orders, titled_orders,
+)
 
 from . import oracle as o
 
@@ -199,6 +202,26 @@ register(
 register("period_orders", from_events(lambda p: p.period_orders),
          o.rounded("period_orders", PERIOD, ("revenue",)))
 AMOUNTS = ("revenue", "ads_amt", "subscription_amt")
+
+
+def _base_and_strict_promos(p: EventPipeline) -> tuple[DataFrame, DataFrame]:
+    return _base(p), _consolidated_strict(p)
+
+
+def _deal_orders_v2(p: EventPipeline) -> DataFrame:
+    base, promos = _base_and_strict_promos(p)
+    return periods.deal_orders_v2(base, promos, RUN_DATE)
+
+
+def _pre_deal_orders_v2(p: EventPipeline) -> DataFrame:
+    base, promos = _base_and_strict_promos(p)
+    return periods.pre_deal_orders_v1(base, events.benchmark_ranges(promos))
+
+
+register("deal_orders_v2", from_events(_deal_orders_v2),
+         o.rounded("deal_orders_v2", (), ("revenue",)))
+register("pre_deal_orders_v2", from_events(_pre_deal_orders_v2),
+         o.rounded("pre_deal_orders_v2", (), ("revenue",)))
 register("deal_orders_v1", from_growth(lambda p: p.deal_orders),
          o.rounded("deal_orders_v1", (), AMOUNTS))
 register("pre_deal_orders_v1", from_growth(lambda p: p.pre_deal_orders),
@@ -339,6 +362,14 @@ FROM (
   FROM history GROUP BY vendor_code, customer_id)
 WHERE days IS NOT NULL GROUP BY vendor_code"""))
 
+register(
+    "gap_bucket_clock_times",
+    lambda spark, sf_dir: cohorts.with_gap_bucket(
+        history.purchase_history(clicked_orders(spark, sf_dir))
+    ),
+    o.sql("SELECT * FROM clicked_buckets"),
+)
+
 # ---- shares of new customers --------------------------------------------------------
 
 
@@ -391,8 +422,25 @@ register("ntb_share_lift", from_events(lambda p: shares.new_share_lift(_share("b
 register("ntb_share_lift_event", from_events(lambda p: shares.new_share_lift(_share("event")(p))),
          _lift("share_event", "event_name, event_year"))
 
-# ---- samples and cleaning -----------------------------------------------------------
+# ---- files, samples and cleaning -----------------------------------------------------------
+
+ORDERS_FILE = (
+    "vendor_code string, item_id long, customer_id long, order_ts timestamp_ntz, "
+    "condition_code int, line_id string"
+)
+
+
+def _through_file(sep: str) -> Callable:
+    """Order lines written to a text file in the shared folder and read back."""
+    def build(spark, sf_dir):
+        path = f"{shared_folder(spark)}/tidemark/orders-{uuid4().hex}"
+        write_csv(load_testdata(spark, sf_dir).cohort_orders, path, sep)
+        return read_orders_csv(spark, path, sep, ORDERS_FILE)
+    return build
+
 
+register("orders_csv", _through_file(","), o.sql("SELECT * FROM cohort_orders"))
+register("orders_tsv", _through_file("\t"), o.sql("SELECT * FROM cohort_orders"))
 register(
     "sample_orders",
     from_sources(lambda s: samples.sample_orders(s.cohort_orders, SAMPLE, seed=7)),

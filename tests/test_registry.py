@@ -17,7 +17,7 @@ HEADLINE = (
     "period_orders", "new_customer_flags", "deal_metrics_item_trunc", "report_item",
     "report_brand", "report_company", "report_category", "report_event", "yoy_delta_brand",
     "report_item_v1", "cohort_table", "time_to_return", "peer_comparison", "ntb_share_lift",
-    "sample_orders", "clean_orders",
+    "sample_orders", "clean_orders", "orders_tsv", "gap_bucket_clock_times", "deal_orders_v2",
 )
 NAMES = tuple(QUERIES) if os.environ.get("CHECK_ALL") else HEADLINE
 

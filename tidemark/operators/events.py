@@ -182,7 +182,10 @@ def duration_days(start: Column, end: Column, run_date: date | None = None) -> C
     return F.datediff(end, start) + 1
 
 
-def _benchmark(start: Column, days: int, gap: int) -> dict[str, Column]:
+def benchmark_window(
+    start: Column, days: int = BENCHMARK_DAYS, gap: int = 1
+) -> dict[str, Column]:
+    """First and last of the `days` days that end `gap` days before the start."""
     return {
         "pre_deal_start_date": F.date_sub(start, days + gap - 1),
         "pre_deal_end_date": F.date_sub(start, gap),
@@ -201,7 +204,7 @@ def with_event_windows(
     return promos.withColumns({
         "deal_start_date": start,
         "deal_end_date": end,
-        **_benchmark(start, benchmark_days, gap_days),
+        **benchmark_window(start, benchmark_days, gap_days),
         "event_duration_days": duration_days(start, end, run_date),
     })
 
@@ -214,7 +217,7 @@ def benchmark_ranges(
         F.min("promo_start_date").alias("promo_start_date"),
         F.max("promo_end_date").alias("promo_end_date"),
     )
-    return ranges.withColumns(_benchmark(F.col("promo_start_date"), days, gap_days))
+    return ranges.withColumns(benchmark_window(F.col("promo_start_date"), days, gap_days))
 
 
 def item_windows(deal_lines: DataFrame) -> DataFrame:

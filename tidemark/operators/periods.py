@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .events import WINDOW_COLUMNS, duration_days
+from .events import WINDOW_COLUMNS, benchmark_window, duration_days
 
 DEAL = "DEAL"
 PRE_DEAL = "PRE_DEAL"
@@ -80,6 +80,13 @@ def deal_orders_v1(base: DataFrame, promos: DataFrame, run_date: date) -> DataFr
     )
 
 
+def deal_orders_v2(base: DataFrame, promos: DataFrame, run_date: date) -> DataFrame:
+    """v2: as v1, with the benchmark window of the deal in every row."""
+    return deal_orders_v1(base, promos, run_date).withColumns(
+        benchmark_window(F.col("promo_start_date"))
+    )
+
+
 def match_pre_deal_v1(base: DataFrame, ranges: DataFrame) -> DataFrame:
     """v1/v2: orders of an item in the benchmark range of each of its events.
 

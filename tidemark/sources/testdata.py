@@ -30,6 +30,7 @@ FILE_SCHEMAS = {
     "part": "p_partkey long, p_name string, p_brand string, p_type string",
     "supplier": "s_suppkey long, s_name string, s_nationkey int",
     "nation": "n_nationkey int, n_name string",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string",
 }
 
 # number, title, start, end, status, type, marketplace
@@ -269,6 +270,18 @@ def load_testdata(spark: SparkSession, sf_dir: str) -> TestdataSources:
     return TestdataSources(spark, sf_dir)
 
 
+def clicked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchase events as order lines: order times with hours and fractions of seconds."""
+    return _read(spark, sf_dir, "events").filter("event_type = 'purchase'").select(
+        F.lit("shop").alias("vendor_code"),
+        F.col("event_id").alias("item_id"),
+        F.col("user_id").alias("customer_id"),
+        F.col("ts").alias("order_ts"),
+        F.lit(1).alias("condition_code"),
+        F.lpad(F.col("event_id").cast("string"), 20, "0").alias("line_id"),
+    )
+
+
 def titled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One title and start date per order, so that all rules meet all months."""
     quoted = ", ".join(f'"{t}"' for t in TITLE_SAMPLES)
