@@ -129,17 +129,25 @@ def base_orders(src: Sources, scope: Scope, run_date: date) -> DataFrame:
     return attach_amounts(base, src.contribution, scope.marketplace_id)
 
 
-def base_orders_amounts(src: Sources, scope: Scope, run_date: date) -> DataFrame:
-    """Base orders v1: every condition, duplicates kept, three amounts, no vendor."""
+def base_lines_v1(src: Sources, scope: Scope, run_date: date) -> DataFrame:
+    """Base orders v1 without amounts: every condition, duplicates kept, no vendor."""
     lines = shipped_lines(src, scope, run_date, drop_conditions=False, dedupe=False)
     profile = item_profile(src, scope, vendor=False, dedupe=False)
-    base = lines.join(profile, "item_id").select(
+    return lines.join(profile, "item_id").select(
         "item_id", "customer_id", "line_id", "order_date", "units",
         "item_name", "category_code", "brand_code", "brand_name",
     )
-    return attach_amounts(
-        base, src.contribution, None, ("revenue", "ads_amt", "subscription_amt"), dedupe=False
-    )
+
+
+def attach_amounts_v1(lines: DataFrame, contribution: DataFrame) -> DataFrame:
+    """Revenue, ads and subscription amounts of any marketplace."""
+    amounts = ("revenue", "ads_amt", "subscription_amt")
+    return attach_amounts(lines, contribution, None, amounts, dedupe=False)
+
+
+def base_orders_amounts(src: Sources, scope: Scope, run_date: date) -> DataFrame:
+    """Base orders v1 with three amounts."""
+    return attach_amounts_v1(base_lines_v1(src, scope, run_date), src.contribution)
 
 
 def base_orders_company(src: Sources, scope: Scope, run_date: date, company: str) -> DataFrame:

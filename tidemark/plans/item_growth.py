@@ -18,7 +18,7 @@ from ..sources.tables import Sources
 class ItemGrowthPipeline:
     """The stages as lazy DataFrames, each built once.
 
-    The base orders (read by both periods) and the two summaries (each read by an item
+    The base lines (read by both periods) and the two summaries (each read by an item
     and a brand aggregation) are written to the shared folder.
     """
 
@@ -32,9 +32,9 @@ class ItemGrowthPipeline:
         return stage(df, name) if self.stage_tables else df
 
     @cached_property
-    def base(self) -> DataFrame:
-        base = orders.base_orders_amounts(self.src, self.scope, self.run_date)
-        return self._stage(base, "base_orders_amounts")
+    def base_lines(self) -> DataFrame:
+        lines = orders.base_lines_v1(self.src, self.scope, self.run_date)
+        return self._stage(lines, "base_lines_v1")
 
     @cached_property
     def promo_events(self) -> DataFrame:
@@ -50,21 +50,34 @@ class ItemGrowthPipeline:
     def ranges(self) -> DataFrame:
         return events.benchmark_ranges(self.promos, self.benchmark_days)
 
+    @cached_property
+    def _deal_matches(self) -> DataFrame:
+        return periods.deal_orders_v1(self.base_lines, self.promos, self.run_date)
+
+    @cached_property
+    def _pre_deal_matches(self) -> DataFrame:
+        return periods.match_pre_deal_v1(self.base_lines, self.ranges)
+
     @cached_property
     def deal_orders(self) -> DataFrame:
-        return periods.deal_orders_v1(self.base, self.promos, self.run_date)
+        """Amounts are looked up for the matched orders only, here and below."""
+        return orders.attach_amounts_v1(self._deal_matches, self.src.contribution)
 
     @cached_property
     def pre_deal_orders(self) -> DataFrame:
-        return periods.pre_deal_orders_v1(self.base, self.ranges)
+        return orders.attach_amounts_v1(
+            self._pre_deal_matches, self.src.contribution
+        ).distinct()
 
     @cached_property
     def first_purchases(self) -> DataFrame:
-        """A minimum does not need the benchmark orders to be distinct."""
+        """A minimum needs neither the amounts nor distinct orders."""
         columns = ("customer_id", "brand_code", "order_date")
-        pre_deal = periods.match_pre_deal_v1(self.base, self.ranges)
-        both = self.deal_orders.select(*columns).unionByName(pre_deal.select(*columns))
-        return firsts.first_purchases(both)
+        return firsts.first_purchases(
+            self._deal_matches.select(*columns).unionByName(
+                self._pre_deal_matches.select(*columns)
+            )
+        )
 
     @cached_property
     def deal_summary(self) -> DataFrame:

@@ -62,6 +62,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(spark)
     if folder is None:
         return df
-    path = f"{folder}/tidemark/{name}-{uuid.uuid4().hex}"
+    run = spark.sparkContext.applicationId  # one folder per application, to be dropped with it
+    path = f"{folder}/tidemark/{run}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
