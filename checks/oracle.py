@@ -11,11 +11,9 @@ import re
 from tidemark.functions.titles import EVENT_PRIORITIES, EVENT_RULES, GATE_EARLY_DAY
 from tidemark.operators.compare import REPORT_KEYS
 from tidemark.operators.events import APPROVAL_STATUSES, PROMOTION_TYPES
-from tidemark.operators.item_growth import GROWTH, GROWTH_KEYS, V1_DEAL, V1_METRICS, V1_PRE_DEAL
+from tidemark.operators.item_growth import GROWTH, GROWTH_KEYS, V1_DEAL, V1_PRE_DEAL
 from tidemark.operators.metrics import LEVELS, METRICS
-from tidemark.sources.testdata import (
-    CALENDAR, CATEGORY_CODES, RUN_DATE, SCOPE, TITLE_SAMPLES,
-)
+from tidemark.sources.testdata import CALENDAR, CATEGORY_CODES, RUN_DATE, SCOPE
 
 RUN = f"DATE '{RUN_DATE}'"
 FIRST_DAY = f"DATE '{SCOPE.first_day(RUN_DATE)}'"
@@ -400,7 +398,8 @@ def _report(level: str) -> str:
         columns += [c, a]
     if level == "event":
         columns.append("pre_deal_unique_item_count")
-    metrics = [*LY_COLUMNS, *(f"delta_daily_{m}" for m in METRICS), *(f"ly_{c}" for c in LY_COLUMNS)]
+    deltas = [f"delta_daily_{m}" for m in METRICS]
+    metrics = [*LY_COLUMNS, *deltas, *(f"ly_{c}" for c in LY_COLUMNS)]
     columns += [f"{fill(c)} AS {c}" for c in metrics]
     columns += [
         f"{fill(f'ly_daily_deal_{m}')} - {fill(f'ly_daily_pre_deal_{m}')} AS ly_delta_daily_{m}"

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import classify_event
-from tidemark.operators import cohorts, compare, events, firsts, history, item_growth, metrics
+from tidemark.operators import cohorts, compare, events, history, item_growth, metrics
 from tidemark.operators import orders, periods, samples, shares
 from tidemark.operators.metrics import LEVELS, METRICS
 from tidemark.plans import EventPipeline, ItemGrowthPipeline
 from tidemark.session import configure, shared_folder
 from tidemark.sources import read_orders_csv, write_csv
 from tidemark.sources.testdata import (
-    RUN_DATE, SCOPE, clicked_orders, load_testdata, raw_orders, titled_orders,
+    RUN_DATE, SCOPE, TITLE_SAMPLES, clicked_orders, load_testdata, raw_orders, titled_orders,
 )
 
 from . import oracle as o
@@ -130,8 +130,8 @@ TITLED = f"""
 SELECT o_orderkey AS promotion_key, concat_ws(' ', sample, o_orderpriority) AS promo_title,
   CAST(o_orderdate AS DATE) AS start_date
 FROM orders JOIN (VALUES {o._rows(
-    (i, t.replace("'", "''")) for i, t in enumerate(o.TITLE_SAMPLES)
-)}) AS s(slot, sample) ON slot = o_orderkey % {len(o.TITLE_SAMPLES)}"""
+    (i, t.replace("'", "''")) for i, t in enumerate(TITLE_SAMPLES)
+)}) AS s(slot, sample) ON slot = o_orderkey % {len(TITLE_SAMPLES)}"""
 o.STEPS["titled"] = TITLED
 register("classify_event", _titles(True), o.sql(
     o.labelled("titled", "promotion_key", "start_date", True)))
@@ -204,18 +204,12 @@ register("period_orders", from_events(lambda p: p.period_orders),
 AMOUNTS = ("revenue", "ads_amt", "subscription_amt")
 
 
-def _base_and_strict_promos(p: EventPipeline) -> tuple[DataFrame, DataFrame]:
-    return _base(p), _consolidated_strict(p)
-
-
 def _deal_orders_v2(p: EventPipeline) -> DataFrame:
-    base, promos = _base_and_strict_promos(p)
-    return periods.deal_orders_v2(base, promos, RUN_DATE)
+    return periods.deal_orders_v2(_base(p), _consolidated_strict(p), RUN_DATE)
 
 
 def _pre_deal_orders_v2(p: EventPipeline) -> DataFrame:
-    base, promos = _base_and_strict_promos(p)
-    return periods.pre_deal_orders_v1(base, events.benchmark_ranges(promos))
+    return periods.pre_deal_orders_v1(_base(p), events.benchmark_ranges(_consolidated_strict(p)))
 
 
 register("deal_orders_v2", from_events(_deal_orders_v2),
@@ -433,7 +427,10 @@ ORDERS_FILE = (
 def _through_file(sep: str) -> Callable:
     """Order lines written to a text file in the shared folder and read back."""
     def build(spark, sf_dir):
-        path = f"{shared_folder(spark)}/tidemark/orders-{uuid4().hex}"
+        folder = shared_folder(spark)
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        path = f"{folder}/tidemark/orders-{uuid4().hex}"
         write_csv(load_testdata(spark, sf_dir).cohort_orders, path, sep)
         return read_orders_csv(spark, path, sep, ORDERS_FILE)
     return build
@@ -452,7 +449,8 @@ RAW = """
 SELECT line_id, CASE WHEN o_custkey % 7 = 0 THEN 'n/a' ELSE o_custkey || '.0' END AS customer_id,
   CAST(l_suppkey AS VARCHAR) AS vendor_id,
   CASE l_linenumber % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
-    WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 2 THEN strftime(o_orderdate, '%m/%d/%Y %H:%M')
+    WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d')
+    WHEN 2 THEN strftime(o_orderdate, '%m/%d/%Y %H:%M')
     WHEN 3 THEN strftime(o_orderdate, '%d %b %Y') ELSE 'unknown' END AS order_ts
 FROM order_lines"""
 o.STEPS["raw_lines"] = RAW

@@ -66,7 +66,7 @@ drawn_lines = st.lists(
 )
 
 
-@settings(max_examples=10, deadline=None,
+@settings(max_examples=6, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(drawn_lines)
 def test_hour_by_hour_equals_whole_customers(spark, drawn):

@@ -121,7 +121,7 @@ purchases = st.lists(
 )
 
 
-@settings(max_examples=8, deadline=None,
+@settings(max_examples=5, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(purchases)
 def test_big_customers_get_the_same_first_purchases(spark, drawn):
