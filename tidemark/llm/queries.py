@@ -6,15 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets
-from .shared import read
+from . import best_fit, bin_slack, secrets, separators
+from .shared import read, shared_path
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(read(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_best_fit(read(spark, sf_dir, "documents"))
+
+
+def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as flat token files in the shared folder, then counted from those files."""
+    path = shared_path(spark, "tokens")
+    separators.write_token_files(read(spark, sf_dir, "documents"), path)
+    return separators.count_tokens(spark, path)
+
+
+def op9_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_slack.pack_bin_slack(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_separator_scan": op4_separator_scan,
+    "op9_bin_slack_packing": op9_bin_slack_packing,
 }
 ORACLE: dict[str, str] = {}
