@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import best_fit, bin_slack, secrets, separators
-from .shared import read, shared_path
+from . import best_fit, bin_slack, langid, secrets, separators, toxicity
+from .shared import fold, read, shared_path
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,14 +26,33 @@ def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.count_tokens(spark, path)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    remainder = fold("doc_id", 4)
+    model = langid.train(docs, remainder != 2)
+    return langid.identify(docs, model).select(
+        "doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_slack.pack_bin_slack(read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    remainder = fold("doc_id", 4)
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), remainder != 2)
+    return toxicity.score(docs, model).select(
+        "doc_id", (remainder == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_separator_scan": op4_separator_scan,
+    "op7_language_id": op7_language_id,
     "op9_bin_slack_packing": op9_bin_slack_packing,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {}

@@ -81,8 +81,27 @@ def span_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def pieces_of(text: str, limit: int = 1 << 20) -> list[str]:
+    """The text in parts of at most `limit` code points, cut at blanks.
+
+    Words longer than `limit` are cut as well; equal texts are always cut in the same places.
+    """
+    if len(text) <= limit:
+        return [text]
+    parts, at = [], 0
+    while len(text) - at > limit:
+        blank = text.rfind(" ", at, at + limit)
+        end = blank if blank > at else at + limit
+        parts.append(text[at:end])
+        at = end
+    return [*parts, text[at:]]
+
+
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and each text's first word (plus the end)."""
+    if len(texts) == 1 and len(parts := pieces_of(texts[0])) > 1:
+        found = np.concatenate([hashed_words([part])[0] for part in parts])
+        return found, np.array([0, len(found)])
     cps, bounds = codepoints([t.lower() for t in texts])
     starts, ends = spans_of(word_table()[cps])
     return span_hashes(cps, starts, ends), np.searchsorted(starts, bounds)
