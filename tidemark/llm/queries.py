@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bin_slack, langid, secrets, separators, toxicity
+from . import best_fit, bin_slack, langid, quality, secrets, separators, toxicity
 from .shared import fold, read, shared_path
 
 
@@ -26,6 +26,15 @@ def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.count_tokens(spark, path)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    remainder = fold("doc_id", 3)
+    model = quality.train(docs, read(spark, sf_dir, "labels"), remainder != 1)
+    return quality.score(docs, model).select(
+        "doc_id", (remainder == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     remainder = fold("doc_id", 4)
@@ -51,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_separator_scan": op4_separator_scan,
+    "op5_quality": op5_quality,
     "op7_language_id": op7_language_id,
     "op9_bin_slack_packing": op9_bin_slack_packing,
     "op10_toxicity": op10_toxicity,
