@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bin_slack, langid, quality, secrets, separators, toxicity
+from . import best_fit, bin_slack, contamination, langid, quality, secrets, separators, simhash
+from . import toxicity
 from .shared import fold, read, shared_path
 
 
@@ -35,6 +36,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_items(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("_a", "_h")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     remainder = fold("doc_id", 4)
@@ -43,6 +49,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_report(read(spark, sf_dir, "documents"))
+
+
 def op9_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_slack.pack_bin_slack(read(spark, sf_dir, "documents"))
 
@@ -61,8 +71,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_separator_scan": op4_separator_scan,
     "op5_quality": op5_quality,
+    "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
+    "op8_fingerprints": op8_fingerprints,
     "op9_bin_slack_packing": op9_bin_slack_packing,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {}
+# Words and shingles of the twins: the same definition, in DuckDB's functions.
+_SHINGLES = """
+SELECT DISTINCT {id} AS id, array_to_string(w[i:i + 4], ' ') AS shingle
+FROM (SELECT {id}, w, unnest(range(1, len(w) - 3)) AS i FROM (
+  SELECT {id}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS w
+  FROM {table}))"""
+
+ORACLE: dict[str, str] = {
+    "op6_decontamination": f"""
+WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
+  b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+  n AS (SELECT id, count(*) AS n_shingles FROM b GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, n_shingles,
+  count(*) / n_shingles AS containment
+FROM d JOIN b USING (shingle) JOIN n ON n.id = b.id
+GROUP BY d.id, b.id, n_shingles HAVING count(*) >= ceil(round(n_shingles * 0.8, 9))""",
+}
