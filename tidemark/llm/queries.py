@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bin_slack, contamination, langid, quality, secrets, separators, simhash
-from . import toxicity
+from . import best_fit, bin_slack, contamination, langid, ngram_join, quality, secrets
+from . import separators, simhash, toxicity
 from .shared import fold, read, shared_path
 
 
@@ -16,6 +16,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(read(spark, sf_dir, "documents"))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(read(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_links")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_best_fit(read(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_separator_scan": op4_separator_scan,
@@ -85,6 +91,30 @@ FROM (SELECT {id}, w, unnest(range(1, len(w) - 3)) AS i FROM (
   FROM {table}))"""
 
 ORACLE: dict[str, str] = {
+    "op1_ngram_join": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+      regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}]+') AS w FROM documents),
+  grams AS (
+    SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(
+        range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')]
+      WHEN text <> '' THEN ['text without words: ' || text] ELSE ['empty: ' || doc_id] END AS g
+    FROM words),
+  classes AS (SELECT min(doc_id) AS c, count(*) AS copies, len(g) AS n, g FROM grams GROUP BY g),
+  flat AS (SELECT c, copies, n, unnest(g) AS s FROM classes),
+  links AS (
+    SELECT x.c AS a, y.c AS b, any_value(y.copies) AS copies
+    FROM flat x JOIN flat y ON x.s = y.s AND x.c <> y.c
+    GROUP BY x.c, y.c HAVING 9 * count(*) >= 4 * (any_value(x.n) + any_value(y.n))),
+  reached(a, b) AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+  least AS (SELECT a AS c, min(b) AS b FROM reached GROUP BY a),
+  numbers AS (SELECT a AS c, sum(copies) AS linked FROM links GROUP BY a)
+SELECT doc_id, least(classes.c, coalesce(least.b, classes.c)) AS class_id,
+  CAST(classes.copies - 1 + coalesce(linked, 0) AS BIGINT) AS n_links
+FROM grams JOIN classes USING (g) LEFT JOIN least ON least.c = classes.c
+LEFT JOIN numbers ON numbers.c = classes.c""",
     "op6_decontamination": f"""
 WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
   b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
