@@ -1,22 +1,64 @@
-"""The corpus pipeline: stages that clean documents and pack what is left."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Every stage takes the documents that the one before kept, and what it decides takes effect: toxic
+documents go, one document of each class of near copies stays, documents that hold a benchmark item
+go, secrets are masked in the text, and the rest is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bin_slack, contamination, ngram_join, secrets, toxicity
+from tidemark.llm.shared import read, shared_path
+
+TOXIC_FROM = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below TOXIC_FROM; learned from all marked documents."""
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), F.lit(True))
+    return toxicity.keep_clean(docs, model, threshold=TOXIC_FROM)
 
-from tidemark.llm import secrets
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each class of near copies."""
+    return ngram_join.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return contamination.without_items(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by their kind."""
     return secrets.masked_documents(docs)
 
 
-STAGES = [("secret scans", mask_secrets)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a sequence."""
+    return bin_slack.pack_bin_slack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", mask_secrets),
+    ("packing", pack),
+]
+# A trained classifier and a tokenizer are no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the table `documents`; each stage's rows are written once and read again."""
+    docs = read(spark, sf_dir, "documents")
+    *filters, (_, last) = STAGES
+    for name, stage in filters:
+        path = shared_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return last(spark, docs, sf_dir)
