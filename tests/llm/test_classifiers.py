@@ -1,0 +1,188 @@
+"""Trained operators: held-out accuracy, what they may learn from, and the awkward cases."""
+
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import langid, quality, toxicity, words
+from tidemark.llm.queries import QUERIES
+from tidemark.llm.shared import fold
+
+LARGER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def truth():
+    rows = duckdb.sql(f"""SELECT doc_id, lang, quality, toxic, text FROM '{LARGER}/documents.parquet'
+        LEFT JOIN '{LARGER}/labels.parquet' USING (doc_id)""").fetchall()
+    return {r[0]: dict(zip(("lang", "quality", "toxic", "text"), r[1:])) for r in rows}
+
+
+def auc(scores, marks):
+    order = np.argsort(np.argsort(scores)) + 1
+    ones = sum(marks)
+    return (order[np.array(marks) == 1].sum() - ones * (ones + 1) / 2) / ones / (len(marks) - ones)
+
+
+def checked(rows, truth, folds, remainder):
+    assert len(rows) == len(truth)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % folds == remainder)
+        assert 0 <= r["score"] <= 1
+    return [r for r in rows if r["held_out"]]
+
+
+def test_language_query(spark, truth):
+    held = checked(QUERIES["op7_language_id"](spark, LARGER).collect(), truth, 4, 2)
+    right = [r["lang_pred"] == truth[r["doc_id"]]["lang"] for r in held]
+    assert np.mean(right) > 0.98
+
+
+def test_quality_query(spark, truth):
+    held = checked(QUERIES["op5_quality"](spark, LARGER).collect(), truth, 3, 1)
+    held = [r for r in held if truth[r["doc_id"]]["quality"] is not None]
+    marks = [truth[r["doc_id"]]["quality"] for r in held]
+    assert all(r["predicted"] == (r["score"] >= 0.5) for r in held)
+    assert np.mean([r["predicted"] == m for r, m in zip(held, marks)]) > 0.97
+    assert auc([r["score"] for r in held], marks) > 0.97
+
+
+def test_toxicity_query(spark, truth):
+    """The marks of the small tables are noisy: hold the result against the insults themselves."""
+    held = checked(QUERIES["op10_toxicity"](spark, LARGER).collect(), truth, 4, 2)
+    insults = {"loser", "idiot", "pathetic", "scum", "worthless", "moron", "trash", "clown",
+               "disgusting", "stupid"}
+    english = [r for r in held if truth[r["doc_id"]]["lang"] == "en"]
+    marks = [int(bool(insults & set(truth[r["doc_id"]]["text"].lower().split()))) for r in english]
+    assert all(r["predicted"] == (r["score"] >= 0.3) for r in held)
+    assert auc([r["score"] for r in english], marks) > 0.95
+
+
+@pytest.fixture(scope="module")
+def small(spark, sf_dir):
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return read("documents"), read("labels")
+
+
+def test_held_out_rows_are_not_learned_from(spark, small):
+    """Other texts, languages and labels in the held-out fold change no score of other rows."""
+    docs, labels = small
+    held = fold("doc_id", 4) == 2
+    changed = docs.withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang"))).withColumn(
+        "text", F.when(held, F.lit("zzz qqq")).otherwise(F.col("text")))
+    other_labels = labels.withColumns({
+        c: F.when(held, 1 - F.col(c)).otherwise(F.col(c)) for c in ("toxic", "quality")})
+    for of in (lambda d, _: langid.identify(d, langid.train(d, ~held)),
+               lambda d, lab: toxicity.score(d, toxicity.train(d, lab, ~held)),
+               lambda d, lab: quality.score(d, quality.train(d, lab, ~held))):
+        before = sorted(map(tuple, of(docs, labels).where(~held).collect()))
+        assert sorted(map(tuple, of(changed, other_labels).where(~held).collect())) == before
+
+
+def test_awkward(spark, awkward, awkward_rows, empty, small):
+    docs, labels = small
+    language = langid.train(docs, F.lit(True))
+    for frame, n in ((awkward, len(awkward_rows)), (empty, 0)):
+        rows = langid.identify(frame, language).collect()
+        assert len(rows) == n
+        scores = toxicity.score(frame, toxicity.train(docs, labels, F.lit(True))).collect()
+        assert len(scores) == n and all(0 <= r["score"] <= 1 for r in scores)
+        scores = quality.score(frame, quality.train(docs, labels, F.lit(True))).collect()
+        assert len(scores) == n and all(0 <= r["score"] <= 1 for r in scores)
+    rows = langid.identify(awkward, language).collect()
+    unknown = {(r["doc_id"], r["score"]) for r in rows if r["lang_pred"] == "und"}
+    assert {5, 6, 7, 8, 9, 10} <= {i for i, _ in unknown} and {s for _, s in unknown} == {0.0}
+    assert all(r["lang_pred"] != "und" for r in rows if r["doc_id"] in (11, 14, 17, 18))
+    kept = toxicity.keep_clean(awkward, toxicity.train(docs, labels, F.lit(True)), threshold=2)
+    assert kept.columns == awkward.columns and kept.count() == len(awkward_rows)
+
+
+def test_nothing_to_learn_from(awkward, empty, spark):
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    model = langid.train(awkward.where("lang IS NULL"), F.lit(True))
+    assert {r["lang_pred"] for r in langid.identify(awkward, model).collect()} == {"und"}
+    model = toxicity.train(awkward, labels, F.lit(True))
+    assert {r["score"] for r in toxicity.score(awkward, model).collect()} == {0.5}
+    model = quality.train(awkward, labels, F.lit(True))
+    assert {r["score"] for r in quality.score(awkward, model).collect()} == {0.5}
+    marks = spark.createDataFrame([(None, 1, 1), (11, 1, 1), (11, 1, 1), (99, 0, None)],
+                                  "doc_id long, toxic int, quality int")
+    assert toxicity.score(awkward, toxicity.train(awkward, marks, F.lit(True))).count() > 0
+    assert quality.score(awkward, quality.train(awkward, marks, F.lit(True))).count() > 0
+
+
+def test_long_texts_are_read_whole():
+    part = "ähnlich Wörter und mehr. " * 60_000
+    assert len(part) > langid.BLOCK_CHARS
+    whole = langid.gram_counts([part])[0]
+    cps, _ = words.codepoints([part.lower()])
+    want = np.zeros(langid.DIMS, np.int64)
+    for gram in langid._grams(langid._letters()[cps]):
+        want += np.bincount(gram, minlength=langid.DIMS)
+    # the break behind the last character only ends n-grams of a short text's block
+    assert abs(whole - want).sum() <= langid.ORDERS
+    hashes, bounds = words.hashed_words([part])
+    small, _ = words.hashed_words(["ähnlich Wörter und mehr."])
+    assert len(hashes) == bounds[1] == 4 * 60_000 and (hashes.reshape(-1, 4) == small).all()
+    a, b = quality.features([part + "x"]), quality.features([part[:len(part) // 2]])
+    assert np.allclose(a[0, [2, 6, 7, 8, 9, 10]], b[0, [2, 6, 7, 8, 9, 10]], atol=0.01)
+    assert (toxicity.features([part])[0] == 0).all()
+
+
+def test_words_equal_a_plain_search(documents):
+    import regex
+    texts = [t for _, t in documents[:50]] + ["", "a1 ²½ é́ x", "日本語 ñ_ñ"]
+    hashes, bounds = words.hashed_words(texts)
+    by_word = {}
+    for i, text in enumerate(texts):
+        own = regex.findall(r"[\p{L}\p{N}\p{M}]+", text.lower())
+        assert len(own) == bounds[i + 1] - bounds[i]
+        for w, h in zip(own, hashes[bounds[i]: bounds[i + 1]]):
+            assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+
+
+def test_ftrl_weights_are_sparse_and_temperature_is_fitted():
+    pick = np.random.default_rng(0)
+    rows = []
+    for i in range(300):
+        at = np.unique(np.append(pick.integers(10, 2000, 20), i % 3))
+        rows.append((at, np.full(len(at), len(at) ** -0.5), i % 3))
+    w, bias = langid.train_ftrl(rows, 3)
+    assert [int((v @ w[a] + bias).argmax()) for a, v, _ in rows] == [y for *_, y in rows]
+    assert (w == 0).mean() > 0.95
+    logits = pick.normal(size=(5000, 3))
+    p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    labels = np.array([pick.choice(3, p=x) for x in p])
+    assert langid.fitted_temperature(logits * 4, labels) == pytest.approx(4, rel=0.15)
+
+
+def test_additive_model_learns_curves_and_pairs():
+    pick = np.random.default_rng(1)
+    x = pick.uniform(-1, 1, (6000, 4))
+    y = ((np.abs(x[:, 0]) > 0.5) ^ ((x[:, 1] > 0) & (x[:, 2] > 0))).astype(float)
+    model = quality.fit(x[:5000], y[:5000], np.arange(5000) % 6 == 0)
+    assert ((model.scores(x[5000:]) >= 0.5) == y[5000:]).mean() > 0.95
+    b = model.bins(x[:7])
+    by_hand = [model.bias + sum(t[b[r, j]] for j, t in enumerate(model.tables))
+               + sum(t[b[r, i], b[r, j]] for i, j, t in model.pairs) for r in range(7)]
+    assert np.allclose(model.scores(x[:7]), 1 / (1 + np.exp(-np.array(by_hand))))
+
+
+def test_unlabelled_learning_finds_hidden_positives():
+    pick = np.random.default_rng(2)
+
+    def text(toxic):
+        own = list(pick.integers(10, 60, 12))
+        return np.unique(own + (list(pick.integers(0, 10, 3)) if toxic else []))
+
+    marked = [text(True) for _ in range(200)]
+    hidden = pick.random(2000) < 0.15
+    rows = marked + [text(h) for h in hidden]
+    positive = np.array([True] * 200 + [False] * 2000)
+    w, bias = toxicity.train_nnpu(rows, positive, 60, 0.15)
+    called = np.array([1 / (1 + np.exp(-w[r].sum() - bias)) >= 0.3 for r in rows[200:]])
+    assert called[hidden].mean() > 0.95 and called[~hidden].mean() < 0.05

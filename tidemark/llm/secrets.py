@@ -427,13 +427,17 @@ def joined(spans, names: list[str]):
         ":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def number_of(kind: int):
+    """How many of a row's spans are of the kind."""
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind))
+
+
 def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts and digests of the base kinds, and all spans as text."""
     names = [r.kind for r in rules]
     found = find_secrets(docs, rules=rules)
     base = F.filter("spans", lambda s: s["kind"] < BASE_KINDS)
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long")
-              .alias(f"n_{names[n]}") for n in range(BASE_KINDS)]
+    counts = [number_of(n).cast("long").alias(f"n_{names[n]}") for n in range(BASE_KINDS)]
     return found.select(
         "doc_id", *counts, F.sha2(joined(base, names), 256).alias("base_sha256"),
         joined(F.col("spans"), names).alias("spans"),

@@ -84,11 +84,13 @@ class Model:
 
 def train_nnpu(
     rows: list[np.ndarray], positive: np.ndarray, width: int, prior: float,
-    steps: int = 400, rate: float = 0.03, l2: float = 1.5e-3,
+    steps: int = 400, rate: float = 0.06, l2: float = 2e-4,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier under the non-negative risk, by Adam steps.
 
-    `rows`: the features (0 to width-1) of each text; `positive`: marked or not.
+    `rows`: the features (0 to width-1) of each text; `positive`: marked or not. Steps up the clean
+    risk also lift the bias, so at the end it is set such that the unlabelled texts have the
+    prior as their mean score.
     """
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
@@ -112,7 +114,13 @@ def train_nnpu(
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return w[:width], float(w[width])
+    f = np.bincount(owner, weights=w[flat], minlength=len(rows))[~positive]
+    low, high = -40.0, 40.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        mean = (1 / (1 + np.exp(-np.clip(f + middle, -40, 40)))).mean()
+        low, high = (low, middle) if mean > prior else (middle, high)
+    return w[:width], low
 
 
 def _frequencies(texts: DataFrame) -> DataFrame:
