@@ -7,19 +7,15 @@ Doubles are rounded to six places on both sides.
 from __future__ import annotations
 
 import re
+from datetime import timedelta
+from typing import NamedTuple
 
-from tidemark.functions.titles import EVENT_PRIORITIES, EVENT_RULES, GATE_EARLY_DAY
-from tidemark.operators.compare import REPORT_KEYS
-from tidemark.operators.events import APPROVAL_STATUSES, PROMOTION_TYPES
-from tidemark.operators.item_growth import GROWTH, GROWTH_KEYS, V1_DEAL, V1_PRE_DEAL
-from tidemark.operators.metrics import LEVELS, METRICS
-from tidemark.sources.testdata import CALENDAR, CATEGORY_CODES, RUN_DATE, SCOPE
+from tidemark.sources.testdata import CALENDAR, RUN_DATE
 
 RUN = f"DATE '{RUN_DATE}'"
-FIRST_DAY = f"DATE '{SCOPE.first_day(RUN_DATE)}'"
-FIRST_DAY_30 = "DATE '2001-07-02'"
-COMPANY = "C3"
-COMPANY_CATEGORIES = (4,)
+FIRST_DAY = f"DATE '{RUN_DATE - timedelta(days=730)}'"
+COMPANY = "C9"
+COMPANY_CATEGORIES = (1, 2, 4, 5)
 
 
 def _list(values) -> str:
@@ -35,12 +31,117 @@ def _names(d: dict, column: str) -> str:
     return f"CASE {column} {whens} END"
 
 
-CATEGORIES = _list(SCOPE.categories)
+# What the reports are defined by, written out here and not taken from the library.
+CATEGORY_NAMES = {1: "Economy", 2: "Large", 3: "Medium", 4: "Promo", 5: "Small"}
+CATEGORY_CODES = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5, "STANDARD": 6}
+CATEGORIES = "1, 2, 3, 4, 5"
+APPROVAL_STATUSES = ("Approved", "Scheduled")
+PROMOTION_TYPES = ("Best Deal", "Deal of the Day", "Lightning Deal", "Event Deal")
+GATE_EARLY_DAY = 25
+PRIORITIES = {
+    "PRIME DAY": 1, "BSS": 1, "PBDD": 1, "T5/11/12": 1, "BLACK FRIDAY": 2, "CYBER MONDAY": 3,
+    "BOXING WEEK": 4, "NYNY": 5,
+}
+# label, month of the gate (0: none), patterns; in the order in which they are tried
+RULES = (
+    ("BSS", 0, "%BSS%", "%BIG SPRING SALE%"),
+    ("PRIME DAY", 7, "%PRIME%DAY%", "%PD%", "%PEBD%"),
+    ("PBDD", 0, "%PBDD%"),
+    ("BLACK FRIDAY", 0, "%BF%", "%BLACK%FRIDAY%"),
+    ("CYBER MONDAY", 0, "%CYBER%MONDAY%", "%CM%"),
+    ("BOXING WEEK", 0, "%BOXING WEEK%", "%BOXING DAY%"),
+    ("T5/11/12", 0, "%T5%", "%T11%", "%T12%"),
+    ("BACK TO SCHOOL", 0, "%BACK%TO%SCHOOL%"),
+    ("BACK TO UNIVERSITY", 0, "%BACK%TO%UNIVERSITY%"),
+    ("NYNY", 0, "%NYNY%"),
+    ("MOTHERS DAY", 5, "%MOTHER%DAY%"),
+    ("FATHERS DAY", 0, "%FATHER%DAY%"),
+    ("VALENTINES DAY", 0, "%VALENTINE%DAY%"),
+    ("GIFT MANIA", 0, "%GIFT%MANIA%"),
+    ("HALLOWEEN", 0, "%HALLOWEEN%"),
+    ("HOLIDAY", 0, "%HOLIDAY%"),
+    ("LUNAR NEW YEAR", 0, "%LUNAR%NEW%YEAR%"),
+    ("DAILY ESSENTIALS", 0, "%DAILY%ESSENTIALS%"),
+    ("BEAUTY HAUL", 0, "%BEAUTY%HAUL%"),
+    ("PET DAY", 5, "%PET%DAY%", "%PET%MONTH%"),
+    ("HEALTH & WELLNESS MONTH", 0, "%HEALTH%WELLNESS%"),
+    ("GAMING MONTH", 0, "%GAMING%MONTH%"),
+    ("BABY SAVINGS", 0, "%BABY%SAVINGS%"),
+    ("BEAUTY WEEK", 0, "%BEAUTY%WEEK%"),
+    ("DIWALI", 0, "%DIWALI%"),
+    ("MOVEMBER", 0, "%MOVEMBER%"),
+    ("FLASH SALE", 0, "%FLASH SALE%"),
+)
 RULE_ROWS = [
-    (rank, rule.label, pattern, rule.month or 0)
-    for rank, rule in enumerate(EVENT_RULES)
-    for pattern in rule.patterns
+    (rank, label, pattern, gate)
+    for rank, (label, gate, *patterns) in enumerate(RULES) for pattern in patterns
 ]
+METRICS = ("shipped_units", "ops", "customers", "new_customers", "subscribers")
+
+
+class Level(NamedTuple):
+    """Keys that match years, columns of the deal groups, the key a row must have, fill with 0."""
+
+    keys: tuple[str, ...]
+    columns: tuple[str, ...]
+    required: str | None
+    zero_last_year: bool
+
+
+LEVELS = {
+    "item": Level(
+        ("item_id",),
+        ("item_id", "item_name", "category_code", "category_name", "brand_code", "brand_name",
+         "vendor_code", "company_code", "company_name"), None, False),
+    "brand": Level(
+        ("brand_code",),
+        ("brand_code", "brand_name", "vendor_code", "company_code", "company_name",
+         "category_code", "category_name"), "brand_code", True),
+    "company": Level(
+        ("company_code", "category_code"),
+        ("company_code", "company_name", "category_code", "category_name"), "company_code", True),
+    "category": Level(
+        ("category_code",), ("category_code", "category_name"), "category_code", True),
+    "event": Level((), (), None, False),
+}
+REPORT_KEYS = {
+    "item": (
+        "item_id", "item_name", "category_name", "vendor_code", "company_name", "company_code",
+        "brand_code", "brand_name", "event_name", "event_year", "event_month",
+        "event_duration_days"),
+    "brand": (
+        "brand_code", "brand_name", "vendor_code", "company_code", "company_name",
+        "category_code", "category_name", "event_name", "event_year", "event_month",
+        "promo_start_date", "promo_end_date", "event_duration_days"),
+    "company": (
+        "company_code", "company_name", "category_code", "category_name", "event_name",
+        "event_year", "event_month", "promo_start_date", "promo_end_date", "event_duration_days"),
+    "category": (
+        "category_code", "category_name", "event_name", "event_year", "event_month",
+        "event_duration_days"),
+    "event": (
+        "event_name", "event_year", "event_month", "promo_start_date", "promo_end_date",
+        "event_duration_days"),
+}
+GROWTH_KEYS = (
+    "item_id", "item_name", "category_name", "vendor_code", "company_name", "company_code",
+    "brand_code", "brand_name", "event_name", "promo_start_date", "promo_end_date",
+    "event_month", "event_year", "event_duration_days",
+)
+V1_METRICS = (
+    "shipped_units", "ops", "ads_amt", "subscription_amt",
+    "total_customers_item", "new_customers_item", "return_customers_item",
+    "total_customers_brand", "new_customers_brand", "return_customers_brand", "subscribers",
+)
+V1_DEAL = tuple(f"daily_deal_{m}" for m in V1_METRICS)
+V1_PRE_DEAL = tuple(f"daily_pre_deal_{m}" for m in V1_METRICS)
+GROWTH = {
+    "daily_new_customer_growth_pct_item": "new_customers_item",
+    "daily_return_customer_growth_pct_item": "return_customers_item",
+    "daily_new_customer_growth_pct_brand": "new_customers_brand",
+    "daily_return_customer_growth_pct_brand": "return_customers_brand",
+    "daily_subscribers_growth_pct": "subscribers",
+}
 
 STEPS: dict[str, str] = {}
 
@@ -52,9 +153,11 @@ SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
 STEPS["shipments"] = """
-SELECT l_partkey AS item_id, CAST(floor(o_custkey / 10) AS BIGINT) AS customer_id, line_id,
-  o_orderdate AS order_ts, CAST(l_quantity AS INT) AS units,
-  CASE WHEN l_orderkey % 20 = 0 THEN 1 ELSE 7 END AS marketplace_id, 1 AS region_id,
+SELECT l_partkey AS item_id,
+  CASE WHEN l_partkey % 40 <> 7 THEN CAST(floor(o_custkey / 10) AS BIGINT) END AS customer_id,
+  line_id, o_orderdate AS order_ts, CAST(l_quantity AS INT) AS units,
+  CASE WHEN l_orderkey % 20 = 0 THEN 1 ELSE 7 END AS marketplace_id,
+  CASE WHEN l_orderkey % 8 = 5 THEN 2 ELSE 1 END AS region_id,
   CASE WHEN l_suppkey % 10 = 3 THEN 'N' ELSE 'Y' END AS is_retail, condition_code
 FROM order_lines"""
 
@@ -75,10 +178,7 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_id
 FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(15,2)) AS price FROM lineitem WHERE l_tax > 0)"""
 
 STEPS["vendors"] = """
-SELECT p_partkey AS item_id,
-  (CAST(substr(p_brand, 7) AS BIGINT) * 4 + p_partkey % 4) % (SELECT count(*) FROM supplier)
-    AS vendor_code
-FROM part"""
+SELECT p_partkey AS item_id, p_partkey % (SELECT count(*) FROM supplier) AS vendor_code FROM part"""
 
 STEPS["companies"] = """
 SELECT s_suppkey AS vendor_code,
@@ -103,6 +203,7 @@ WHERE l_discount >= 0.05"""
 
 STEPS["snapshots"] = f"""
 SELECT l_partkey AS item_id, CAST(o_orderdate AS DATE) AS day,
+  CASE WHEN l_suppkey % 8 = 5 THEN 2 ELSE 1 END AS region_id,
   CAST(sum(l_quantity) AS BIGINT) AS active
 FROM order_lines
 WHERE l_linestatus = 'O' AND l_partkey IN (SELECT item_id FROM items
@@ -116,10 +217,11 @@ FROM order_lines JOIN part ON l_partkey = p_partkey"""
 
 # ---- order base ---------------------------------------------------------------------
 
-SHIPPED = """marketplace_id = 7 AND region_id = 1 AND units > 0 AND is_retail = 'Y'"""
+ANY_REGION = "marketplace_id = 7 AND units > 0 AND is_retail = 'Y'"
+SHIPPED = f"{ANY_REGION} AND region_id = 1"
 
 STEPS["profile"] = f"""
-SELECT i.*, {_names(SCOPE.categories, 'category_code')} AS category_name, v.vendor_code,
+SELECT i.*, {_names(CATEGORY_NAMES, 'category_code')} AS category_name, v.vendor_code,
   c.company_code, c.company_name
 FROM items i
 LEFT JOIN vendors v ON v.item_id = i.item_id
@@ -130,11 +232,19 @@ BASE_COLUMNS = """p.item_id, customer_id, s.line_id, CAST(order_ts AS DATE) AS o
   item_name, category_code, category_name, brand_code, brand_name, vendor_code, company_code,
   company_name"""
 
-STEPS["base"] = f"""
+def base(where: str) -> str:
+    return f"""
 SELECT DISTINCT {BASE_COLUMNS}, coalesce(revenue, 0) AS revenue
 FROM shipments s JOIN profile p ON p.item_id = s.item_id
 LEFT JOIN contribution c ON c.line_id = s.line_id AND c.item_id = s.item_id
-WHERE {SHIPPED} AND condition_code <> 6 AND order_ts BETWEEN {FIRST_DAY} AND {RUN}"""
+WHERE condition_code <> 6 AND {where}"""
+
+
+STEPS["base"] = base(f"{SHIPPED} AND order_ts BETWEEN {FIRST_DAY} AND {RUN}")
+STEPS["base_all_regions"] = base(f"{ANY_REGION} AND order_ts BETWEEN {FIRST_DAY} AND {RUN}")
+STEPS["base_v2"] = base(
+    f"{SHIPPED} AND company_code = '{COMPANY}' AND category_code IN ({_list(COMPANY_CATEGORIES)})"
+    f" AND CAST(order_ts AS DATE) BETWEEN {FIRST_DAY} AND {RUN}")
 
 STEPS["base_v1"] = f"""
 SELECT p.item_id, customer_id, s.line_id, CAST(order_ts AS DATE) AS order_date, units, item_name,
@@ -144,9 +254,14 @@ FROM shipments s JOIN profile p ON p.item_id = s.item_id
 LEFT JOIN contribution c ON c.line_id = s.line_id AND c.item_id = s.item_id
 WHERE {SHIPPED} AND order_ts BETWEEN {FIRST_DAY} AND {RUN}"""
 
-STEPS["subscribers"] = f"""
+def subscribers(where: str) -> str:
+    return f"""
 SELECT item_id, day AS metric_date, avg(active) AS daily_subscribers
-FROM snapshots WHERE day >= {FIRST_DAY} GROUP BY ALL"""
+FROM snapshots WHERE day >= {FIRST_DAY} AND {where} GROUP BY ALL"""
+
+
+STEPS["subscribers"] = subscribers("region_id = 1")
+STEPS["subscribers_any_region"] = subscribers("true")
 
 # ---- events -------------------------------------------------------------------------
 
@@ -190,7 +305,7 @@ SELECT DISTINCT l.item_id, line_id, promo_start_date, promo_end_date,
 FROM promo_lines l JOIN labelled_promotions p USING (promotion_key)
 JOIN items i ON i.item_id = l.item_id AND category_code IN ({CATEGORIES})"""
 
-PRIORITY = f"coalesce({_names(EVENT_PRIORITIES, 'event_name')}, 99)"
+PRIORITY = f"coalesce({_names(PRIORITIES, 'event_name')}, 99)"
 OVERLAP_ORDER = f"{PRIORITY}, promo_start_date, promo_end_date, event_name"
 
 STEPS["resolved"] = f"""
@@ -323,9 +438,10 @@ def _five(level: str, period: str, prefix: str, days: str, divide: str) -> str:
   avg(daily_subscribers) FILTER ({inside}) AS {prefix}_subscribers"""
 
 
-def deal_metrics(level: str, divide: str = "/") -> str:
+def deal_metrics(level: str, divide: str = "/", whole_year: bool = False) -> str:
     spec = LEVELS[level]
-    keys = "".join(f"{c}, " for c in spec.columns) + "event_name, event_year, event_month"
+    columns, month = (spec.keys, "") if whole_year else (spec.columns, ", event_month")
+    keys = "".join(f"{c}, " for c in columns) + "event_name, event_year" + month
     days = (
         "max(event_duration_days)" if level == "item"
         else "CAST(max(promo_end_date) - min(promo_start_date) + 1 AS INT)"
@@ -384,7 +500,7 @@ def _final(level: str) -> str:
         [f"t.{k} = y.{k}" for k in (*spec.keys, "event_name")] + ["t.event_year - 1 = y.event_year"]
     )
     return f"""
-SELECT t.*, {', '.join(columns)} FROM growth_{level} t LEFT JOIN growth_{level} y ON {match}"""
+SELECT t.*, {', '.join(columns)} FROM growth_{level} t LEFT JOIN year_{level} y ON {match}"""
 
 
 def _report(level: str) -> str:
@@ -412,6 +528,9 @@ for _level in LEVELS:
     STEPS[f"deal_{_level}"] = deal_metrics(_level)
     STEPS[f"pre_{_level}"] = pre_deal_metrics(_level)
     STEPS[f"growth_{_level}"] = _growth(_level)
+    STEPS[f"deal_year_{_level}"] = deal_metrics(_level, whole_year=True)
+    _by = ", ".join((*LEVELS[_level].keys, "event_name", "event_year"))
+    STEPS[f"year_{_level}"] = f"SELECT * FROM deal_year_{_level} LEFT JOIN pre_{_level} USING ({_by})"
     STEPS[f"final_{_level}"] = _final(_level)
     STEPS[f"report_{_level}"] = _report(_level)
 
@@ -452,12 +571,12 @@ STEPS["deal_orders_v2"] = f"""
 SELECT b.*, p.* EXCLUDE (item_id, line_id), {V1_DURATION} AS event_duration_days,
   'DEAL' AS period_type, 'Y' AS is_promotion,
   promo_start_date - 29 AS pre_deal_start_date, promo_start_date - 1 AS pre_deal_end_date
-FROM base b JOIN consolidated_strict p ON p.item_id = b.item_id AND p.line_id = b.line_id
+FROM base_v2 b JOIN consolidated_strict p ON p.item_id = b.item_id AND p.line_id = b.line_id
   AND order_date BETWEEN promo_start_date AND promo_end_date"""
 
 STEPS["pre_deal_orders_v2"] = """
 SELECT DISTINCT b.*, r.* EXCLUDE (i), 'PRE_DEAL' AS period_type, 'N' AS is_promotion
-FROM base b JOIN (
+FROM base_v2 b JOIN (
   SELECT item_id AS i, event_name, event_year, event_month,
     min(c.promo_start_date) AS promo_start_date, max(c.promo_end_date) AS promo_end_date
   FROM consolidated_strict c GROUP BY item_id, event_name, event_year, event_month) r
@@ -492,11 +611,16 @@ V1_SUMS = {
 }
 
 
-def metrics_v1(source: str, keys: str, prefix: str, days: str, tail: str) -> str:
+def metrics_v1(
+    source: str, keys: str, prefix: str, days: str, tail: str, divide: str = "/"
+) -> str:
+    """`divide`: how whole numbers (units and customers, not amounts) are divided."""
     brand = ", ".join(f"{e} AS {n}" for n, e in V1_CUSTOMERS.items())
-    columns = [f"CAST(sum({c}) AS DOUBLE) / {days} AS {prefix}_{n}" for n, c in V1_SUMS.items()]
-    columns += [f"{e} / {days} AS {prefix}_{n}_item" for n, e in V1_CUSTOMERS.items()]
-    columns += [f"any_value(r.{n}) / {days} AS {prefix}_{n}_brand" for n in V1_CUSTOMERS]
+    columns = [f"CAST(sum(units) AS BIGINT) {divide} {days} AS {prefix}_shipped_units"]
+    columns += [f"CAST(sum({c}) AS DOUBLE) / {days} AS {prefix}_{n}"
+                for n, c in V1_SUMS.items() if n != "shipped_units"]
+    columns += [f"{e} {divide} {days} AS {prefix}_{n}_item" for n, e in V1_CUSTOMERS.items()]
+    columns += [f"any_value(r.{n}) {divide} {days} AS {prefix}_{n}_brand" for n in V1_CUSTOMERS]
     return f"""
 SELECT {keys}, {', '.join(columns)}
 FROM {source} s LEFT JOIN (
@@ -505,21 +629,22 @@ FROM {source} s LEFT JOIN (
 {tail}"""
 
 
-STEPS["deal_v1_items"] = metrics_v1(
-    "deal_summary",
-    "item_id, item_name, category_code, brand_code, brand_name, event_name, promo_start_date,"
-    " promo_end_date, event_duration_days, CAST(month(promo_start_date) AS INT) AS event_month,"
-    " CAST(year(promo_start_date) AS INT) AS event_year",
-    "daily_deal", "event_duration_days",
-    "GROUP BY item_id, item_name, category_code, brand_code, brand_name, event_name,"
-    " promo_start_date, promo_end_date, event_duration_days",
-)
-STEPS["deal_v1"] = """
-SELECT d.*, vendor_code FROM deal_v1_items d LEFT JOIN vendors v ON v.item_id = d.item_id"""
-STEPS["pre_v1"] = metrics_v1(
-    "pre_deal_summary", "item_id, item_name, brand_code, event_name, promo_start_date",
-    "daily_pre_deal", "91", "GROUP BY ALL",
-)
+for _name, _divide in (("v1", "/"), ("v1_trunc", "//")):
+    STEPS[f"deal_{_name}_items"] = metrics_v1(
+        "deal_summary",
+        "item_id, item_name, category_code, brand_code, brand_name, event_name, promo_start_date,"
+        " promo_end_date, event_duration_days, CAST(month(promo_start_date) AS INT) AS event_month,"
+        " CAST(year(promo_start_date) AS INT) AS event_year",
+        "daily_deal", "event_duration_days",
+        "GROUP BY item_id, item_name, category_code, brand_code, brand_name, event_name,"
+        " promo_start_date, promo_end_date, event_duration_days", _divide,
+    )
+    STEPS[f"deal_{_name}"] = f"""
+SELECT d.*, vendor_code FROM deal_{_name}_items d LEFT JOIN vendors v ON v.item_id = d.item_id"""
+    STEPS[f"pre_{_name}"] = metrics_v1(
+        "pre_deal_summary", "item_id, item_name, brand_code, event_name, promo_start_date",
+        "daily_pre_deal", "91", "GROUP BY ALL", _divide,
+    )
 
 STEPS["subscribers_v1"] = """
 SELECT s.item_id, promo_start_date, event_name,
@@ -537,24 +662,34 @@ def _ratio(name: str, metric: str) -> str:
     return f"CAST(round({ratio}, 2) AS DOUBLE) AS {name}"
 
 
-STEPS["growth_v1_inputs"] = f"""
-SELECT d.*, {_names(SCOPE.categories, 'category_code')} AS category_name, company_code,
+for _name in ("v1", "v1_trunc"):
+    STEPS[f"growth_{_name}_inputs"] = f"""
+SELECT d.*, {_names(CATEGORY_NAMES, 'category_code')} AS category_name, company_code,
   company_name, p.* EXCLUDE (item_id, item_name, brand_code, event_name, promo_start_date),
   avg_deal_subscribers AS daily_deal_subscribers,
   avg_pre_deal_subscribers AS daily_pre_deal_subscribers
-FROM deal_v1 d
-LEFT JOIN pre_v1 p ON p.item_id = d.item_id AND p.event_name = d.event_name
+FROM deal_{_name} d
+LEFT JOIN pre_{_name} p ON p.item_id = d.item_id AND p.event_name = d.event_name
   AND p.promo_start_date = d.promo_start_date
 LEFT JOIN subscribers_v1 s ON s.item_id = d.item_id AND s.event_name = d.event_name
   AND s.promo_start_date = d.promo_start_date
 LEFT JOIN companies c ON c.vendor_code = d.vendor_code"""
-STEPS["growth_v1"] = f"""
+    STEPS[f"growth_{_name}"] = f"""
 SELECT {', '.join((*GROWTH_KEYS, *V1_DEAL, *V1_PRE_DEAL))},
   {', '.join(_ratio(n, m) for n, m in GROWTH.items())}
-FROM growth_v1_inputs"""
+FROM growth_{_name}_inputs"""
+
+STEPS["windows_v1"] = f"""
+SELECT DISTINCT item_id, event_name, event_year, promo_start_date, promo_end_date,
+  event_duration_days AS days, {', '.join((*V1_DEAL, *V1_PRE_DEAL))} FROM growth_v1"""
+STEPS["years_v1"] = f"""
+SELECT item_id, event_name, event_year,
+  {', '.join(f'sum({c} * days) / sum(days) FILTER ({c} IS NOT NULL) AS {c}' for c in V1_DEAL)},
+  {', '.join(f'avg({c}) AS {c}' for c in V1_PRE_DEAL)}
+FROM windows_v1 GROUP BY ALL"""
 STEPS["report_v1"] = f"""
 SELECT t.*, {', '.join(f'y.{c} AS ly_{c}' for c in (*V1_DEAL, *V1_PRE_DEAL))}
-FROM growth_v1 t LEFT JOIN growth_v1 y ON y.item_id = t.item_id AND y.event_name = t.event_name
+FROM growth_v1 t LEFT JOIN years_v1 y ON y.item_id = t.item_id AND y.event_name = t.event_name
   AND y.event_year = t.event_year - 1"""
 
 # ---- cohorts ------------------------------------------------------------------------

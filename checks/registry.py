@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 from dataclasses import replace
 from uuid import uuid4
@@ -14,7 +15,7 @@ from tidemark.operators import cohorts, compare, events, history, item_growth, m
 from tidemark.operators import orders, periods, samples, shares
 from tidemark.operators.metrics import LEVELS, METRICS
 from tidemark.plans import EventPipeline, ItemGrowthPipeline
-from tidemark.session import configure, shared_folder
+from tidemark.session import Staging, configure, shared_folder
 from tidemark.sources import read_orders_csv, write_csv
 from tidemark.sources.testdata import (
     RUN_DATE, SCOPE, TITLE_SAMPLES, clicked_orders, load_testdata, raw_orders, titled_orders,
@@ -51,7 +52,22 @@ def register(name: str, build: Callable, twin: str | None) -> None:
         ORACLE[name] = twin
 
 
+def _staging(spark) -> Staging:
+    """Tables for one query; its result is lazy and reads them, so they go with the process."""
+    staging = Staging(spark)
+    if staging.path is not None:
+        atexit.register(_drop, staging)
+    return staging
+
+
+def _drop(staging: Staging) -> None:
+    if staging.spark._jsc.sc().isStopped():
+        return  # the session took its folder with it or keeps it for a reason
+    staging.close()
+
+
 def events_pipeline(spark, sf_dir, **options) -> EventPipeline:
+    options.setdefault("staging", _staging(spark))
     return EventPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE, **options)
 
 
@@ -59,10 +75,10 @@ def from_events(build: Callable[[EventPipeline], DataFrame], **options) -> Calla
     return lambda spark, sf_dir: build(events_pipeline(spark, sf_dir, **options))
 
 
-def from_growth(build: Callable[[ItemGrowthPipeline], DataFrame]) -> Callable:
-    return lambda spark, sf_dir: build(
-        ItemGrowthPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE)
-    )
+def from_growth(build: Callable[[ItemGrowthPipeline], DataFrame], **options) -> Callable:
+    return lambda spark, sf_dir: build(ItemGrowthPipeline(
+        load_testdata(spark, sf_dir), RUN_DATE, SCOPE, staging=_staging(spark), **options
+    ))
 
 
 def from_sources(build: Callable) -> Callable:
@@ -89,25 +105,45 @@ register(
     "base_orders_amounts", from_sources(lambda s: orders.base_orders_amounts(s, SCOPE, RUN_DATE)),
     o.rounded("base_v1", (), ("revenue", "ads_amt", "subscription_amt")),
 )
+ALL_REGIONS = replace(SCOPE, region_id=None)
+register(
+    "base_orders_all_regions",
+    from_sources(lambda s: orders.base_orders(s, ALL_REGIONS, RUN_DATE)),
+    o.rounded("base_all_regions", (), ("revenue",)),
+)
 SCOPE_COMPANY = replace(
-    SCOPE, history_days=30, categories={c: SCOPE.categories[c] for c in o.COMPANY_CATEGORIES}
+    SCOPE, categories={c: SCOPE.categories[c] for c in o.COMPANY_CATEGORIES}
 )
+
+
+def _base_company(s) -> DataFrame:
+    return orders.base_orders_company(s, SCOPE_COMPANY, RUN_DATE, o.COMPANY)
+
+
 register(
     "base_orders_company",
-    from_sources(lambda s: orders.base_orders_company(s, SCOPE_COMPANY, RUN_DATE, o.COMPANY)),
-    o.sql(f"""
-SELECT DISTINCT {o.BASE_COLUMNS}, CAST(coalesce(revenue, 0) AS DOUBLE) AS revenue
-FROM shipments s JOIN profile p ON p.item_id = s.item_id
-LEFT JOIN contribution c ON c.line_id = s.line_id AND c.item_id = s.item_id
-WHERE {o.SHIPPED} AND condition_code <> 6 AND company_code = '{o.COMPANY}'
-  AND category_code IN ({o._list(o.COMPANY_CATEGORIES)})
-  AND CAST(order_ts AS DATE) BETWEEN {o.FIRST_DAY_30} AND {o.RUN}"""),
+    from_sources(_base_company), o.rounded("base_v2", (), ("revenue",)),
 )
 register(
     "daily_subscribers",
     from_sources(lambda s: orders.daily_subscribers(s.subscriptions_daily, SCOPE, RUN_DATE)),
     o.rounded("subscribers", ("daily_subscribers",)),
 )
+register(
+    "daily_subscribers_all_regions",
+    from_sources(lambda s: orders.daily_subscribers(s.subscriptions_daily, ALL_REGIONS, RUN_DATE)),
+    o.rounded("subscribers_any_region", ("daily_subscribers",)),
+)
+register(
+    "daily_subscribers_v2",
+    from_sources(lambda s: orders.daily_subscribers(
+        s.subscriptions_daily, SCOPE_COMPANY, RUN_DATE, any_region=True)),
+    o.sql(f"""
+SELECT item_id, metric_date, round(daily_subscribers, 6) AS daily_subscribers
+FROM subscribers_any_region
+WHERE item_id IN (SELECT item_id FROM items
+  WHERE category_code IN ({o._list(o.COMPANY_CATEGORIES)}))"""),
+)
 
 # ---- events -------------------------------------------------------------------------
 
@@ -205,11 +241,12 @@ AMOUNTS = ("revenue", "ads_amt", "subscription_amt")
 
 
 def _deal_orders_v2(p: EventPipeline) -> DataFrame:
-    return periods.deal_orders_v2(_base(p), _consolidated_strict(p), RUN_DATE)
+    return periods.deal_orders_v2(_base_company(p.src), _consolidated_strict(p), RUN_DATE)
 
 
 def _pre_deal_orders_v2(p: EventPipeline) -> DataFrame:
-    return periods.pre_deal_orders_v1(_base(p), events.benchmark_ranges(_consolidated_strict(p)))
+    ranges = events.benchmark_ranges(_consolidated_strict(p))
+    return periods.pre_deal_orders_v1(_base_company(p.src), ranges)
 
 
 register("deal_orders_v2", from_events(_deal_orders_v2),
@@ -276,16 +313,22 @@ def _register_level(level: str) -> None:
 for _level in LEVELS:
     _register_level(_level)
 
-TRUNCATED = [c for c in DEAL if c.endswith(("ops", "subscribers"))]
-register("deal_metrics_item_trunc",
-         from_events(lambda p: p.deal_metrics("item"), integer_daily=True),
-         o.sql(f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in TRUNCATED)})"
-               f" FROM ({o.deal_metrics('item', '//')})"))
-register("pre_deal_metrics_brand_trunc",
-         from_events(lambda p: p.pre_deal_metrics("brand"), integer_daily=True),
-         o.sql("SELECT * REPLACE (round(daily_pre_deal_ops, 6) AS daily_pre_deal_ops,"
-               " round(daily_pre_deal_subscribers, 6) AS daily_pre_deal_subscribers)"
-               f" FROM ({o.pre_deal_metrics('brand', '//')})"))
+
+
+def _register_truncated(level: str) -> None:
+    """Parity with integer division: units and customers are truncated, the rest is not."""
+    for name, metrics_of, twin, columns in (
+        ("deal_metrics", lambda p: p.deal_metrics(level), o.deal_metrics(level, "//"), DEAL),
+        ("pre_deal_metrics", lambda p: p.pre_deal_metrics(level),
+         o.pre_deal_metrics(level, "//"), PRE),
+    ):
+        exact = [f"round({c}, 6) AS {c}" for c in columns if c.endswith(("ops", "subscribers"))]
+        register(f"{name}_{level}_trunc", from_events(metrics_of, integer_daily=True),
+                 o.sql(f"SELECT * REPLACE ({', '.join(exact)}) FROM ({twin})"))
+
+
+for _level in LEVELS:
+    _register_truncated(_level)
 
 
 def _register_keys(level: str) -> None:
@@ -311,6 +354,15 @@ register("pre_deal_metrics_v1", from_growth(lambda p: p.pre_deal_metrics),
 register("subscriber_metrics_v1", from_growth(lambda p: p.subscriber_metrics),
          o.rounded("subscribers_v1", ("avg_deal_subscribers", "avg_pre_deal_subscribers")))
 register("deal_growth_v1", from_growth(lambda p: p.growth), o.rounded("growth_v1", V1_ALL))
+V1_MONEY = ("ops", "ads_amt", "subscription_amt")
+register("deal_metrics_v1_trunc", from_growth(lambda p: p.deal_metrics, integer_daily=True),
+         o.rounded("deal_v1_trunc", [c for c in V1_DEAL if c.endswith(V1_MONEY)]))
+register("pre_deal_metrics_v1_trunc",
+         from_growth(lambda p: p.pre_deal_metrics, integer_daily=True),
+         o.rounded("pre_v1_trunc", [c for c in V1_PRE if c.endswith(V1_MONEY)]))
+register("deal_growth_v1_trunc", from_growth(lambda p: p.growth, integer_daily=True),
+         o.rounded("growth_v1_trunc",
+                   [c for c in V1_ALL if c.endswith((*V1_MONEY, "subscribers"))]))
 register("report_item_v1", from_growth(lambda p: p.report),
          o.rounded("report_v1", [*V1_ALL, *(f"ly_{c}" for c in V1_ALL)]))
 
@@ -387,9 +439,10 @@ def _peers(source: str) -> str:
     peers = "PARTITION BY category_code, event_name, event_year, period_type"
     return o.sql(f"""
 SELECT * REPLACE (round(new_share, 6) AS new_share, round(ops, 6) AS ops),
-  round(avg(new_share) OVER ({peers}), 6) AS peer_mean_share,
-  round(new_share - avg(new_share) OVER ({peers}), 6) AS share_vs_peers,
-  round(percent_rank() OVER ({peers} ORDER BY s.new_share), 6) AS peer_percent_rank
+  round(avg(s.new_share) OVER ({peers}), 6) AS peer_mean_share,
+  round(s.new_share - avg(s.new_share) OVER ({peers}), 6) AS share_vs_peers,
+  CASE WHEN s.new_share IS NOT NULL THEN round(percent_rank() OVER (
+    {peers}, s.new_share IS NULL ORDER BY s.new_share), 6) END AS peer_percent_rank
 FROM {source} s""")
 
 
@@ -427,9 +480,7 @@ ORDERS_FILE = (
 def _through_file(sep: str) -> Callable:
     """Order lines written to a text file in the shared folder and read back."""
     def build(spark, sf_dir):
-        folder = shared_folder(spark)
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")
         path = f"{folder}/tidemark/orders-{uuid4().hex}"
         write_csv(load_testdata(spark, sf_dir).cohort_orders, path, sep)
         return read_orders_csv(spark, path, sep, ORDERS_FILE)
@@ -446,7 +497,10 @@ register(
 )
 
 RAW = """
-SELECT line_id, CASE WHEN o_custkey % 7 = 0 THEN 'n/a' ELSE o_custkey || '.0' END AS customer_id,
+SELECT line_id, CASE o_custkey % 12 WHEN 0 THEN 'n/a' WHEN 1 THEN 'NaN' WHEN 2 THEN 'Infinity'
+    WHEN 3 THEN '90071992547409' || lpad(CAST(o_custkey AS VARCHAR), 8, '0')
+    WHEN 4 THEN o_custkey || '.5' WHEN 5 THEN o_custkey || 'e3' ELSE o_custkey || '.0' END
+    AS customer_id,
   CAST(l_suppkey AS VARCHAR) AS vendor_id,
   CASE l_linenumber % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
     WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d')
@@ -456,8 +510,12 @@ FROM order_lines"""
 o.STEPS["raw_lines"] = RAW
 register("clean_orders", lambda spark, sf_dir: samples.clean_orders(raw_orders(spark, sf_dir)),
          o.sql("""
-SELECT line_id, CAST(CAST(try_cast(customer_id AS DOUBLE) AS BIGINT) AS VARCHAR) AS customer_id,
-  CAST(CAST(try_cast(vendor_id AS DOUBLE) AS BIGINT) AS VARCHAR) AS vendor_id,
+SELECT line_id, CAST(CAST(CASE WHEN contains(customer_id, '.5')
+    -- a half goes to the even neighbour
+    THEN CAST(2 * round(CAST(replace(customer_id, '.5', '') AS BIGINT) / 2 + 0.25, 0)
+      AS DECIMAL(38,10))
+    ELSE try_cast(customer_id AS DECIMAL(38,10)) END AS DECIMAL(28,0)) AS VARCHAR) AS customer_id,
+  CAST(CAST(vendor_id AS BIGINT) AS VARCHAR) AS vendor_id,
   try_strptime(order_ts, ['%Y-%m-%d %H:%M:%S', '%Y/%m/%d', '%m/%d/%Y %H:%M', '%d %b %Y'])
     AS order_ts
 FROM raw_lines"""))

@@ -46,9 +46,9 @@ def test_eligible_promotions(spark):
         promo(12, start_ts=datetime(2001, 8, 2)),
     ], "promotion_key long, promo_title string, start_ts timestamp_ntz, end_ts timestamp_ntz, "
        "marketplace_id int, approval_status string, promotion_type string")
-    v3 = events.eligible_promotions(promotions, Scope(), RUN)
+    v3 = events.eligible_promotions(promotions, Scope({}), RUN)
     assert [r[0] for r in rows(v3, "promotion_key")] == [1, 2, 9, 11]
-    v1 = events.eligible_promotions(promotions, Scope(), RUN, events.EXCLUDED_TITLES_V1)
+    v1 = events.eligible_promotions(promotions, Scope({}), RUN, events.EXCLUDED_TITLES_V1)
     assert [r[0] for r in rows(v1, "promotion_key")] == [1, 2, 7, 9, 11]
 
 

@@ -32,7 +32,7 @@ def brute_force(lines):
     result = []
     for (vendor, customer), found in groups.items():
         times, before = [], (None, None)
-        for ts, _, item in sorted(found):
+        for ts, _, item in sorted(found, key=lambda r: (r[0] is not None, r[0] or DAY, r[1])):
             if not times or times[-1] != ts:
                 times.append(ts)
             result.append((vendor, item, customer, ts, *before, len(times)))
@@ -77,17 +77,29 @@ def test_hour_by_hour_equals_whole_customers(spark, drawn):
     frame = orders(spark, *lines)
     key = lambda r: tuple((v is not None, v if v is not None else 0) for v in r)
     expected = sorted(brute_force(lines), key=key)
-    for hot_rows in (None, 1_000, 3, 0):
-        got = history.purchase_history(frame, hot_rows=hot_rows)
-        assert rows(got, *COLUMNS) == expected, hot_rows
+    for line_prefix in (1, 3, 4):
+        got = history.purchase_history(frame, line_prefix=line_prefix)
+        assert rows(got, *COLUMNS) == expected, line_prefix
 
 
-def test_hour_by_hour_on_the_test_data(spark, sf_dir):
-    frame = load_testdata(spark, sf_dir).cohort_orders
-    whole = history.purchase_history(frame, hot_rows=None)
-    split = history.purchase_history(frame, hot_rows=2).select(*whole.columns)
-    assert whole.exceptAll(split).isEmpty()
-    assert whole.count() == split.count()
+def test_one_customer_with_most_rows_all_at_midnight(spark):
+    lines = [("V", i % 7, 1, DAY + timedelta(days=i % 3), 1, f"{i * 7919 % 4000:04d}")
+             for i in range(3000)]
+    lines += [("V", i, 2 + i, DAY, 1, f"x{i}") for i in range(50)]
+    lines += [("V", 1, None, DAY, 1, "n1"), ("V", 2, None, None, 1, "n2"), ("V", 3, 1, None, 1, "n3")]
+    frame = orders(spark, *lines)
+    key = lambda r: tuple((v is not None, v if v is not None else 0) for v in r)
+    assert rows(history.purchase_history(frame), *COLUMNS) == sorted(brute_force(lines), key=key)
+
+
+def test_order_lines_are_exchanged_once(spark):
+    """Both the windows inside chunks and the carried rows read one exchange of the orders."""
+    lines = [("V", i, i % 5, DAY + timedelta(hours=i), 1, f"{i:03d}") for i in range(100)]
+    result = history.purchase_history(orders(spark, *lines))
+    result.collect()
+    final = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+    assert final.count("REPARTITION_BY_COL") - final.count("ReusedExchange") <= 1
 
 
 def cohort(spark, *lines, **options):

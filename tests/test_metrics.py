@@ -97,7 +97,10 @@ def reports(spark, level, *lines):
     frame, spec = flags(spark, *lines), LEVELS[level]
     growth = compare.deal_vs_benchmark(
         metrics.deal_metrics(frame, spec), metrics.pre_deal_metrics(frame, spec), spec)
-    final = compare.final_metrics(growth, spec)
+    years = compare.deal_vs_benchmark(
+        metrics.deal_metrics(frame, spec, whole_year=True), metrics.pre_deal_metrics(frame, spec),
+        spec)
+    final = compare.final_metrics(growth, years, spec)
     return growth, final, compare.level_report(final, spec)
 
 
@@ -109,12 +112,14 @@ def test_no_benchmark_gives_null_or_zero_delta(spark):
     assert report.first().delta_daily_ops is None
 
 
-def test_last_year_matches_every_month(spark):
+def test_last_year_is_one_row_whatever_its_months(spark):
     lines = [line(1), line(1, month=7), line(1, year=2000), line(1, year=2000, month=7)]
-    for level in ("brand", "item"):
-        _, final, _ = reports(spark, level, *lines)
-        assert final.filter("event_year = 2001").count() == 4
-        assert final.filter("event_year = 2000").count() == 2
+    for level in LEVELS:
+        growth, final, _ = reports(spark, level, *lines)
+        assert final.count() == growth.count() == 4
+        this_year = final.filter("event_year = 2001").collect()
+        assert len({r.ly_daily_deal_shipped_units for r in this_year}) == 1
+        assert this_year[0].ly_daily_deal_shipped_units is not None
 
 
 def test_missing_last_year(spark):
@@ -189,7 +194,7 @@ def test_v1_new_and_returning_customers(spark):
     vendors = spark.createDataFrame(
         [(1, "V1", 7, 1), (1, "V2", 7, 1), (2, "V1", 1, 1)],
         "item_id int, vendor_code string, marketplace_id int, region_id int")
-    deal = item_growth.deal_metrics_v1(summary, vendors, Scope(), date(2001, 8, 1))
+    deal = item_growth.deal_metrics_v1(summary, vendors, Scope({}), date(2001, 8, 1))
     one = deal.filter("item_id = 1 and brand_code = 'B'")
     assert rows(one, "vendor_code") == [("V1",), ("V2",)]
     row = one.first()
@@ -214,7 +219,7 @@ def test_v1_subscribers_weigh_lines(spark):
          (3, "e", "BSS", START, END)],
         "item_id int, line_id string, event_name string, promo_start_date date, "
         "promo_end_date date")
-    got = item_growth.subscriber_metrics_v1(subscriptions, promos, Scope())
+    got = item_growth.subscriber_metrics_v1(subscriptions, promos, Scope({75: "Baby"}))
     expected = (3 * 30 + 40) / 7  # three lines x two snapshots, one line x one more
     assert rows(got, "item_id", "avg_deal_subscribers", "avg_pre_deal_subscribers") == [
         (1, expected, 7.0), (2, None, None)]

@@ -2,12 +2,15 @@
 
 import re
 from datetime import date
+from pathlib import Path
 
 import pytest
 
 from checks.registry import QUERIES
 from tidemark.operators import firsts, orders
+from tidemark.operators.metrics import LEVELS
 from tidemark.plans import EventPipeline, ItemGrowthPipeline, run_event_reports
+from tidemark.session import Staging
 from tidemark.sources.testdata import RUN_DATE, SCOPE, load_testdata
 
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct",
@@ -29,7 +32,7 @@ def test_no_python_and_no_cross_join(spark, sf_dir, name):
 
 def test_whole_lazy_pipeline_has_no_python_and_no_cross_join(spark, sf_dir):
     for pipeline in (EventPipeline, ItemGrowthPipeline):
-        p = pipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE, stage_tables=False)
+        p = pipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE)
         text = plan(p.report("brand") if pipeline is EventPipeline else p.report)
         assert not [word for word in FORBIDDEN if word in text]
 
@@ -45,17 +48,18 @@ def test_scan_reads_only_needed_columns(spark, sf_dir):
     assert not re.search(r"FileScan[^\n]*l_extendedprice", text)
 
 
-def test_first_purchase_windows_share_one_exchange(spark):
+def test_first_purchases_need_no_window_and_read_the_base_once_per_level(spark):
     base = spark.createDataFrame(
         [(1, 2, "B", "C", 1, date(2001, 7, 1))],
         "customer_id int, item_id int, brand_code string, company_code string, "
         "category_code int, order_date date")
-    purchases = base.groupBy(*firsts.PURCHASE_KEYS).agg({"order_date": "min"}).withColumnRenamed(
-        "min(order_date)", "first_date")
-    text = plan(firsts._levels_by_window(purchases))
-    initial = text[text.index("AdaptiveSparkPlan"):]
-    assert initial.count("Window [") == 4
-    assert len(re.findall(r"Exchange hashpartitioning", initial)) == 2  # grouping, customers
+    result = firsts.first_purchase_levels(base, date(2001, 8, 1))
+    result.collect()
+    text = plan(result)
+    assert "Window" not in text and "Broadcast" not in text.split("== Final Plan ==")[0]
+    # the grouping of the base is exchanged once and used again by every level
+    final = text.split("== Initial Plan ==")[0]
+    assert final.count("Scan ExistingRDD") <= 1 + final.count("ReusedExchange")
 
 
 def test_run_event_reports_writes_every_level(spark, sf_dir):
@@ -66,23 +70,58 @@ def test_run_event_reports_writes_every_level(spark, sf_dir):
     assert all(written.values())
 
 
+def test_nothing_is_left_after_the_reports(spark, sf_dir, tmp_path):
+    src = load_testdata(spark, sf_dir)
+    with Staging(spark, str(tmp_path)) as staging:
+        seen = []
+        p = EventPipeline(src, RUN_DATE, SCOPE, staging=staging)
+        run_event_reports(p, lambda df, level: seen.append(df.count()), ["event"])
+        assert seen[0] and len(list(tmp_path.iterdir())) == 1
+    assert not list(tmp_path.iterdir())
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {p.name for p in shared.glob("tidemark-*")}
+    run_event_reports(EventPipeline(src, RUN_DATE, SCOPE), lambda df, level: df.count(), ["event"])
+    assert {p.name for p in shared.glob("tidemark-*")} == before
+
+
+def test_last_year_adds_no_rows(spark, sf_dir):
+    with Staging(spark) as staging:
+        p = EventPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE, staging=staging)
+        for level in LEVELS:
+            assert p.final(level).count() == p.growth(level).filter(
+                "event_name IS NOT NULL").count()
+
+
+def test_event_counts_need_no_expand(spark, sf_dir):
+    with Staging(spark) as staging:
+        p = EventPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE, staging=staging)
+        assert "Expand" not in plan(p.growth("event"))
+
+
+def test_snapshots_are_read_once(spark, sf_dir):
+    p = ItemGrowthPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE)
+    scans = [plan(df).count("FileScan") for df in (p.src.subscriptions_daily, p.promos)]
+    assert plan(p.subscriber_metrics).count("FileScan") == sum(scans)
+
+
 def test_staged_and_lazy_pipelines_agree(spark, sf_dir):
     staged, lazy = (
-        EventPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE, stage_tables=s)
-        for s in (True, False)
+        EventPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE, staging=s)
+        for s in (Staging(spark), None)
     )
+    assert "tidemark-" in plan(staged.flags) and "tidemark-" not in plan(lazy.flags)
     assert staged.flags.exceptAll(lazy.flags.select(*staged.flags.columns)).isEmpty()
     assert staged.flags.count() == lazy.flags.count()
 
 
 def test_expected_counts(spark, sf_dir):
     p = EventPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE)
-    assert p.base_lines.count() == 815
+    assert p.base_lines.count() == 730
     assert p.promo_events.count() == 287
     assert p.resolved.count() == 269
     assert p.standards.count() == 11
     assert p.windows.count() == 250
     by_period = dict(p.flags.groupBy("period_type").count().collect())
-    assert by_period == {"PRE_DEAL": 51, "DEAL": 148}
+    assert by_period == {"PRE_DEAL": 46, "DEAL": 134}
     deal = p.flags.filter("period_type = 'DEAL'")
-    assert deal.groupBy().sum(*firsts.FLAGS).first() == (133, 109, 119, 77)
+    assert deal.groupBy().sum(*firsts.FLAGS).first() == (124, 102, 109, 77)

@@ -1,4 +1,5 @@
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,18 +55,58 @@ def test_every_testdata_table_has_rows_and_columns(spark, sf_dir, name):
     assert not table.isEmpty()
 
 
-def test_stage_writes_to_the_shared_folder(spark):
+def test_staging_writes_to_the_shared_folder_and_drops_it(spark):
     frame = spark.range(10).withColumn("x", F.col("id") % 3)
-    staged = session.stage(frame, "numbers")
-    folder = spark.conf.get("spark.checkpoint.dir")
-    assert all(folder in f for f in staged.inputFiles())
-    assert rows(staged) == rows(frame)
+    with session.Staging(spark) as staging:
+        staged = staging.put(frame, "numbers")
+        assert staging.path.startswith(spark.conf.get("spark.checkpoint.dir"))
+        assert all(staging.path in f for f in staged.inputFiles())
+        assert rows(staged) == rows(frame)
+        folder = Path(staging.path)
+        assert folder.exists()
+    assert not folder.exists()
 
 
 def test_without_a_shared_folder_the_plan_stays_lazy(spark, monkeypatch):
     monkeypatch.setattr(session, "shared_folder", lambda _: None)
     frame = spark.range(3)
-    assert session.stage(frame, "numbers") is frame
+    with session.Staging(spark) as staging:
+        assert staging.put(frame, "numbers") is frame
+
+
+@pytest.fixture
+def own_settings(spark):
+    """Settings a test changes, put back behind it."""
+    names = (session.PARTITIONS, session.INITIAL, "spark.sql.session.timeZone")
+    before = {n: spark.conf.getAll.get(n) for n in names}
+    yield spark.conf
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_settings_of_the_session_stay(spark, own_settings):
+    own_settings.set("spark.sql.session.timeZone", "Europe/Paris")
+    own_settings.set(session.PARTITIONS, "7")
+    own_settings.unset(session.INITIAL)
+    session.configure(spark)
+    assert own_settings.get("spark.sql.session.timeZone") == "Europe/Paris"
+    assert own_settings.get(session.PARTITIONS) == "7"
+    assert session.INITIAL not in own_settings.getAll
+
+
+def test_many_partitions_where_the_session_names_none(spark, monkeypatch):
+    class Conf(dict):
+        getAll = property(lambda self: self)
+
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        conf = Conf()
+
+    session.configure(Session)
+    assert Session.conf[session.INITIAL] == str(session.INITIAL_PARTITIONS)
+    assert set(session.RUNTIME_SETTINGS) < set(Session.conf)
 
 
 def test_shuffle_partitions_follow_the_data(spark):

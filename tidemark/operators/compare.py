@@ -27,17 +27,18 @@ def deal_vs_benchmark(deal: DataFrame, pre: DataFrame, level: Level) -> DataFram
 
 
 def with_last_year(
-    growth: DataFrame, keys, columns, zero: bool = False, names: dict | None = None
+    growth: DataFrame, years: DataFrame, keys, columns, zero: bool = False,
+    names: dict | None = None,
 ) -> DataFrame:
-    """Add `ly_` columns from the rows with the same keys and event one year earlier.
+    """Add `ly_` columns from `years`, which has one row per keys, event and year.
 
-    Keys do not include the month, so several rows of one year all match. The year is
-    shifted on the right side, which leaves a plain equi join.
+    The year is shifted on that side, which leaves a plain equi join that adds columns
+    and never rows.
     """
     match = [*keys, "event_name", "event_year"]
     names = names or {}
     aliases = {c: names.get(c, f"ly_{c}") for c in columns}
-    earlier = growth.select(
+    earlier = years.select(
         *keys,
         "event_name",
         (F.col("event_year") + 1).alias("event_year"),
@@ -49,12 +50,17 @@ def with_last_year(
     return joined
 
 
-def final_metrics(growth: DataFrame, level: Level) -> DataFrame:
-    """Growth rows with last year's metrics (0 or NULL by level)."""
+def final_metrics(growth: DataFrame, years: DataFrame, level: Level) -> DataFrame:
+    """Growth rows with last year's metrics (0 or NULL by level).
+
+    `years` is the same comparison over whole years: one row per keys, event and year.
+    """
     if level.name == "brand":
         growth = growth.filter(F.col("event_name").isNotNull())
     columns = (*PARTICIPATION.get(level.name, ()), *DEAL_METRICS, *PRE_DEAL_METRICS)
-    return with_last_year(growth, level.keys, columns, level.zero_last_year, LAST_YEAR_NAMES)
+    return with_last_year(
+        growth, years, level.keys, columns, level.zero_last_year, LAST_YEAR_NAMES
+    )
 
 
 # Report key columns, in report order.

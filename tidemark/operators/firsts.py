@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scope import LOOKBACK_DAYS
+from .keys import join_groups
 from .periods import DEAL, PRE_DEAL
-from .skew import HOT_KEY_ROWS, join_groups, split_hot
 
 PURCHASE_KEYS = ("customer_id", "item_id", "brand_code", "company_code", "category_code")
 FIRST_KEYS = {
@@ -35,41 +35,26 @@ def first_purchases(orders: DataFrame, keys=("customer_id", "brand_code")) -> Da
     )
 
 
-def _levels_by_window(purchases: DataFrame) -> DataFrame:
-    """All four minima after one exchange: every level contains the customer."""
-    return purchases.repartition("customer_id").withColumns({
-        name: F.min("first_date").over(Window.partitionBy(*keys))
-        for name, keys in FIRST_KEYS.items()
-    })
-
-
-def _levels_by_join(purchases: DataFrame) -> DataFrame:
-    """The same minima from grouped tables, for customers too big for one task."""
-    result = purchases
-    for name, keys in FIRST_KEYS.items():
-        level = purchases.groupBy(*keys).agg(F.min("first_date").alias(name))
-        result = join_groups(result, level, keys)
-    return result
-
-
 def first_purchase_levels(
     base: DataFrame,
     run_date: date,
     lookback_days: int | None = LOOKBACK_DAYS,
-    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """First purchase dates at item, brand, company and category level.
 
     One row per customer, item, brand, company and category bought in the lookback
-    (`None`: the whole history). Orders are reduced to those rows before any window,
-    and customers that still have more than `hot_rows` go through grouped tables.
+    (`None`: the whole history). Orders are reduced to those rows first; each level's minimum
+    is a grouped table, combined before its shuffle, that is joined back to them. No task
+    needs all rows of a customer, however many there are.
     """
     if lookback_days is not None:
         first = run_date - timedelta(days=lookback_days)
         base = base.filter(F.col("order_date").between(F.lit(first), F.lit(run_date)))
     purchases = base.groupBy(*PURCHASE_KEYS).agg(F.min("order_date").alias("first_date"))
-    ordinary, hot = split_hot(purchases, ["customer_id"], hot_rows)
-    levels = _levels_by_window(ordinary).unionByName(_levels_by_join(hot))
+    levels = purchases
+    for name, keys in FIRST_KEYS.items():
+        first = purchases.groupBy(*keys).agg(F.min("first_date").alias(name))
+        levels = join_groups(levels, first, keys)
     return levels.select(*PURCHASE_KEYS, *FIRST_KEYS)
 
 

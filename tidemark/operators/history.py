@@ -5,78 +5,81 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import HOT_KEY_ROWS, join_groups, split_hot
-
 MISSING_VENDOR = "NaN"  # fixed value: how text sources print a missing vendor
 EXCLUDED_CONDITIONS = (6,)
+LINE_PREFIX = 3  # characters of the line id that tell chunks of one order time apart
 
 
 def purchase_history(
     orders: DataFrame,
     entity: str = "vendor_code",
     excluded_conditions=EXCLUDED_CONDITIONS,
-    hot_rows: int | None = HOT_KEY_ROWS,
+    line_prefix: int = LINE_PREFIX,
 ) -> DataFrame:
     """Rank of each order of a customer with a vendor, and the order before it.
 
     Adds `purchase_rank` (dense, by time), `last_order_ts` and `last_item_id`. Orders
-    at the same time are taken by line id. A customer with more than `hot_rows` orders
-    is worked through hour by hour (`None`: never).
+    at the same time are taken by line id.
+
+    A customer's orders are worked through in chunks that follow each other in time: an hour, and
+    within the orders exactly on the hour (all of a day, if orders carry a date only) a range of
+    line ids. What a chunk needs from those before it is one small row per chunk: their last
+    order and how many order times they have. So no task holds all orders of a customer, and
+    the orders are exchanged once for both.
     """
+    hour = F.date_trunc("hour", "order_ts")
+    # Orders on the hour come before the others of that hour. A prefix follows the order of line ids
+    # only if they are text.
+    text_ids = dict(orders.dtypes)["line_id"] == "string"
+    prefix = F.substring("line_id", 1, line_prefix) if text_ids else F.lit(None).cast("string")
+    on_the_hour = F.col("order_ts").isNull() | (F.col("order_ts") == hour)
+    # Structs are never NULL and equal if all their fields are, NULLs included. Vendor and customer
+    # are in the chunk only, so both readers of the exchange need the same columns.
     rows = orders.filter(
         F.col(entity).isNotNull()
         & (F.col(entity) != MISSING_VENDOR)
         & ~F.col("condition_code").isin(*excluded_conditions)
-    ).select(entity, "item_id", "customer_id", "order_ts", "line_id")
-    keys = [entity, "customer_id"]
-    if hot_rows is None:
-        return _history(rows, keys).drop("line_id")
-    ordinary, hot = split_hot(rows, keys, hot_rows)
-    return _history(ordinary, keys).unionByName(_history_by_hour(hot, keys)).drop("line_id")
-
-
-def _history(rows: DataFrame, keys) -> DataFrame:
-    by_line = Window.partitionBy(*keys).orderBy("order_ts", "line_id")
+    ).select("item_id", "order_ts", "line_id", F.struct(
+        F.struct(entity, "customer_id").alias("customer"), hour.alias("hour"),
+        (~on_the_hour).alias("later"), F.when(on_the_hour, prefix).alias("prefix"),
+    ).alias("chunk")).repartition("chunk")
+    by_line = Window.partitionBy("chunk").orderBy("order_ts", "line_id")
     # The rank comes second: its order is a prefix of the first, so one sort serves both.
-    return rows.withColumns({
-        "last_order_ts": F.lag("order_ts").over(by_line),
-        "last_item_id": F.lag("item_id").over(by_line),
-    }).withColumn(
-        "purchase_rank", F.dense_rank().over(Window.partitionBy(*keys).orderBy("order_ts"))
+    inside = rows.withColumns({
+        "before_ts": F.lag("order_ts").over(by_line),
+        "before_item": F.lag("item_id").over(by_line),
+        "position": F.row_number().over(by_line),
+    }).withColumn("rank", F.dense_rank().over(Window.partitionBy("chunk").orderBy("order_ts")))
+    starts = F.col("position") == 1
+    return inside.join(_carried(rows), "chunk").select(
+        f"chunk.customer.{entity}", "item_id", "chunk.customer.customer_id", "order_ts",
+        F.when(starts, F.col("carried.time.ts")).otherwise(F.col("before_ts"))
+        .alias("last_order_ts"),
+        F.when(starts, F.col("carried.item_id")).otherwise(F.col("before_item"))
+        .alias("last_item_id"),
+        (F.col("rank") + F.col("ranked")).cast("int").alias("purchase_rank"),
     )
 
 
-def _history_by_hour(rows: DataFrame, keys) -> DataFrame:
-    """The same columns for customers too big for one task.
+def _carried(rows: DataFrame) -> DataFrame:
+    """For each chunk the last order before it and the number of order times before its own.
 
-    Each hour is a partition of its own. What an hour needs from the hours before it
-    is their last order and how many order times they have: one small row per hour.
+    Chunks on the hour share their only order time, which counts once.
     """
-    rows = rows.withColumn("hour", F.date_trunc("hour", "order_ts"))
-    chunk = [*keys, "hour"]
-    before = Window.partitionBy(*keys).orderBy("hour")
-    hours = rows.groupBy(*chunk).agg(
-        F.max(F.struct("order_ts", "line_id", "item_id")).alias("last"),
-        (
-            F.countDistinct("order_ts") + F.max(F.col("order_ts").isNull().cast("int"))
-        ).alias("times"),
-    ).select(
-        *chunk,
-        F.lag("last").over(before).alias("carried"),
-        F.sum("times").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("ranked"),
-    )
-    inside = _history(rows, chunk).withColumn(
-        "position",
-        F.row_number().over(Window.partitionBy(*chunk).orderBy("order_ts", "line_id")),
-    )
-    starts_hour = F.col("position") == 1
-    return join_groups(inside, hours, chunk).select(
-        *[c for c in rows.columns if c != "hour"],
-        F.when(starts_hour, F.col("carried.order_ts"))
-        .otherwise(F.col("last_order_ts")).alias("last_order_ts"),
-        F.when(starts_hour, F.col("carried.item_id"))
-        .otherwise(F.col("last_item_id")).alias("last_item_id"),
-        (F.col("purchase_rank") + F.coalesce("ranked", F.lit(0))).cast("int").alias(
-            "purchase_rank"
-        ),
+    time = F.struct(F.col("order_ts").isNotNull().alias("known"), F.col("order_ts").alias("ts"))
+    chunks = rows.groupBy("chunk", "order_ts").agg(
+        F.max(F.struct("line_id", "item_id")).alias("last")
+    ).groupBy("chunk").agg(
+        F.max(F.struct(time.alias("time"), "last.line_id", "last.item_id")).alias("last"),
+        F.min(time).alias("first_time"),
+        F.count(F.lit(1)).alias("times"),
+    ).withColumn("customer", F.col("chunk.customer"))
+    before = Window.partitionBy("customer").orderBy("chunk")
+    same = F.coalesce((F.col("first_time") == F.lag("last.time").over(before)).cast("int"), F.lit(0))
+    return chunks.withColumns({"same": same, "carried": F.lag("last").over(before)}).select(
+        "chunk", "carried",
+        (F.coalesce(
+            F.sum(F.col("times") - F.col("same")).over(
+                before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ) - F.col("same")).alias("ranked"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ AMOUNTS = {
     "ads_amt": "ads_amt",
     "subscription_amt": "subscription_amt",
 }
+MONEY = ("ops", "ads_amt", "subscription_amt")
 CUSTOMER_GROUPS = ("total_customers", "new_customers", "return_customers")
 FLAG = "is_first_brand_purchase"
 
@@ -43,8 +45,14 @@ def _totals(summary: DataFrame, group) -> DataFrame:
     )
 
 
-def _daily(names, prefix: str, days: Column | int, suffix: str = "") -> list[Column]:
-    return [daily(F.col(n), days).alias(f"{prefix}_{n}{suffix}") for n in names]
+def _daily(
+    names, prefix: str, days: Column | int, suffix: str = "", integer: bool = False
+) -> list[Column]:
+    """`integer` truncates units and customers, which are whole numbers; amounts are not."""
+    return [
+        daily(F.col(n), days, integer and n not in MONEY).alias(f"{prefix}_{n}{suffix}")
+        for n in names
+    ]
 
 
 def brand_customers(summary: DataFrame) -> DataFrame:
@@ -56,7 +64,8 @@ def brand_customers(summary: DataFrame) -> DataFrame:
 
 
 def deal_metrics_v1(
-    summary: DataFrame, item_vendor: DataFrame, scope: Scope, run_date: date
+    summary: DataFrame, item_vendor: DataFrame, scope: Scope, run_date: date,
+    integer_daily: bool = False,
 ) -> DataFrame:
     """Daily deal metrics by item and promotion window, with its brand's customers.
 
@@ -81,14 +90,17 @@ def deal_metrics_v1(
         .join(vendors, "item_id", "left")
         .select(
             *group, "event_month", "event_year", "event_duration_days", "vendor_code",
-            *_daily(AMOUNTS, "daily_deal", days),
-            *_daily(CUSTOMER_GROUPS, "daily_deal", days, "_item"),
-            *_daily([f"{c}_brand" for c in CUSTOMER_GROUPS], "daily_deal", days),
+            *_daily(AMOUNTS, "daily_deal", days, integer=integer_daily),
+            *_daily(CUSTOMER_GROUPS, "daily_deal", days, "_item", integer_daily),
+            *_daily([f"{c}_brand" for c in CUSTOMER_GROUPS], "daily_deal", days, "",
+                    integer_daily),
         )
     )
 
 
-def pre_deal_metrics_v1(summary: DataFrame, days: int = BENCHMARK_DAYS_V1) -> DataFrame:
+def pre_deal_metrics_v1(
+    summary: DataFrame, days: int = BENCHMARK_DAYS_V1, integer_daily: bool = False
+) -> DataFrame:
     """Daily benchmark metrics by item, event and start, with its brand's customers."""
     group = ("item_id", "item_name", "brand_code", "event_name", "promo_start_date")
     items = _totals(summary, group)
@@ -96,9 +108,10 @@ def pre_deal_metrics_v1(summary: DataFrame, days: int = BENCHMARK_DAYS_V1) -> Da
         brand_customers(summary), ["brand_code", "event_name", "promo_start_date"], "left"
     ).select(
         *group,
-        *_daily(AMOUNTS, "daily_pre_deal", days),
-        *_daily(CUSTOMER_GROUPS, "daily_pre_deal", days, "_item"),
-        *_daily([f"{c}_brand" for c in CUSTOMER_GROUPS], "daily_pre_deal", days),
+        *_daily(AMOUNTS, "daily_pre_deal", days, integer=integer_daily),
+        *_daily(CUSTOMER_GROUPS, "daily_pre_deal", days, "_item", integer_daily),
+        *_daily([f"{c}_brand" for c in CUSTOMER_GROUPS], "daily_pre_deal", days, "",
+                integer_daily),
     )
 
 
@@ -108,38 +121,40 @@ def subscriber_metrics_v1(
     """Mean subscribers in the deal and in the days before it.
 
     The mean runs over snapshots x promotion lines of the item. Both sides are reduced
-    before they meet: lines to windows with a weight, snapshots to days with sum and
-    count. Items without any snapshot are left out.
+    before they meet: lines to windows with a weight, snapshots to one row per item that
+    holds a sum and a count for each of its days. The days of the history bound that row, the
+    snapshots are read once, and items without any snapshot find no row.
     """
-    snapshots = subscriptions.filter(
-        (F.col("marketplace_id") == scope.marketplace_id)
-        & F.col("category_code").isin(*scope.categories)
-    )
-    by_day = snapshots.groupBy("item_id", F.to_date("snapshot_date").alias("day")).agg(
-        F.sum("active_subscribers").alias("total"),
-        F.count("active_subscribers").alias("n"),
+    days_of_item = (
+        in_place(subscriptions, replace(scope, region_id=None))
+        .filter(F.col("category_code").isin(*scope.categories))
+        .groupBy("item_id", F.to_date("snapshot_date").alias("day"))
+        .agg(F.sum("active_subscribers").alias("total"), F.count("active_subscribers").alias("n"))
+        .groupBy("item_id")
+        .agg(F.collect_list(F.struct("day", "total", "n")).alias("by_day"))
     )
-    start, end, day = F.col("promo_start_date"), F.col("promo_end_date"), F.col("day")
-    windows = (
-        promos.groupBy("item_id", "event_name", "promo_start_date", "promo_end_date")
-        .agg(F.count("*").alias("weight"))
-        .join(snapshots.select("item_id").distinct(), "item_id", "left_semi")
+    start, end = F.col("promo_start_date"), F.col("promo_end_date")
+    windows = promos.groupBy("item_id", "event_name", "promo_start_date", "promo_end_date").agg(
+        F.count("*").alias("weight")
     )
-    near = by_day.withColumnRenamed("item_id", "s_item_id")
-    in_deal = day.between(start, end)
-    in_benchmark = day.between(F.date_sub(start, days), F.date_sub(start, 1))
 
-    def mean(inside: Column) -> Column:
-        total = F.sum(F.when(inside, F.col("weight") * F.col("total")))
-        return F.try_divide(total, F.sum(F.when(inside, F.col("weight") * F.col("n"))))
+    def weighed(name: str, first: Column, last: Column) -> Column:
+        inside = F.filter("by_day", lambda d: d["day"].between(first, last))
+        total = F.aggregate(
+            inside, F.lit(0).cast("long"),
+            lambda so_far, d: so_far + F.coalesce(d[name], F.lit(0).cast("long")),
+        )
+        return F.sum(F.col("weight") * total)
+
+    def mean(first: Column, last: Column) -> Column:
+        return F.try_divide(weighed("total", first, last), weighed("n", first, last))
 
-    reach = (F.col("item_id") == F.col("s_item_id")) & (in_deal | in_benchmark)
     return (
-        windows.join(near, reach, "left")
+        windows.join(days_of_item, "item_id")
         .groupBy("item_id", "promo_start_date", "event_name")
         .agg(
-            mean(in_deal).alias("avg_deal_subscribers"),
-            mean(in_benchmark).alias("avg_pre_deal_subscribers"),
+            mean(start, end).alias("avg_deal_subscribers"),
+            mean(F.date_sub(start, days), F.date_sub(start, 1)).alias("avg_pre_deal_subscribers"),
         )
     )
 
@@ -197,9 +212,30 @@ def deal_growth_v1(
     return joined.withColumns(growth).select(*GROWTH_KEYS, *V1_DEAL, *V1_PRE_DEAL, *growth)
 
 
+def _years_v1(growth: DataFrame) -> DataFrame:
+    """One row per item, event and year: the mean of its windows.
+
+    Deal metrics weigh by the days of each window, so a year with one window keeps its numbers.
+    An item's vendors repeat its windows, which count once.
+    """
+    days = F.col("event_duration_days")
+    keys = ["item_id", "event_name", "event_year"]
+    windows = growth.select(
+        *keys, "promo_start_date", "promo_end_date", days, *V1_DEAL, *V1_PRE_DEAL
+    ).distinct()
+
+    def weighed(c: str) -> Column:
+        known = F.when(F.col(c).isNotNull(), days)
+        return F.try_divide(F.sum(F.col(c) * days), F.sum(known)).alias(c)
+
+    return windows.groupBy(*keys).agg(
+        *[weighed(c) for c in V1_DEAL], *[F.avg(c).alias(c) for c in V1_PRE_DEAL]
+    )
+
+
 def report_item_v1(growth: DataFrame) -> DataFrame:
-    """Growth rows with last year's deal and benchmark metrics."""
-    return with_last_year(growth, ("item_id",), (*V1_DEAL, *V1_PRE_DEAL))
+    """Growth rows with last year's deal and benchmark metrics: as many rows as `growth`."""
+    return with_last_year(growth, _years_v1(growth), ("item_id",), (*V1_DEAL, *V1_PRE_DEAL))
 
 
 def sorted_growth_v1(growth: DataFrame) -> DataFrame:

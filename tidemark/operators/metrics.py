@@ -108,14 +108,19 @@ def _daily_metrics(totals, prefix: str, days, integer: bool) -> list[Column]:
     return [*columns, subscribers.alias(f"{prefix}_subscribers")]
 
 
-def deal_metrics(flags: DataFrame, level: Level, integer_daily: bool = False) -> DataFrame:
+def deal_metrics(
+    flags: DataFrame, level: Level, integer_daily: bool = False, whole_year: bool = False
+) -> DataFrame:
     """Daily averages in the deal days.
 
     A group that only has benchmark orders is kept, with NULL sums and 0 customers.
+    `whole_year` gives one row per level keys, event and year, whatever its months and
+    other columns: what the year after is compared with.
     """
     if level.required:
         flags = flags.filter(F.col(level.required).isNotNull())
-    group = [*level.columns, *EVENT]
+    event = ["event_name", "event_year"] if whole_year else list(EVENT)
+    group = [*(level.keys if whole_year else level.columns), *event]
     per_customer = _per_customer(flags, group, DEAL, level.flags)
     start, end = F.min("promo_start_date"), F.max("promo_end_date")
     item_level = level.name == "item"
@@ -130,28 +135,57 @@ def deal_metrics(flags: DataFrame, level: Level, integer_daily: bool = False) ->
         known = F.col("item_id").isNotNull().cast("long")
         return result.withColumn("deal_unique_item_count", known)
     if level.name == "event":
-        return _with_participation(result, flags)
+        return _with_participation(result, flags, event)
     return result
 
 
-def _with_participation(result: DataFrame, flags: DataFrame) -> DataFrame:
-    """Distinct items, brands and companies in the deal of each event.
+MEMBERS = {
+    "item_id": "unique_item_count",
+    "brand_code": "unique_brand_count",
+    "company_code": "unique_company_count",
+}
+
 
-    Joined on event, year and month: a few hundred rows on both sides.
+def _event_members(flags: DataFrame) -> DataFrame:
+    """Each item, brand and company of an event and month once, and in which periods it is.
+
+    The flags are grouped once, to the items; the three kinds are then rows of their own, so
+    that each distinct count is a plain count.
     """
-    members = (
-        flags.filter(F.col("period_type") == DEAL)
-        .select(*EVENT, "item_id", "brand_code", "company_code")
-        .distinct()
+    deal = F.max(F.col("period_type") == DEAL)
+    pre = F.max(F.col("period_type") == PRE_DEAL)
+    items = flags.groupBy(*EVENT, *MEMBERS).agg(deal.alias("in_deal"), pre.alias("in_pre_deal"))
+    kinds = F.array(*[
+        F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("member")) for c in MEMBERS
+    ])
+    return (
+        items.select(*EVENT, "in_deal", "in_pre_deal", F.inline(kinds))
+        .filter(F.col("member").isNotNull())
+        .groupBy(*EVENT, "kind", "member")
+        .agg(F.max("in_deal").alias("in_deal"), F.max("in_pre_deal").alias("in_pre_deal"))
     )
-    counts = members.groupBy(*EVENT).agg(
-        F.countDistinct("item_id").alias("unique_item_count"),
-        F.countDistinct("brand_code").alias("unique_brand_count"),
-        F.countDistinct("company_code").alias("unique_company_count"),
+
+
+def _distinct_members(flags: DataFrame, group, period: str, names: dict) -> DataFrame:
+    """Distinct members of each kind by event, for the columns of `names`."""
+    members = _event_members(flags).groupBy(*group, "kind", "member").agg(
+        F.max("in_deal").alias("in_deal"), F.max("in_pre_deal").alias("in_pre_deal")
     )
-    names = ("unique_item_count", "unique_brand_count", "unique_company_count")
-    return result.join(counts, list(EVENT), "left").withColumns(
-        {n: F.coalesce(n, F.lit(0)) for n in names}
+    inside = F.col("in_deal") if period == DEAL else F.col("in_pre_deal")
+    return members.groupBy(*group).agg(*[
+        F.count(F.when(inside & (F.col("kind") == kind), 1)).alias(name)
+        for kind, name in names.items()
+    ])
+
+
+def _with_participation(result: DataFrame, flags: DataFrame, event) -> DataFrame:
+    """Distinct items, brands and companies in the deal of each event.
+
+    Joined on the event: a few hundred rows on both sides.
+    """
+    counts = _distinct_members(flags, event, DEAL, MEMBERS)
+    return result.join(counts, list(event), "left").withColumns(
+        {n: F.coalesce(n, F.lit(0)) for n in MEMBERS.values()}
     )
 
 
@@ -175,12 +209,9 @@ def pre_deal_metrics(
     )
     if not is_event:
         return result
-    items = flags.groupBy(*group).agg(
-        F.countDistinct(F.when(F.col("period_type") == PRE_DEAL, F.col("item_id"))).alias(
-            "pre_deal_unique_item_count"
-        )
-    )
-    return result.join(items, group)
+    names = {"item_id": "pre_deal_unique_item_count"}
+    items = _distinct_members(flags, group, PRE_DEAL, names)
+    return result.join(items, group, "left").fillna(0, list(names.values()))
 
 
 def deal_keys(flags: DataFrame, level: Level) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -24,9 +25,12 @@ def category_name(code: Column, categories: dict) -> Column:
 
 
 def in_place(df: DataFrame, scope: Scope) -> DataFrame:
-    """Rows of the scope's marketplace and region."""
-    here = F.col("marketplace_id") == scope.marketplace_id
-    return df.filter(here & (F.col("region_id") == scope.region_id))
+    """Rows of the scope's marketplace and region, as far as it names them."""
+    if scope.marketplace_id is not None:
+        df = df.filter(F.col("marketplace_id") == scope.marketplace_id)
+    if scope.region_id is not None:
+        df = df.filter(F.col("region_id") == scope.region_id)
+    return df
 
 
 def shipped_lines(
@@ -160,13 +164,10 @@ def daily_subscribers(
     subscriptions: DataFrame, scope: Scope, run_date: date, any_region: bool = False
 ) -> DataFrame:
     """Mean number of active subscribers by item and day (`any_region`: v2)."""
-    rows = subscriptions.filter(
-        (F.col("marketplace_id") == scope.marketplace_id)
-        & F.col("category_code").isin(*scope.categories)
+    rows = in_place(subscriptions, replace(scope, region_id=None) if any_region else scope).filter(
+        F.col("category_code").isin(*scope.categories)
         & (F.col("snapshot_date") >= F.lit(scope.first_day(run_date)))
     )
-    if not any_region:
-        rows = rows.filter(F.col("region_id") == scope.region_id)
     return rows.groupBy("item_id", F.to_date("snapshot_date").alias("metric_date")).agg(
         F.avg("active_subscribers").alias("daily_subscribers")
     )

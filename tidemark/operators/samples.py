@@ -51,9 +51,11 @@ def parse_timestamp(text: Column, formats=TIMESTAMP_FORMATS) -> Column:
 
 
 def clean_id(text: Column) -> Column:
-    """An id printed as a whole number ("17.0" is "17"); NULL if it is not a number."""
-    number = text.try_cast("double")
-    return F.when(number.isNotNull(), F.format_string("%.0f", number))
+    """An id printed as a whole number ("17.0" is "17"), halves to the even one ("2.5" is "2").
+
+    NULL if it is not a finite number of at most 28 digits. Decimals keep long ids exact.
+    """
+    return F.bround(text.try_cast("decimal(38,10)"), 0).cast("decimal(28,0)").cast("string")
 
 
 def clean_orders(

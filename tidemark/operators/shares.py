@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import Level
+from .keys import join_groups
 from .periods import DEAL, PRE_DEAL
 
 PERIOD = ("event_name", "event_year", "period_type")
@@ -43,8 +44,10 @@ def top_new_share(share: DataFrame, k: int, period: str = DEAL) -> DataFrame:
 def peer_comparison(share: DataFrame, within: str = "category_code") -> DataFrame:
     """Each entity's share against the mean share of its peers, and its percent rank.
 
-    Peers are the entities of the same category in the same event and period. Ranks
-    come from counts per distinct share, so a category is never sorted entity by entity.
+    Peers are the entities of the same category in the same event and period that have
+    a share; an entity without one stays, without rank. Ranks come from counts per distinct
+    share, so a category is never sorted entity by entity: one task sorts the
+    different shares of a category, event and period.
     """
     peers = [within, *PERIOD]
     counts = share.filter(F.col("new_share").isNotNull()).groupBy(*peers, "new_share").agg(
@@ -57,11 +60,13 @@ def peer_comparison(share: DataFrame, within: str = "category_code") -> DataFram
         "new_share",
         F.sum("n").over(whole).alias("peers"),
         F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("below"),
-        (F.sum(F.col("n") * F.col("new_share")).over(whole)).alias("total"),
     )
-    mean = F.col("total") / F.col("peers")
-    rank = F.when(F.col("peers") > 1, F.col("below") / (F.col("peers") - 1)).otherwise(0.0)
-    return share.join(ranks, [*peers, "new_share"]).select(
+    means = share.groupBy(*peers).agg(F.avg("new_share").alias("mean_share"))
+    mean = F.col("mean_share")
+    ranked = F.when(F.col("peers") > 1, F.col("below") / (F.col("peers") - 1)).otherwise(0.0)
+    rank = F.when(F.col("new_share").isNotNull(), ranked)
+    compared = join_groups(share, means, peers, "left")
+    return join_groups(compared, ranks, [*peers, "new_share"], "left").select(
         *share.columns,
         mean.alias("peer_mean_share"),
         (F.col("new_share") - mean).alias("share_vs_peers"),

@@ -4,7 +4,7 @@ category, category and event reports."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from datetime import date
 from functools import cached_property
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from ..operators import compare, events, firsts, metrics, orders, periods
 from ..operators.metrics import LEVELS
 from ..scope import BENCHMARK_DAYS, LOOKBACK_DAYS, MIN_FREQUENCY, Scope
-from ..session import stage
+from ..session import Staging
 from ..sources.tables import Sources
 
 
@@ -21,24 +21,24 @@ from ..sources.tables import Sources
 class EventPipeline:
     """The stages as lazy DataFrames, each built once.
 
-    `base_lines` (read by both periods and by the first purchases) and the flag table
-    (read by every level) are written to the shared folder; `stage_tables=False`
-    keeps everything in one lazy plan.
+    With `staging`, `base_lines` (read by both periods and by the first purchases) and the flag
+    table (read by every level) are written when they are first used, and dropped when its owner
+    closes it; without, everything is one lazy plan.
     """
 
     src: Sources
     run_date: date
-    scope: Scope = field(default_factory=Scope)
+    scope: Scope
     benchmark_days: int = BENCHMARK_DAYS
     benchmark_gap_days: int = 1
     lookback_days: int | None = LOOKBACK_DAYS
     min_frequency: int = MIN_FREQUENCY
     null_keys_are_new: bool = True
     integer_daily: bool = False
-    stage_tables: bool = True
+    staging: Staging | None = None
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
-        return stage(df, name) if self.stage_tables else df
+        return self.staging.put(df, name) if self.staging else df
 
     @cached_property
     def base_lines(self) -> DataFrame:
@@ -100,21 +100,23 @@ class EventPipeline:
         )
         return self._stage(flagged, "new_customer_flags")
 
-    def deal_metrics(self, level: str) -> DataFrame:
-        return metrics.deal_metrics(self.flags, LEVELS[level], self.integer_daily)
+    def deal_metrics(self, level: str, whole_year: bool = False) -> DataFrame:
+        return metrics.deal_metrics(self.flags, LEVELS[level], self.integer_daily, whole_year)
 
     def pre_deal_metrics(self, level: str) -> DataFrame:
         return metrics.pre_deal_metrics(
             self.flags, LEVELS[level], self.benchmark_days, self.integer_daily
         )
 
-    def growth(self, level: str) -> DataFrame:
+    def growth(self, level: str, whole_year: bool = False) -> DataFrame:
         return compare.deal_vs_benchmark(
-            self.deal_metrics(level), self.pre_deal_metrics(level), LEVELS[level]
+            self.deal_metrics(level, whole_year), self.pre_deal_metrics(level), LEVELS[level]
         )
 
     def final(self, level: str) -> DataFrame:
-        return compare.final_metrics(self.growth(level), LEVELS[level])
+        return compare.final_metrics(
+            self.growth(level), self.growth(level, whole_year=True), LEVELS[level]
+        )
 
     def report(self, level: str) -> DataFrame:
         return compare.level_report(self.final(level), LEVELS[level])
@@ -123,6 +125,13 @@ class EventPipeline:
 def run_event_reports(
     pipeline: EventPipeline, write: Callable[[DataFrame, str], None], levels=tuple(LEVELS)
 ) -> None:
-    """Build and write the reports; the levels share the staged tables."""
-    for level in levels:
-        write(pipeline.report(level), level)
+    """Build and write the reports; the levels share staged tables, which are dropped at the end.
+
+    A pipeline that has a staging of its own keeps it: its owner drops the tables.
+    """
+    if pipeline.staging is not None:
+        for level in levels:
+            write(pipeline.report(level), level)
+        return
+    with Staging(pipeline.src.shipments.sparkSession) as staging:
+        run_event_reports(replace(pipeline, staging=staging), write, levels)

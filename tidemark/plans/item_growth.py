@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import date
 from functools import cached_property
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import events, firsts, item_growth, orders, periods
 from ..scope import BENCHMARK_DAYS_V1, Scope
-from ..session import stage
+from ..session import Staging
 from ..sources.tables import Sources
 
 
@@ -18,18 +18,20 @@ from ..sources.tables import Sources
 class ItemGrowthPipeline:
     """The stages as lazy DataFrames, each built once.
 
-    The base lines (read by both periods) and the two summaries (each read by an item
-    and a brand aggregation) are written to the shared folder.
+    With `staging`, the base lines (read by both periods) and the two summaries (each read by an
+    item and a brand aggregation) are written when they are first used, and dropped when its
+    owner closes it; without, everything is one lazy plan.
     """
 
     src: Sources
     run_date: date
-    scope: Scope = field(default_factory=Scope)
+    scope: Scope
     benchmark_days: int = BENCHMARK_DAYS_V1
-    stage_tables: bool = True
+    integer_daily: bool = False
+    staging: Staging | None = None
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
-        return stage(df, name) if self.stage_tables else df
+        return self.staging.put(df, name) if self.staging else df
 
     @cached_property
     def base_lines(self) -> DataFrame:
@@ -92,12 +94,15 @@ class ItemGrowthPipeline:
     @cached_property
     def deal_metrics(self) -> DataFrame:
         return item_growth.deal_metrics_v1(
-            self.deal_summary, self.src.item_vendor, self.scope, self.run_date
+            self.deal_summary, self.src.item_vendor, self.scope, self.run_date,
+            self.integer_daily,
         )
 
     @cached_property
     def pre_deal_metrics(self) -> DataFrame:
-        return item_growth.pre_deal_metrics_v1(self.pre_deal_summary, self.benchmark_days)
+        return item_growth.pre_deal_metrics_v1(
+            self.pre_deal_summary, self.benchmark_days, self.integer_daily
+        )
 
     @cached_property
     def subscriber_metrics(self) -> DataFrame:

@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import date, timedelta
 
-# Category codes in scope and the names reports show for them.
-DEFAULT_CATEGORIES = {
-    510: "Lux Beauty",
-    364: "Personal Care Appliances",
-    325: "Grocery",
-    199: "Pet",
-    194: "Beauty",
-    121: "HPC",
-    75: "Baby",
-}
-
 BENCHMARK_DAYS = 29
 BENCHMARK_DAYS_V1 = 91
 LOOKBACK_DAYS = 365
@@ -24,11 +13,15 @@ MIN_FREQUENCY = 3
 
 @dataclass(frozen=True)
 class Scope:
-    """Which marketplace, categories and history a run covers."""
+    """Which marketplace, categories and history a run covers.
+
+    `categories` maps the codes in scope to the names reports show. A region or marketplace of None
+    does not restrict the rows.
+    """
 
+    categories: dict
     region_id: int | None = 1
-    marketplace_id: int = 7
-    categories: dict = field(default_factory=lambda: dict(DEFAULT_CATEGORIES))
+    marketplace_id: int | None = 7
     excluded_conditions: tuple[int, ...] = (6,)  # 6 = cancelled or fraudulent
     history_days: int = 730
 

@@ -112,6 +112,16 @@ def _place() -> tuple[Column, Column]:
     return F.lit(MARKETPLACE).alias("marketplace_id"), F.lit(REGION).alias("region_id")
 
 
+def _region(number: str) -> Column:
+    """One row in eight is of a second region."""
+    return F.when(F.col(number) % 8 == 5, REGION + 1).otherwise(REGION)
+
+
+def _customer() -> Column:
+    """Every 40th item is sold to unknown customers only."""
+    return F.when(F.col("l_partkey") % 40 != 7, F.floor(F.col("o_custkey") / 10))
+
+
 def _branded() -> Column:
     return F.col("p_partkey") % 50 != 0
 
@@ -135,14 +145,14 @@ class TestdataSources:
     def shipments(self) -> DataFrame:
         return self._order_lines.select(
             F.col("l_partkey").alias("item_id"),
-            F.floor(F.col("o_custkey") / 10).alias("customer_id"),
+            _customer().alias("customer_id"),
             _line_id().alias("line_id"),
             F.col("o_orderdate").alias("order_ts"),
             F.col("l_quantity").cast("int").alias("units"),
             F.when(F.col("l_orderkey") % 20 == 0, 1).otherwise(MARKETPLACE).alias(
                 "marketplace_id"
             ),
-            F.lit(REGION).alias("region_id"),
+            _region("l_orderkey").alias("region_id"),
             F.when(F.col("l_suppkey") % 10 == 3, "N").otherwise("Y").alias("is_retail"),
             _condition().alias("condition_code"),
         )
@@ -176,13 +186,12 @@ class TestdataSources:
 
     @cached_property
     def item_vendor(self) -> DataFrame:
-        """A brand sells through up to four vendors, however many suppliers there are."""
+        """Items are spread over all suppliers, so a brand's vendors grow with both."""
         suppliers = self._file("supplier").agg(F.count("*").alias("n")).scalar()
-        brand = F.substring("p_brand", 7, 10).cast("long")
         return self._file("part").select(
             F.col("p_partkey").alias("item_id"),
             *_place(),
-            ((brand * 4 + F.col("p_partkey") % 4) % suppliers).alias("vendor_code"),
+            (F.col("p_partkey") % suppliers).alias("vendor_code"),
         )
 
     @cached_property
@@ -248,7 +257,8 @@ class TestdataSources:
                 F.col("l_partkey").alias("item_id"),
                 F.col("o_orderdate").alias("snapshot_date"),
                 "active_subscribers",
-                *_place(),
+                F.lit(MARKETPLACE).alias("marketplace_id"),
+                _region("l_suppkey").alias("region_id"),
                 _category().alias("category_code"),
             )
         )
@@ -304,10 +314,14 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _read(spark, sf_dir, "lineitem").join(
         _read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     )
+    number = F.col("o_custkey").cast("string")
+    odd = F.col("o_custkey") % 12
     return lines.select(
         _line_id().alias("line_id"),
-        F.when(F.col("o_custkey") % 7 == 0, F.lit("n/a"))
-        .otherwise(F.concat(F.col("o_custkey").cast("string"), F.lit(".0")))
+        F.when(odd == 0, F.lit("n/a")).when(odd == 1, F.lit("NaN")).when(odd == 2, F.lit("Infinity"))
+        .when(odd == 3, F.concat(F.lit("90071992547409"), F.lpad(number, 8, "0")))
+        .when(odd == 4, F.concat(number, F.lit(".5"))).when(odd == 5, F.concat(number, F.lit("e3")))
+        .otherwise(F.concat(number, F.lit(".0")))
         .alias("customer_id"),
         F.col("l_suppkey").cast("string").alias("vendor_id"),
         text.otherwise("unknown").alias("order_ts"),
