@@ -25,8 +25,9 @@ from .words import codepoints
 BITS = 15
 DIMS = 1 << BITS
 ORDERS = 3
-# Rows of each language, at most about so many, that the weights are learned from.
-SAMPLE_PER_LANGUAGE = 1500
+# Rows of each language, at most about so many, that the weights are learned from, and how many
+# languages, the most frequent ones, are learned.
+SAMPLE_PER_LANGUAGE, LANGUAGES = 1500, 40
 UNKNOWN = "und"
 
 
@@ -197,12 +198,14 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
 def train(
     docs: DataFrame, may_learn: Column, id_column: str = "doc_id", text_column: str = "text",
     lang_column: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE,
+    most_languages: int = LANGUAGES,
 ) -> Model:
     """Learn from the rows where `may_learn` holds and the language is not null.
 
     Document frequencies count all of these rows; the weights are learned from about
-    `sample_per_language` rows of each language at most. Nine tenths of the sample give the
-    weights, the rest the temperature. Without any row the model knows no language.
+    `sample_per_language` rows of each of the `most_languages` most frequent languages at most
+    (some 10 kB a row reach the driver). Nine tenths of the sample give the weights, the rest the
+    temperature. Without any row the model knows no language.
     """
     learn = docs.where(may_learn & F.col(lang_column).isNotNull()).select(
         F.col(id_column).alias("_id"), F.col(text_column).alias("_text"),
@@ -215,7 +218,7 @@ def train(
                 last = first + len(block)
                 yield _pack(gram_counts(block), labels[first:last], keys[first:last])
 
-    sample = (capped(learn, "_lang", "_id", sample_per_language)
+    sample = (capped(learn, "_lang", "_id", sample_per_language, most_languages)
               .select(F.xxhash64("_id", "_text").alias("_key"), "_text", "_lang")
               .mapInArrow(vectors, "label string, key long, at binary, counts binary").collect())
     languages = sorted({r["label"] for r in sample})

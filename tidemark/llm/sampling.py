@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 _SLOTS = 1 << 30
 
 
-def capped(rows: DataFrame, group: str, id_column: str, most: int) -> DataFrame:
+def capped(
+    rows: DataFrame, group: str, id_column: str, most: int, most_groups: int = 100
+) -> DataFrame:
     """About `most` rows at most of each group, chosen by a hash of the id.
 
     A group's rows are counted and kept at the rate most / count, so the sample is spread over all
-    rows, needs no sort and is the same on every run. There must be few groups.
+    rows, needs no sort and is the same on every run. Only the `most_groups` largest groups
+    are sampled, which bounds the counts that reach the driver and the sample.
     """
-    counts = {r[group]: r["count"] for r in rows.groupBy(group).count().collect()}
+    sizes = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(most_groups)
+    counts = {r[group]: r["count"] for r in sizes.collect()}
     rate: Column = F.lit(0)
     for value, n in counts.items():
         share = min(_SLOTS, int(_SLOTS * most / n))
