@@ -58,7 +58,7 @@ def gram_counts(texts: list[str]) -> list[np.ndarray | None]:
     A text longer than a block is counted in parts that overlap by what an n-gram needs.
     """
     if len(texts) == 1 and len(texts[0]) > BLOCK_CHARS:
-        text, total = texts[0], None
+        text, total = texts[0].lower(), None
         for at in range(0, len(text), BLOCK_CHARS):
             part = text[at: at + BLOCK_CHARS + ORDERS - 1]
             counts = _counts([part], [min(BLOCK_CHARS, len(part))])[0]
@@ -182,7 +182,7 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     def run(batches):
         df = np.zeros(DIMS + 1, np.int64)
         for batch in batches:
-            for _, block in blocks(batch.column(0).to_pylist()):
+            for _, block in blocks(batch.column(0)):
                 for counts in gram_counts(block):
                     if counts is not None:
                         df[:DIMS] += counts > 0
@@ -214,7 +214,7 @@ def train(
     def vectors(batches):
         for batch in batches:
             keys, labels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for first, block in blocks(batch.column(1).to_pylist()):
+            for first, block in blocks(batch.column(1)):
                 last = first + len(block)
                 yield _pack(gram_counts(block), labels[first:last], keys[first:last])
 
@@ -251,7 +251,7 @@ def identify(
     """
     def run(batches):
         for batch in batches:
-            for first, block in blocks(batch.column(1).to_pylist()):
+            for first, block in blocks(batch.column(1)):
                 found = [model.predict(c) for c in gram_counts(block)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(block)), pa.array([x[0] for x in found]),

@@ -101,7 +101,7 @@ def signatures(
 
     def run(batches):
         for batch in batches:
-            for first, block in blocks(batch.column(3).to_pylist()):
+            for first, block in blocks(batch.column(3)):
                 own, keys, grams = [batch.column(i).slice(first, len(block)) for i in range(3)], [], []
                 bands_ = []
                 for text, found in zip(block, gram_sets(block, width)):
@@ -250,7 +250,7 @@ def _compare(docs, dealt, id_column, text_column, width, limit) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, block in blocks(batch.column(5).to_pylist()):
+            for first, block in blocks(batch.column(5)):
                 sets = [s.astype("<u8").tobytes() for s in gram_sets(block, width)]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(first, len(block)) for i in range(5)),

@@ -268,7 +268,7 @@ def train(
 
     def run(batches):
         for batch in batches:
-            for first, block in blocks(batch.column(0).to_pylist()):
+            for first, block in blocks(batch.column(0)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(features(block).tolist(), pa.list_(pa.float64())),
                      batch.column(1).slice(first, len(block)),

@@ -269,7 +269,7 @@ def compiled(rules: tuple[Rule, ...]):
 
 # ---- running it ---------------------------------------------------------------------------------
 
-LANE = 512
+LANE, BLOCK = 512, 1 << 18  # a step takes all lanes of a block
 
 
 def states_of(data: np.ndarray, auto: Automaton, lane: int = LANE) -> np.ndarray:
@@ -417,7 +417,7 @@ def find_secrets(
             names=["doc_id", "text_chars", "spans"],
         )
 
-    return map_texts(docs, id_column, text_column, SPAN_SCHEMA, work)
+    return map_texts(docs, id_column, text_column, SPAN_SCHEMA, work, BLOCK)
 
 
 def joined(spans, names: list[str]):
@@ -468,7 +468,7 @@ def masked_documents(
     def run(batches):
         for batch in batches:
             out = batch.column(place).to_pylist()
-            for first, block in blocks(out):
+            for first, block in blocks(batch.column(place), BLOCK):
                 for row, spans in spans_in(block, rules).items():
                     out[first + row] = masked(block[row], spans, names)
             columns = [pa.array(out, pa.string()) if i == place else c

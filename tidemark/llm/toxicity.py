@@ -129,7 +129,7 @@ def _frequencies(texts: DataFrame) -> DataFrame:
         counts = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
             marks = np.array(batch.column(1).to_pylist(), bool)
-            for first, block in blocks(batch.column(0).to_pylist()):
+            for first, block in blocks(batch.column(0)):
                 rows, keys = features(block)
                 once = np.unique(rows << BITS | keys)
                 own = marks[first + (once >> BITS)]
@@ -188,7 +188,7 @@ def train(
     def chosen_features(batches):
         for batch in batches:
             marks_ = batch.column(1).to_pylist()
-            for first, block in blocks(batch.column(0).to_pylist()):
+            for first, block in blocks(batch.column(0)):
                 rows, found = features(block)
                 kept = place[found] >= 0
                 once = np.unique(rows[kept] << BITS | place[found[kept]])
@@ -233,8 +233,7 @@ def keep_clean(
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            scores = [model.scores(block) for _, block in blocks(texts)]
+            scores = [model.scores(block) for _, block in blocks(batch.column(place))]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) < threshold))
 
