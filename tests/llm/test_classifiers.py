@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, quality, toxicity, words
+from tidemark.llm import langid, quality, sampling, toxicity, words
 from tidemark.llm.queries import QUERIES
 from tidemark.llm.shared import fold
 
@@ -114,6 +114,22 @@ def test_nothing_to_learn_from(awkward, empty, spark):
     assert quality.score(awkward, quality.train(awkward, marks, F.lit(True))).count() > 0
 
 
+def test_a_sample_is_bounded_whatever_repeats(spark):
+    """An id or a row that makes up a third of the table is in the sample once."""
+    rows = [(i, f"text {i}", "en") for i in range(2000)] + [(7, "text 7", "en")] * 1000
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = sampling.capped(frame, "lang", ["doc_id", "text"], 300)
+    assert 150 < sample.count() < 400
+    assert sample.count() == sample.distinct().count()
+    ids = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, y int")
+    changing = frame.unionByName(frame.where("doc_id = 7").withColumn("text", F.lit("a")))
+    found = sampling.with_texts(changing, ids, "doc_id", "text")
+    assert sorted(map(tuple, found.select("_id", "_text", "y").collect())) == [
+        (7, "a", 1), (8, "text 8", 0)]
+    many = spark.range(5000).select(F.col("id").cast("string").alias("lang"), "id")
+    assert sampling.capped(many, "lang", ["id"], 1, most_groups=10).count() <= 10
+
+
 def test_long_texts_are_read_whole():
     part = "ähnlich Wörter und mehr. " * 60_000
     assert len(part) > langid.BLOCK_CHARS

@@ -218,7 +218,7 @@ def train(
                 last = first + len(block)
                 yield _pack(gram_counts(block), labels[first:last], keys[first:last])
 
-    sample = (capped(learn, "_lang", "_id", sample_per_language, most_languages)
+    sample = (capped(learn, "_lang", ["_id", "_text"], sample_per_language, most_languages)
               .select(F.xxhash64("_id", "_text").alias("_key"), "_text", "_lang")
               .mapInArrow(vectors, "label string, key long, at binary, counts binary").collect())
     languages = sorted({r["label"] for r in sample})

@@ -264,7 +264,7 @@ def train(
     marks = (labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & may_learn)
              .groupBy(id_column).agg(F.max(label_column).alias("_label")))
     share = {r["_label"]: r["count"] for r in marks.groupBy("_label").count().collect()}
-    sample = capped(marks, "_label", id_column, sample_per_label)
+    sample = capped(marks, "_label", [id_column], sample_per_label)
 
     def run(batches):
         for batch in batches:

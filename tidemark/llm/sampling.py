@@ -9,13 +9,14 @@ _SLOTS = 1 << 30
 
 
 def capped(
-    rows: DataFrame, group: str, id_column: str, most: int, most_groups: int = 100
+    rows: DataFrame, group: str, keys: list[str], most: int, most_groups: int = 100
 ) -> DataFrame:
-    """About `most` rows at most of each group, chosen by a hash of the id.
+    """About `most` different rows at most of each group, chosen by a hash of the key columns.
 
     A group's rows are counted and kept at the rate most / count, so the sample is spread over all
-    rows, needs no sort and is the same on every run. Only the `most_groups` largest groups
-    are sampled, which bounds the counts that reach the driver and the sample.
+    rows, needs no sort and is the same on every run. Rows that repeat count once in it, however
+    many there are. Only the `most_groups` largest groups are sampled, which bounds the counts that
+    reach the driver and the sample.
     """
     sizes = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(most_groups)
     counts = {r[group]: r["count"] for r in sizes.collect()}
@@ -23,10 +24,16 @@ def capped(
     for value, n in counts.items():
         share = min(_SLOTS, int(_SLOTS * most / n))
         rate = F.when(F.col(group) == value, F.lit(share)).otherwise(rate)
-    return rows.where(F.pmod(F.xxhash64(id_column), F.lit(_SLOTS)) < rate)
+    chosen = rows.where(F.pmod(F.xxhash64(*keys), F.lit(_SLOTS)) < rate)
+    return chosen.dropDuplicates([*keys, group])
 
 
 def with_texts(docs: DataFrame, sample: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The sample's rows with their texts. The sample is bounded, so it may be broadcast."""
+    """The sample's rows with their texts. The sample is bounded, so it may be broadcast.
+
+    There is one row per id: of several texts with one id, the least.
+    """
+    ids = sample.withColumnRenamed(id_column, "_id")
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    return texts.join(F.broadcast(sample.withColumnRenamed(id_column, "_id")), "_id")
+    found = texts.join(F.broadcast(ids.select("_id").distinct()), "_id", "left_semi")
+    return found.groupBy("_id").agg(F.min("_text").alias("_text")).join(F.broadcast(ids), "_id")

@@ -168,8 +168,8 @@ def train(
     base = float(np.log(prior / (1 - prior)))
     if not marked or not unknown:
         return Model(np.zeros(1 << BITS, np.float32), base)
-    chosen = (capped(kinds.where("_kind = 1"), "_kind", id_column, positives)
-              .unionByName(capped(kinds.where("_kind = -1"), "_kind", id_column, unlabelled))
+    chosen = (capped(kinds.where("_kind = 1"), "_kind", [id_column], positives)
+              .unionByName(capped(kinds.where("_kind = -1"), "_kind", [id_column], unlabelled))
               .select(id_column, (F.col("_kind") == 1).alias("_positive")))
     texts = checkpointed(with_texts(docs, chosen, id_column, text_column))
     n_p, n_u = (texts.where(F.col("_positive") == x).count() for x in (True, False))
