@@ -206,6 +206,18 @@ def test_v1_new_and_returning_customers(spark):
     assert deal.filter("item_id = 2").first().vendor_code is None
 
 
+def test_entities_without_a_share_stay_among_their_peers(spark):
+    share = spark.createDataFrame(
+        [("a", None, 4, 1, 0.25), ("b", None, 4, 3, 0.75), ("c", None, 0, 0, None),
+         ("d", 1, 0, 0, None)],
+        "brand_code string, category_code int, customers int, new_customers int, new_share double"
+    ).selectExpr("*", "'BSS' AS event_name", "2001 AS event_year", "'DEAL' AS period_type")
+    got = shares.peer_comparison(share)
+    assert rows(got, "brand_code", "peer_mean_share", "share_vs_peers", "peer_percent_rank") == [
+        ("a", 0.5, -0.25, 0.0), ("b", 0.5, 0.25, 1.0), ("c", 0.5, None, None),
+        ("d", None, None, None)]
+
+
 def test_v1_subscribers_weigh_lines(spark):
     subscriptions = spark.createDataFrame(
         [(1, date(2001, 6, 1), 10, 7, 1, 75), (1, date(2001, 6, 1), 20, 7, 1, 75),

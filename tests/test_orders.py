@@ -80,3 +80,15 @@ def test_daily_subscribers(spark):
     assert rows(got) == [("i", date(2001, 7, 1), 3.5)]
     anywhere = orders.daily_subscribers(table, SCOPE, RUN, any_region=True)
     assert rows(anywhere) == [("i", date(2001, 7, 1), 97 / 3)]
+
+
+def test_no_region_is_any_region(spark, sources):
+    anywhere = Scope(categories=SCOPE.categories, region_id=None)
+    got = [r[0] for r in rows(orders.base_orders(sources, anywhere, RUN), "line_id")]
+    assert got == ["first", "midnight", "no amount", "no vendor", "ok", "region"]
+    table = spark.createDataFrame(
+        [("i", datetime(2001, 7, 1), 2, 7, 1, 1), ("i", datetime(2001, 7, 1), 4, 7, 2, 1)],
+        SCHEMAS["subscriptions_daily"])
+    assert rows(orders.daily_subscribers(table, anywhere, RUN)) == [("i", date(2001, 7, 1), 3.0)]
+    nowhere = Scope(categories=SCOPE.categories, region_id=None, marketplace_id=None)
+    assert "market" in [r[0] for r in rows(orders.shipped_lines(sources, nowhere, RUN), "line_id")]

@@ -43,3 +43,14 @@ def test_clean_orders(spark):
         (None, "1000", datetime(2001, 2, 3, 4, 5)), ("5", None, datetime(2001, 2, 3)),
         ("6", "7", None),
     ]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("9007199254740993", "9007199254740993"), ("9007199254740992.6", "9007199254740993"),
+    ("9007199254740900000087", "9007199254740900000087"), ("2.5", "2"), ("3.5", "4"),
+    ("-2.5", "-2"), ("1e3", "1000"), ("NaN", None), ("Infinity", None), ("-inf", None),
+    ("1" * 40, None), ("", None), ("17.0", "17"), ("0.4", "0"),
+])
+def test_clean_id_is_exact(spark, text, want):
+    frame = spark.createDataFrame([(text,)], "x string")
+    assert frame.select(samples.clean_id(frame.x)).first()[0] == want
