@@ -18,8 +18,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     `edges` has two long columns u and v; order, repeats and loops do not matter. Every round
     hooks each neighbour to the least one, first upwards, then downwards, by a grouped minimum and
-    a join; a hot node's rows are combined before the shuffle and split by skewed joins. Rounds grow
-    with the logarithm of the longest path; only two numbers reach the driver.
+    a join; a hot node's rows are combined before the shuffle and split by skewed joins. Upwards
+    only the centres of stars are hot; downwards a node has as many rows as it has stars.
+    Rounds grow with the logarithm of the longest path; only two numbers reach the driver.
     """
     edges = checkpointed(edges.where("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -28,7 +29,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Written out, so that the join below shuffles it as a side of its own: only then are the
+        # edges of a hot node, the centre of a large star, split over tasks.
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         # larger neighbours of u hang on the least node around u
         large = (both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.where("m < u").select("u", F.col("m").alias("v")))

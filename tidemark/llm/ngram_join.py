@@ -30,8 +30,9 @@ from .shared import blocks, checkpointed
 from .words import hashed_words, mix, shingles
 
 WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 192
-# N-grams of a block; every class counts for CLASS_WEIGHT more, which bounds the classes too.
-BLOCK_WEIGHT, CLASS_WEIGHT = 1_000_000, 250
+# N-grams of a block; every class counts for CLASS_WEIGHT more, so a block has a thousand classes at
+# most and the pairs of a cell's two blocks are some 4 million numbers. One class alone may be more.
+BLOCK_WEIGHT, CLASS_WEIGHT = 250_000, 250
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int) -> tuple[int, int]:
@@ -209,15 +210,17 @@ def near_groups(
         F.first("_bands").alias("_bands")).withColumn("_node", F.col("_k1")))
     # stars from the members of a bucket to its least member
     members = classes.select("_node", F.explode("_bands").alias("_band"))
-    hubs = members.groupBy("_band").agg(
-        F.min("_node").alias("_hub"), F.max("_node").alias("_other")).where("_hub < _other")
+    # Grouped sides of the joins below are written out first. They are small, and a join that
+    # shuffles both sides anew can split a bucket or a component that holds many rows.
+    hubs = checkpointed(members.groupBy("_band").agg(
+        F.min("_node").alias("_hub"), F.max("_node").alias("_other")).where("_hub < _other"))
     stars = members.join(hubs.select("_band", "_hub"), "_band").where("_node <> _hub").select(
         F.col("_node").alias("u"), F.col("_hub").alias("v"))
     candidates = connected_components(stars).select(
         F.col("node").alias("_node"), F.col("component").alias("_component"))
     weighed = classes.drop("_bands").join(candidates, "_node")
-    size = weighed.groupBy("_component").agg(
-        F.ceil(F.sum(F.col("_grams") + CLASS_WEIGHT) / BLOCK_WEIGHT).cast("int").alias("_blocks"))
+    size = checkpointed(weighed.groupBy("_component").agg(
+        F.ceil(F.sum(F.col("_grams") + CLASS_WEIGHT) / BLOCK_WEIGHT).cast("int").alias("_blocks")))
     dealt = weighed.join(size, "_component").select(
         "_node", "_component", "_copies", "_blocks", F.col("_first._a").alias("_a"),
         F.col("_first._h").alias("_h"),
@@ -227,12 +230,12 @@ def near_groups(
     found = connected_components(compared.select(F.col("_node").alias("u"), F.col("_root").alias("v")))
     grouped = (
         classes.drop("_bands").join(linked, "_node", "left")
-        .join(found.withColumnRenamed("node", "_node"), "_node", "left")
-        .withColumn("_group", F.coalesce("component", "_node")))
-    of_group = grouped.groupBy("_group").agg(
-        F.min("_least").alias("class_id"), F.min("_first").alias("_kept"))
-    known = grouped.join(of_group, "_group").select(
-        "_k1", "_k2", "class_id", "_kept",
+        .join(found.withColumnRenamed("node", "_node"), "_node", "left"))
+    of_group = checkpointed(grouped.where("component IS NOT NULL").groupBy("component").agg(
+        F.min("_least").alias("_group_least"), F.min("_first").alias("_group_first")))
+    known = grouped.join(of_group, "component", "left").select(
+        "_k1", "_k2", F.coalesce("_group_least", "_least").alias("class_id"),
+        F.coalesce("_group_first", "_first").alias("_kept"),
         (F.col("_copies") - 1 + F.coalesce("_linked", F.lit(0))).alias("n_links"))
     return signed.drop("_bands").join(known, ["_k1", "_k2"], "left").select(
         F.col("_id").alias("doc_id"),
