@@ -109,13 +109,15 @@ def _daily_metrics(totals, prefix: str, days, integer: bool) -> list[Column]:
 
 
 def deal_metrics(
-    flags: DataFrame, level: Level, integer_daily: bool = False, whole_year: bool = False
+    flags: DataFrame, level: Level, integer_daily: bool = False, whole_year: bool = False,
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """Daily averages in the deal days.
 
     A group that only has benchmark orders is kept, with NULL sums and 0 customers.
     `whole_year` gives one row per level keys, event and year, whatever its months and
-    other columns: what the year after is compared with.
+    other columns: what the year after is compared with. The event level also counts `members`
+    (by default those of the flags).
     """
     if level.required:
         flags = flags.filter(F.col(level.required).isNotNull())
@@ -135,7 +137,8 @@ def deal_metrics(
         known = F.col("item_id").isNotNull().cast("long")
         return result.withColumn("deal_unique_item_count", known)
     if level.name == "event":
-        return _with_participation(result, flags, event)
+        return _with_participation(result, event_members(flags) if members is None else members,
+                                   event)
     return result
 
 
@@ -146,7 +149,7 @@ MEMBERS = {
 }
 
 
-def _event_members(flags: DataFrame) -> DataFrame:
+def event_members(flags: DataFrame) -> DataFrame:
     """Each item, brand and company of an event and month once, and in which periods it is.
 
     The flags are grouped once, to the items; the three kinds are then rows of their own, so
@@ -166,9 +169,9 @@ def _event_members(flags: DataFrame) -> DataFrame:
     )
 
 
-def _distinct_members(flags: DataFrame, group, period: str, names: dict) -> DataFrame:
+def _distinct_members(members: DataFrame, group, period: str, names: dict) -> DataFrame:
     """Distinct members of each kind by event, for the columns of `names`."""
-    members = _event_members(flags).groupBy(*group, "kind", "member").agg(
+    members = members.groupBy(*group, "kind", "member").agg(
         F.max("in_deal").alias("in_deal"), F.max("in_pre_deal").alias("in_pre_deal")
     )
     inside = F.col("in_deal") if period == DEAL else F.col("in_pre_deal")
@@ -178,12 +181,12 @@ def _distinct_members(flags: DataFrame, group, period: str, names: dict) -> Data
     ])
 
 
-def _with_participation(result: DataFrame, flags: DataFrame, event) -> DataFrame:
+def _with_participation(result: DataFrame, members: DataFrame, event) -> DataFrame:
     """Distinct items, brands and companies in the deal of each event.
 
     Joined on the event: a few hundred rows on both sides.
     """
-    counts = _distinct_members(flags, event, DEAL, MEMBERS)
+    counts = _distinct_members(members, event, DEAL, MEMBERS)
     return result.join(counts, list(event), "left").withColumns(
         {n: F.coalesce(n, F.lit(0)) for n in MEMBERS.values()}
     )
@@ -194,6 +197,7 @@ def pre_deal_metrics(
     level: Level,
     benchmark_days: int = BENCHMARK_DAYS,
     integer_daily: bool = False,
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """Daily averages in the benchmark days, by level keys, event and year.
 
@@ -210,7 +214,8 @@ def pre_deal_metrics(
     if not is_event:
         return result
     names = {"item_id": "pre_deal_unique_item_count"}
-    items = _distinct_members(flags, group, PRE_DEAL, names)
+    members = event_members(flags) if members is None else members
+    items = _distinct_members(members, group, PRE_DEAL, names)
     return result.join(items, group, "left").fillna(0, list(names.values()))
 
 

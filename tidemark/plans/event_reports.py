@@ -100,12 +100,23 @@ class EventPipeline:
         )
         return self._stage(flagged, "new_customer_flags")
 
+    @cached_property
+    def event_members(self) -> DataFrame:
+        """What takes part in each event; the event level counts it three times."""
+        return self._stage(metrics.event_members(self.flags), "event_members")
+
+    def _members(self, level: str) -> DataFrame | None:
+        return self.event_members if level == "event" else None
+
     def deal_metrics(self, level: str, whole_year: bool = False) -> DataFrame:
-        return metrics.deal_metrics(self.flags, LEVELS[level], self.integer_daily, whole_year)
+        return metrics.deal_metrics(
+            self.flags, LEVELS[level], self.integer_daily, whole_year, self._members(level)
+        )
 
     def pre_deal_metrics(self, level: str) -> DataFrame:
         return metrics.pre_deal_metrics(
-            self.flags, LEVELS[level], self.benchmark_days, self.integer_daily
+            self.flags, LEVELS[level], self.benchmark_days, self.integer_daily,
+            self._members(level),
         )
 
     def growth(self, level: str, whole_year: bool = False) -> DataFrame:
