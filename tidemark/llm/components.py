@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # edges of a hot node, the centre of a large star, split over tasks.
         least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         # larger neighbours of u hang on the least node around u
-        large = (both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        upwards = both.where("v > u").join(least, "u")
+        large = (upwards.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.where("m < u").select("u", F.col("m").alias("v")))
                  .where("u <> v").distinct())
         below = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -89,13 +89,14 @@ def find_items(
     texts = docs.select(F.col(id_column).cast("long").alias("_id"), a.alias("_a"), h.alias("_h"),
                         text_of(text_column).alias("_text"))
     # A hash finds its candidates whichever item it belongs to: the documents to verify.
-    hashes = texts.select("_a", "_h", F.explode(F.array_distinct(F.filter(
-        shingle_hashes(word_list(F.col("_text")), width), lambda x: x <= F.lit(cut)))).alias("hash"))
+    words = word_list(F.col("_text"))
+    below_cut = F.filter(shingle_hashes(words, width), lambda x: x <= F.lit(cut))
+    hashes = texts.select("_a", "_h", F.explode(F.array_distinct(below_cut)).alias("hash"))
     candidates = hashes.join(
         F.broadcast(probes) if small else probes, "hash").select("_a", "_h").distinct()
     held = texts.join(candidates, ["_a", "_h"], "left_semi").select(
         "_id", "_a", "_h",
-        F.explode(F.array_distinct(shingle_texts(word_list(F.col("_text")), width))).alias("shingle"))
+        F.explode(F.array_distinct(shingle_texts(words, width))).alias("shingle"))
     few = shingles.count() <= BROADCAST_ROWS
     shared = held.join(F.broadcast(shingles) if few else shingles, "shingle")
     return (

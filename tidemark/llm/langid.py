@@ -81,7 +81,9 @@ def _counts(texts: list[str], begins: list[int]) -> list[np.ndarray | None]:
             continue
         counts = np.zeros(DIMS, np.int64)
         for order, gram in enumerate(grams):
-            stop = min(low + begins[row], high - order) if begins[row] <= len(texts[row]) else high - order
+            stop = high - order  # where the last one begins that ends within the text's break
+            if begins[row] <= len(texts[row]):
+                stop = min(stop, low + begins[row])
             counts += np.bincount(gram[low:stop], minlength=DIMS)
         out.append(counts)
     return out

@@ -54,9 +54,9 @@ class Hasher:
 
     def __init__(self, bands: int, rows: int):
         self.bands, self.rows = bands, rows
-        seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64))
-        self.flip = (seeds[: bands * rows] >> np.uint64(32)).astype(np.uint32)[:, None]
-        self.times = ((seeds[bands * rows:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1))[:, None]
+        seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64)) >> np.uint64(32)
+        flip, times = seeds.astype(np.uint32).reshape(2, bands * rows, 1)
+        self.flip, self.times = flip, times | np.uint32(1)
 
     def keys(self, grams: np.ndarray) -> np.ndarray:
         """One 64-bit key per band; the band's number is part of it."""
@@ -81,7 +81,8 @@ def _set_key(grams: np.ndarray, text: str) -> tuple[int, int] | None:
     if len(grams):
         digest = hashlib.blake2b(grams.tobytes(), digest_size=16)
     elif text:
-        digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16, person=b"text")
+        raw_text = text.encode("utf-8", "surrogatepass")
+        digest = hashlib.blake2b(raw_text, digest_size=16, person=b"text")
     else:
         return None
     raw = digest.digest()
@@ -103,8 +104,8 @@ def signatures(
     def run(batches):
         for batch in batches:
             for first, block in blocks(batch.column(3)):
-                own, keys, grams = [batch.column(i).slice(first, len(block)) for i in range(3)], [], []
-                bands_ = []
+                own = [batch.column(i).slice(first, len(block)) for i in range(3)]
+                keys, grams, bands_ = [], [], []
                 for text, found in zip(block, gram_sets(block, width)):
                     keys.append(_set_key(found, text) or (None, None))
                     grams.append(len(found))
@@ -227,7 +228,8 @@ def near_groups(
         F.pmod(F.xxhash64("_node"), "_blocks").cast("int").alias("_block"))
     compared = checkpointed(_compare(docs, dealt, id_column, text_column, width, limit))
     linked = compared.groupBy("_node").agg(F.sum("_linked").alias("_linked"))
-    found = connected_components(compared.select(F.col("_node").alias("u"), F.col("_root").alias("v")))
+    found = connected_components(
+        compared.select(F.col("_node").alias("u"), F.col("_root").alias("v")))
     grouped = (
         classes.drop("_bands").join(linked, "_node", "left")
         .join(found.withColumnRenamed("node", "_node"), "_node", "left"))
@@ -262,10 +264,10 @@ def _compare(docs, dealt, id_column, text_column, width, limit) -> DataFrame:
     sets = (texts.dropDuplicates(["_a", "_h"])
             .select("_node", "_component", "_copies", "_blocks", "_block", "_text")
             .mapInArrow(run, SETS))
-    dealt_out = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    cells = dealt_out.select(
-        "_component", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"),
-        "_node", "_copies", "_block", "_set")
+    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
+    cells = sets.select("*", others).select(
+        "_component", F.least("_block", "_other").alias("_i"),
+        F.greatest("_block", "_other").alias("_j"), "_node", "_copies", "_block", "_set")
     return (cells.repartition("_component", "_i", "_j")
             .sortWithinPartitions("_component", "_i", "_j").mapInArrow(_cells(limit), CELLS))
 

@@ -244,8 +244,9 @@ def fit(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> Model:
                 .reshape(sizes[i], sizes[j]) for v in (y - p, p * (1 - p)))
         gains.append((pair_tree(g, h)[0], i, j))
     chosen = sorted(gains, key=lambda t: (-t[0], t[1:]))[:PAIRS]
-    tables, _ = _boost(f, y, apart, [index(i, j) for _, i, j in chosen],
-                       [(sizes[i], sizes[j]) for _, i, j in chosen], lambda g, h: pair_tree(g, h)[1])
+    tables, _ = _boost(
+        f, y, apart, [index(i, j) for _, i, j in chosen],
+        [(sizes[i], sizes[j]) for _, i, j in chosen], lambda g, h: pair_tree(g, h)[1])
     model.pairs = [(i, j, t) for (_, i, j), t in zip(chosen, tables)]
     return model
 

@@ -477,5 +477,6 @@ def masked_documents(
 
     clean = docs.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length(text_column).cast(docs.schema["n_chars"].dataType))
+        kind = docs.schema["n_chars"].dataType
+        clean = clean.withColumn("n_chars", F.length(text_column).cast(kind))
     return clean

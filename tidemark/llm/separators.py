@@ -61,8 +61,8 @@ def scan_blocks(
 ) -> DataFrame:
     """One row per block of a file: its place, size and the places of its separators.
 
-    Files are matched by name order only through `shard`, the file's name without the random
-    part that Spark's writers add.
+    `shard` is the file's name without the random part that Spark's writers add, so the same table
+    gives the same shards. A task holds one file's bytes at a time.
     """
     def run(batches):
         for batch in batches:
@@ -78,7 +78,8 @@ def scan_blocks(
                         ["shard", "block", "first", "n_tokens", "separators"])
 
     files = spark.read.format("binaryFile").load(path)
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "")
+    file_name = F.element_at(F.split("path", "/"), -1)
+    name = F.regexp_replace(file_name, "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "")
     return files.select(name.alias("shard"), "content").mapInArrow(
         run, "shard string, block long, first long, n_tokens long, separators array<long>"
     )
@@ -120,5 +121,6 @@ def count_tokens(
         .otherwise(F.get("ends", F.col("pos") - 1) + 1).alias("start"),
         "col", (F.col("pos") < F.col("n_separators")).alias("terminated"),
     ).select(
-        "shard", "doc_index", "start", (F.col("col") - F.col("start")).alias("n_tokens"), "terminated"
+        "shard", "doc_index", "start", (F.col("col") - F.col("start")).alias("n_tokens"),
+        "terminated",
     )

@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -92,8 +92,10 @@ def followers(rows: DataFrame) -> DataFrame:
     offsets = sizes.select(
         "_part", F.coalesce(F.sum("_size").over(so_far), F.lit(0)).alias("_offset"),
         F.sum("_size").over(Window.partitionBy()).alias("_total"))
+    within = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row per partition
     placed = (numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-              .withColumn("_place", F.col("_offset") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))))
+              .withColumn("_place", F.col("_offset") + within))
     before = placed.select(
         F.pmod(F.col("_place") + 1, "_total").alias("_place"), F.col("_a").alias("_before_a"),
         F.col("_h").alias("_before_h"), F.col("_chars").alias("_before_chars"))
@@ -185,15 +187,16 @@ def count_near(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
     masks = block_masks(radius, blocks)
 
     def keyed(rows, name):
-        keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("_print").bitwiseAND(F.lit(m)).alias("k"))
-                         for i, m in enumerate(masks)])
-        return rows.select(F.col("_print").alias(name), "_copies", F.explode(keys).alias("_key")).select(
-            name, "_copies", F.col("_key.t").alias("_table"), F.col("_key.k").alias("_block"))
+        keys = F.array(*[
+            F.struct(F.lit(i).alias("_table"), F.col("_print").bitwiseAND(F.lit(m)).alias("_block"))
+            for i, m in enumerate(masks)])
+        return rows.select(F.col("_print").alias(name), "_copies", F.inline(keys))
 
     differ = F.col("_one").bitwiseXOR(F.col("_other"))
     first_table = F.lit(len(masks))
     for i in reversed(range(len(masks))):
-        first_table = F.when(differ.bitwiseAND(F.lit(masks[i])) == 0, F.lit(i)).otherwise(first_table)
+        agree = differ.bitwiseAND(F.lit(masks[i])) == 0
+        first_table = F.when(agree, F.lit(i)).otherwise(first_table)
     q = keyed(distinct.where("_query"), "_one").drop("_copies").alias("q")
     d = keyed(distinct, "_other").alias("d")
     found = q.join(d, (F.col("q._table") == F.col("d._table"))
