@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_arrow
 from .tokens import END_OF_TEXT, token_ids
 
 ROW_TOKENS = 2048
@@ -174,9 +175,9 @@ def pack_best_fit(
         if rows:
             yield _batch(rows)
 
-    return docs.select(
+    return in_arrow(docs.select(
         F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_text")
-    ).mapInArrow(run, PACKED)
+    ), run, PACKED)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_arrow
 from .tokens import token_ids
 
 CAPACITY = 1024
@@ -194,6 +195,6 @@ def pack_bin_slack(
         if rows:
             yield flushed()
 
-    return docs.select(
+    return in_arrow(docs.select(
         F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_text")
-    ).mapInArrow(run, PIECES)
+    ), run, PIECES)

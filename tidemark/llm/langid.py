@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import capped
-from .shared import BLOCK_CHARS, blocks
+from .shared import BLOCK_CHARS, blocks, in_arrow
 from .words import codepoints
 
 BITS = 15
@@ -193,8 +193,8 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.where(at == DIMS, -1, at)), pa.array(df[at])], ["dim", "df"])
 
-    return (texts.select("_text").mapInArrow(run, "dim long, df long")
-            .groupBy("dim").agg(F.sum("df").alias("df")))
+    counted = in_arrow(texts.select("_text"), run, "dim long, df long")
+    return counted.groupBy("dim").agg(F.sum("df").alias("df"))
 
 
 def train(
@@ -220,9 +220,10 @@ def train(
                 last = first + len(block)
                 yield _pack(gram_counts(block), labels[first:last], keys[first:last])
 
-    sample = (capped(learn, "_lang", ["_id", "_text"], sample_per_language, most_languages)
-              .select(F.xxhash64("_id", "_text").alias("_key"), "_text", "_lang")
-              .mapInArrow(vectors, "label string, key long, at binary, counts binary").collect())
+    chosen = capped(learn, "_lang", ["_id", "_text"], sample_per_language, most_languages)
+    sample = in_arrow(
+        chosen.select(F.xxhash64("_id", "_text").alias("_key"), "_text", "_lang"), vectors,
+        "label string, key long, at binary, counts binary").collect()
     languages = sorted({r["label"] for r in sample})
     idf = np.zeros(DIMS, np.float32)
     if not languages:
@@ -260,6 +261,6 @@ def identify(
                      pa.array([x[1] for x in found], pa.float64())],
                     ["doc_id", "lang_pred", "score"])
 
-    return docs.select(
+    return in_arrow(docs.select(
         F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_text")
-    ).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    ), run, "doc_id long, lang_pred string, score double")

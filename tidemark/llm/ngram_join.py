@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .columns import row_key
 from .components import connected_components
-from .shared import blocks, checkpointed
+from .shared import blocks, checkpointed, in_arrow
 from .words import hashed_words, mix, shingles
 
 WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 192
@@ -116,8 +116,9 @@ def signatures(
                      pa.array(bands_, pa.list_(pa.int64()))], names)
 
     a, h = row_key(id_column, text_column)
-    return docs.select(F.col(id_column).cast("long").alias("_id"), a.alias("_a"), h.alias("_h"),
-                       F.col(text_column).alias("_text")).mapInArrow(run, SIGNATURES)
+    rows_ = docs.select(F.col(id_column).cast("long").alias("_id"), a.alias("_a"), h.alias("_h"),
+                        F.col(text_column).alias("_text"))
+    return in_arrow(rows_, run, SIGNATURES)
 
 
 def compare_cell(
@@ -261,15 +262,15 @@ def _compare(docs, dealt, id_column, text_column, width, limit) -> DataFrame:
                     [*(batch.column(i).slice(first, len(block)) for i in range(5)),
                      pa.array(sets, pa.binary())], names)
 
-    sets = (texts.dropDuplicates(["_a", "_h"])
-            .select("_node", "_component", "_copies", "_blocks", "_block", "_text")
-            .mapInArrow(run, SETS))
+    sets = in_arrow(texts.dropDuplicates(["_a", "_h"]).select(
+        "_node", "_component", "_copies", "_blocks", "_block", "_text"), run, SETS)
     others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
     cells = sets.select("*", others).select(
         "_component", F.least("_block", "_other").alias("_i"),
         F.greatest("_block", "_other").alias("_j"), "_node", "_copies", "_block", "_set")
-    return (cells.repartition("_component", "_i", "_j")
-            .sortWithinPartitions("_component", "_i", "_j").mapInArrow(_cells(limit), CELLS))
+    together = cells.repartition("_component", "_i", "_j").sortWithinPartitions(
+        "_component", "_i", "_j")
+    return in_arrow(together, _cells(limit), CELLS)
 
 
 def one_of_each(

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import capped, with_texts
-from .shared import blocks, map_texts
+from .shared import blocks, in_arrow, map_texts
 from .words import BASE, codepoints, mix, pieces_of, span_hashes, spans_of, word_table
 
 FEATURES = (
@@ -275,9 +275,9 @@ def train(
                      batch.column(1).slice(first, len(block)),
                      batch.column(2).slice(first, len(block))], ["x", "label", "key"])
 
-    rows = (with_texts(docs, sample, id_column, text_column)
-            .select("_text", F.col("_label").cast("int"), F.xxhash64("_id").alias("_key"))
-            .mapInArrow(run, "x array<double>, label int, key long").collect())
+    chosen = with_texts(docs, sample, id_column, text_column).select(
+        "_text", F.col("_label").cast("int"), F.xxhash64("_id").alias("_key"))
+    rows = in_arrow(chosen, run, "x array<double>, label int, key long").collect()
     if not rows:
         width = len(FEATURES)
         return Model(0.0, [np.zeros(0)] * width, [np.zeros(1)] * width, [])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, map_texts
+from .shared import blocks, in_arrow, map_texts
 
 
 @dataclass(frozen=True)
@@ -475,7 +475,7 @@ def masked_documents(
                        for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    clean = docs.mapInArrow(run, docs.schema)
+    clean = in_arrow(docs, run, docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         clean = clean.withColumn("n_chars", F.length(text_column).cast(kind))

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import in_arrow
 from .tokens import END_OF_TEXT, token_ids
 
 BLOCK_TOKENS = 1 << 16
@@ -50,7 +51,7 @@ def write_token_files(
             yield pa.RecordBatch.from_arrays(
                 [pa.array([separator.join(parts)], pa.binary())], ["value"])
 
-    records = docs.select(F.col(text_column).alias("_text")).mapInArrow(run, "value binary")
+    records = in_arrow(docs.select(F.col(text_column).alias("_text")), run, "value binary")
     (records.select(F.col("value").cast("string")).write
         .option("encoding", "ISO-8859-1").option("lineSep", separator.decode("latin-1"))
         .option("maxRecordsPerFile", FILE_RECORDS).text(path))
@@ -80,8 +81,9 @@ def scan_blocks(
     files = spark.read.format("binaryFile").load(path)
     file_name = F.element_at(F.split("path", "/"), -1)
     name = F.regexp_replace(file_name, "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "")
-    return files.select(name.alias("shard"), "content").mapInArrow(
-        run, "shard string, block long, first long, n_tokens long, separators array<long>"
+    return in_arrow(
+        files.select(name.alias("shard"), "content"), run,
+        "shard string, block long, first long, n_tokens long, separators array<long>",
     )
 
 

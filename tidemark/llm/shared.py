@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # arrays stay in the processor's cache.
 BLOCK_CHARS = 1 << 16
 SLICE_ROWS = 256
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +52,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_arrow(df: DataFrame, work, schema) -> DataFrame:
+    """`df.mapInArrow` in batches that suit texts, unless the session has a batch size of its own.
+
+    Spark's default of 10,000 rows would hold tens of megabytes of text in the JVM, on its way
+    and in Python at the same time.
+    """
+    if BATCH_SETTING not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(work, schema)
+
+
 def blocks(texts: pa.Array, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts in blocks of at most `limit` code points: first row, texts (null: '').
 
@@ -83,6 +95,5 @@ def map_texts(
             for first, block in blocks(batch.column(1), limit):
                 yield work(ids.slice(first, len(block)), block)
 
-    return df.select(
-        F.col(id_column).alias("_id"), F.col(text_column).alias("_text")
-    ).mapInArrow(run, schema)
+    return in_arrow(df.select(
+        F.col(id_column).alias("_id"), F.col(text_column).alias("_text")), run, schema)

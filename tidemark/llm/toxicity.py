@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import capped, with_texts
-from .shared import blocks, checkpointed, map_texts
+from .shared import blocks, checkpointed, in_arrow, map_texts
 from .words import BASE, codepoints, mix, pieces_of, span_hashes, spans_of, word_table
 
 BITS = 18
@@ -140,8 +140,8 @@ def _frequencies(texts: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [pa.array(at), pa.array(counts[1][at]), pa.array(counts[0][at])], ["key", "p", "u"])
 
-    return (texts.select("_text", "_positive").mapInArrow(run, "key long, p long, u long")
-            .groupBy("key").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
+    counted = in_arrow(texts.select("_text", "_positive"), run, "key long, p long, u long")
+    return counted.groupBy("key").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
 def train(
@@ -199,8 +199,8 @@ def train(
                     [pa.array(marks_[first: first + len(block)]), pa.array(own, pa.binary())],
                     ["positive", "at"])
 
-    sample = texts.select("_text", "_positive").mapInArrow(
-        chosen_features, "positive boolean, at binary").collect()
+    sample = in_arrow(texts.select("_text", "_positive"), chosen_features,
+                      "positive boolean, at binary").collect()
     sample.sort(key=lambda r: (r["positive"], r["at"]))
     w, bias = train_nnpu([np.frombuffer(r["at"], "<u4") for r in sample],
                          np.array([r["positive"] for r in sample], bool), len(keys), prior)
@@ -237,4 +237,4 @@ def keep_clean(
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
