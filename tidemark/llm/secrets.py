@@ -10,10 +10,13 @@ guess. That is exact, because from an agreeing state on both runs are the same.
 
 A match of a rule ends with a greedy run of one class, so consecutive accepting bytes are one
 match. Its start is found by walking a reversed automaton back from the first of them.
+
+The rule of private keys matches the line a key begins with; the key itself is found from there.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,13 +33,15 @@ from .shared import blocks, in_arrow, map_texts
 class Rule:
     """A kind of secret. `pattern` ends in a repeated class; shorter matches are dropped.
 
-    `least` counts the characters of the closing run if `tail` is true, else of the match.
+    `least` counts the characters of the closing run if `tail` is true, else of the match. `opens`:
+    the match is the line that a private key begins with, and the secret goes on through the key.
     """
 
     kind: str
     pattern: str
     least: int
     tail: bool = False
+    opens: bool = False
 
 
 VALUE = "[A-Za-z0-9+/_.=-]"
@@ -55,7 +60,7 @@ RULES = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("google", "AIza[0-9A-Za-z_-]+", 39),
     Rule("slack", "xox[abprs]-[0-9A-Za-z-]+", 15),
-    Rule("pem", "-----BEGIN[A-Z ]*PRIVATE KEY[-]+", 25),
+    Rule("pem", "-----BEGIN[A-Z ]*PRIVATE KEY[-]+", 25, opens=True),
 )
 BASE_KINDS = 3
 
@@ -393,6 +398,53 @@ def spans_in(texts: list[str], rules: tuple[Rule, ...] = RULES) -> dict[int, lis
     return out
 
 
+# ---- private keys -------------------------------------------------------------------------------
+
+KEY_END = re.compile("-----END[A-Z ]*PRIVATE KEY-+")
+# What may stand between the lines of a key: breaks, also escaped ones, indents, quotes, comment marks.
+_BETWEEN = r"(?:\\+[nrt]|[^A-Za-z0-9+/=-]|(?<=\s)\+(?=\s)){0,32}+"
+KEY_FIELDS = re.compile(rf"(?:{_BETWEEN}[A-Z][A-Za-z-]+: [^\n\\]*+(?=\n|\\+n|\Z))*+")
+KEY_LINE = re.compile(rf"{_BETWEEN}([A-Za-z0-9+/=]++)")
+# Characters that a line of base64 has at least if it is not a key's last, and at most if it was wrapped.
+LEAST_LINE, MOST_LINE = 16, 76
+
+
+def key_end(text: str, at: int, stop: int) -> int:
+    """Where the private key ends whose first line ends at `at`; `stop`: where the next one begins.
+
+    That is behind its END marker. A key without one ends with the base64 lines that follow: fields
+    such as DEK-Info, lines of at least LEAST_LINE characters, and a shorter one if it may be the last
+    of a wrapped key or the text is cut in it.
+    """
+    if marker := KEY_END.search(text, at, stop):
+        return marker.end()
+    fields = KEY_FIELDS.match(text, at, stop).end()
+    first, full, end = 0, True, at
+    while line := KEY_LINE.match(text, fields if end == at else end, stop):
+        size = len(line[1])
+        first = first or size
+        last = full and first <= MOST_LINE and (end > at or line.end() == len(text))
+        if size < LEAST_LINE and not last:
+            break
+        end, full = line.end(), size == first
+        if size < LEAST_LINE:
+            break
+    return end
+
+
+def secrets_in(texts: list[str], rules: tuple[Rule, ...] = RULES) -> dict[int, list]:
+    """`spans_in` with whole private keys: the span of an opening line goes on through the key."""
+    found = spans_in(texts, rules)
+    for t, spans in found.items():
+        stop = len(texts[t])
+        for i in reversed(range(len(spans))):
+            number, start, end = spans[i]
+            if rules[number].opens:
+                spans[i] = (number, start, key_end(texts[t], end, stop))
+                stop = start
+    return found
+
+
 SPAN_SCHEMA = "doc_id long, text_chars long, spans array<struct<kind:int,start:long,end:long>>"
 
 
@@ -403,13 +455,13 @@ def find_secrets(
     """One row per document: doc_id, text_chars and its spans (rule number, start, end).
 
     Offsets are code points, the end exclusive. Spans of one rule do not overlap; spans of
-    different rules may. A null or empty text has no spans; ids may be null or repeated, each
+    different rules may. The span of a private key is the whole key. A null or empty text has no spans; ids may be null or repeated, each
     row is scanned by itself. Other columns are not read.
     """
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def work(ids, texts):
-        found = spans_in(texts, rules)
+        found = secrets_in(texts, rules)
         rows = [[{"kind": n, "start": s, "end": e} for n, s, e in found.get(i, ())]
                 for i in range(len(texts))]
         return pa.RecordBatch.from_arrays(
@@ -469,7 +521,7 @@ def masked_documents(
         for batch in batches:
             out = batch.column(place).to_pylist()
             for first, block in blocks(batch.column(place), BLOCK):
-                for row, spans in spans_in(block, rules).items():
+                for row, spans in secrets_in(block, rules).items():
                     out[first + row] = masked(block[row], spans, names)
             columns = [pa.array(out, pa.string()) if i == place else c
                        for i, c in enumerate(batch.columns)]
