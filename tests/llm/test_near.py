@@ -290,6 +290,31 @@ def test_items_awkward(spark, awkward, awkward_rows, empty):
         contamination.find_items(awkward, items, threshold=0)
 
 
+def test_items_that_share_an_id_or_have_none_or_few_words(spark):
+    pick = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    one, two, three = (" ".join(pick.sample(vocabulary, 40)) for _ in range(3))
+    items = spark.createDataFrame(
+        [(1, one), (1, two), (1, one), (None, three), (2, "Alpha, beta GAMMA"), (3, "omega"), (4, "?!"),
+         (None, "tau rho")], "item_id int, text string")
+    docs = spark.createDataFrame(
+        [(10, f"a {one} b"), (11, two), (12, f"{one} x {two}"), (13, f"c {three}"),
+         (14, "so alpha beta gamma, they said; alpha beta gamma"), (14, "alpha gamma beta"),
+         (15, "omega"), (15, "omega"), (16, "tau"), (None, "tau rho and omega"), (17, None), (18, "clean ?!")],
+        "doc_id long, text string")
+    named = contamination.find_items(docs, items)
+    assert sorted((r["doc_id"], r["item_id"], r["containment"]) for r in named.collect()) == [
+        (10, 1, 1.0), (11, 1, 1.0), (12, 1, 1.0), (12, 1, 1.0)]
+    found = contamination.find_items(docs, items, all_items=True).drop("_a", "_h").collect()
+    assert as_text(map(tuple, found)) == as_text(
+        [(10, 1, 36, 36, 1.0), (11, 1, 36, 36, 1.0), (12, 1, 36, 36, 1.0), (12, 1, 36, 36, 1.0),
+         (13, None, 36, 36, 1.0), (14, 2, 1, 1, 1.0), (15, 3, 1, 1, 1.0),
+         (None, 3, 1, 1, 1.0), (None, None, 1, 1, 1.0)])
+    left = contamination.without_items(docs, items)
+    assert as_text(map(tuple, left.collect())) == as_text(
+        [(14, "alpha gamma beta"), (16, "tau"), (17, None), (18, "clean ?!")])
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_twins(spark, sf_dir, name):
     con = duckdb.connect()

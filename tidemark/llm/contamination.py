@@ -30,18 +30,31 @@ def _needed(size, threshold: float):
     return F.ceil(F.round(size * threshold, 9))
 
 
-def item_shingles(items: DataFrame, item_column: str, text_column: str, width: int) -> DataFrame:
-    """(item, n_shingles, shingle): distinct shingles of each item.
+def item_texts(items: DataFrame, item_column: str, text_column: str, all_items: bool) -> DataFrame:
+    """(item, item_text, _words): the different texts of every id; without an id if `all_items`."""
+    rows = items.select(F.col(item_column).alias("item"), text_of(text_column).alias("_text"))
+    return rows.where(F.lit(all_items) | F.col("item").isNotNull()).select(
+        "item", F.xxhash64("_text").alias("item_text"), word_list(F.col("_text")).alias("_words")
+    ).dropDuplicates(["item", "item_text"])
 
-    Rows of one item id count as one item with all their shingles; an item without an id or with
-    fewer words than a shingle has none.
+
+def item_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(item, item_text, n_shingles, shingle): distinct shingles of each text of `item_texts`.
+
+    An item is an id and a text: texts that share an id are not mixed. A text with fewer words
+    than a shingle has none here.
     """
-    one = items.where(F.col(item_column).isNotNull()).select(
-        F.col(item_column).alias("item"),
-        F.explode(shingle_texts(word_list(text_of(text_column)), width)).alias("shingle"),
-    ).distinct()
-    sizes = one.groupBy("item").agg(F.count(F.lit(1)).alias("n_shingles"))
-    return one.join(sizes, "item")
+    own = texts.select("item", "item_text",
+                       F.array_distinct(shingle_texts(F.col("_words"), width)).alias("_all"))
+    return own.select("item", "item_text", F.size("_all").cast("long").alias("n_shingles"),
+                      F.explode("_all").alias("shingle"))
+
+
+def short_items(texts: DataFrame, width: int) -> DataFrame:
+    """(item, item_text, n_words, shingle): texts of 1 to `width` - 1 words, one shingle each."""
+    n = F.size("_words")
+    return texts.where((n > 0) & (n < width)).select(
+        "item", "item_text", n.alias("n_words"), F.array_join("_words", " ").alias("shingle"))
 
 
 def _hash_of(shingle: str, width: int):
@@ -50,15 +63,16 @@ def _hash_of(shingle: str, width: int):
 
 
 def item_sketches(shingles: DataFrame, threshold: float, width: int) -> DataFrame:
-    """(size_class, item, hash): the sketch of every item, smallest hashes first.
+    """(size_class, item, item_text, hash): the sketch of every item, smallest hashes first.
 
     An item's hashes are gathered in one row: they are as many as the item has words.
     """
-    hashed = shingles.select("item", "n_shingles", _hash_of("shingle", width).alias("hash"))
+    hashed = shingles.select("item", "item_text", "n_shingles", _hash_of("shingle", width).alias("hash"))
     k = F.col("n_shingles") - _needed(F.col("n_shingles"), threshold) + 1
     return (
-        hashed.groupBy("item", "n_shingles").agg(F.array_sort(F.collect_set("hash")).alias("all"))
-        .select(F.floor(F.log2("n_shingles")).cast("int").alias("size_class"), "item",
+        hashed.groupBy("item", "item_text", "n_shingles")
+        .agg(F.array_sort(F.collect_set("hash")).alias("all"))
+        .select(F.floor(F.log2("n_shingles")).cast("int").alias("size_class"), "item", "item_text",
                 F.explode(F.slice("all", F.lit(1), k.cast("int"))).alias("hash"))
     )
 
@@ -66,18 +80,21 @@ def item_sketches(shingles: DataFrame, threshold: float, width: int) -> DataFram
 def find_items(
     docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD,
-    width: int = WIDTH,
+    width: int = WIDTH, all_items: bool = False,
 ) -> DataFrame:
     """One row per document and item in it: doc_id, item_id, n_shared, n_shingles, containment,
     and the row key (_a, _h) of the document.
 
     Null texts count as empty and hold nothing; documents with equal id and text count once;
-    ids may be null. Items with fewer than `width` words are in no document. Other columns of
-    either table are not read.
+    ids may be null. Every different text of an item id is an item of its own, equal ones count
+    once. `all_items`: also items without an id (item_id is null) and those with fewer than `width`
+    words, which are one shingle of all their words; else both are in no document. Other columns
+    of either table are not read.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    shingles = checkpointed(item_shingles(items, item_column, item_text, width))
+    named = checkpointed(item_texts(items, item_column, item_text, all_items))
+    shingles = checkpointed(item_shingles(named, width))
     sketches = checkpointed(item_sketches(shingles, threshold, width))
     # one row per size class, of which there are at most 32
     cuts = sketches.groupBy("size_class").agg(
@@ -99,21 +116,46 @@ def find_items(
         F.explode(F.array_distinct(shingle_texts(words, width))).alias("shingle"))
     few = shingles.count() <= BROADCAST_ROWS
     shared = held.join(F.broadcast(shingles) if few else shingles, "shingle")
-    return (
-        shared.distinct().groupBy("_id", "_a", "_h", "item", "n_shingles")
+    found = (
+        shared.distinct().groupBy("_id", "_a", "_h", "item", "item_text", "n_shingles")
         .agg(F.count(F.lit(1)).alias("n_shared"))
         .where(F.col("n_shared") >= _needed(F.col("n_shingles"), threshold))
-        .select(F.col("_id").alias("doc_id"), F.col("item").alias("item_id"), "n_shared",
-                "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"),
-                "_a", "_h")
+        .select("_id", "_a", "_h", "item", "n_shared", "n_shingles")
     )
+    if all_items:
+        found = _with_short(found, texts, short_items(named, width))
+    return found.select(
+        F.col("_id").alias("doc_id"), F.col("item").alias("item_id"), "n_shared", "n_shingles",
+        (F.col("n_shared") / F.col("n_shingles")).alias("containment"), "_a", "_h")
+
+
+def _with_short(found: DataFrame, texts: DataFrame, short: DataFrame) -> DataFrame:
+    """`found` and a row for every short item that a text holds as a run of words."""
+    # one row per number of words, fewer than a shingle has
+    widths = {r["n_words"]: r["n"] for r in short.groupBy("n_words").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    if not widths:
+        return found
+    # words hold no blanks, so runs of different numbers of words differ
+    runs = F.flatten(F.transform(F.array(word_list(F.col("_text"))), lambda words: F.flatten(
+        F.array(*[shingle_texts(words, n) for n in sorted(widths)]))))
+    few = sum(widths.values()) <= BROADCAST_ROWS
+    held = texts.dropDuplicates(["_a", "_h"]).select(
+        "_id", "_a", "_h", F.explode(F.array_distinct(runs)).alias("shingle"))
+    return found.unionByName(held.join(F.broadcast(short) if few else short, "shingle").select(
+        "_id", "_a", "_h", "item", F.lit(1).cast("long").alias("n_shared"),
+        F.lit(1).cast("long").alias("n_shingles")))
 
 
 def without_items(
     docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     **options,
 ) -> DataFrame:
-    """The rows and columns of `docs` that hold no item. Rows that repeat stay or go together."""
+    """The rows and columns of `docs` that hold no item, short ones and those without an id included.
+
+    Rows that repeat stay or go together.
+    """
+    options = {"all_items": True, **options}
     found = find_items(docs, items, id_column, text_column, **options)
     a, h = row_key(id_column, text_column)
     gone = found.select(F.col("_a").alias("_gone_a"), F.col("_h").alias("_gone_h")).distinct()

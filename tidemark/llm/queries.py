@@ -43,7 +43,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_items(
-        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("_a", "_h")
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), all_items=True,
+    ).drop("_a", "_h")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
