@@ -130,6 +130,43 @@ def test_a_sample_is_bounded_whatever_repeats(spark):
     assert sampling.capped(many, "lang", ["id"], 1, most_groups=10).count() <= 10
 
 
+def test_every_language_is_learned(spark):
+    """More languages than 40, rare ones and ones of which nearly all rows are one row or no text."""
+    pick = np.random.default_rng(4)
+    # every language has letters of its own
+    letters = {f"l{i:02}": [chr(0x4E00 + 40 * i + k) for k in range(40)] for i in range(60)}
+
+    def text(lang):
+        return " ".join("".join(pick.choice(letters[lang], 4)) for _ in range(12))
+
+    rows = [(lang, text(lang)) for i, lang in enumerate(letters) for _ in range(30 - i // 3)]
+    rows += [("l59", "12 34")] * 300 + [("l58", "?")] * 300
+    rows += [("only", "ßßß ßßß ßßß")] * 300
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True))
+    assert model.languages == [*letters, "only"]
+    new = [(lang, text(lang)) for lang in letters] + [("only", "ßß ßßß")]
+    got = [model.predict(langid.gram_counts([t])[0])[0] for _, t in new]
+    assert got == [lang for lang, _ in new]
+
+
+def test_a_sample_has_every_group(spark):
+    rows = [(f"g{i}", k, "a") for i in range(70) for k in range(40)]
+    rows += [("same", 1, "a")] * 5000 + [("nothing", k, "?") for k in range(50)] + [("mixed", 0, "a")]
+    rows += [("mixed", k, "?") for k in range(1, 5000)]
+    frame = spark.createDataFrame(rows, "lang string, k long, text string")
+    for most_rows in (1, 73, 700):
+        sample = sampling.of_every_group(
+            frame, "lang", ["lang", "k", "text"], 1500, most_rows, F.col("text") == "a")
+        found = sample.where("text = 'a'").select("lang").distinct().count()
+        assert found == 72
+        assert sample.count() < 1.5 * max(most_rows, 73) + 73  # and the sure one of each
+        assert sample.columns == frame.columns
+    one = sampling.of_every_group(frame, "lang", ["k", "text"], 10, 60_000, F.col("text") == "a")
+    assert one.groupBy("lang").count().agg(F.max("count")).first()[0] < 30
+
+
 def test_long_texts_are_read_whole():
     part = "ähnlich Wörter und mehr. " * 60_000
     assert len(part) > langid.BLOCK_CHARS

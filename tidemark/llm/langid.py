@@ -18,16 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import capped
+from .sampling import of_every_group
 from .shared import BLOCK_CHARS, blocks, in_arrow
 from .words import codepoints
 
 BITS = 15
 DIMS = 1 << BITS
 ORDERS = 3
-# Rows of each language, at most about so many, that the weights are learned from, and how many
-# languages, the most frequent ones, are learned.
-SAMPLE_PER_LANGUAGE, LANGUAGES = 1500, 40
+# Rows of each language, at most about so many, that the weights are learned from, and of all
+# languages together: with more than 40, each has less rows, but one at least.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 1500, 60_000
 UNKNOWN = "und"
 
 
@@ -200,14 +200,16 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
 def train(
     docs: DataFrame, may_learn: Column, id_column: str = "doc_id", text_column: str = "text",
     lang_column: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE,
-    most_languages: int = LANGUAGES,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> Model:
     """Learn from the rows where `may_learn` holds and the language is not null.
 
-    Document frequencies count all of these rows; the weights are learned from about
-    `sample_per_language` rows of each of the `most_languages` most frequent languages at most
-    (some 10 kB a row reach the driver). Nine tenths of the sample give the weights, the rest the
-    temperature. Without any row the model knows no language.
+    Every language with a letter in some text is learned. Document frequencies count all of these
+    rows; the weights are learned from about `sample_per_language` rows of each language at most and
+    `sample_rows` in all (some 10 kB a row reach the driver), one row of every language at least.
+    The weights take memory in proportion to the languages. Nine tenths of the sample give the
+    weights, the rest the temperature; the only rows of a language give weights. Without any row the
+    model knows no language.
     """
     learn = docs.where(may_learn & F.col(lang_column).isNotNull()).select(
         F.col(id_column).alias("_id"), F.col(text_column).alias("_text"),
@@ -220,11 +222,13 @@ def train(
                 last = first + len(block)
                 yield _pack(gram_counts(block), labels[first:last], keys[first:last])
 
-    chosen = capped(learn, "_lang", ["_id", "_text"], sample_per_language, most_languages)
+    chosen = of_every_group(learn, "_lang", ["_id", "_text"], sample_per_language, sample_rows,
+                            F.col("_text").rlike(r"\p{L}"))
     sample = in_arrow(
         chosen.select(F.xxhash64("_id", "_text").alias("_key"), "_text", "_lang"), vectors,
         "label string, key long, at binary, counts binary").collect()
     languages = sorted({r["label"] for r in sample})
+    place = {lang: i for i, lang in enumerate(languages)}
     idf = np.zeros(DIMS, np.float32)
     if not languages:
         return Model([], idf, np.zeros((DIMS, 0), np.float32), np.zeros(0, np.float32), 1.0)
@@ -232,13 +236,14 @@ def train(
     total = frequencies.pop(-1)
     at = np.fromiter(frequencies, np.int64, len(frequencies))
     idf[at] = np.log((1 + total) / (1 + np.fromiter(frequencies.values(), np.int64, len(at)))) + 1
+    learned = {r["label"] for r in sample if r["key"] % 10}
     rows, apart = [], []
     for r in sorted(sample, key=lambda r: (r["key"], r["label"])):
         counts = np.zeros(DIMS, np.int64)
         counts[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["counts"], "<u4")
-        (apart if r["key"] % 10 == 0 else rows).append(
-            (*tf_idf(counts, idf), languages.index(r["label"])))
-    weights, bias = train_ftrl(rows or apart, len(languages))
+        (apart if r["key"] % 10 == 0 and r["label"] in learned else rows).append(
+            (*tf_idf(counts, idf), place[r["label"]]))
+    weights, bias = train_ftrl(rows, len(languages))
     logits = np.array([v @ weights[at] + bias for at, v, _ in apart]).reshape(-1, len(languages))
     return Model(languages, idf, weights, bias,
                  fitted_temperature(logits, np.array([y for *_, y in apart], np.int64)))

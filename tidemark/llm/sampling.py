@@ -28,6 +28,26 @@ def capped(
     return chosen.dropDuplicates([*keys, group])
 
 
+def of_every_group(
+    rows: DataFrame, group: str, keys: list[str], most: int, most_rows: int, sure: Column
+) -> DataFrame:
+    """About `most` different rows at most of each group and `most_rows` of all, by a hash as in `capped`.
+
+    No group is left out: with many groups each has fewer rows, and of every group that has rows
+    where `sure` holds, the one with the least hash is always chosen. One count per group passes
+    the driver.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(_SLOTS))
+    sizes = rows.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(sure, slot)).alias("first")).collect()
+    most = min(most, max(1, most_rows // max(1, len(sizes))))
+    rates = [(r[group], min(_SLOTS, int(_SLOTS * most / r["n"])), r["first"]) for r in sizes]
+    rate = rows.sparkSession.createDataFrame(rates, f"{group} string, _rate long, _first long")
+    chosen = rows.join(F.broadcast(rate), group).where(
+        (slot < F.col("_rate")) | (slot == F.col("_first")))
+    return chosen.select(*rows.columns).dropDuplicates([*keys, group])
+
+
 def with_texts(docs: DataFrame, sample: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """The sample's rows with their texts. The sample is bounded, so it may be broadcast.
 
