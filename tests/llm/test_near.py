@@ -229,6 +229,45 @@ def test_search_is_complete(spark, radius, blocks):
     assert {r[0]: r[1] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("radius, blocks", [(0, 1), (1, 3), (3, 5), (4, 8)])
+def test_pairs_are_complete(spark, radius, blocks):
+    pick = random.Random(radius)
+    base = [pick.getrandbits(64) for _ in range(4)]
+    values = {pick.choice(base) ^ sum(1 << k for k in pick.sample(range(64), pick.randint(0, 5)))
+              for _ in range(200)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in values]
+    frame = spark.createDataFrame([(x,) for x in signed], "_print long")
+    got = simhash.near_pairs(frame, frame.where("_print % 2 = 0"), radius, blocks).collect()
+    bits = lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1")
+    assert as_text(map(tuple, got)) == as_text(
+        (x, y, bits(x, y)) for x in signed if x % 2 == 0 for y in signed if bits(x, y) <= radius)
+
+
+def test_near_documents_are_named(spark, awkward, awkward_rows, documents, empty):
+    pick = random.Random(8)
+    long = [words(t) for _, t in documents if len(words(t)) > 150][:10]
+    rows = [(100 * i + k, " ".join(w if pick.random() > 0.004 * k else "other" for w in own))
+            for i, own in enumerate(long) for k in range(5)]
+    rows += [(9000 + i, t) for i, t in rows[:3]] + [r[:2] for r in awkward_rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pairs, members = simhash.near_documents(frame)
+    assert pairs.columns == ["fingerprint", "near_fingerprint", "distance"]
+    of = {(i, t or ""): fingerprint(t or "") for i, t in rows}
+    null = {(None, ""): of[None, ""]}
+    want = defaultdict(int)
+    for i, t in rows:
+        want[f"{of[i, t or '']:016x}", i, t or ""] += 1
+    assert as_text(map(tuple, members.collect())) == as_text(
+        (f, i, n) for (f, i, _), n in want.items())
+    prints = sorted({x - (1 << 64) if x >> 63 else x for x in [*of.values(), *null.values()]})
+    hexed = lambda x: f"{x & (1 << 64) - 1:016x}"
+    bits = lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1")
+    expected = [(hexed(x), hexed(y), bits(x, y)) for n, x in enumerate(prints)
+                for y in prints[n + 1:] if bits(x, y) <= 3]
+    assert expected and as_text(map(tuple, pairs.collect())) == as_text(expected)
+    assert [x.count() for x in simhash.near_documents(empty)] == [0, 0]
+
+
 # ---- benchmark items -------------------------------------------------------------------------------
 
 

@@ -176,30 +176,72 @@ def block_masks(radius: int, blocks: int) -> list[int]:
     return [m - (1 << BITS) if m >> 63 else m for m in masks]
 
 
-def count_near(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(_print, _within): for query fingerprints, the documents within the radius, itself included.
+def near_pairs(
+    prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS
+) -> DataFrame:
+    """(_one, _other, _distance): pairs of a query fingerprint and one within the radius, itself too.
 
-    `prints`: (_print, _copies, _query) by document. Equal fingerprints are one row with a count
-    before any table is built, so copies are never paired.
+    `queries` and `prints` hold distinct values of _print; a pair appears once per direction in which
+    its first value is a query.
     """
-    distinct = checkpointed(prints.groupBy("_print").agg(
-        F.sum("_copies").alias("_copies"), F.max("_query").alias("_query")))
     masks = block_masks(radius, blocks)
 
     def keyed(rows, name):
         keys = F.array(*[
             F.struct(F.lit(i).alias("_table"), F.col("_print").bitwiseAND(F.lit(m)).alias("_block"))
             for i, m in enumerate(masks)])
-        return rows.select(F.col("_print").alias(name), "_copies", F.inline(keys))
+        return rows.select(F.col("_print").alias(name), F.inline(keys))
 
     differ = F.col("_one").bitwiseXOR(F.col("_other"))
     first_table = F.lit(len(masks))
     for i in reversed(range(len(masks))):
         agree = differ.bitwiseAND(F.lit(masks[i])) == 0
         first_table = F.when(agree, F.lit(i)).otherwise(first_table)
-    q = keyed(distinct.where("_query"), "_one").drop("_copies").alias("q")
-    d = keyed(distinct, "_other").alias("d")
+    q = keyed(queries, "_one").alias("q")
+    d = keyed(prints, "_other").alias("d")
     found = q.join(d, (F.col("q._table") == F.col("d._table"))
                    & (F.col("q._block") == F.col("d._block"))
                    & (F.bit_count(differ) <= radius) & (first_table == F.col("d._table")))
-    return found.groupBy(F.col("_one").alias("_print")).agg(F.sum("_copies").alias("_within"))
+    return found.select("_one", "_other", F.bit_count(differ).alias("_distance"))
+
+
+def near_documents(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS,
+    blocks: int = BLOCKS,
+) -> tuple[DataFrame, DataFrame]:
+    """All near documents, as two tables: pairs of fingerprints, and the documents of a fingerprint.
+
+    Pairs: fingerprint, near_fingerprint and distance; every pair of different fingerprints within
+    `radius` bits once, the one with the smaller number (signed) first. Members: fingerprint, doc_id and
+    n_rows, the rows of that id and text. Documents are near if they are members of one fingerprint or of
+    the two of a pair, so copies are never paired. Ids may be null. Other columns are not read.
+    """
+    a, h = row_key(id_column, text_column)
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), a.alias("_a"), h.alias("_h"),
+                       text_of(text_column).alias("_text"))
+    ids = rows.groupBy("_a", "_h").agg(
+        F.first("_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"))
+    members = checkpointed(
+        fingerprints(rows.select("_a", "_h", "_text")).join(ids, ["_a", "_h"])
+        .select(F.col("fingerprint").alias("_print"), "doc_id", "n_rows"))
+    distinct = checkpointed(members.select("_print").distinct())
+    pairs = near_pairs(distinct, distinct, radius, blocks).where(F.col("_one") < F.col("_other"))
+    return (
+        pairs.select(as_hex(F.col("_one")).alias("fingerprint"),
+                     as_hex(F.col("_other")).alias("near_fingerprint"),
+                     F.col("_distance").alias("distance")),
+        members.select(as_hex(F.col("_print")).alias("fingerprint"), "doc_id", "n_rows"))
+
+
+def count_near(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(_print, _within): for query fingerprints, the documents within the radius, itself included.
+
+    `prints`: (_print, _copies, _query) by document. Equal fingerprints are one row with a count
+    before any table is built, so copies are never paired.
+    """
+    distinct = checkpointed(prints.groupBy("_print").agg(
+        F.sum("_copies").alias("_copies"), F.max("_query").alias("_query")))
+    pairs = near_pairs(distinct.select("_print"), distinct.where("_query"), radius, blocks)
+    copies = distinct.select(F.col("_print").alias("_other"), "_copies")
+    return pairs.join(copies, "_other").groupBy(F.col("_one").alias("_print")).agg(
+        F.sum("_copies").alias("_within"))
