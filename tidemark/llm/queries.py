@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bin_slack, contamination, langid, ngram_join, quality, secrets
+from . import alignment, best_fit, bin_slack, contamination, langid, ngram_join, quality, secrets
 from . import separators, simhash, toxicity
 from .shared import fold, read, shared_path
 
@@ -72,6 +72,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align_corpus(read(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select(*found.columns[:-1], digest.alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_bin_slack_packing": op9_bin_slack_packing,
     "op10_toxicity": op10_toxicity,
+    "op13_token_alignment": op13_token_alignment,
 }
 # Words and shingles of the twins: the same definition, in DuckDB's functions.
 _SHINGLES = """

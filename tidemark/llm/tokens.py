@@ -39,3 +39,10 @@ def token_ids(text: str, path: str | None = None, special: bool = True) -> np.nd
     if SPECIAL not in text or not special:
         return np.asarray(encoding.encode_to_numpy(text, disallowed_special=()), np.uint32)
     return np.asarray(encoding.encode_to_numpy(text, allowed_special="all"), np.uint32)
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str | None = None) -> tuple[bytes, ...]:
+    """The bytes of every id of the vocabulary, without the special token."""
+    encoding = _encoding(path)
+    return tuple(encoding.decode_single_token_bytes(i) for i in range(END_OF_TEXT))
