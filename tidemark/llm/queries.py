@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, best_fit, bin_slack, contamination, langid, ngram_join, quality, secrets
-from . import separators, simhash, toxicity
+from . import separators, simhash, toxicity, warc
 from .shared import fold, read, shared_path
 
 
@@ -72,6 +72,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc.write_packages(read(spark, sf_dir, "pages"))
+    return warc.page_records(warc.read_packages(packages))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.align_corpus(read(spark, sf_dir, "documents"))
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_bin_slack_packing": op9_bin_slack_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_warc": op11_warc,
     "op13_token_alignment": op13_token_alignment,
 }
 # Words and shingles of the twins: the same definition, in DuckDB's functions.
