@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, best_fit, bin_slack, contamination, langid, ngram_join, quality, secrets
-from . import separators, simhash, toxicity, warc
+from . import alignment, best_fit, bin_slack, contamination, langid, lexical, ngram_join, quality
+from . import secrets, separators, simhash, toxicity, warc
 from .shared import fold, read, shared_path
 
 
@@ -77,6 +77,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read_packages(packages))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.align_corpus(read(spark, sf_dir, "documents"))
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bin_slack_packing": op9_bin_slack_packing,
     "op10_toxicity": op10_toxicity,
     "op11_warc": op11_warc,
+    "op12_lexical_search": op12_lexical_search,
     "op13_token_alignment": op13_token_alignment,
 }
 # Words and shingles of the twins: the same definition, in DuckDB's functions.
@@ -104,6 +109,9 @@ FROM (SELECT {id}, w, unnest(range(1, len(w) - 3)) AS i FROM (
   SELECT {id}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS w
   FROM {table}))"""
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
 ORACLE: dict[str, str] = {
     "op1_ngram_join": r"""
 WITH RECURSIVE words AS (
@@ -137,4 +145,21 @@ SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, n_shingles,
   count(*) / n_shingles AS containment
 FROM d JOIN b USING (shingle) JOIN n ON n.id = b.id
 GROUP BY d.id, b.id, n_shingles HAVING count(*) >= ceil(round(n_shingles * 0.8, 9))""",
+    "op12_lexical_search": f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+  held AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d),
+  counted AS (SELECT doc_id, n, term, count(*) AS tf FROM held GROUP BY ALL),
+  total AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms
+    FROM d),
+  weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))
+    AS BIGINT) AS w FROM counted, total GROUP BY term),
+  item AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term
+    FROM benchmark)),
+  scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) //
+      (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM item JOIN counted USING (term) JOIN weight USING (term), total GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT)
+  AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10""",
 }
