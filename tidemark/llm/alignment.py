@@ -31,15 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .perfect_hash import PerfectHash
-from .pieces import piece_bytes, piece_ids
+from .pieces import piece_bytes, piece_ids, word_starts
 from .shared import blocks, in_arrow
 from .stored import new_name, read_arrays, scratch_folder, write_arrays
 from .tokens import token_bytes, token_ids
 from .words import mix
 
 SHARD_PAIRS = 1 << 16
-# Distinct pairs that a task gathers before it writes them, and links that one lookup takes.
-HELD_PAIRS, LOOKUP_LINKS = 1 << 20, 1 << 20
+# Distinct pairs that a task gathers before it writes them, and code points whose new words are
+# looked up together.
+HELD_PAIRS, LOOKUP_CHARS = 1 << 20, 1 << 18
+# Words whose alignments a task keeps, and links of them.
+KEPT_WORDS, KEPT_LINKS = 1 << 18, 1 << 21
 # Vectors that one task adds up, and bytes of shards that a worker keeps.
 FAN_IN, KEPT_BYTES = 16, 64 << 20
 RESULT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
@@ -67,8 +70,6 @@ def _tables(v: Vocabularies) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
 def _encoded(text: str, v: Vocabularies) -> tuple[np.ndarray, np.ndarray, int] | None:
     """Ids A, ids B and the number of bytes; None if either does not give the bytes back."""
-    if not text:
-        return None
     raw = (" " + text).encode()
     a, b = token_ids(" " + text, v.a, special=False), piece_ids(text, v.b)
     bytes_a, bytes_b = token_bytes(v.a), piece_bytes(v.b)
@@ -79,7 +80,7 @@ def _encoded(text: str, v: Vocabularies) -> tuple[np.ndarray, np.ndarray, int] |
 
 
 class Aligned:
-    """The alignment of a block of texts: arrays over all their tokens, links and groups."""
+    """The alignment of some texts: arrays over all their tokens, links and groups."""
 
     def __init__(self, texts: list[str], v: Vocabularies):
         self.v, self.size = v, len(texts)
@@ -110,13 +111,8 @@ class Aligned:
         self.group_a, self.group_b = before[self.end_a], before[self.end_b]
         self.n_groups = np.diff(np.cumsum(both)[stops], prepend=0) if kept else none
 
-    def distinct_pairs(self) -> np.ndarray:
-        """Every document's distinct pairs, one document after the other."""
-        n = len(_tables(self.v)[0]) * _tables(self.v)[3]
-        return np.unique(self.link_doc * n + self.pairs) % n
-
     def groups(self) -> list[str]:
-        """Each text's groups as `a1,a2|b1;a3|b2`; empty without tokens."""
+        """Each text's groups as written digits and separators; empty without tokens."""
         written = _tables(self.v)[2]
         last_a = np.append(np.diff(self.group_a) > 0, True)[: len(self.a)]
         last_b = np.append(np.diff(self.group_b) > 0, True)[: len(self.b)]
@@ -133,11 +129,11 @@ class Aligned:
         of_kept = iter(text[start: stop - 1] for start, stop in zip([0, *stops], stops))
         return [next(of_kept) if has else "" for has in self.has]
 
-    def per_text(self, kept: np.ndarray) -> pa.Array:
+    def per_text(self, kept: np.ndarray) -> np.ndarray:
         """Numbers of the texts with tokens, 0 for the others."""
         spread = np.zeros(self.size, np.int64)
         spread[self.has] = kept
-        return pa.array(spread)
+        return spread
 
     def sums(self, of_links: np.ndarray) -> np.ndarray:
         running = np.concatenate([[0], np.cumsum(of_links, dtype=np.int64)])
@@ -145,6 +141,130 @@ class Aligned:
         return running[stops] - running[stops - self.n_links]
 
 
+class Words:
+    """Alignments of words, each known by a number while it is kept.
+
+    Both tokenizers begin a token at a space that follows something else (`word_starts`), so a text's
+    alignment is that of its words one after the other, and a word that was seen before costs a
+    lookup. The words used most are kept when there are too many.
+    """
+
+    NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+
+    def __init__(self, v: Vocabularies, values=None):
+        """`values(pairs, ids of A)`: two numbers for each link, that n_best and count_sum add up."""
+        self.v, self.values = v, values
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.table = np.zeros((len(self.NUMBERS), 1024), np.int64)
+        self.has = np.zeros(1024, bool)
+        self.uses = np.zeros(1024, np.int64)
+        # distinct pairs of the words, one word after the other
+        self.pairs, self.stops = np.zeros(1024, np.int64), np.zeros(1025, np.int64)
+
+    def _add(self, words: list[str]) -> None:
+        found, n = Aligned(words, self.v), len(self.groups)
+        zeros = np.zeros(len(found.pairs), np.int64)
+        best, count = self.values(found.pairs, found.link_a) if self.values else (zeros, zeros)
+        new = np.array([found.per_text(x) for x in (
+            found.n_a, found.n_b, found.n_groups, found.n_links, found.sums(best),
+            found.sums(count))])
+        while n + len(words) > len(self.has):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+            self.has, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (
+                self.has, self.uses))
+            self.stops = np.concatenate([self.stops, np.zeros(len(self.stops) - 1, np.int64)])
+        self.table[:, n: n + len(words)] = new
+        self.has[n: n + len(words)] = found.has
+        word = np.flatnonzero(found.has)[found.link_doc]
+        size = len(_tables(self.v)[0]) * _tables(self.v)[3]
+        distinct = np.unique(word * size + found.pairs)
+        at = int(self.stops[n])
+        while at + len(distinct) > len(self.pairs):
+            self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
+        self.pairs[at: at + len(distinct)] = distinct % size
+        self.stops[n + 1: n + 1 + len(words)] = at + np.searchsorted(
+            distinct // size, np.arange(len(words)), "right")
+        self.groups += found.groups()
+        self.number.update(zip(words, range(n, n + len(words))))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The numbers of the words; they hold until the next call."""
+        if len(self.groups) > KEPT_WORDS or self.stops[len(self.groups)] > KEPT_LINKS:
+            self._forget()
+        look_up = self.number.get
+        found = np.array([look_up(w, -1) for w in words], np.int64)
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            self._add(list(dict.fromkeys(words[i] for i in missing)))
+            found[missing] = [self.number[words[i]] for i in missing]
+        self.uses[: len(self.groups)] += np.bincount(found, minlength=len(self.groups))
+        return found
+
+    def _forget(self) -> None:
+        n = len(self.groups)
+        uses, links = self.uses[:n], np.diff(self.stops[: n + 1])
+        order = np.argsort(-uses, kind="stable")
+        keep = order[(np.cumsum(links[order]) <= KEPT_LINKS // 2) & (uses[order] > 1)]
+        keep = np.sort(keep[: KEPT_WORDS // 2])
+        names = list(self.number)
+        kept = self.__class__(self.v, self.values)
+        kept.number = {names[i]: at for at, i in enumerate(keep.tolist())}
+        kept.groups = [self.groups[i] for i in keep.tolist()]
+        room = 1 << max(10, len(keep).bit_length())
+        kept.table = np.zeros((len(self.NUMBERS), room), np.int64)
+        kept.table[:, : len(keep)] = self.table[:, keep]
+        kept.has, kept.uses = np.zeros(room, bool), np.zeros(room, np.int64)
+        kept.has[: len(keep)] = self.has[keep]
+        kept.pairs = self.pairs_of(keep)
+        kept.pairs = np.concatenate([kept.pairs, np.zeros(1024, np.int64)])
+        kept.stops = np.zeros(room + 1, np.int64)
+        kept.stops[1: len(keep) + 1] = np.cumsum(links[keep])
+        self.__dict__ = kept.__dict__
+
+    def pairs_of(self, numbers: np.ndarray) -> np.ndarray:
+        starts, stops = self.stops[numbers], self.stops[numbers + 1]
+        n = stops - starts
+        return self.pairs[np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n)]
+
+
+class Texts:
+    """The words of a block of texts, and which text each is of."""
+
+    def __init__(self, texts: list[str], words: Words):
+        split = [word_starts(t, words.v.b) if t else [] for t in texts]
+        self.words, self.n = words, np.array([len(w) for w in split], np.int64)
+        self.numbers = words.of([w for of in split for w in of])
+        self.text = np.repeat(np.arange(len(texts)), self.n)
+        # one word that does not give its bytes back leaves the whole text without tokens
+        bad = np.bincount(self.text[~words.has[self.numbers]], minlength=len(texts)) > 0
+        self.has = (self.n > 0) & ~bad
+
+    def distinct_pairs(self) -> np.ndarray:
+        """Every text's distinct pairs, one text after the other."""
+        size = len(_tables(self.words.v)[0]) * _tables(self.words.v)[3]
+        n = len(self.words.groups)
+        used = self.has[self.text]
+        once = np.unique(self.text[used] * n + self.numbers[used])
+        text, number = once // n, once % n
+        links = self.words.stops[number + 1] - self.words.stops[number]
+        return np.unique(np.repeat(text, links) * size + self.words.pairs_of(number)) % size
+
+    def sums(self) -> np.ndarray:
+        """The words' numbers added up for each text; 0 for texts without tokens."""
+        running = np.zeros((len(Words.NUMBERS), len(self.numbers) + 1), np.int64)
+        np.cumsum(self.words.table[:, self.numbers], axis=1, out=running[:, 1:])
+        stops = np.cumsum(self.n)
+        return (running[:, stops] - running[:, stops - self.n]) * self.has
+
+    def groups(self) -> list[str]:
+        """Each text's groups as `a1,a2|b1;a3|b2`; empty without tokens."""
+        written, numbers = self.words.groups, self.numbers.tolist()
+        stops = np.cumsum(self.n).tolist()
+        return [";".join([written[i] for i in numbers[start: stop]]) if has else ""
+                for has, start, stop in zip(self.has, [0, *stops], stops)]
+
+
 def _hashes(pairs: np.ndarray) -> np.ndarray:
     """A pair's hash as a 31-bit number, whose ranges are the shards."""
     return (mix(pairs.astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
@@ -176,10 +296,10 @@ def seen_pairs(docs: DataFrame, text_column: str, v: Vocabularies) -> DataFrame:
                 [pa.array(x) for x in (place, hashes[order], pairs[order], n[order])],
                 ["part", "hash", "pair", "n"])
 
-        held, size = [], 0
+        held, size, words = [], 0, Words(v)
         for batch in batches:
             for _, texts in blocks(batch.column(0)):
-                held.append(np.unique(Aligned(texts, v).distinct_pairs(), return_counts=True))
+                held.append(np.unique(Texts(texts, words).distinct_pairs(), return_counts=True))
                 size += len(held[-1][0])
                 if size >= HELD_PAIRS:
                     held = [part(held)]
@@ -381,29 +501,20 @@ def align(
     has not seen count 0. Every row has a row of its own, repeated ones and null ids too; other
     columns are not read.
     """
-    def run(batches):
-        def rows(held):
-            found = _looked_up(np.concatenate([x.pairs for _, x in held]), counts)
-            stops = np.cumsum([len(x.pairs) for _, x in held])
-            for (ids, x), stop in zip(held, stops):
-                n = found[stop - len(x.pairs): stop]
-                numbers = (x.n_a, x.n_b, x.n_groups, x.n_links,
-                           x.sums((n == counts.best[x.link_a]) & (n > 0)), x.sums(n))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, *map(x.per_text, numbers), pa.array(x.groups(), pa.string())],
-                    [c.split()[0] for c in RESULT.split(", ")])
+    def values(pairs, ids):
+        n = _looked_up(pairs, counts)
+        return (n == counts.best[ids]) & (n > 0), n
 
-        held, size = [], 0
+    def run(batches):
+        words = Words(v, values)
         for batch in batches:
             ids = batch.column(0)
-            for first, texts in blocks(batch.column(1)):
-                held.append((ids.slice(first, len(texts)), Aligned(texts, v)))
-                size += len(held[-1][1].pairs)
-                if size >= LOOKUP_LINKS:
-                    yield from rows(held)
-                    held, size = [], 0
-        if held:
-            yield from rows(held)
+            for first, texts in blocks(batch.column(1), LOOKUP_CHARS):
+                found = Texts(texts, words)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(first, len(texts)), *map(pa.array, found.sums()),
+                     pa.array(found.groups(), pa.string())],
+                    [c.split()[0] for c in RESULT.split(", ")])
 
     return in_arrow(docs.select(
         F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_text")), run, RESULT)

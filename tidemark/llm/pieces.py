@@ -8,12 +8,9 @@ from functools import lru_cache
 import sentencepiece
 
 SPACE = "▁"
-# Texts are encoded in parts of about so many code points, so that the library's memory does not
-# grow with the longest text.
-PART_CHARS = 1 << 15
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-# a part is not empty: the encoder would put no space in front of nothing
-_CUT = re.compile(f"(?<=[^ {SPACE}]) (?=.)", re.DOTALL)
+# A space that follows neither white space nor what the model reads as a space, before the end.
+_START = re.compile(rf"(?<=[^\s{SPACE}]) (?=.)", re.DOTALL)
 
 
 @lru_cache(maxsize=2)
@@ -48,18 +45,16 @@ def piece_bytes(path: str | None = None) -> tuple[bytes, ...]:
     return tuple(of(i) for i in range(encoder.get_piece_size()))
 
 
-def parts(text: str, limit: int = PART_CHARS) -> list[str]:
-    """The text cut at single word starts, each part without the space that the encoder adds."""
-    found, at = [], 0
-    while len(text) - at > limit and (cut := _CUT.search(text, at + limit)):
-        found.append(text[at: cut.start()])
-        at = cut.end()
-    return [*found, text[at:]]
+def word_starts(text: str, path: str | None = None) -> list[str]:
+    """The text cut where a space follows something else, without that space.
+
+    The encoder puts it back in front of each part, and the parts' ids one after the other are the
+    text's. Byte-level BPE with a pattern that takes at most one space in front of a word has
+    its cuts there too. With a vocabulary that has pieces across word starts, nothing is cut.
+    """
+    return _START.split(text) if _separable(path) else [text]
 
 
 def piece_ids(text: str, path: str | None = None) -> list[int]:
     """Ids of one whole text; special tokens' strings are plain text."""
-    encoder = _processor(path)
-    if len(text) <= PART_CHARS or not _separable(path):
-        return encoder.encode(text)
-    return [i for part in parts(text) for i in encoder.encode(part)]
+    return _processor(path).encode(text)
