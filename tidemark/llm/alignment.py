@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .perfect_hash import PerfectHash
-from .pieces import piece_bytes, piece_ids, word_starts
+from .pieces import SPACE, piece_bytes, piece_ids, word_starts
 from .shared import blocks, in_arrow
 from .stored import new_name, read_arrays, scratch_folder, write_arrays
 from .tokens import token_bytes, token_ids
@@ -79,22 +79,39 @@ def _encoded(text: str, v: Vocabularies) -> tuple[np.ndarray, np.ndarray, int] |
     return a.astype(np.int64), np.array(b, np.int64), len(raw)
 
 
+def _all_encoded(words: list[str], v: Vocabularies) -> tuple[np.ndarray, ...]:
+    """Of all words: has tokens, ids A, ids B; and of those with tokens: numbers of A, B, bytes.
+
+    Words that can follow each other in a text are encoded as one, the others one by one.
+    """
+    joined = " ".join(words)
+    if word_starts(joined, v.b) == words and (whole := _encoded(joined, v)):
+        a, b, _ = whole
+        size_a, size_b, _, _ = _tables(v)
+        sizes = np.array([len(w.encode()) + 1 for w in words])
+        stops = np.cumsum(sizes)
+        # both have a token's end at the end of every word
+        n_a, n_b = (np.diff(np.searchsorted(np.cumsum(size), stops) + 1, prepend=0)
+                    for size in (size_a[a], size_b[b]))
+        return np.ones(len(words), bool), a, b, n_a, n_b, sizes
+    found = [_encoded(word, v) for word in words]
+    kept = [f for f in found if f is not None]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in kept)]) for i in (0, 1))
+    n_a, n_b = (np.array([len(f[i]) for f in kept], np.int64) for i in (0, 1))
+    sizes = np.array([f[2] for f in kept], np.int64)
+    return np.array([f is not None for f in found], bool), a, b, n_a, n_b, sizes
+
+
 class Aligned:
     """The alignment of some texts: arrays over all their tokens, links and groups."""
 
     def __init__(self, texts: list[str], v: Vocabularies):
         self.v, self.size = v, len(texts)
         size_a, size_b, _, n_b_ids = _tables(v)
-        found = [_encoded(text, v) for text in texts]
-        self.has = np.array([f is not None for f in found], bool)
-        kept = [f for f in found if f is not None]
-        none = np.zeros(0, np.int64)
-        self.a = np.concatenate([f[0] for f in kept]) if kept else none
-        self.b = np.concatenate([f[1] for f in kept]) if kept else none
-        self.n_a, self.n_b = (np.array([len(f[i]) for f in kept], np.int64) for i in (0, 1))
-        stops = np.cumsum([f[2] for f in kept], dtype=np.int64)
+        self.has, self.a, self.b, self.n_a, self.n_b, sizes = _all_encoded(texts, v)
+        stops = np.cumsum(sizes)
         # ends as marks on the bytes: a token is found by the number of ends before it
-        marks = np.zeros((2, int(stops[-1]) + 1 if kept else 1), bool)
+        marks = np.zeros((2, int(sizes.sum()) + 1), bool)
         self.end_a, self.end_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
         marks[0, self.end_a] = marks[1, self.end_b] = True
         both = marks[0] & marks[1]
@@ -106,10 +123,10 @@ class Aligned:
         self.pairs = self.a[at_a] * n_b_ids + self.b[at_b]
         self.link_a = self.a[at_a]
         self.n_links = np.diff(np.searchsorted(ends, stops, "right"), prepend=0)
-        self.link_doc = np.repeat(np.arange(len(kept)), self.n_links)
+        self.link_doc = np.repeat(np.arange(len(sizes)), self.n_links)
         before = np.cumsum(both) - both
         self.group_a, self.group_b = before[self.end_a], before[self.end_b]
-        self.n_groups = np.diff(np.cumsum(both)[stops], prepend=0) if kept else none
+        self.n_groups = np.diff(np.cumsum(both)[stops], prepend=0)
 
     def groups(self) -> list[str]:
         """Each text's groups as written digits and separators; empty without tokens."""
@@ -196,7 +213,12 @@ class Words:
         found = np.array([look_up(w, -1) for w in words], np.int64)
         missing = np.flatnonzero(found < 0).tolist()
         if missing:
-            self._add(list(dict.fromkeys(words[i] for i in missing)))
+            new = list(dict.fromkeys(words[i] for i in missing))
+            # only the last word of a text can end so; it would swallow the start of the next
+            odd = {w for w in new if w[-1].isspace() or SPACE in w}
+            for some in ([w for w in new if w not in odd], list(odd)):
+                if some:
+                    self._add(some)
             found[missing] = [self.number[words[i]] for i in missing]
         self.uses[: len(self.groups)] += np.bincount(found, minlength=len(self.groups))
         return found
