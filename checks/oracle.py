@@ -161,24 +161,42 @@ SELECT l_partkey AS item_id,
   CASE WHEN l_suppkey % 10 = 3 THEN 'N' ELSE 'Y' END AS is_retail, condition_code
 FROM order_lines"""
 
-STEPS["items"] = f"""
-SELECT p_partkey AS item_id, p_name AS item_name,
+STEPS["places"] = """
+SELECT * FROM (VALUES (0, 7, 1, 1), (1, 7, 2, 3), (2, 1, 1, 2), (3, 1, 2, 5))
+  AS p(place, marketplace_id, region_id, every)"""
+
+STEPS["listings"] = f"""
+SELECT p_partkey AS item_id, marketplace_id, region_id, place,
+  CASE place WHEN 0 THEN p_name ELSE p_name || ' - place ' || place END AS item_name,
   {_names(CATEGORY_CODES, 'p_type')} AS category_code,
   CASE WHEN p_partkey % 50 <> 0 THEN p_brand END AS brand_code,
   CASE WHEN p_partkey % 50 <> 0 THEN 'Name ' || p_brand END AS brand_name
-FROM part"""
+FROM part JOIN places ON p_partkey % every = 0"""
 
-STEPS["contribution"] = """
+STEPS["items"] = """
+SELECT * EXCLUDE (marketplace_id, region_id, place) FROM listings
+WHERE marketplace_id = 7 AND region_id = 1"""
+
+STEPS["all_contribution"] = """
 SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_id,
-  l_partkey AS item_id,
-  CAST(round(price * (1 - CAST(l_discount AS DECIMAL(4,2))), 2) AS DECIMAL(18,2)) AS revenue,
+  l_partkey AS item_id, marketplace_id,
+  CAST(round(price * (1 - CAST(l_discount AS DECIMAL(4,2)))
+    + CASE marketplace_id WHEN 7 THEN 0 ELSE 1 END, 2) AS DECIMAL(18,2)) AS revenue,
   CAST(round(price * CAST(l_tax AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS ads_amt,
   CAST(CASE WHEN l_linestatus = 'O' THEN round(price * 0.01, 2) ELSE 0 END AS DECIMAL(18,2))
     AS subscription_amt
-FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(15,2)) AS price FROM lineitem WHERE l_tax > 0)"""
+FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(15,2)) AS price FROM lineitem WHERE l_tax > 0)
+JOIN (VALUES (7), (1)) AS m(marketplace_id) ON marketplace_id = 7 OR l_orderkey % 20 = 0"""
+
+STEPS["contribution"] = """
+SELECT * EXCLUDE (marketplace_id) FROM all_contribution WHERE marketplace_id = 7"""
+
+STEPS["all_vendors"] = """
+SELECT item_id, marketplace_id, region_id,
+  (item_id + place) % (SELECT count(*) FROM supplier) AS vendor_code FROM listings"""
 
 STEPS["vendors"] = """
-SELECT p_partkey AS item_id, p_partkey % (SELECT count(*) FROM supplier) AS vendor_code FROM part"""
+SELECT item_id, vendor_code FROM all_vendors WHERE marketplace_id = 7 AND region_id = 1"""
 
 STEPS["companies"] = """
 SELECT s_suppkey AS vendor_code,
@@ -197,7 +215,8 @@ SELECT s_suppkey * 100 + number AS promotion_key, title || ' - ' || s_name AS pr
 FROM supplier CROSS JOIN calendar"""
 
 STEPS["promo_lines"] = """
-SELECT l_suppkey * 100 + number AS promotion_key, l_partkey AS item_id, line_id
+SELECT l_suppkey * 100 + number AS promotion_key, l_partkey AS item_id, line_id,
+  marketplace AS marketplace_id
 FROM order_lines JOIN calendar ON o_orderdate BETWEEN first AND final
 WHERE l_discount >= 0.05"""
 
@@ -241,7 +260,28 @@ WHERE condition_code <> 6 AND {where}"""
 
 
 STEPS["base"] = base(f"{SHIPPED} AND order_ts BETWEEN {FIRST_DAY} AND {RUN}")
-STEPS["base_all_regions"] = base(f"{ANY_REGION} AND order_ts BETWEEN {FIRST_DAY} AND {RUN}")
+
+
+def base_of_places(where: str, company: bool = True) -> str:
+    """Base orders in which every line meets the item, vendor and amounts of its own place."""
+    return f"""
+SELECT DISTINCT s.item_id, customer_id, s.line_id, CAST(order_ts AS DATE) AS order_date, units,
+  item_name, category_code, {_names(CATEGORY_NAMES, 'category_code')} AS category_name, brand_code,
+  brand_name, v.vendor_code, company_code, company_name, coalesce(revenue, 0) AS revenue
+FROM shipments s
+JOIN listings i ON i.item_id = s.item_id AND i.marketplace_id = s.marketplace_id
+  AND i.region_id = s.region_id AND category_code IN ({CATEGORIES})
+LEFT JOIN all_vendors v ON v.item_id = s.item_id AND v.marketplace_id = s.marketplace_id
+  AND v.region_id = s.region_id
+LEFT JOIN companies c ON c.vendor_code = v.vendor_code
+LEFT JOIN all_contribution a ON a.line_id = s.line_id AND a.item_id = s.item_id
+  AND a.marketplace_id = s.marketplace_id
+WHERE units > 0 AND is_retail = 'Y' AND condition_code <> 6
+  AND order_ts BETWEEN {FIRST_DAY} AND {RUN} AND {where}"""
+
+
+STEPS["base_all_regions"] = base_of_places("s.marketplace_id = 7")
+STEPS["base_all_places"] = base_of_places("true")
 STEPS["base_v2"] = base(
     f"{SHIPPED} AND company_code = '{COMPANY}' AND category_code IN ({_list(COMPANY_CATEGORIES)})"
     f" AND CAST(order_ts AS DATE) BETWEEN {FIRST_DAY} AND {RUN}")
@@ -254,6 +294,17 @@ FROM shipments s JOIN profile p ON p.item_id = s.item_id
 LEFT JOIN contribution c ON c.line_id = s.line_id AND c.item_id = s.item_id
 WHERE {SHIPPED} AND order_ts BETWEEN {FIRST_DAY} AND {RUN}"""
 
+# v1 takes the amounts of any marketplace
+STEPS["base_v1_all_places"] = f"""
+SELECT s.item_id, customer_id, s.line_id, CAST(order_ts AS DATE) AS order_date, units, item_name,
+  category_code, brand_code, brand_name, coalesce(revenue, 0) AS revenue,
+  coalesce(ads_amt, 0) AS ads_amt, coalesce(subscription_amt, 0) AS subscription_amt
+FROM shipments s JOIN listings i ON i.item_id = s.item_id
+  AND i.marketplace_id = s.marketplace_id AND i.region_id = s.region_id
+LEFT JOIN all_contribution c ON c.line_id = s.line_id AND c.item_id = s.item_id
+WHERE units > 0 AND is_retail = 'Y' AND category_code IN ({CATEGORIES})
+  AND order_ts BETWEEN {FIRST_DAY} AND {RUN}"""
+
 def subscribers(where: str) -> str:
     return f"""
 SELECT item_id, day AS metric_date, avg(active) AS daily_subscribers
@@ -284,10 +335,10 @@ FROM {source} t LEFT JOIN (
 ) m USING ({key})"""
 
 
-def eligible(lead: bool) -> str:
+def eligible(lead: bool, marketplace: str = "marketplace = 7") -> str:
     return f"""
 SELECT promotion_key, promo_title, promo_start_date, promo_end_date FROM promotions
-WHERE marketplace = 7 AND status IN ({_list(APPROVAL_STATUSES)})
+WHERE {marketplace} AND status IN ({_list(APPROVAL_STATUSES)})
   AND kind IN ({_list(PROMOTION_TYPES)}) AND NOT contains(upper(promo_title), 'OIH')
   {"" if lead else "AND NOT contains(upper(promo_title), 'LEAD')"}
   AND promo_start_date BETWEEN {FIRST_DAY} AND {RUN}"""
@@ -303,7 +354,8 @@ SELECT DISTINCT l.item_id, line_id, promo_start_date, promo_end_date,
   CAST(year(promo_start_date) AS INT) AS event_year,
   CAST(month(promo_start_date) AS INT) AS event_month, event_name
 FROM promo_lines l JOIN labelled_promotions p USING (promotion_key)
-JOIN items i ON i.item_id = l.item_id AND category_code IN ({CATEGORIES})"""
+JOIN listings i ON i.item_id = l.item_id AND i.marketplace_id = l.marketplace_id
+  AND i.region_id = 1 AND category_code IN ({CATEGORIES})"""
 
 PRIORITY = f"coalesce({_names(PRIORITIES, 'event_name')}, 99)"
 OVERLAP_ORDER = f"{PRIORITY}, promo_start_date, promo_end_date, event_name"
@@ -753,24 +805,34 @@ STEPS["share_brand_category"] = share("brand", "category_code, ")
 _WORD = re.compile(r"\b[a-z_0-9]+\b")
 
 
-def _needed(text: str, found: list[str]) -> list[str]:
+def _needed(text: str, found: list[str], steps: dict[str, str]) -> list[str]:
     for name in dict.fromkeys(_WORD.findall(text)):
-        if name in STEPS and name not in found:
-            _needed(STEPS[name], found)
+        if name in steps and name not in found:
+            _needed(steps[name], found, steps)
             if name not in found:
                 found.append(name)
     return found
 
 
-def sql(select: str) -> str:
-    steps = _needed(select, [])
-    if not steps:
+def sql(select: str, instead: dict[str, str] | None = None) -> str:
+    """`instead`: other definitions of some steps, for a query in another scope."""
+    steps = STEPS | (instead or {})
+    needed = _needed(select, [], steps)
+    if not needed:
         return select
-    return "WITH " + ",\n".join(f"{n} AS ({STEPS[n]})" for n in steps) + "\n" + select
+    return "WITH " + ",\n".join(f"{n} AS ({steps[n]})" for n in needed) + "\n" + select
 
 
-def rounded(source: str, columns, money=()) -> str:
+def rounded(source: str, columns, money=(), instead: dict[str, str] | None = None) -> str:
     """All of a step, doubles rounded to six places and money as doubles."""
     replaced = [f"round({c}, 6) AS {c}" for c in columns]
     replaced += [f"CAST({c} AS DOUBLE) AS {c}" for c in money]
-    return sql(f"SELECT * REPLACE ({', '.join(replaced)}) FROM {source}")
+    return sql(f"SELECT * REPLACE ({', '.join(replaced)}) FROM {source}", instead)
+
+
+# Definitions of a scope without marketplace and region.
+EVERYWHERE = {
+    "base": STEPS["base_all_places"],
+    "eligible": eligible(lead=False, marketplace="true"),
+    "subscribers": STEPS["subscribers_any_region"],
+}

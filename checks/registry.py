@@ -68,7 +68,8 @@ def _drop(staging: Staging) -> None:
 
 def events_pipeline(spark, sf_dir, **options) -> EventPipeline:
     options.setdefault("staging", _staging(spark))
-    return EventPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE, **options)
+    scope = options.pop("scope", SCOPE)
+    return EventPipeline(load_testdata(spark, sf_dir), RUN_DATE, scope, **options)
 
 
 def from_events(build: Callable[[EventPipeline], DataFrame], **options) -> Callable:
@@ -111,6 +112,17 @@ register(
     from_sources(lambda s: orders.base_orders(s, ALL_REGIONS, RUN_DATE)),
     o.rounded("base_all_regions", (), ("revenue",)),
 )
+EVERYWHERE = replace(ALL_REGIONS, marketplace_id=None)
+register(
+    "base_orders_all_places",
+    from_sources(lambda s: orders.base_orders(s, EVERYWHERE, RUN_DATE)),
+    o.rounded("base_all_places", (), ("revenue",)),
+)
+register(
+    "base_orders_amounts_all_places",
+    from_sources(lambda s: orders.base_orders_amounts(s, EVERYWHERE, RUN_DATE)),
+    o.rounded("base_v1_all_places", (), ("revenue", "ads_amt", "subscription_amt")),
+)
 SCOPE_COMPANY = replace(
     SCOPE, categories={c: SCOPE.categories[c] for c in o.COMPANY_CATEGORIES}
 )
@@ -154,6 +166,13 @@ register(
 )
 
 
+register(
+    "eligible_promotions_all_marketplaces",
+    from_sources(lambda s: events.eligible_promotions(s.promotions, EVERYWHERE, RUN_DATE)),
+    o.sql("SELECT * FROM eligible", o.EVERYWHERE),
+)
+
+
 def _titles(gated: bool) -> Callable:
     def build(spark, sf_dir):
         titles = titled_orders(spark, sf_dir)
@@ -175,6 +194,8 @@ register("classify_event_v1", _titles(False), o.sql(
     o.labelled("titled", "promotion_key", "start_date", False)))
 
 register("promo_events", from_events(lambda p: p.promo_events), o.sql("SELECT * FROM raw_events"))
+register("promo_events_all_marketplaces", from_events(lambda p: p.promo_events, scope=EVERYWHERE),
+         o.sql("SELECT * FROM raw_events", o.EVERYWHERE))
 register("promo_events_v1", from_growth(lambda p: p.promo_events),
          o.sql("SELECT * FROM raw_events_v1"))
 register("event_priority", from_events(lambda p: p.promo_events.select(
@@ -315,6 +336,11 @@ for _level in LEVELS:
 
 
 
+register("report_brand_all_marketplaces",
+         from_events(lambda p: p.report("brand"), scope=EVERYWHERE),
+         o.rounded("report_brand", [*DEAL, *PRE, *DELTA, *LY, *LY_DELTA], (), o.EVERYWHERE))
+
+
 def _register_truncated(level: str) -> None:
     """Parity with integer division: units and customers are truncated, the rest is not."""
     for name, metrics_of, twin, columns in (

@@ -50,6 +50,8 @@ def test_eligible_promotions(spark):
     assert [r[0] for r in rows(v3, "promotion_key")] == [1, 2, 9, 11]
     v1 = events.eligible_promotions(promotions, Scope({}), RUN, events.EXCLUDED_TITLES_V1)
     assert [r[0] for r in rows(v1, "promotion_key")] == [1, 2, 7, 9, 11]
+    anywhere = events.eligible_promotions(promotions, Scope({}, marketplace_id=None), RUN)
+    assert [r[0] for r in rows(anywhere, "promotion_key")] == [1, 2, 5, 9, 11]
 
 
 def test_overlaps_take_priority_then_start(spark):

@@ -82,6 +82,44 @@ def test_daily_subscribers(spark):
     assert rows(anywhere) == [("i", date(2001, 7, 1), 97 / 3)]
 
 
+def test_lines_meet_the_items_of_their_own_place(spark, sources):
+    """An item of two regions and marketplaces has a name, a vendor and amounts in each."""
+    def table(name, *lines):
+        return spark.createDataFrame(list(lines), SCHEMAS[name])
+
+    sources.shipments = table(
+        "shipments", ship("a"), ship("b", region=2), ship("c", marketplace=1), ship("c"),
+        ship("d", marketplace=1, region=2), ship("same", region=1), ship("same", region=2),
+        ship("j", item="j"), ship("j", item="j", region=2))
+    sources.items = table(
+        "items", ("i", 7, 1, "Item", 1, "B", "Brand"), ("i", 7, 2, "Two", 1, "B", "Brand"),
+        ("i", 1, 1, "Elsewhere", 1, "B", "Brand"), ("j", 7, 1, "Jar", 2, None, None),
+        ("j", 7, 2, "Jar", 2, None, None))
+    sources.item_vendor = table("item_vendor", ("i", 7, 1, "V"), ("i", 7, 2, "W"), ("i", 1, 1, "W"))
+    sources.contribution = table(
+        "contribution", ("c", "i", 7, Decimal(5), None, None), ("c", "i", 1, Decimal(6), None, None))
+
+    def base(**open_places):
+        scope = Scope(categories=SCOPE.categories, **open_places)
+        return rows(orders.base_orders(sources, scope, RUN), "line_id", "item_name", "vendor_code",
+                    "revenue")
+
+    here = [("a", "Item", "V", 0), ("c", "Item", "V", 5), ("j", "Jar", None, 0),
+            ("same", "Item", "V", 0)]
+    regions = sorted([*here, ("b", "Two", "W", 0), ("same", "Two", "W", 0)], key=str)
+    assert base() == here
+    assert base(region_id=None) == regions
+    assert base(region_id=None, marketplace_id=None) == sorted(
+        [*regions, ("c", "Elsewhere", "W", 6)], key=str)
+    assert base(marketplace_id=None) == sorted([*here, ("c", "Elsewhere", "W", 6)], key=str)
+    everywhere = Scope(categories=SCOPE.categories, region_id=None, marketplace_id=None)
+    v1 = orders.base_orders_amounts(sources, everywhere, RUN)
+    assert rows(v1.filter("line_id = 'c'"), "item_name", "revenue") == [
+        ("Elsewhere", 5), ("Elsewhere", 6), ("Item", 5), ("Item", 6)]
+    v2 = orders.base_orders_company(sources, everywhere, RUN, "C")
+    assert [r[0] for r in rows(v2, "line_id")] == ["a", "c", "same"]
+
+
 def test_no_region_is_any_region(spark, sources):
     anywhere = Scope(categories=SCOPE.categories, region_id=None)
     got = [r[0] for r in rows(orders.base_orders(sources, anywhere, RUN), "line_id")]

@@ -26,10 +26,11 @@ WINDOW_COLUMNS = (
 def eligible_promotions(
     promotions: DataFrame, scope: Scope, run_date: date, excluded=EXCLUDED_TITLES
 ) -> DataFrame:
-    """Approved deals of the marketplace that start within the history."""
+    """Approved deals of the marketplace (of any, if the scope names none) that start within the history."""
+    if scope.marketplace_id is not None:
+        promotions = promotions.filter(F.col("marketplace_id") == scope.marketplace_id)
     rows = promotions.filter(
-        (F.col("marketplace_id") == scope.marketplace_id)
-        & F.col("approval_status").isin(*APPROVAL_STATUSES)
+        F.col("approval_status").isin(*APPROVAL_STATUSES)
         & F.col("promotion_type").isin(*PROMOTION_TYPES)
         & (F.col("start_ts") >= F.lit(scope.first_day(run_date)))
         & (F.col("start_ts") < F.lit(run_date + timedelta(days=1)))

@@ -82,6 +82,8 @@ def deal_metrics_v1(
         "event_duration_days": duration_days(start, F.col("promo_end_date"), run_date),
     })
     vendors = in_place(item_vendor, scope).select("item_id", "vendor_code")
+    if scope.open_places:
+        vendors = vendors.distinct()  # the same vendor in several places
     days = F.col("event_duration_days")
     return (
         items.join(

@@ -44,7 +44,8 @@ def shipped_lines(
     """Shipped retail order lines of the history.
 
     The history ends at midnight of the run date; `whole_run_day` keeps the orders of
-    that day (v2). Both bounds are plain comparisons, so they reach the file scan.
+    that day (v2). Both bounds are plain comparisons, so they reach the file scan. What the
+    scope leaves open of marketplace and region is a column of the lines.
     """
     ts = F.col("order_ts")
     last = ts < F.lit(run_date + timedelta(days=1)) if whole_run_day else ts <= F.lit(run_date)
@@ -57,7 +58,8 @@ def shipped_lines(
     if drop_conditions:
         lines = lines.filter(~F.col("condition_code").isin(*scope.excluded_conditions))
     lines = lines.select(
-        "item_id", "customer_id", "line_id", F.to_date("order_ts").alias("order_date"), "units"
+        "item_id", "customer_id", "line_id", F.to_date("order_ts").alias("order_date"), "units",
+        *scope.open_places,
     )
     return lines.dropDuplicates() if dedupe else lines
 
@@ -72,20 +74,21 @@ def item_profile(
     """One wide dimension: item, category, brand and (optional) vendor and company.
 
     The dimensions are joined to each other first, so the order lines meet them in
-    a single join.
+    a single join. Places that the scope leaves open are columns of it, as of the lines.
     """
+    places = scope.open_places
     profile = in_place(src.items, scope).filter(
         F.col("category_code").isin(*scope.categories)
     ).select(
         "item_id", "item_name", "category_code",
         category_name(F.col("category_code"), scope.categories).alias("category_name"),
-        "brand_code", "brand_name",
+        "brand_code", "brand_name", *places,
     )
     if vendor:
-        vendors = in_place(src.item_vendor, scope).select("item_id", "vendor_code")
+        vendors = in_place(src.item_vendor, scope).select("item_id", "vendor_code", *places)
         companies = src.vendor_company.select("vendor_code", "company_code", "company_name")
         profile = profile.join(
-            vendors.join(companies, "vendor_code", "left"), "item_id", "left"
+            vendors.join(companies, "vendor_code", "left"), ["item_id", *places], "left"
         )
     if company is not None:
         profile = profile.filter(F.col("company_code") == company)
@@ -101,25 +104,38 @@ def attach_amounts(
 ) -> DataFrame:
     """Add the amounts of each line, 0 where there are none.
 
-    `marketplace_id=None` takes the amounts of any marketplace (v1).
+    `marketplace_id=None` takes the amounts of any marketplace (v1), unless the orders have a
+    marketplace: then each finds the amounts of its own, and the column goes.
     """
+    keys = ["line_id", "item_id", *(c for c in orders.columns if c == "marketplace_id")]
     if marketplace_id is not None:
         contribution = contribution.filter(F.col("marketplace_id") == marketplace_id)
     values = [F.coalesce(F.col(a), F.lit(0)).alias(a) for a in amounts]
-    lines = contribution.select("line_id", "item_id", *values)
+    lines = contribution.select(*keys, *values)
     if dedupe:
         lines = lines.dropDuplicates()
-    joined = orders.join(lines, ["line_id", "item_id"], "left")
-    return joined.withColumns({a: F.coalesce(F.col(a), F.lit(0)) for a in amounts})
+    joined = orders.join(lines, keys, "left").withColumns(
+        {a: F.coalesce(F.col(a), F.lit(0)) for a in amounts})
+    if len(keys) == 2:
+        return joined
+    joined = joined.drop("marketplace_id")
+    return joined.dropDuplicates() if dedupe else joined
 
 
 def base_lines(src: Sources, scope: Scope, run_date: date, **options) -> DataFrame:
-    """Base orders without amounts: what period matching and first purchases need."""
+    """Base orders without amounts: what period matching and first purchases need.
+
+    An open marketplace stays a column, by which `attach_amounts` finds a line's amounts.
+    """
     company = options.pop("company", None)
     lines = shipped_lines(src, scope, run_date, **options)
-    return lines.join(item_profile(src, scope, company), "item_id").select(
-        "item_id", "customer_id", "line_id", "order_date", "units", *PROFILE
+    places = scope.open_places
+    joined = lines.join(item_profile(src, scope, company), ["item_id", *places]).select(
+        "item_id", "customer_id", "line_id", "order_date", "units", *PROFILE,
+        *(c for c in places if c == "marketplace_id"),
     )
+    # without the region, lines of two regions can be the same row
+    return joined.dropDuplicates() if "region_id" in places else joined
 
 
 def base_orders(src: Sources, scope: Scope, run_date: date) -> DataFrame:
@@ -137,7 +153,7 @@ def base_lines_v1(src: Sources, scope: Scope, run_date: date) -> DataFrame:
     """Base orders v1 without amounts: every condition, duplicates kept, no vendor."""
     lines = shipped_lines(src, scope, run_date, drop_conditions=False, dedupe=False)
     profile = item_profile(src, scope, vendor=False, dedupe=False)
-    return lines.join(profile, "item_id").select(
+    return lines.join(profile, ["item_id", *scope.open_places]).select(
         "item_id", "customer_id", "line_id", "order_date", "units",
         "item_name", "category_code", "brand_code", "brand_name",
     )

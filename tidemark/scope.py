@@ -16,7 +16,7 @@ class Scope:
     """Which marketplace, categories and history a run covers.
 
     `categories` maps the codes in scope to the names reports show. A region or marketplace of None
-    does not restrict the rows.
+    does not restrict the rows: lines then meet the items, vendors and amounts of their own place.
     """
 
     categories: dict
@@ -25,5 +25,11 @@ class Scope:
     excluded_conditions: tuple[int, ...] = (6,)  # 6 = cancelled or fraudulent
     history_days: int = 730
 
+    @property
+    def open_places(self) -> tuple[str, ...]:
+        """Columns that tell apart the places that the scope leaves open; joins match on them."""
+        named = {"marketplace_id": self.marketplace_id, "region_id": self.region_id}
+        return tuple(column for column, value in named.items() if value is None)
+
     def first_day(self, run_date: date) -> date:
         return run_date - timedelta(days=self.history_days)

@@ -18,6 +18,7 @@ RUN_DATE = date(2001, 8, 1)
 SCOPE = Scope(categories={1: "Economy", 2: "Large", 3: "Medium", 4: "Promo", 5: "Small"})
 CATEGORY_CODES = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5, "STANDARD": 6}
 MARKETPLACE = 7
+OTHER_MARKETPLACE = 1
 REGION = 1
 
 FILE_SCHEMAS = {
@@ -108,8 +109,22 @@ def _promotion_key(owner: str) -> Column:
     return (F.col(owner) * 100 + F.col("number")).alias("promotion_key")
 
 
-def _place() -> tuple[Column, Column]:
-    return F.lit(MARKETPLACE).alias("marketplace_id"), F.lit(REGION).alias("region_id")
+# Where else an item is listed, under another name and by another vendor: marketplace, region, and
+# every how manyth item.
+OTHER_LISTINGS = (
+    (MARKETPLACE, REGION + 1, 3), (OTHER_MARKETPLACE, REGION, 2), (OTHER_MARKETPLACE, REGION + 1, 5),
+)
+
+
+def _listed(parts: DataFrame) -> DataFrame:
+    """Every part in its places: `place` counts them, 0 is the first."""
+    places = [(MARKETPLACE, REGION, 1), *OTHER_LISTINGS]
+    listings = F.array(*[
+        F.struct(F.lit(place).alias("place"), F.lit(marketplace).alias("marketplace_id"),
+                 F.lit(region).alias("region_id"), F.lit(every).alias("every"))
+        for place, (marketplace, region, every) in enumerate(places)
+    ])
+    return parts.select("*", F.inline(listings)).filter(F.col("p_partkey") % F.col("every") == 0)
 
 
 def _region(number: str) -> Column:
@@ -149,7 +164,7 @@ class TestdataSources:
             _line_id().alias("line_id"),
             F.col("o_orderdate").alias("order_ts"),
             F.col("l_quantity").cast("int").alias("units"),
-            F.when(F.col("l_orderkey") % 20 == 0, 1).otherwise(MARKETPLACE).alias(
+            F.when(F.col("l_orderkey") % 20 == 0, OTHER_MARKETPLACE).otherwise(MARKETPLACE).alias(
                 "marketplace_id"
             ),
             _region("l_orderkey").alias("region_id"),
@@ -159,10 +174,12 @@ class TestdataSources:
 
     @cached_property
     def items(self) -> DataFrame:
-        return self._file("part").select(
+        elsewhere = F.concat("p_name", F.lit(" - place "), F.col("place").cast("string"))
+        return _listed(self._file("part")).select(
             F.col("p_partkey").alias("item_id"),
-            *_place(),
-            F.col("p_name").alias("item_name"),
+            "marketplace_id",
+            "region_id",
+            F.when(F.col("place") == 0, F.col("p_name")).otherwise(elsewhere).alias("item_name"),
             _category().alias("category_code"),
             F.when(_branded(), F.col("p_brand")).alias("brand_code"),
             F.when(_branded(), F.concat(F.lit("Name "), F.col("p_brand"))).alias("brand_name"),
@@ -173,11 +190,18 @@ class TestdataSources:
         price = F.col("l_extendedprice").cast("decimal(15,2)")
         discount, tax = (F.col(c).cast("decimal(4,2)") for c in ("l_discount", "l_tax"))
         subscribed = _money(price * F.lit("0.01").cast("decimal(4,2)"))
-        return self._file("lineitem").filter("l_tax > 0").select(
+        # lines of the other marketplace have amounts in both, one more there
+        places = F.when(
+            F.col("l_orderkey") % 20 == 0, F.array(F.lit(MARKETPLACE), F.lit(OTHER_MARKETPLACE))
+        ).otherwise(F.array(F.lit(MARKETPLACE)))
+        here = F.col("marketplace_id") == MARKETPLACE
+        lines = self._file("lineitem").filter("l_tax > 0").select(
+            "*", F.explode(places).alias("marketplace_id"))
+        return lines.select(
             _line_id().alias("line_id"),
             F.col("l_partkey").alias("item_id"),
-            F.lit(MARKETPLACE).alias("marketplace_id"),
-            _money(price * (1 - discount)).alias("revenue"),
+            "marketplace_id",
+            _money(price * (1 - discount) + F.when(here, 0).otherwise(1)).alias("revenue"),
             _money(price * tax).alias("ads_amt"),
             F.when(F.col("l_linestatus") == "O", subscribed)
             .otherwise(F.lit(0).cast("decimal(18,2)"))
@@ -188,10 +212,11 @@ class TestdataSources:
     def item_vendor(self) -> DataFrame:
         """Items are spread over all suppliers, so a brand's vendors grow with both."""
         suppliers = self._file("supplier").agg(F.count("*").alias("n")).scalar()
-        return self._file("part").select(
+        return _listed(self._file("part")).select(
             F.col("p_partkey").alias("item_id"),
-            *_place(),
-            (F.col("p_partkey") % suppliers).alias("vendor_code"),
+            "marketplace_id",
+            "region_id",
+            ((F.col("p_partkey") + F.col("place")) % suppliers).alias("vendor_code"),
         )
 
     @cached_property
@@ -242,7 +267,8 @@ class TestdataSources:
                 _promotion_key("l_suppkey"),
                 F.col("l_partkey").alias("item_id"),
                 _line_id().alias("line_id"),
-                *_place(),
+                "marketplace_id",
+                F.lit(REGION).alias("region_id"),
             )
         )
 
