@@ -34,7 +34,8 @@ def sources(spark):
         ),
         items=table(
             "items", ("i", 7, 1, "Item", 1, "B", "Brand"), ("j", 7, 1, "Jar", 2, None, None),
-            ("k", 7, 1, "Kit", 3, "B", "Brand"), ("i", 1, 1, "Elsewhere", 1, "B", "Brand")),
+            ("k", 7, 1, "Kit", 3, "B", "Brand"), ("i", 1, 1, "Elsewhere", 1, "B", "Brand"),
+            ("i", 7, 2, "Item", 1, "B", "Brand")),
         contribution=table(
             "contribution", ("ok", "i", 7, Decimal("9.50"), Decimal("1.00"), Decimal("0.50")),
             ("ok", "i", 1, Decimal("7.00"), Decimal("0.00"), Decimal("0.00")),
