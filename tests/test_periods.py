@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tidemark.operators import events, firsts, periods
+from tidemark.operators import events, firsts, periods, prefilter
 
 RUN = date(2001, 8, 1)
 START, END = date(2001, 6, 1), date(2001, 6, 10)
@@ -144,3 +144,78 @@ def test_first_purchases_equal_plain_minima(spark, drawn):
         F.col("first_brand_purchase") > F.col("first_item_purchase"))
     if all(b for *_, b, _, _ in drawn):
         assert late.filter("first_category_purchase > first_company_purchase").count() == 0
+
+
+WINDOW = ("item_id int, event_name string, event_year int, event_month int, promo_start_date date, "
+          "promo_end_date date, deal_start_date date, deal_end_date date, "
+          "pre_deal_start_date date, pre_deal_end_date date, event_duration_days int")
+
+
+def window(item, start, days=29, name="BSS"):
+    """A window whose benchmark begins on a day of the two years before the run date."""
+    first = None if start is None else RUN - timedelta(730 - start)
+    last = None if start is None else first + timedelta(days - 1)
+    return (item, name, 2001, 1, RUN, RUN, RUN, RUN, first, last, 1)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.tuples(st.sampled_from([1, 2, None]), st.integers(0, 730) | st.none()), max_size=12),
+    st.lists(st.tuples(st.sampled_from([1, 2, 3, None]), st.integers(0, 700) | st.none(),
+                       st.integers(1, 100)), max_size=6),
+    st.sampled_from([1, 8, 29, 91, 1000]),
+)
+def test_date_bins_change_no_rows(spark, orders_, windows_, bin_days):
+    days = [None if d is None else RUN - timedelta(730 - d) for _, d in orders_]
+    orders = base(spark, *[order(str(i), day, item) for i, ((item, _), day) in enumerate(
+        zip(orders_, days))]) if orders_ else spark.createDataFrame([], BASE)
+    windows = spark.createDataFrame(
+        [window(i, s, d, str(n)) for n, (i, s, d) in enumerate(windows_)], WINDOW)
+    expected = sorted(
+        (str(o), str(n)) for o, ((item, _), day) in enumerate(zip(orders_, days))
+        for n, (i, s, d) in enumerate(windows_)
+        if None not in (item, day, s) and item == i
+        and 0 <= (day - (RUN - timedelta(730 - s))).days < d)
+    found = periods.in_windows(orders, windows, bin_days)
+    assert rows(found, "line_id", "event_name") == expected
+
+
+def test_orders_meet_the_windows_of_their_own_weeks(spark):
+    """Two years of orders and a benchmark in most weeks: few pairs fail the dates."""
+    orders = base(spark, *[
+        order(f"{item}-{d}", RUN - timedelta(d), item) for item in range(5) for d in range(730)])
+    windows = spark.createDataFrame(
+        [window(item, start, 29, f"{start}") for item in range(5) for start in range(3, 700, 17)],
+        WINDOW)
+    pairs = periods.same_bin(orders, windows, 29).count()
+    found = periods.in_windows(orders, windows, 29).count()
+    assert found > 5000
+    assert pairs <= 3 * found
+    assert orders.join(windows, "item_id").count() > 10 * pairs
+
+
+def test_orders_of_items_without_a_window_are_not_shuffled(spark):
+    orders = spark.range(20_000).select(
+        (F.col("id") % 2000).cast("int").alias("item_id"),
+        F.col("id").cast("string").alias("line_id"), F.lit(RUN).alias("order_date"))
+    windows = spark.createDataFrame([window(item, 730) for item in range(7)], WINDOW)
+    kept = prefilter.keep_marked(orders, ["item_id"], prefilter.key_filter(windows, ["item_id"]))
+    assert 70 <= kept.count() <= 140
+    matched = periods.in_windows(orders, windows, 29)
+    assert matched.count() == 70
+    text = matched._jdf.queryExecution().executedPlan().toString()
+    # the filter's broadcast join lies below the exchange of the orders
+    below = text[text.rindex("hashpartitioning(item_id"):]
+    assert "_word" in below and "BroadcastHashJoin" in below
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(-50, 50) | st.none(), max_size=30), st.sampled_from([64, 1 << 24]))
+def test_a_key_filter_keeps_all_that_match(spark, keys, slots):
+    rows_ = spark.range(-50, 51).select(F.col("id").alias("key"))
+    marked = spark.createDataFrame([(k,) for k in keys], "key long")
+    marks = prefilter.key_filter(marked, ["key"], slots)
+    kept = {r[0] for r in prefilter.keep_marked(rows_, ["key"], marks, slots).collect()}
+    assert marks.count() <= slots // 64 and {k for k in keys if k is not None} <= kept
+    if slots > 64:
+        assert kept == {k for k in keys if k is not None}

@@ -4,27 +4,55 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scope import BENCHMARK_DAYS, BENCHMARK_DAYS_V1
 from .events import WINDOW_COLUMNS, benchmark_window, duration_days
+from .prefilter import key_filter, keep_marked
 
 DEAL = "DEAL"
 PRE_DEAL = "PRE_DEAL"
 
 
-def match_pre_deal(windows: DataFrame, base: DataFrame) -> DataFrame:
+def _date_bin(day: Column, bin_days: int) -> Column:
+    return F.floor(F.unix_date(day) / bin_days)
+
+
+def same_bin(base: DataFrame, windows: DataFrame, bin_days: int) -> DataFrame:
+    """Orders of an item with each of its windows that has days in the order's bin.
+
+    Days are cut into bins of about a window's length. A window has a row for each bin that it
+    touches, mostly two, and an order is in one bin, so they meet once at most: an order meets the
+    windows of its own weeks, not all of the history, and a hot item is spread over its bins.
+    Orders of items without any window are dropped before they are shuffled.
+    """
+    first, last = (_date_bin(F.col(c), bin_days)
+                   for c in ("pre_deal_start_date", "pre_deal_end_date"))
+    binned = windows.withColumnRenamed("item_id", "w_item_id").filter(
+        F.col("pre_deal_start_date") <= F.col("pre_deal_end_date")
+    ).withColumn("w_bin", F.explode(F.sequence(first, last)))
+    marked = keep_marked(base, ["item_id"], key_filter(windows, ["item_id"]))
+    marked = marked.withColumn("bin", _date_bin(F.col("order_date"), bin_days))
+    same = (F.col("item_id") == F.col("w_item_id")) & (F.col("bin") == F.col("w_bin"))
+    return marked.join(binned, same).drop("bin", "w_bin", "w_item_id")
+
+
+def in_windows(base: DataFrame, windows: DataFrame, bin_days: int) -> DataFrame:
+    """Orders of an item with each of its windows (`pre_deal_start_date` to `.._end_date`) they lie in."""
+    return same_bin(base, windows, bin_days).filter(F.col("order_date").between(
+        F.col("pre_deal_start_date"), F.col("pre_deal_end_date")))
+
+
+def match_pre_deal(
+    windows: DataFrame, base: DataFrame, bin_days: int = BENCHMARK_DAYS
+) -> DataFrame:
     """Every order of an item in the benchmark days of each of its windows.
 
-    An equi join on the item with the dates as residual condition; the windows of one
-    item are few, its orders may be many and can be split across tasks.
+    `bin_days`: about the length of a benchmark; it changes the work, not the rows.
     """
-    in_benchmark = F.col("order_date").between(
-        F.col("pre_deal_start_date"), F.col("pre_deal_end_date")
-    )
-    w = windows.withColumnRenamed("item_id", "w_item_id")
     return (
-        base.join(w, (base["item_id"] == w["w_item_id"]) & in_benchmark)
+        in_windows(base, windows, bin_days)
         .select(*base.columns, *WINDOW_COLUMNS)
         .withColumn("period_type", F.lit(PRE_DEAL))
     )
@@ -60,9 +88,11 @@ def deal_orders(deal_lines: DataFrame, base: DataFrame, subscribers: DataFrame)
     return with_subscribers(match_deal(deal_lines, base), subscribers)
 
 
-def match_periods(deal_lines: DataFrame, windows: DataFrame, base: DataFrame) -> DataFrame:
+def match_periods(
+    deal_lines: DataFrame, windows: DataFrame, base: DataFrame, bin_days: int = BENCHMARK_DAYS
+) -> DataFrame:
     """Benchmark and deal orders in one frame."""
-    return match_pre_deal(windows, base).unionByName(match_deal(deal_lines, base))
+    return match_pre_deal(windows, base, bin_days).unionByName(match_deal(deal_lines, base))
 
 
 def deal_orders_v1(base: DataFrame, promos: DataFrame, run_date: date) -> DataFrame:
@@ -87,21 +117,18 @@ def deal_orders_v2(base: DataFrame, promos: DataFrame, run_date: date) -> DataFr
     )
 
 
-def match_pre_deal_v1(base: DataFrame, ranges: DataFrame) -> DataFrame:
-    """v1/v2: orders of an item in the benchmark range of each of its events.
-
-    No semi join beforehand: the join itself keeps the same orders.
-    """
-    in_range = F.col("order_date").between(
-        F.col("pre_deal_start_date"), F.col("pre_deal_end_date")
-    )
+def match_pre_deal_v1(
+    base: DataFrame, ranges: DataFrame, bin_days: int = BENCHMARK_DAYS_V1
+) -> DataFrame:
+    """v1/v2: orders of an item in the benchmark range of each of its events."""
     return (
-        base.join(ranges, "item_id")
-        .filter(in_range)
+        in_windows(base, ranges, bin_days)
         .drop("pre_deal_start_date", "pre_deal_end_date")
         .withColumns({"period_type": F.lit(PRE_DEAL), "is_promotion": F.lit("N")})
     )
 
 
-def pre_deal_orders_v1(base: DataFrame, ranges: DataFrame) -> DataFrame:
-    return match_pre_deal_v1(base, ranges).distinct()
+def pre_deal_orders_v1(
+    base: DataFrame, ranges: DataFrame, bin_days: int = BENCHMARK_DAYS_V1
+) -> DataFrame:
+    return match_pre_deal_v1(base, ranges, bin_days).distinct()

@@ -21,9 +21,10 @@ from ..sources.tables import Sources
 class EventPipeline:
     """The stages as lazy DataFrames, each built once.
 
-    With `staging`, `base_lines` (read by both periods and by the first purchases) and the flag
-    table (read by every level) are written when they are first used, and dropped when its owner
-    closes it; without, everything is one lazy plan.
+    With `staging`, `base_lines` (read by both periods and by the first purchases), the deal lines
+    (read by both periods, and for the items that have a window at all) and the flag table (read
+    by every level) are written when they are first used, and dropped when its owner closes it;
+    without, everything is one lazy plan.
     """
 
     src: Sources
@@ -68,9 +69,9 @@ class EventPipeline:
 
     @cached_property
     def deal_lines(self) -> DataFrame:
-        return events.with_event_windows(
+        return self._stage(events.with_event_windows(
             self.consolidated, self.run_date, self.benchmark_days, self.benchmark_gap_days
-        )
+        ), "deal_lines")
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -83,7 +84,9 @@ class EventPipeline:
         Amounts are looked up here, for the orders of some period only, and not for
         the whole history.
         """
-        matched = periods.match_periods(self.deal_lines, self.windows, self.base_lines)
+        matched = periods.match_periods(
+            self.deal_lines, self.windows, self.base_lines, self.benchmark_days
+        )
         with_amounts = orders.attach_amounts(
             matched, self.src.contribution, self.scope.marketplace_id
         )

@@ -18,8 +18,8 @@ from ..sources.tables import Sources
 class ItemGrowthPipeline:
     """The stages as lazy DataFrames, each built once.
 
-    With `staging`, the base lines (read by both periods) and the two summaries (each read by an
-    item and a brand aggregation) are written when they are first used, and dropped when its
+    With `staging`, the base lines and the promotion windows (read by both periods) and the two
+    summaries (each read by an item and a brand aggregation) are written when they are first used, and dropped when its
     owner closes it; without, everything is one lazy plan.
     """
 
@@ -46,7 +46,7 @@ class ItemGrowthPipeline:
 
     @cached_property
     def promos(self) -> DataFrame:
-        return events.merge_promo_windows(self.promo_events)
+        return self._stage(events.merge_promo_windows(self.promo_events), "promo_windows")
 
     @cached_property
     def ranges(self) -> DataFrame:
@@ -58,7 +58,7 @@ class ItemGrowthPipeline:
 
     @cached_property
     def _pre_deal_matches(self) -> DataFrame:
-        return periods.match_pre_deal_v1(self.base_lines, self.ranges)
+        return periods.match_pre_deal_v1(self.base_lines, self.ranges, self.benchmark_days)
 
     @cached_property
     def deal_orders(self) -> DataFrame:
