@@ -108,6 +108,14 @@ def _daily_metrics(totals, prefix: str, days, integer: bool) -> list[Column]:
     return [*columns, subscribers.alias(f"{prefix}_subscribers")]
 
 
+def daily_columns(names, prefix: str, days: Column, integer: bool) -> list[Column]:
+    """Totals as daily averages; subscribers are a mean already."""
+    return [
+        (F.col(n) if n == "subscribers" else daily(F.col(n), days, integer and n != "ops"))
+        .alias(f"{prefix}_{n}") for n in names
+    ]
+
+
 def deal_metrics(
     flags: DataFrame, level: Level, integer_daily: bool = False, whole_year: bool = False,
     members: DataFrame | None = None,
@@ -137,8 +145,8 @@ def deal_metrics(
         known = F.col("item_id").isNotNull().cast("long")
         return result.withColumn("deal_unique_item_count", known)
     if level.name == "event":
-        return _with_participation(result, event_members(flags) if members is None else members,
-                                   event)
+        return with_participation(result, event_members(flags) if members is None else members,
+                                  event)
     return result
 
 
@@ -181,7 +189,7 @@ def _distinct_members(members: DataFrame, group, period: str, names: dict) -> Da
     ])
 
 
-def _with_participation(result: DataFrame, members: DataFrame, event) -> DataFrame:
+def with_participation(result: DataFrame, members: DataFrame, event) -> DataFrame:
     """Distinct items, brands and companies in the deal of each event.
 
     Joined on the event: a few hundred rows on both sides.
@@ -213,10 +221,14 @@ def pre_deal_metrics(
     )
     if not is_event:
         return result
+    return with_benchmark_items(result, event_members(flags) if members is None else members, group)
+
+
+def with_benchmark_items(result: DataFrame, members: DataFrame, event) -> DataFrame:
+    """Distinct items in the benchmark of each event."""
     names = {"item_id": "pre_deal_unique_item_count"}
-    members = event_members(flags) if members is None else members
-    items = _distinct_members(members, group, PRE_DEAL, names)
-    return result.join(items, group, "left").fillna(0, list(names.values()))
+    items = _distinct_members(members, event, PRE_DEAL, names)
+    return result.join(items, list(event), "left").fillna(0, list(names.values()))
 
 
 def deal_keys(flags: DataFrame, level: Level) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from ..operators import compare, events, firsts, metrics, orders, periods
+from ..operators import compare, events, firsts, metrics, orders, periods, sketches
 from ..operators.metrics import LEVELS
 from ..scope import BENCHMARK_DAYS, LOOKBACK_DAYS, MIN_FREQUENCY, Scope
 from ..session import Staging
@@ -24,7 +24,8 @@ class EventPipeline:
     With `staging`, `base_lines` (read by both periods and by the first purchases), the deal lines
     (read by both periods, and for the items that have a window at all) and the flag table (read
     by every level) are written when they are first used, and dropped when its owner closes it;
-    without, everything is one lazy plan.
+    without, everything is one lazy plan. `approx` estimates the numbers of customers from sketches
+    that all levels merge, instead of grouping by customer for each of them.
     """
 
     src: Sources
@@ -36,6 +37,7 @@ class EventPipeline:
     min_frequency: int = MIN_FREQUENCY
     null_keys_are_new: bool = True
     integer_daily: bool = False
+    approx: bool = False
     staging: Staging | None = None
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
@@ -108,15 +110,28 @@ class EventPipeline:
         """What takes part in each event; the event level counts it three times."""
         return self._stage(metrics.event_members(self.flags), "event_members")
 
+    @cached_property
+    def event_summary(self) -> DataFrame:
+        """Sketches by item, event and period, which every level merges."""
+        return self._stage(sketches.event_summary(self.flags), "event_summary")
+
     def _members(self, level: str) -> DataFrame | None:
         return self.event_members if level == "event" else None
 
     def deal_metrics(self, level: str, whole_year: bool = False) -> DataFrame:
+        if self.approx:
+            return sketches.approximate_deal_metrics(
+                self.event_summary, LEVELS[level], self.integer_daily, whole_year
+            )
         return metrics.deal_metrics(
             self.flags, LEVELS[level], self.integer_daily, whole_year, self._members(level)
         )
 
     def pre_deal_metrics(self, level: str) -> DataFrame:
+        if self.approx:
+            return sketches.approximate_pre_deal_metrics(
+                self.event_summary, LEVELS[level], self.benchmark_days, self.integer_daily
+            )
         return metrics.pre_deal_metrics(
             self.flags, LEVELS[level], self.benchmark_days, self.integer_daily,
             self._members(level),
