@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -77,9 +78,9 @@ def test_hour_by_hour_equals_whole_customers(spark, drawn):
     frame = orders(spark, *lines)
     key = lambda r: tuple((v is not None, v if v is not None else 0) for v in r)
     expected = sorted(brute_force(lines), key=key)
-    for line_prefix in (1, 3, 4):
-        got = history.purchase_history(frame, line_prefix=line_prefix)
-        assert rows(got, *COLUMNS) == expected, line_prefix
+    for chunk_rows in (1, 3, 1000):
+        got = history.purchase_history(frame, chunk_rows=chunk_rows)
+        assert rows(got, *COLUMNS) == expected, chunk_rows
 
 
 def test_one_customer_with_most_rows_all_at_midnight(spark):
@@ -92,6 +93,38 @@ def test_one_customer_with_most_rows_all_at_midnight(spark):
     assert rows(history.purchase_history(frame), *COLUMNS) == sorted(brute_force(lines), key=key)
 
 
+@pytest.mark.parametrize("line_id", [
+    "id * 7919 % 6007", "concat('order-2001-', lpad(id * 7919 % 6007, 8, '0'))",
+    "concat(if(id = 5, 'A', 'zzzzzzzz'), id)", "'same'", "cast(null as string)",
+], ids=["numbers", "common prefix", "one other prefix", "equal", "null"])
+def test_a_day_of_one_customer_is_split_into_even_ranges(spark, line_id):
+    """One customer with most rows and one date: chunks stay bounded and nothing changes."""
+    frame = spark.range(6000).selectExpr(
+        "'V' AS vendor_code", "cast(id % 7 as int) AS item_id",
+        "cast(if(id < 5900, 1, id) as int) AS customer_id",
+        "timestamp_ntz'2001-01-20 00:00:00' AS order_ts", "1 AS condition_code",
+        f"{line_id} AS line_id")
+    got = history.purchase_history(frame, chunk_rows=100).collect()
+    lines = [tuple(r) for r in frame.collect()]
+    same = lines[0][5] in ("same", None)
+    if not same:
+        key = lambda r: tuple((v is not None, v if v is not None else 0) for v in r)
+        ordered = sorted((tuple(r[c] for c in COLUMNS) for r in got), key=key)
+        assert ordered == sorted(brute_force(lines), key=key)
+    assert len(got) == 6000 and {r.purchase_rank for r in got} == {1}
+    assert sum(r.last_order_ts is None for r in got) == 101
+    rows_ = frame.selectExpr(
+        "item_id", "order_ts", "line_id",
+        "struct(struct(vendor_code, customer_id) AS customer, date_trunc('hour', order_ts) AS hour)"
+        " AS block")
+    ranges = history._ranges(rows_, 100).withColumnRenamed("block", "of_block")
+    sizes = [r["count"] for r in rows_.join(
+        ranges, rows_["block"] == ranges["of_block"]).groupBy(
+        history._range_of("cuts").alias("range")).count().collect()]
+    assert sum(sizes) == 5900
+    assert (len(sizes) > 5 and max(sizes) < 1200) if same else (len(sizes) > 40 and max(sizes) < 400)
+
+
 def test_order_lines_are_exchanged_once(spark):
     """Both the windows inside chunks and the carried rows read one exchange of the orders."""
     lines = [("V", i, i % 5, DAY + timedelta(hours=i), 1, f"{i:03d}") for i in range(100)]

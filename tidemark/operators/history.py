@@ -2,37 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MISSING_VENDOR = "NaN"  # fixed value: how text sources print a missing vendor
 EXCLUDED_CONDITIONS = (6,)
-LINE_PREFIX = 3  # characters of the line id that tell chunks of one order time apart
+# About so many orders are worked on together, in up to SIDE * SIDE ranges of one customer and hour.
+CHUNK_ROWS = 1 << 20
+SIDE = 64
+# Orders that are drawn for each range, to cut the ranges to about equal sizes.
+DRAWN = 8
+_SLOTS = 1 << 30
 
 
 def purchase_history(
     orders: DataFrame,
     entity: str = "vendor_code",
     excluded_conditions=EXCLUDED_CONDITIONS,
-    line_prefix: int = LINE_PREFIX,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Rank of each order of a customer with a vendor, and the order before it.
 
     Adds `purchase_rank` (dense, by time), `last_order_ts` and `last_item_id`. Orders
-    at the same time are taken by line id.
+    at the same time are taken by line id, then item.
 
     A customer's orders are worked through in chunks that follow each other in time: an hour, and
-    within the orders exactly on the hour (all of a day, if orders carry a date only) a range of
-    line ids. What a chunk needs from those before it is one small row per chunk: their last
-    order and how many order times they have. So no task holds all orders of a customer, and
-    the orders are exchanged once for both.
+    where an hour has more than `chunk_rows` orders, ranges of (time, line id, item) of about that
+    many, whatever the ids look like; only orders that are equal in all three stay together. What a chunk needs from those before it is one small row per chunk:
+    their last order and how many order times they have. So no task holds all orders of a
+    customer, and the orders are exchanged once for both.
     """
-    hour = F.date_trunc("hour", "order_ts")
-    # Orders on the hour come before the others of that hour. A prefix follows the order of line ids
-    # only if they are text.
-    text_ids = dict(orders.dtypes)["line_id"] == "string"
-    prefix = F.substring("line_id", 1, line_prefix) if text_ids else F.lit(None).cast("string")
-    on_the_hour = F.col("order_ts").isNull() | (F.col("order_ts") == hour)
     # Structs are never NULL and equal if all their fields are, NULLs included. Vendor and customer
     # are in the chunk only, so both readers of the exchange need the same columns.
     rows = orders.filter(
@@ -40,10 +39,15 @@ def purchase_history(
         & (F.col(entity) != MISSING_VENDOR)
         & ~F.col("condition_code").isin(*excluded_conditions)
     ).select("item_id", "order_ts", "line_id", F.struct(
-        F.struct(entity, "customer_id").alias("customer"), hour.alias("hour"),
-        (~on_the_hour).alias("later"), F.when(on_the_hour, prefix).alias("prefix"),
-    ).alias("chunk")).repartition("chunk")
-    by_line = Window.partitionBy("chunk").orderBy("order_ts", "line_id")
+        F.struct(entity, "customer_id").alias("customer"),
+        F.date_trunc("hour", "order_ts").alias("hour"),
+    ).alias("block"))
+    ranges = _ranges(rows, chunk_rows).withColumnRenamed("block", "of_block")
+    rows = rows.join(ranges, F.col("block") == F.col("of_block"), "left").select(
+        "item_id", "order_ts", "line_id",
+        F.struct("block.customer", "block.hour", _range_of("cuts").alias("range")).alias("chunk"),
+    ).repartition("chunk")
+    by_line = Window.partitionBy("chunk").orderBy("order_ts", "line_id", "item_id")
     # The rank comes second: its order is a prefix of the first, so one sort serves both.
     inside = rows.withColumns({
         "before_ts": F.lag("order_ts").over(by_line),
@@ -61,10 +65,53 @@ def purchase_history(
     )
 
 
+def _place() -> Column:
+    """Where an order stands within its customer's; NULLs come first, as in a window's order."""
+    return F.struct("order_ts", "line_id", "item_id")
+
+
+def _ranges(rows: DataFrame, chunk_rows: int) -> DataFrame:
+    """(block, cuts) of the hours of a customer that have more than `chunk_rows` orders.
+
+    The cuts are where the ranges after the first begin, sorted, in rows of SIDE. They come from
+    orders drawn by a hash at a rate that gives DRAWN for each range, so they are the same in every
+    evaluation. Customers are counted first: only those with many orders are counted by hour.
+    """
+    customers = rows.groupBy("block.customer").count().filter(F.col("count") > chunk_rows)
+    many = rows.join(
+        customers.select(F.col("customer").alias("of_customer")),
+        F.col("block.customer") == F.col("of_customer"), "left_semi")
+    pieces = F.least(F.lit(SIDE * SIDE), F.ceil(F.col("n") / chunk_rows))
+    blocks = many.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") > chunk_rows).select(F.col("block").alias("of_block"), "n", pieces.alias("pieces"))
+    # a place that repeats is drawn so much the more surely
+    places = many.groupBy("block", _place().alias("place")).agg(F.count(F.lit(1)).alias("copies"))
+    slot = F.pmod(F.xxhash64("place"), F.lit(_SLOTS))
+    drawn = places.join(blocks, F.col("block") == F.col("of_block")).filter(
+        slot < F.col("copies") * F.col("pieces") * (DRAWN * _SLOTS) / F.col("n"))
+    sorted_places = drawn.groupBy("block").agg(
+        F.first("pieces").alias("pieces"), F.sort_array(F.collect_list("place")).alias("places"))
+    cut = F.transform(
+        F.sequence(F.lit(1), F.col("pieces") - 1),
+        lambda i: F.get("places", F.floor(i * F.size("places") / F.col("pieces")).cast("int")))
+    return sorted_places.filter("pieces > 1").select(
+        "block", F.array_distinct(cut).alias("cut")).select(
+        "block", F.transform(
+            F.sequence(F.lit(0), F.floor((F.size("cut") - 1) / SIDE)),
+            lambda i: F.slice("cut", (i * SIDE + 1).cast("int"), SIDE)).alias("cuts"))
+
+
+def _range_of(cuts: str) -> Column:
+    """The number of cuts up to an order's place: first which row of cuts, then which of the row."""
+    row = F.size(F.filter(cuts, lambda r: F.get(r, 0) <= _place()))
+    within = F.size(F.filter(F.get(cuts, row - 1), lambda c: c <= _place()))
+    return F.when(F.col(cuts).isNotNull() & (row > 0), (row - 1) * SIDE + within).otherwise(0)
+
+
 def _carried(rows: DataFrame) -> DataFrame:
     """For each chunk the last order before it and the number of order times before its own.
 
-    Chunks on the hour share their only order time, which counts once.
+    Ranges of an hour can share an order time, which counts once.
     """
     time = F.struct(F.col("order_ts").isNotNull().alias("known"), F.col("order_ts").alias("ts"))
     chunks = rows.groupBy("chunk", "order_ts").agg(
