@@ -1,7 +1,9 @@
-from datetime import date
+from datetime import date, timedelta
 from decimal import Decimal
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
@@ -235,3 +237,52 @@ def test_v1_subscribers_weigh_lines(spark):
     expected = (3 * 30 + 40) / 7  # three lines x two snapshots, one line x one more
     assert rows(got, "item_id", "avg_deal_subscribers", "avg_pre_deal_subscribers") == [
         (1, expected, 7.0), (2, None, None)]
+
+
+day_numbers = st.integers(0, 400)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.tuples(st.sampled_from([1, 2]), day_numbers, st.none() | st.integers(0, 9)), max_size=30),
+    st.lists(st.tuples(st.sampled_from([1, 2, 3]), day_numbers, st.integers(-3, 120)), min_size=1,
+             max_size=10),
+)
+def test_sums_up_to_each_day_equal_filtering(spark, snapshots, windows):
+    first = date(2000, 1, 1)
+    table = spark.createDataFrame(
+        [(i, first + timedelta(d), n, 7, 1, 1) for i, d, n in snapshots],
+        "item_id int, snapshot_date date, active_subscribers long, marketplace_id int, "
+        "region_id int, category_code int")
+    promos = spark.createDataFrame(
+        [(i, "BSS", first + timedelta(d), first + timedelta(d + length)) for i, d, length in windows],
+        "item_id int, event_name string, promo_start_date date, promo_end_date date")
+    expected = {}
+    for item, day, length in windows:
+        own = [(d, n) for i, d, n in snapshots if i == item]
+        if own:
+            deal, pre = expected.setdefault((item, first + timedelta(day)), ([], []))
+            deal += [n for d, n in own if day <= d <= day + length and n is not None]
+            pre += [n for d, n in own if day - 91 <= d < day and n is not None]
+    found = item_growth.subscriber_metrics_v1(table, promos, Scope({1: "One"}))
+
+    def mean(numbers):
+        return round(sum(numbers) / len(numbers), 9) if numbers else None
+
+    got = {(r.item_id, r.promo_start_date): tuple(
+        None if x is None else round(x, 9) for x in (r.avg_deal_subscribers, r.avg_pre_deal_subscribers))
+        for r in found.collect()}
+    assert got == {k: (mean(a), mean(b)) for k, (a, b) in expected.items()}
+
+
+def test_windows_filter_no_days(spark):
+    """Two look-ups a window: the plan has no filter over the days of an item."""
+    table = spark.createDataFrame(
+        [(1, date(2001, 1, 1), 3, 7, 1, 1)], "item_id int, snapshot_date date, active_subscribers long, "
+        "marketplace_id int, region_id int, category_code int")
+    promos = spark.createDataFrame(
+        [(1, "BSS", date(2001, 1, 1), date(2001, 1, 2))],
+        "item_id int, event_name string, promo_start_date date, promo_end_date date")
+    text = item_growth.subscriber_metrics_v1(
+        table, promos, Scope({1: "One"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert "upto" in text and "filter(upto" not in text and "aggregate(" not in text

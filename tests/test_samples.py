@@ -2,6 +2,7 @@ import hashlib
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidemark.operators import samples
@@ -26,6 +27,30 @@ def test_sample_with_copies(spark, n):
     assert rows(samples.sample_orders(frame, n, seed=1)) == sorted(by_hash(lines, 1)[:n])
 
 
+@pytest.mark.parametrize("levels", [1, 2, 3, 5])
+@pytest.mark.parametrize("n", [0, 1, 97, 160, 499, 500, 700])
+def test_digits_of_the_hash_change_no_rows(spark, monkeypatch, n, levels):
+    """One character a digit: every level splits, and copies lie on both sides of the cut."""
+    monkeypatch.setattr(samples, "DIGIT", 1)
+    lines = [(f"{i}", i) for i in range(300)] + [("copy", 7)] * 120 + [(None, 1)] * 80
+    frame = spark.createDataFrame(lines, "line_id string, item_id int").repartition(3)
+    got = samples.sample_orders(frame, n, seed=5, levels=levels)
+    expected = sorted(lines, key=lambda r: (
+        hashlib.md5("-".join(["5", *([r[0]] if r[0] is not None else [])]).encode()).hexdigest(),
+        r[0] or "", r[1]))[:n]
+    assert rows(got) == sorted(expected, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+
+
+def test_few_rows_are_sorted(spark, monkeypatch):
+    """What the last level leaves to sort: with two digits of 16 values, about a 256th."""
+    monkeypatch.setattr(samples, "DIGIT", 1)
+    frame = spark.range(50_000).selectExpr("cast(id AS string) AS line_id")
+    drawn = frame.withColumn("drawn", F.md5(F.concat_ws("-", F.lit("0"), "line_id")))
+    last = samples._levels(drawn, 20_000, 2)[-1]
+    assert last.count() <= 16
+    assert 0 < last.filter("below + copies > 20000").agg(F.sum("copies")).first()[0] < 400
+
+
 def test_sample_depends_on_the_seed(spark):
     frame = spark.range(200).selectExpr("cast(id as string) as line_id")
     one, again = (rows(samples.sample_orders(frame, 20, seed=1)) for _ in range(2))

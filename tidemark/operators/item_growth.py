@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.growth import daily, growth_ratio
@@ -117,6 +117,37 @@ def pre_deal_metrics_v1(
     )
 
 
+def cumulated_days(by_day: DataFrame) -> DataFrame:
+    """(item_id, first_day, upto): for every day from the item's first to its last, the sums up to it.
+
+    `by_day` has a total and a count for each item and day. Days without a row repeat the
+    day before, so that the sums up to any day are one element: that of `day - first_day`.
+    """
+    days = Window.partitionBy("item_id").orderBy("day")
+    upto = days.rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.datediff(F.coalesce(F.lead("day").over(days), F.date_add("day", 1)), "day")
+    return by_day.filter(F.col("day").isNotNull()).select(
+        "item_id", "day", F.array_repeat(F.struct(
+            F.sum(F.coalesce("total", F.lit(0))).over(upto).alias("total"),
+            F.sum("n").over(upto).alias("n"),
+        ), filled).alias("sums"),
+    ).groupBy("item_id").agg(
+        F.min("day").alias("first_day"),
+        F.flatten(F.transform(
+            F.sort_array(F.collect_list(F.struct("day", "sums"))), lambda d: d["sums"]
+        )).alias("upto"),
+    )
+
+
+def sum_between(name: str, first: Column, last: Column) -> Column:
+    """The sum of `name` over the days from `first` to `last`: two look-ups in `upto`."""
+    def up_to(day: Column) -> Column:
+        at = F.least(F.datediff(day, "first_day"), F.size("upto") - 1)
+        return F.when(at >= 0, F.get("upto", at)[name]).otherwise(0)
+
+    return F.when(first <= last, up_to(last) - up_to(F.date_sub(first, 1))).otherwise(0)
+
+
 def subscriber_metrics_v1(
     subscriptions: DataFrame, promos: DataFrame, scope: Scope, days: int = BENCHMARK_DAYS_V1
 ) -> DataFrame:
@@ -124,35 +155,29 @@ def subscriber_metrics_v1(
 
     The mean runs over snapshots x promotion lines of the item. Both sides are reduced
     before they meet: lines to windows with a weight, snapshots to one row per item that
-    holds a sum and a count for each of its days. The days of the history bound that row, the
-    snapshots are read once, and items without any snapshot find no row.
+    holds the sums up to each of its days, so that a window takes two look-ups whatever its length.
+    The days of the history bound that row, the snapshots are read once, and items without any
+    snapshot find no row.
     """
-    days_of_item = (
+    by_day = (
         in_place(subscriptions, replace(scope, region_id=None))
         .filter(F.col("category_code").isin(*scope.categories))
         .groupBy("item_id", F.to_date("snapshot_date").alias("day"))
         .agg(F.sum("active_subscribers").alias("total"), F.count("active_subscribers").alias("n"))
-        .groupBy("item_id")
-        .agg(F.collect_list(F.struct("day", "total", "n")).alias("by_day"))
     )
     start, end = F.col("promo_start_date"), F.col("promo_end_date")
     windows = promos.groupBy("item_id", "event_name", "promo_start_date", "promo_end_date").agg(
         F.count("*").alias("weight")
     )
 
-    def weighed(name: str, first: Column, last: Column) -> Column:
-        inside = F.filter("by_day", lambda d: d["day"].between(first, last))
-        total = F.aggregate(
-            inside, F.lit(0).cast("long"),
-            lambda so_far, d: so_far + F.coalesce(d[name], F.lit(0).cast("long")),
-        )
-        return F.sum(F.col("weight") * total)
-
     def mean(first: Column, last: Column) -> Column:
-        return F.try_divide(weighed("total", first, last), weighed("n", first, last))
+        def weighed(name: str) -> Column:
+            return F.sum(F.col("weight") * sum_between(name, first, last))
+
+        return F.try_divide(weighed("total"), weighed("n"))
 
     return (
-        windows.join(days_of_item, "item_id")
+        windows.join(cumulated_days(by_day), "item_id")
         .groupBy("item_id", "promo_start_date", "event_name")
         .agg(
             mean(start, end).alias("avg_deal_subscribers"),

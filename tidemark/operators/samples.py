@@ -10,39 +10,74 @@ TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm", "d
 ID_COLUMNS = ("customer_id", "vendor_id")
 
 
+# Hash digits by which rows are counted: each has DIGIT characters, 65536 values.
+DIGIT, LEVELS = 4, 2
+
+
+def _prefix(level: int) -> Column:
+    return F.substring("drawn", 1, DIGIT * level)
+
+
+def _levels(rows: DataFrame, n: int, levels: int) -> list[DataFrame]:
+    """For each level (prefix, copies, below) of the hash prefixes that begin before the n-th row.
+
+    The first level counts all rows by their first digit. Only one prefix can reach past the n-th
+    row; the next level counts the rows of that one by one digit more, and so on. A level
+    has at most 65536 rows, however many rows are sampled from.
+    """
+    found, split = [], None
+    for level in range(1, levels + 1):
+        part, base = rows, F.lit(0)
+        if split is not None:
+            part = rows.join(F.broadcast(split), _prefix(level - 1) == F.col("of"), "left_semi")
+        before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+        slots = part.groupBy(_prefix(level).alias("prefix")).agg(F.count("*").alias("copies"))
+        if split is not None:
+            start = split.select(F.col("of").alias("above"), F.col("below").alias("base"))
+            slots = slots.join(
+                F.broadcast(start), F.substring("prefix", 1, DIGIT * (level - 1)) == F.col("above"))
+            base = F.col("base")
+        slots = slots.withColumn(
+            "below", base + F.coalesce(F.sum("copies").over(before), F.lit(0))
+        ).filter(F.col("below") < n).select("prefix", "copies", "below")
+        found.append(slots)
+        split = slots.filter(F.col("below") + F.col("copies") > n).select(
+            F.col("prefix").alias("of"), "below")
+    return found
+
+
 def sample_orders(
-    orders: DataFrame, n: int = SAMPLE_ROWS, seed: int = 0, key: str = "line_id"
+    orders: DataFrame, n: int = SAMPLE_ROWS, seed: int = 0, key: str = "line_id",
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Exactly `n` random rows (all if there are fewer), the same ones on every run.
 
-    Rows are ordered by a hash of seed and key. Counts per hash prefix (at most 65536)
-    find the prefix in which the n-th row lies: rows of lower prefixes are taken as
-    they are. Only that one prefix is sorted, with equal rows folded into a count.
+    Rows are ordered by a hash of seed and key. Counts per hash prefix find the prefix in which the
+    n-th row lies, digit by digit: rows of lower prefixes are taken as they are. Only the rows of the
+    last split prefix are sorted, one in 2**32 at two levels, with equal rows folded into a count.
     """
     columns = orders.columns
     drawn = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key)))
-    rows = orders.withColumn("drawn", drawn).withColumn("slot", F.substring("drawn", 1, 4))
-    below = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = (
-        rows.groupBy("slot").agg(F.count("*").alias("n"))
-        .select("slot", "n", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("below"))
-        .filter(F.col("below") < n)
-    )
-    taken = rows.join(F.broadcast(slots), "slot")
-    whole = taken.filter(F.col("below") + F.col("n") <= n).select(*columns)
-    earlier = (
-        Window.partitionBy("slot").orderBy("drawn", *columns)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    split = (
-        taken.filter(F.col("below") + F.col("n") > n)
-        .groupBy("slot", "below", "drawn", *columns).agg(F.count("*").alias("copies"))
+    rows = orders.withColumn("drawn", drawn)
+    found = _levels(rows, n, levels)
+    marked, whole = rows, F.lit(False)
+    for level, slots in enumerate(found, 1):
+        below = slots.filter(F.col("below") + F.col("copies") <= n)
+        taken = F.broadcast(below.select(F.col("prefix").alias(f"whole_{level}")))
+        marked = marked.join(taken, _prefix(level) == F.col(f"whole_{level}"), "left")
+        whole = whole | F.col(f"whole_{level}").isNotNull()
+    split = found[-1].filter(F.col("below") + F.col("copies") > n).select(
+        F.col("prefix").alias("of"), "below")
+    earlier = Window.orderBy("drawn", *columns).rowsBetween(Window.unboundedPreceding, -1)
+    rest = (
+        rows.join(F.broadcast(split), _prefix(levels) == F.col("of"))
+        .groupBy("below", "drawn", *columns).agg(F.count("*").alias("copies"))
         .withColumn("before", F.coalesce(F.sum("copies").over(earlier), F.lit(0)))
         .withColumn("take", F.least("copies", F.lit(n) - F.col("below") - F.col("before")))
         .filter(F.col("take") > 0)
+        .select(*columns, F.explode(F.sequence(F.lit(1), F.col("take"))))
     )
-    rest = split.select(*columns, F.explode(F.sequence(F.lit(1), F.col("take")))).select(*columns)
-    return whole.unionByName(rest)
+    return marked.filter(whole).select(*columns).unionByName(rest.select(*columns))
 
 
 def parse_timestamp(text: Column, formats=TIMESTAMP_FORMATS) -> Column:

@@ -41,26 +41,52 @@ def top_new_share(share: DataFrame, k: int, period: str = DEAL) -> DataFrame:
     return rows.orderBy(F.desc("new_share"), F.desc("ops"), *rest).limit(k)
 
 
+# Digits of a share by which it is ranked: DIGITS values each. Shares that agree in two digits, that
+# is in 24 bits, are sorted together.
+DIGITS = 1 << 12
+
+
+def _running(peers: DataFrame, group, order: str, name: str) -> DataFrame:
+    """`name`: the sum of n over the rows of the group that come before."""
+    before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return peers.withColumn(name, F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def share_ranks(share: DataFrame, peers) -> DataFrame:
+    """For each different share of a peer group: how many peers there are, and how many below it.
+
+    Ranks are added up from digits: the peers with a lower first digit, with the same first and a
+    lower second, and with the same two and a lower share. Each window holds at most DIGITS + 1
+    rows of a group, or the different shares that agree in both digits, so a group of any number of
+    different shares is spread.
+    """
+    first = F.floor(F.col("new_share") * DIGITS)
+    counts = share.filter(F.col("new_share").isNotNull()).groupBy(*peers, "new_share").agg(
+        F.count("*").alias("n")
+    ).withColumns({
+        "first": first, "second": F.floor(F.col("new_share") * DIGITS * DIGITS) - first * DIGITS,
+    })
+    one, two = [*peers, "first"], [*peers, "first", "second"]
+    by_first = counts.groupBy(*one).agg(F.sum("n").alias("n"))
+    by_second = counts.groupBy(*two).agg(F.sum("n").alias("n"))
+    totals = by_first.groupBy(*peers).agg(F.sum("n").alias("peers"))
+    ranks = _running(counts, two, "new_share", "within").drop("n")
+    ranks = join_groups(ranks, _running(by_second, one, "second", "below_second").drop("n"), two)
+    ranks = join_groups(ranks, _running(by_first, peers, "first", "below_first").drop("n"), one)
+    return join_groups(ranks, totals, peers).select(
+        *peers, "new_share", "peers",
+        (F.col("below_first") + F.col("below_second") + F.col("within")).alias("below"))
+
+
 def peer_comparison(share: DataFrame, within: str = "category_code") -> DataFrame:
     """Each entity's share against the mean share of its peers, and its percent rank.
 
     Peers are the entities of the same category in the same event and period that have
     a share; an entity without one stays, without rank. Ranks come from counts per distinct
-    share, so a category is never sorted entity by entity: one task sorts the
-    different shares of a category, event and period.
+    share, added up digit by digit, so no task sorts a whole category.
     """
     peers = [within, *PERIOD]
-    counts = share.filter(F.col("new_share").isNotNull()).groupBy(*peers, "new_share").agg(
-        F.count("*").alias("n")
-    )
-    whole = Window.partitionBy(*peers)
-    lower = whole.orderBy("new_share").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(
-        *peers,
-        "new_share",
-        F.sum("n").over(whole).alias("peers"),
-        F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("below"),
-    )
+    ranks = share_ranks(share, peers)
     means = share.groupBy(*peers).agg(F.avg("new_share").alias("mean_share"))
     mean = F.col("mean_share")
     ranked = F.when(F.col("peers") > 1, F.col("below") / (F.col("peers") - 1)).otherwise(0.0)
