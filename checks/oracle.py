@@ -830,6 +830,24 @@ def rounded(source: str, columns, money=(), instead: dict[str, str] | None = Non
     return sql(f"SELECT * REPLACE ({', '.join(replaced)}) FROM {source}", instead)
 
 
+
+def company_chain(where: str) -> dict[str, str]:
+    """Definitions of the v2 chain, in which the v3 flags read v2 orders."""
+    days = """*, promo_start_date AS deal_start_date, promo_end_date AS deal_end_date"""
+    base_orders = base(
+        f"{SHIPPED} AND {where} AND CAST(order_ts AS DATE) BETWEEN {FIRST_DAY} AND {RUN}")
+    return {
+        "base": base_orders,
+        "base_v2": base_orders,
+        "period_orders": f"""
+SELECT p.*, coalesce(daily_subscribers, 0) AS daily_subscribers
+FROM (SELECT {days} FROM deal_orders_v2 UNION ALL BY NAME
+  SELECT {days}, promo_start_date - 91 AS pre_deal_start_date,
+    promo_start_date - 1 AS pre_deal_end_date FROM pre_deal_orders_v2) p
+LEFT JOIN subscribers_any_region s ON s.item_id = p.item_id AND metric_date = order_date""",
+    }
+
+
 # Definitions of a scope without marketplace and region.
 EVERYWHERE = {
     "base": STEPS["base_all_places"],

@@ -14,7 +14,7 @@ from tidemark.functions import classify_event
 from tidemark.operators import cohorts, compare, events, history, item_growth, metrics
 from tidemark.operators import orders, periods, samples, shares
 from tidemark.operators.metrics import LEVELS, METRICS
-from tidemark.plans import EventPipeline, ItemGrowthPipeline
+from tidemark.plans import CompanyPipeline, EventPipeline, ItemGrowthPipeline
 from tidemark.session import Staging, configure, shared_folder
 from tidemark.sources import read_orders_csv, write_csv
 from tidemark.sources.testdata import (
@@ -299,6 +299,19 @@ register("new_customer_flags_whole_history", from_events(lambda p: p.flags, look
 register("new_customer_flags_null_keys", from_events(lambda p: p.flags, null_keys_are_new=False),
          o.rounded("flags_null_keys", PERIOD, ("revenue",)))
 
+
+
+def from_company(build: Callable[[CompanyPipeline], DataFrame], **options) -> Callable:
+    return lambda spark, sf_dir: build(CompanyPipeline(
+        load_testdata(spark, sf_dir), RUN_DATE, SCOPE, staging=_staging(spark), **options
+    ))
+
+
+register("company_flags", from_company(lambda p: p.flags, company=o.COMPANY),
+         o.rounded("flags", PERIOD, ("revenue",), o.company_chain(f"company_code = '{o.COMPANY}'")))
+register("company_flags_all_companies", from_company(lambda p: p.flags),
+         o.rounded("flags", PERIOD, ("revenue",), o.company_chain("true")))
+
 # ---- level metrics and reports ------------------------------------------------------
 
 DEAL = [f"daily_deal_{m}" for m in METRICS]

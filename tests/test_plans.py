@@ -9,7 +9,7 @@ import pytest
 from checks.registry import QUERIES
 from tidemark.operators import firsts, orders
 from tidemark.operators.metrics import LEVELS
-from tidemark.plans import EventPipeline, ItemGrowthPipeline, run_event_reports
+from tidemark.plans import CompanyPipeline, EventPipeline, ItemGrowthPipeline, run_event_reports
 from tidemark.session import Staging
 from tidemark.sources.testdata import RUN_DATE, SCOPE, load_testdata
 
@@ -125,3 +125,22 @@ def test_expected_counts(spark, sf_dir):
     assert by_period == {"PRE_DEAL": 46, "DEAL": 134}
     deal = p.flags.filter("period_type = 'DEAL'")
     assert deal.groupBy().sum(*firsts.FLAGS).first() == (124, 102, 109, 77)
+
+
+def test_company_chain_staged_and_lazy_agree(spark, sf_dir):
+    src = load_testdata(spark, sf_dir)
+    lazy = CompanyPipeline(src, RUN_DATE, SCOPE).flags
+    text = plan(lazy)
+    assert not [word for word in FORBIDDEN if word in text]
+    with Staging(spark) as staging:
+        staged = CompanyPipeline(src, RUN_DATE, SCOPE, staging=staging).flags
+        assert staged.exceptAll(lazy).isEmpty() and lazy.exceptAll(staged).isEmpty()
+        assert staged.count() == lazy.count() > 0
+
+
+def test_approximate_reports_read_one_summary(spark, sf_dir):
+    """With a staging, the levels read the summary and not the flags."""
+    with Staging(spark) as staging:
+        p = EventPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE, approx=True, staging=staging)
+        text = plan(p.growth("company"))
+        assert "event_summary" in text and "new_customer_flags" not in text

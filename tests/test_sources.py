@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tidemark import session
 from tidemark.sources import (
-    SCHEMAS, Sources, load_testdata, read_orders_csv, read_tables, write_csv, write_table,
+    SCHEMAS, Sources, load_testdata, read_orders_csv, read_tables, replace_parts, write_csv,
+    write_table,
 )
 
 ORDERS = [("V", "i", 1, datetime(2001, 1, 2, 3, 4, 5), 1, "l1"),
@@ -32,6 +33,58 @@ def test_write_table_overwrites(spark, tmp_path):
     assert rows(spark.read.parquet(path), "event_year", "x") == [(2001, 2)]
 
 
+YEARS = "x int, event_year int, y string"
+
+
+@pytest.fixture(params=["path", "name"])
+def result_table(request, spark, tmp_path):
+    """A result table of two years, and how to read it."""
+    if request.param == "path":
+        place = {"path": str(tmp_path / "report")}
+        read = lambda: spark.read.parquet(place["path"])
+    else:
+        spark.sql(f"create database if not exists reports location '{tmp_path}/reports'")
+        place = {"name": "reports.by_year"}
+        read = lambda: spark.table(place["name"])
+    replace_parts(spark.createDataFrame(
+        [(1, 2000, "a"), (2, 2001, "b"), (3, 2001, "c"), (4, None, "d")], YEARS), **place)
+    yield place, lambda: rows(read(), "event_year", "x", "y")
+    spark.sql("drop database if exists reports cascade")
+
+
+def test_years_are_replaced_one_by_one(spark, result_table):
+    place, read = result_table
+    before = [(None, 4, "d"), (2000, 1, "a"), (2001, 2, "b"), (2001, 3, "c")]
+    assert read() == before
+    new = spark.createDataFrame([("e", 2001, 5), ("f", 2002, 6)], "y string, event_year int, x int")
+    replace_parts(new, **place)  # columns go by name
+    assert read() == [(None, 4, "d"), (2000, 1, "a"), (2001, 5, "e"), (2002, 6, "f")]
+    replace_parts(new.limit(0), **place)
+    assert len(read()) == 4
+    replace_parts(spark.createDataFrame([(7, None, "g")], YEARS), **place)
+    assert read()[0] == (None, 7, "g")
+
+
+def test_a_failing_run_keeps_the_old_years(spark, result_table):
+    place, read = result_table
+    before = read()
+    failing = spark.range(0, 1000, 1, 4).select(
+        F.col("id").cast("int").alias("x"), (F.col("id") % 2 + 2001).cast("int").alias("event_year"),
+        F.when(F.col("id") == 990, F.raise_error(F.lit("lost"))).otherwise("z").alias("y"))
+    with pytest.raises(Exception, match="lost"):
+        replace_parts(failing, **place)
+    assert read() == before
+
+
+def test_other_partitions_are_refused(spark, tmp_path):
+    spark.sql(f"create database if not exists reports location '{tmp_path}/reports'")
+    frame = spark.createDataFrame([(1, 2000, "a")], YEARS)
+    write_table(frame, name="reports.by_y", partition_by=("y",))
+    with pytest.raises(ValueError, match="partitioned by"):
+        replace_parts(frame, name="reports.by_y")
+    spark.sql("drop database reports cascade")
+
+
 def test_catalog_tables(spark, tmp_path):
     spark.sql(f"create database if not exists shop location '{tmp_path}/shop'")
     for name, schema in SCHEMAS.items():

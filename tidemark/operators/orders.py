@@ -170,8 +170,10 @@ def base_orders_amounts(src: Sources, scope: Scope, run_date: date) -> DataFrame
     return attach_amounts_v1(base_lines_v1(src, scope, run_date), src.contribution)
 
 
-def base_orders_company(src: Sources, scope: Scope, run_date: date, company: str) -> DataFrame:
-    """Base orders v2: one company, by calendar date, the run date included."""
+def base_orders_company(
+    src: Sources, scope: Scope, run_date: date, company: str | None
+) -> DataFrame:
+    """Base orders v2: one company (None: all), by calendar date, the run date included."""
     base = base_lines(src, scope, run_date, company=company, whole_run_day=True)
     return attach_amounts(base, src.contribution, scope.marketplace_id)
 
