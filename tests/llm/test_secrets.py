@@ -19,13 +19,13 @@ BASE = (
 )
 ADDED = {
     "github": (r"gh[pousr]_[A-Za-z0-9]+", 40), "google": (r"AIza[0-9A-Za-z_-]+", 39),
-    "slack": (r"xox[abprs]-[0-9A-Za-z-]+", 15), "pem": (r"-----BEGIN[A-Z ]*PRIVATE KEY[-]+", 25),
+    "slack": (r"xox[abprs]-[0-9A-Za-z-]+", 15), "pem": (r"-----BEGIN[A-Z ]*PRIVATE KEY(?: BLOCK)?[-]+", 25),
 }
 PARTS = [
     "password", "PassWd", "secret", "token", "api_key", "apikey", "API_KEY", ":", "=", " ", "  ", '"',
     "'", "abc", "deadbeef", "0123456789abcdef" * 2, "AKIA", "AKIAAKIA", "ABCDEFGH12", "é", "\n",
     "x" * 9, ".", "-", "日本", "token token", "pass", "ghp_", "AIza", "xoxb-", "a1B2" * 10,
-    "-----BEGIN RSA PRIVATE KEY-----",
+    "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PGP PRIVATE KEY BLOCK-----",
 ]
 
 
@@ -131,6 +131,48 @@ def test_whole_private_keys_are_masked(kind, between, fields, closed):
             assert not any(line in masked for line in body)
 
 
+def masked_text(text):
+    names = [r.kind for r in secrets.RULES]
+    return secrets.masked(text, secrets.secrets_in([text]).get(0, []), names)
+
+
+PROSE = "The header of a key is one line, and what follows it here are sentences. "
+
+
+def test_prose_between_two_markers_stays():
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END EC PRIVATE KEY-----"
+    for closing in (end, "-----END RSA PRIVATE KEY-----", "-----END RSA PUBLIC KEY-----"):
+        for between in ("\n", " "):
+            text = between.join(["It begins with", begin, PROSE * 200, closing, "and ends."])
+            assert masked_text(text) == text.replace(begin, "[PEM]")
+    body = "\n".join(key_lines(4, 6, 64))
+    other = f"{begin}\n{body}\n{PROSE * 40}\n{end} tail"
+    assert masked_text(other) == f"[PEM]\n{PROSE * 40}\n{end} tail"
+
+
+def test_pgp_blocks_and_short_closed_keys():
+    checked = "\n".join([*key_lines(5, 8, 30), "=njUN"])
+    text = ("a\n-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v1\nComment: of mine\n\n"
+            f"{checked}\n-----END PGP PRIVATE KEY BLOCK-----\nb")
+    assert masked_text(text) == "a\n[PEM]\nb"
+    for inside in ("", "MIIEvQ==\n", "\n\n"):
+        text = f"a -----BEGIN PRIVATE KEY-----\n{inside}-----END PRIVATE KEY----- b"
+        assert masked_text(text) == "a [PEM] b"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abcdefghij ,.", min_size=1, max_size=15), min_size=1, max_size=60),
+       st.sampled_from(["RSA ", "", "EC "]), st.booleans())
+def test_text_that_is_no_key_body_is_never_masked(words, label, closed):
+    """Lower-case words shorter than a line of a key: only the marker line goes."""
+    prose = " ".join(w.strip(" ,.") or "x" for w in words)
+    if max(map(len, re.findall("[A-Za-z0-9+/=]+", prose))) >= secrets.LEAST_LINE:
+        return
+    begin = f"-----BEGIN {label}PRIVATE KEY-----"
+    text = f"{begin} {prose}, then. " + (f"-----END {label}PRIVATE KEY-----" if closed else "end.")
+    assert masked_text(text) == text.replace(begin, "[PEM]")
+
+
 def test_several_private_keys():
     begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
     one, two = key_lines(1, 5, 20), key_lines(2, 5, 20)

@@ -60,7 +60,7 @@ RULES = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("google", "AIza[0-9A-Za-z_-]+", 39),
     Rule("slack", "xox[abprs]-[0-9A-Za-z-]+", 15),
-    Rule("pem", "-----BEGIN[A-Z ]*PRIVATE KEY[-]+", 25, opens=True),
+    Rule("pem", "-----BEGIN[A-Z ]*PRIVATE KEY( BLOCK)?[-]+", 25, opens=True),
 )
 BASE_KINDS = 3
 
@@ -400,33 +400,47 @@ def spans_in(texts: list[str], rules: tuple[Rule, ...] = RULES) -> dict[int, lis
 
 # ---- private keys -------------------------------------------------------------------------------
 
-KEY_END = re.compile("-----END[A-Z ]*PRIVATE KEY-+")
+KEY_LABEL = re.compile("BEGIN([A-Z ]*PRIVATE KEY(?: BLOCK)?)-+")
 # What may stand between the lines of a key: breaks, also escaped ones, indents, quotes, comment marks.
 _BETWEEN = r"(?:\\+[nrt]|[^A-Za-z0-9+/=-]|(?<=\s)\+(?=\s)){0,32}+"
 KEY_FIELDS = re.compile(rf"(?:{_BETWEEN}[A-Z][A-Za-z-]+: [^\n\\]*+(?=\n|\\+n|\Z))*+")
 KEY_LINE = re.compile(rf"{_BETWEEN}([A-Za-z0-9+/=]++)")
+LINE_END = re.compile(r"""[ \t]*(?:\Z|[\r\n"'\\])""")
 # Characters that a line of base64 has at least if it is not a key's last, and at most if it was wrapped.
 LEAST_LINE, MOST_LINE = 16, 76
 
 
-def key_end(text: str, at: int, stop: int) -> int:
-    """Where the private key ends whose first line ends at `at`; `stop`: where the next one begins.
+@lru_cache(maxsize=64)
+def _closing(label: str) -> re.Pattern:
+    return re.compile(rf"{_BETWEEN}-----END{re.escape(label)}-+")
+
+
+def key_end(text: str, start: int, at: int, stop: int) -> int:
+    """Where the private key ends whose first line is [start, at); `stop`: where the next one begins.
 
-    That is behind its END marker. A key without one ends with the base64 lines that follow: fields
-    such as DEK-Info, lines of at least LEAST_LINE characters, and a shorter one if it may be the last
-    of a wrapped key or the text is cut in it.
+    A key's body is fields such as DEK-Info and lines of base64, of at least LEAST_LINE characters
+    but for the last. If the END marker with the same label follows, the key ends behind it. A
+    body without one may have a short last line if the key was wrapped or the text is cut in it. What
+    is no such body is left as it is, even if a marker comes later: then the first line is all.
     """
-    if marker := KEY_END.search(text, at, stop):
+    closing = _closing(KEY_LABEL.search(text, start, at)[1])
+    here = KEY_FIELDS.match(text, at, stop).end()
+    if marker := closing.match(text, here, stop):
         return marker.end()
-    fields = KEY_FIELDS.match(text, at, stop).end()
     first, full, end = 0, True, at
-    while line := KEY_LINE.match(text, fields if end == at else end, stop):
+    while line := KEY_LINE.match(text, here, stop):
+        if marker := closing.match(text, line.end(), stop):
+            return marker.end()
         size = len(line[1])
         first = first or size
         last = full and first <= MOST_LINE and (end > at or line.end() == len(text))
+        # among lines of their own, a short one is one too: a word of a sentence is not
+        if "n" in text[end: line.start(1)] or "\n" in text[end: line.start(1)]:
+            last = last and LINE_END.match(text, line.end(), stop)
         if size < LEAST_LINE and not last:
             break
-        end, full = line.end(), size == first
+        here = end = line.end()
+        full = size == first
         if size < LEAST_LINE:
             break
     return end
@@ -440,7 +454,7 @@ def secrets_in(texts: list[str], rules: tuple[Rule, ...] = RULES) -> dict[int, l
         for i in reversed(range(len(spans))):
             number, start, end = spans[i]
             if rules[number].opens:
-                spans[i] = (number, start, key_end(texts[t], end, stop))
+                spans[i] = (number, start, key_end(texts[t], start, end, stop))
                 stop = start
     return found
 
