@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 from itertools import product
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 from tidemark.llm import best_fit, bin_slack, separators, tokens
 from tidemark.llm.queries import QUERIES
 from tidemark.llm.shared import shared_path
+from tidemark.llm.tokens import as_16_bits
 
 
 @pytest.fixture(scope="module")
@@ -177,3 +179,62 @@ def test_blocks_are_stitched(spark, tmp_path, block):
             want.add((name, index, start, len(ids) - start, False))
     got = separators.count_tokens(spark, str(tmp_path), end_id=0, block_tokens=block).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_files_of_one_name_are_counted_by_themselves(spark, tmp_path):
+    for folder, ids in (("one", [1, 2, 0, 3, 0]), ("two", [4, 0, 5, 5, 5, 0, 6])):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.bin").write_bytes(np.array(ids, "<u2").tobytes())
+    got = separators.count_tokens(spark, f"{tmp_path}/*", end_id=0, block_tokens=2).collect()
+    assert sorted(r["n_tokens"] for r in got) == [1, 1, 1, 2, 3]
+    assert {r["shard"] for r in got} == {"a.bin"} and sum(not r["terminated"] for r in got) == 1
+
+
+def test_a_file_is_read_in_ranges(spark, tmp_path, monkeypatch):
+    """Byte ranges of one file are units of work, and documents span them."""
+    monkeypatch.setattr(separators, "RANGE_BLOCKS", 2)
+    monkeypatch.setattr(separators, "TASK_BYTES", 100)
+    pick = random.Random(2)
+    lengths = [pick.choice([0, 1, 7, 150]) for _ in range(60)]
+    ids = [x for n in lengths for x in [5] * n + [0]]
+    (tmp_path / "a.bin").write_bytes(np.array(ids, "<u2").tobytes())
+    blocks = separators.scan_blocks(spark, str(tmp_path), 0, 8)
+    assert blocks.rdd.getNumPartitions() == -(-2 * len(ids) // 100)
+    got = separators.count_tokens(spark, str(tmp_path), end_id=0, block_tokens=8).collect()
+    assert [r["n_tokens"] for r in sorted(got, key=lambda r: r["doc_index"])] == lengths
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="within an id"):
+        separators.count_tokens(spark, str(tmp_path)).collect()
+
+
+def test_ids_that_need_more_than_16_bits_are_refused():
+    assert as_16_bits(np.array([0, 65535], np.uint32)).tobytes() == b"\0\0\xff\xff"
+    assert len(as_16_bits(np.zeros(0, np.uint32))) == 0
+    with pytest.raises(ValueError, match="16 bits"):
+        as_16_bits(np.array([65536], np.uint32))
+
+
+@pytest.mark.parametrize("file_bytes", [1, 1 << 28])
+def test_packed_files_read_back(spark, awkward, awkward_rows, encode, empty, file_bytes):
+    packed = best_fit.pack_best_fit(awkward, row_tokens=128).checkpoint()
+    listed = best_fit.write_packed(packed, shared_path(spark, "packed"), file_bytes).collect()
+    expected = {(bytes(r["input_ids"]), bytes(r["position_ids"]), tuple(r["cu_seqlens"]))
+                for r in packed.collect()}
+    found, n, texts = set(), 0, []
+    for file in listed:
+        arrays = best_fit.read_packed(file.asDict())
+        assert arrays["input_ids"].shape == (file["n_rows"], 128) == arrays["position_ids"].shape
+        for i in range(file["n_rows"]):
+            low, high = arrays["cu_rows"][i: i + 2]
+            bounds = arrays["cu_seqlens"][low:high].tolist()
+            ids, positions = arrays["input_ids"][i], arrays["position_ids"][i]
+            found.add((ids.tobytes(), positions.tobytes(), tuple(bounds)))
+            texts += [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+            for a, b in zip(bounds, bounds[1:]):
+                assert positions[a:b].tolist() == list(range(b - a))
+            n += 1
+    assert found == expected and n == packed.count()
+    assert sum(map(len, texts)) == sum(len(encode(r[1])) + 1 for r in awkward_rows)
+    assert (len(listed) == n) == (file_bytes == 1)
+    assert best_fit.write_packed(
+        best_fit.pack_best_fit(empty), shared_path(spark, "packed")).count() == 0

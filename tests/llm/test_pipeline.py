@@ -2,10 +2,12 @@
 
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 import corpus_pipeline
 from tidemark.llm import secrets
+from tidemark.llm.shared import drop, shared_folder
 from .test_near import brute_groups, brute_items
 
 
@@ -73,6 +75,23 @@ def test_everything_left_is_packed(spark, stages):
     assert sum(r["length"] for r in rows) == sum(left.values())
 
 
+def test_only_the_table_that_the_result_reads_stays(spark):
+    """Each stage's table goes when the next is written, and the last at the end of the process."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    names = {name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES}
+
+    def tables():
+        return {p.name for p in folder.iterdir() if p.name[:-33] in names}
+
+    before = tables()
+    rows = corpus_pipeline.run(spark, LARGER)
+    left = tables() - before
+    assert {n[:-33] for n in left} == {"secret-scans"}
+    assert rows.count() > 0
+    drop(spark, f"{folder}/{left.pop()}")
+    assert tables() == before
+
+
 def test_awkward_documents(spark, awkward_rows, sf_dir):
     """Nulls, repeats and empty texts go through all stages; an empty table gives no rows."""
     docs = spark.createDataFrame(

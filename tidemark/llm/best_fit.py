@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import in_arrow
-from .tokens import END_OF_TEXT, token_ids
+from .stored import create_folder, new_name, opened
+from .tokens import END_OF_TEXT, as_16_bits, token_ids
 
 ROW_TOKENS = 2048
 # Tokens that a task collects before it packs: 2 million ids of 4 bytes.
@@ -155,7 +156,7 @@ def pack_best_fit(
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     ids = token_ids(text.as_py() or "", vocabulary, special=False)
-                    yield doc_id, np.append(ids, np.uint32(end_id)).astype("<u2")
+                    yield doc_id, as_16_bits(np.append(ids, np.uint32(end_id)))
 
         rows = []
         for pieces in packed_rows(documents(), row_tokens, window):
@@ -180,6 +181,76 @@ def pack_best_fit(
     ), run, PACKED)
 
 
+# What a file of each kind holds, row after row: the id matrix, the position matrix, the bounds of all
+# rows' segments, and how many bounds there are up to each row (so row i has those from i to i + 1).
+PACKED_FILES = {"input_ids": "<u2", "position_ids": "<u2", "cu_seqlens": "<i4", "cu_rows": "<i8"}
+FILES = "file string, n_rows long, row_tokens long, " + ", ".join(
+    f"{name} string" for name in PACKED_FILES)
+FILE_BYTES = 256 << 20
+
+
+def write_packed(packed: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write the rows of `pack_best_fit` as flat binary files, and return the list of files.
+
+    A task writes its rows to four files (see PACKED_FILES) and begins new ones after `file_bytes` of
+    ids, so the rows of a set of files belong together and are in one order. The list, with the
+    paths, rows and row length of every set, is written to `folder`/list; a set of a lost task attempt
+    is on no list. No rows give an empty list.
+    """
+    create_folder(folder)
+
+    def run(batches):
+        outs, rows, tokens, bounds, size = None, 0, 0, 0, 0
+
+        def close():
+            for out in outs[1].values():
+                out.close()
+            return pa.RecordBatch.from_pydict({
+                "file": [outs[0]], "n_rows": [rows], "row_tokens": [tokens],
+                **{name: [f"{outs[0]}.{name}"] for name in PACKED_FILES}})
+
+        for batch in batches:
+            columns = (batch.column(name) for name in ("input_ids", "position_ids", "cu_seqlens"))
+            for ids, positions, segments in zip(*columns):
+                if outs is None:
+                    base = new_name(folder, "rows")
+                    outs = base, {}
+                    for name in PACKED_FILES:
+                        store, inner = opened(f"{base}.{name}")
+                        outs[1][name] = store.open_output_stream(inner)
+                    rows = bounds = size = 0
+                    outs[1]["cu_rows"].write(np.array([0], "<i8").tobytes())
+                own = segments.values.to_numpy().astype("<i4")
+                bounds += len(own)
+                for name, data in (("input_ids", ids.as_buffer()), ("cu_seqlens", own.tobytes()),
+                                   ("position_ids", positions.as_buffer()),
+                                   ("cu_rows", np.array([bounds], "<i8").tobytes())):
+                    outs[1][name].write(data)
+                rows, size = rows + 1, size + len(ids.as_buffer())
+                tokens = len(ids.as_buffer()) // 2
+                if size >= file_bytes:
+                    yield close()
+                    outs = None
+        if outs is not None:
+            yield close()
+
+    in_arrow(packed.select("input_ids", "position_ids", "cu_seqlens"), run, FILES).write.parquet(
+        f"{folder}/list")
+    return packed.sparkSession.read.schema(FILES).parquet(f"{folder}/list")
+
+
+def read_packed(file: dict) -> dict[str, np.ndarray]:
+    """The arrays of one set of the list: two matrices, bounds, and where each row's bounds begin."""
+    found = {}
+    for name, kind in PACKED_FILES.items():
+        store, inner = opened(file[name])
+        with store.open_input_file(inner) as data:
+            found[name] = np.frombuffer(data.read(), kind)
+    for name in ("input_ids", "position_ids"):
+        found[name] = found[name].reshape(file["n_rows"], file["row_tokens"])
+    return found
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()),
              pa.list_(pa.int32()), pa.binary(), pa.binary()]

@@ -5,7 +5,7 @@ Words are those of `words.py`: runs of letters, digits and marks of the text in
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}\p{M}]+"
@@ -16,6 +16,18 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def row_key(id_column: str, text_column: str) -> tuple[Column, Column]:
     """Two numbers that tell rows apart, never null. Rows with equal id and text share them."""
     number = F.col(id_column).cast("long")

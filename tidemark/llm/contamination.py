@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import row_key, shingle_hashes, shingle_texts, text_of, word_list
+from .columns import row_key, shingle_hashes, shingle_texts, text_of, unused, word_list
 from .shared import checkpointed
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -153,13 +153,14 @@ def without_items(
 ) -> DataFrame:
     """The rows and columns of `docs` that hold no item, short ones and those without an id included.
 
-    Rows that repeat stay or go together.
+    Rows that repeat stay or go together. The columns may have any names.
     """
     options = {"all_items": True, **options}
     found = find_items(docs, items, id_column, text_column, **options)
     a, h = row_key(id_column, text_column)
-    gone = found.select(F.col("_a").alias("_gone_a"), F.col("_h").alias("_gone_h")).distinct()
-    return docs.join(gone, (a == F.col("_gone_a")) & (h == F.col("_gone_h")), "left_anti")
+    gone_a, gone_h = unused(docs, "_gone_a", "_gone_h")
+    gone = found.select(F.col("_a").alias(gone_a), F.col("_h").alias(gone_h)).distinct()
+    return docs.join(gone, (a == F.col(gone_a)) & (h == F.col(gone_h)), "left_anti")
 
 
 def least_shared(n_shingles: int, threshold: float = THRESHOLD) -> int:

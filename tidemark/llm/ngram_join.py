@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import row_key
+from .columns import row_key, unused
 from .components import connected_components
 from .shared import blocks, checkpointed, in_arrow
 from .words import hashed_words, mix, shingles
@@ -278,13 +278,21 @@ def one_of_each(
 ) -> DataFrame:
     """The rows and columns of `docs`, one row of each class of near copies.
 
-    The one with the least id stays. Texts that are linked with nothing stay; rows that repeat
-    another's id and text count once.
+    The one with the least id stays. Texts that are linked with nothing stay, among them a null and an
+    empty text of one id. Of rows that repeat another's id and text, the one whose other columns are
+    least stays (columns that have no order, such as maps, do not decide). The columns may have any
+    names.
     """
     a, h = row_key(id_column, text_column)
+    row_a, row_h, null, keep_a, keep_h, row = unused(
+        docs, "_row_a", "_row_h", "_null", "_keep_a", "_keep_h", "_row")
     keep = near_groups(docs, id_column, text_column, **options).where("_keep").select(
-        F.col("_a").alias("_keep_a"), F.col("_h").alias("_keep_h")).distinct()
-    keyed = docs.withColumns({"_row_a": a, "_row_h": h})
-    kept = keyed.join(keep, (F.col("_row_a") == F.col("_keep_a"))
-                      & (F.col("_row_h") == F.col("_keep_h")), "left_semi")
-    return kept.dropDuplicates(["_row_a", "_row_h"]).drop("_row_a", "_row_h")
+        F.col("_a").alias(keep_a), F.col("_h").alias(keep_h)).distinct()
+    keyed = docs.withColumns({row_a: a, row_h: h, null: F.col(text_column).isNull()})
+    kept = keyed.join(keep, (F.col(row_a) == F.col(keep_a)) & (F.col(row_h) == F.col(keep_h)),
+                      "left_semi")
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes
+              if c not in (id_column, text_column) and "map<" not in kind and kind != "variant"]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = F.min_by(whole, F.struct(*others)) if others else F.first(whole)
+    return kept.groupBy(row_a, row_h, null).agg(least.alias(row)).select(f"{row}.*")

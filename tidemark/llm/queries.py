@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import alignment, best_fit, bin_slack, contamination, langid, lexical, ngram_join, quality
 from . import secrets, separators, simhash, toxicity, warc
-from .shared import fold, read, shared_path
+from .shared import drop_at_exit, fold, read, shared_path
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as flat token files in the shared folder, then counted from those files."""
-    path = shared_path(spark, "tokens")
+    path = drop_at_exit(spark, shared_path(spark, "tokens"))
     separators.write_token_files(read(spark, sf_dir, "documents"), path)
     return separators.count_tokens(spark, path)
 
@@ -102,13 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_lexical_search": op12_lexical_search,
     "op13_token_alignment": op13_token_alignment,
 }
-# Words and shingles of the twins: the same definition, in DuckDB's functions.
-_SHINGLES = """
-SELECT DISTINCT {id} AS id, array_to_string(w[i:i + 4], ' ') AS shingle
-FROM (SELECT {id}, w, unnest(range(1, len(w) - 3)) AS i FROM (
-  SELECT {id}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS w
-  FROM {table}))"""
-
+# Words of a text in DuckDB's functions, as in `columns.word_list`.
+_WORDS = r"""regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}]+')"""
 _TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
 
@@ -137,14 +132,24 @@ SELECT doc_id, least(classes.c, coalesce(least.b, classes.c)) AS class_id,
   CAST(classes.copies - 1 + coalesce(linked, 0) AS BIGINT) AS n_links
 FROM grams JOIN classes USING (g) LEFT JOIN least ON least.c = classes.c
 LEFT JOIN numbers ON numbers.c = classes.c""",
+    # an item is an id (or none) and a text; those of one to four words are one run of all their words
     "op6_decontamination": f"""
-WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
-  b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
-  n AS (SELECT id, count(*) AS n_shingles FROM b GROUP BY id)
-SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, n_shingles,
-  count(*) / n_shingles AS containment
-FROM d JOIN b USING (shingle) JOIN n ON n.id = b.id
-GROUP BY d.id, b.id, n_shingles HAVING count(*) >= ceil(round(n_shingles * 0.8, 9))""",
+WITH d AS (SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS t, {_WORDS} AS w FROM documents),
+  b AS (SELECT DISTINCT item_id, md5(coalesce(text, '')) AS t, {_WORDS} AS w FROM benchmark),
+  items AS (
+    SELECT item_id, t, 5 AS width, unnest(list_distinct(list_transform(
+      range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS run
+    FROM b WHERE len(w) >= 5
+    UNION ALL SELECT item_id, t, len(w), array_to_string(w, ' ') FROM b WHERE len(w) BETWEEN 1 AND 4),
+  sizes AS (SELECT item_id, t, count(*) AS n_shingles FROM items GROUP BY ALL),
+  widths AS (SELECT DISTINCT width FROM items),
+  runs AS (SELECT DISTINCT doc_id, t, width, array_to_string(w[i:i + width - 1], ' ') AS run
+    FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM d CROSS JOIN widths))
+SELECT doc_id, items.item_id, count(*) AS n_shared, n_shingles, count(*) / n_shingles AS containment
+FROM runs JOIN items ON items.width = runs.width AND items.run = runs.run
+JOIN sizes ON sizes.t = items.t AND sizes.item_id IS NOT DISTINCT FROM items.item_id
+GROUP BY doc_id, runs.t, items.item_id, items.t, n_shingles
+HAVING count(*) >= ceil(round(n_shingles * 0.8, 9))""",
     "op12_lexical_search": f"""
 WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
   held AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d),

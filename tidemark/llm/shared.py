@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,13 +31,15 @@ def fold(doc_id: str | Column, folds: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
+    """The folder that the cluster names in spark.checkpoint.dir, or the one checkpoints go to.
 
-    Only where the setting is missing, as in tests on one machine, a folder is made.
+    Only a session on one machine may have neither: a folder is made for it.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if named is None and not context.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return named or context.getCheckpointDir()
 
@@ -46,6 +49,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> str:
+    """Delete the path when the process ends with its session alive; a lazy result may read it."""
+    def run():
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            drop(spark, path)
+
+    atexit.register(run)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage; the rows are written to the shared folder."""
     shared_folder(df.sparkSession)

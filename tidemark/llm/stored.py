@@ -6,7 +6,6 @@ Spark has no reader for a byte range of a binary file, so tasks open such files
 
 from __future__ import annotations
 
-import atexit
 import io
 import uuid
 
@@ -14,7 +13,7 @@ import numpy as np
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
-from .shared import shared_path
+from .shared import drop_at_exit, shared_path
 
 _SPELLED = {"s3a": "s3", "s3n": "s3"}
 
@@ -42,20 +41,11 @@ def create_folder(folder: str) -> None:
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder, dropped when the process ends with its session alive."""
-    path = shared_path(spark, name)
+    path = drop_at_exit(spark, shared_path(spark, name))
     create_folder(path)
-    atexit.register(_drop, spark, path)
     return path
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return  # the session took its folder with it or keeps it for a reason
-    store, inner = opened(path)
-    if store.get_file_info(inner).type != fs.FileType.NotFound:
-        store.delete_dir(inner)
-
-
 def write_arrays(path: str, **arrays: np.ndarray) -> None:
     packed = io.BytesIO()
     np.savez(packed, **arrays)

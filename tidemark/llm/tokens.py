@@ -41,6 +41,13 @@ def token_ids(text: str, path: str | None = None, special: bool = True) -> np.nd
     return np.asarray(encoding.encode_to_numpy(text, allowed_special="all"), np.uint32)
 
 
+def as_16_bits(ids: np.ndarray) -> np.ndarray:
+    """Little-endian 16-bit ids; an id above 65535 is an error, as it would become another."""
+    if len(ids) and ids.max() > 0xFFFF:
+        raise ValueError(f"id {ids.max()} does not fit into 16 bits")
+    return ids.astype("<u2")
+
+
 @lru_cache(maxsize=2)
 def token_bytes(path: str | None = None) -> tuple[bytes, ...]:
     """The bytes of every id of the vocabulary, without the special token."""
