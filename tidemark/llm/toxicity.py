@@ -30,9 +30,9 @@ PREFIXES = (4, 5)
 RUN = 5
 # Bounds of the training sample, and how many features the classifier may use.
 POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 4096
-# A feature must be in so many marked texts, in such a share of them, so many times as often as in
-# unmarked texts, and by so many standard deviations more often than chance would have it.
-LEAST_TEXTS, LEAST_SHARE, LEAST_LIFT, LEAST_Z = 4, 0.005, 2.0, 5.0
+# A feature must be in so many marked texts, so many times as often as in unmarked texts, and by so
+# many standard deviations more often than chance would have it. All texts are counted.
+LEAST_TEXTS, LEAST_LIFT, LEAST_Z = 4, 2.0, 5.0
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,8 +151,9 @@ def train(
 ) -> Model:
     """Learn from rows of `docs` where `may_learn` (over id_column) holds.
 
-    The sample holds about `positives` documents marked 1 and `unlabelled` documents without a
-    mark at most. The prior is, if not given, the share of 1 among the marks of rows that may be
+    Features are counted in, and chosen from, all documents that are marked 1 or not at all. Only
+    their weights are fitted on a sample: about `positives` documents marked 1 and `unlabelled`
+    documents without a mark at most. The prior is, if not given, the share of 1 among the marks of rows that may be
     learned from. Several marks of a document: the highest counts. Documents without an id are
     not learned from. Without marked or unmarked documents the score is the prior everywhere.
     """
@@ -172,14 +173,16 @@ def train(
               .unionByName(capped(kinds.where("_kind = -1"), "_kind", [id_column], unlabelled))
               .select(id_column, (F.col("_kind") == 1).alias("_positive")))
     texts = checkpointed(with_texts(docs, chosen, id_column, text_column))
-    n_p, n_u = (texts.where(F.col("_positive") == x).count() for x in (True, False))
-    if not n_p or not n_u:
-        return Model(np.zeros(1 << BITS, np.float32), base)
+    n_p, n_u = marked, unknown
+    kind_of = kinds.where("_kind <> 0").select(
+        F.col(id_column).alias("_id"), (F.col("_kind") == 1).alias("_positive"))
+    every = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).groupBy(
+        "_id").agg(F.min("_text").alias("_text")).join(kind_of, "_id")
     in_p, in_u = F.col("p") / n_p, F.col("u") / n_u
     rate = (F.col("p") + F.col("u")) / (n_p + n_u)
     z = (in_p - in_u) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) * (1 / n_p + 1 / n_u))
-    keys = [r["key"] for r in _frequencies(texts)
-            .where(F.col("p") >= max(LEAST_TEXTS, LEAST_SHARE * n_p))
+    keys = [r["key"] for r in _frequencies(every)
+            .where(F.col("p") >= LEAST_TEXTS)
             .where((in_p > LEAST_LIFT * in_u) & (z >= LEAST_Z))
             .orderBy(z.desc(), "key").limit(most_features).collect()]
     place = np.full(1 << BITS, -1, np.int64)
