@@ -5,9 +5,10 @@ distinct shingles. Documents are far longer than items, so signatures of equal l
 would hardly ever agree. Instead the items are partitioned by size (powers of two) and an item
 of q shingles is sketched by its k = q - ceil(threshold * q) + 1 smallest shingle hashes. A
 document that lacks all k of them holds at most q - k < threshold * q shingles of the item, so no
-match is lost. Every size partition has a cut, the largest hash in its sketches; a document's
-hashes above all cuts are dropped before they become rows. What hits a sketch is verified on
-the shingles themselves.
+match is lost. Every size partition is searched by itself: it has a cut, the largest hash in its
+sketches, and a filter of bounded size over their hashes, and a document's hashes that are above the
+one or not in the other are dropped before they become rows. The documents that hit a sketch are
+written down first, and only their texts are verified, on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ WIDTH, THRESHOLD = 5, 0.8
 # Sketch or shingle rows of the items up to which they are broadcast (some 100 bytes a row);
 # beyond, Spark chooses a shuffled join. The result is the same.
 BROADCAST_ROWS = 500_000
+# Slots of a size partition's filter: so many for each hash, up to a bound (256 KB).
+SLOTS_A_HASH, MOST_SLOTS = 64, 1 << 21
 
 
 def _needed(size, threshold: float):
@@ -77,6 +80,51 @@ def item_sketches(shingles: DataFrame, threshold: float, width: int) -> DataFram
     )
 
 
+def _filters(sketches: DataFrame) -> list[tuple[int, int, int, list[int]]]:
+    """For each size class its number, cut, slots and the marked slots in words of 64 bits.
+
+    There are at most 32 classes; the filters' bound is what passes the driver.
+    """
+    sizes = sketches.groupBy("size_class").agg(
+        F.max("hash").alias("cut"), F.countDistinct("hash").alias("n")).orderBy("size_class")
+    found = []
+    for row in sizes.collect():
+        slots = min(MOST_SLOTS, 1 << max(6, (SLOTS_A_HASH * row["n"] - 1).bit_length()))
+        slot = _slot(F.col("hash"), slots)
+        words = [0] * (slots // 64)
+        marked = sketches.where(F.col("size_class") == row["size_class"]).groupBy(
+            F.shiftright(slot, 6).alias("word")).agg(F.bit_or(_bit(slot)).alias("mask"))
+        for word, mask in marked.collect():
+            words[word] = mask
+        found.append((row["size_class"], row["cut"], slots, words))
+    return found
+
+
+def _slot(hashed, slots: int):
+    return F.xxhash64(hashed).bitwiseAND(F.lit(slots - 1))
+
+
+def _bit(slot):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _hits(hashes, filters):
+    """(size_class, hash) for every class whose cut and filter a hash passes."""
+    def of(number, cut, slots, words):
+        # one literal, which the optimizer folds into an array
+        marked = F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>")
+
+        def passes(x):
+            slot = _slot(x, slots)
+            word = F.get(marked, F.shiftright(slot, 6).cast("int"))
+            return (x <= F.lit(cut)) & (word.bitwiseAND(_bit(slot)) != 0)
+
+        return F.transform(F.filter(hashes, passes), lambda x: F.struct(
+            F.lit(number).alias("size_class"), x.alias("hash")))
+
+    return F.concat(*[of(*f) for f in filters])
+
+
 def find_items(
     docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD,
@@ -96,21 +144,24 @@ def find_items(
     named = checkpointed(item_texts(items, item_column, item_text, all_items))
     shingles = checkpointed(item_shingles(named, width))
     sketches = checkpointed(item_sketches(shingles, threshold, width))
-    # one row per size class, of which there are at most 32
-    cuts = sketches.groupBy("size_class").agg(
-        F.max("hash").alias("cut"), F.count(F.lit(1)).alias("n")).collect()
-    small = sum(r["n"] for r in cuts) <= BROADCAST_ROWS
-    cut = max((r["cut"] for r in cuts), default=-(1 << 63))
-    probes = sketches.select("hash").distinct()
+    filters = _filters(sketches)
+    probes = sketches.select("size_class", "hash").distinct()
+    small = probes.count() <= BROADCAST_ROWS
     a, h = row_key(id_column, text_column)
     texts = docs.select(F.col(id_column).cast("long").alias("_id"), a.alias("_a"), h.alias("_h"),
                         text_of(text_column).alias("_text"))
     # A hash finds its candidates whichever item it belongs to: the documents to verify.
     words = word_list(F.col("_text"))
-    below_cut = F.filter(shingle_hashes(words, width), lambda x: x <= F.lit(cut))
-    hashes = texts.select("_a", "_h", F.explode(F.array_distinct(below_cut)).alias("hash"))
-    candidates = hashes.join(
-        F.broadcast(probes) if small else probes, "hash").select("_a", "_h").distinct()
+    if filters:
+        hits = texts.select("_a", "_h", F.inline(F.transform(
+            F.array(shingle_hashes(words, width)), lambda all_: _hits(all_, filters))[0]))
+        candidates = checkpointed(hits.join(
+            F.broadcast(probes) if small else probes, ["size_class", "hash"]
+        ).select("_a", "_h").distinct())
+    else:
+        candidates = checkpointed(texts.select("_a", "_h").limit(0))
+    if candidates.count() <= BROADCAST_ROWS:
+        candidates = F.broadcast(candidates)
     held = texts.join(candidates, ["_a", "_h"], "left_semi").select(
         "_id", "_a", "_h",
         F.explode(F.array_distinct(shingle_texts(words, width))).alias("shingle"))
@@ -140,11 +191,12 @@ def _with_short(found: DataFrame, texts: DataFrame, short: DataFrame) -> DataFra
     runs = F.flatten(F.transform(F.array(word_list(F.col("_text"))), lambda words: F.flatten(
         F.array(*[shingle_texts(words, n) for n in sorted(widths)]))))
     few = sum(widths.values()) <= BROADCAST_ROWS
-    held = texts.dropDuplicates(["_a", "_h"]).select(
-        "_id", "_a", "_h", F.explode(F.array_distinct(runs)).alias("shingle"))
-    return found.unionByName(held.join(F.broadcast(short) if few else short, "shingle").select(
-        "_id", "_a", "_h", "item", F.lit(1).cast("long").alias("n_shared"),
-        F.lit(1).cast("long").alias("n_shingles")))
+    held = texts.select("_id", "_a", "_h", F.explode(F.array_distinct(runs)).alias("shingle"))
+    hits = held.join(F.broadcast(short) if few else short, "shingle").select(
+        "_id", "_a", "_h", "item", "item_text").distinct()
+    one = F.lit(1).cast("long")
+    return found.unionByName(hits.select(
+        "_id", "_a", "_h", "item", one.alias("n_shared"), one.alias("n_shingles")))
 
 
 def without_items(
