@@ -84,8 +84,51 @@ def test_family_in_blocks(spark, family, monkeypatch):
     got = ngram_join.near_groups(frame, recall=0.99999, most_hashes=256).select(columns)
     assert as_text(map(tuple, got.collect())) == want
     monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", 3000)
+    monkeypatch.setattr(ngram_join, "MOST_BLOCKS", 100)
     got = ngram_join.near_groups(frame, recall=0.99999, most_hashes=256).select(columns)
     assert as_text(map(tuple, got.collect())) == want
+    # bucket by bucket, in one block and in many
+    for most, weight in ((0, 250_000), (0, 3000), (2, 3000)):
+        monkeypatch.setattr(ngram_join, "MOST_BLOCKS", most)
+        monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", weight)
+        got = ngram_join.near_groups(frame, recall=0.99999, most_hashes=256).select(columns)
+        assert as_text(map(tuple, got.collect())) == want
+
+
+def test_a_chain_of_templates_is_not_compared_as_a_whole(spark, monkeypatch):
+    """Families that overlap a little make one component; pairs compared follow the buckets."""
+    pick = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    whole = [pick.choice(vocabulary) for _ in range(6000)]
+    # neighbours are alike to 0.72 and mostly meet in some bucket; those seven apart share nothing
+    rows = [(10 * i + k, " ".join([*whole[25 * i: 25 * i + 160], *(["x", "y"] * k)]))
+            for i in range(220) for k in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", 3000)
+
+    def pairs(most):
+        monkeypatch.setattr(ngram_join, "MOST_BLOCKS", most)
+        found = {}
+        whole_deal = ngram_join.deal
+
+        def counted(weighed):
+            dealt = whole_deal(weighed).checkpoint()
+            cells = dealt.selectExpr("inline(_cells)").groupBy("part", "group").count()
+            found["n"] = cells.selectExpr("sum(count * (count - 1) / 2)").first()[0]
+            found["shared"] = weighed.selectExpr("explode(_bands) AS b").groupBy("b").count().selectExpr(
+                "sum(count * (count - 1) / 2)").first()[0]
+            return dealt
+
+        monkeypatch.setattr(ngram_join, "deal", counted)
+        groups = ngram_join.near_groups(frame).select("doc_id", "class_id", "n_links").collect()
+        monkeypatch.setattr(ngram_join, "deal", whole_deal)
+        return found, as_text(map(tuple, groups))
+
+    all_pairs, want = pairs(1000)
+    by_bucket, got = pairs(1)
+    assert got == want == as_text(brute_groups(rows))
+    assert by_bucket["n"] <= by_bucket["shared"] * 1.5
+    assert by_bucket["n"] < all_pairs["n"] / 4
 
 
 def test_join_awkward(awkward, awkward_rows, empty):

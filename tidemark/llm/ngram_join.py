@@ -6,9 +6,12 @@
    thousands of copies cost no more than one.
 3. Classes that share a band hash are candidates. A bucket of m classes yields m - 1 edges to its
    least member, not m^2 / 2 pairs. Components of these edges hold all candidate pairs.
-4. A component is compared in cells. A small one is one cell; a large one is dealt into blocks
+4. A component is compared in cells. A small one is one cell; a larger one is dealt into blocks
    of bounded size, and every two blocks make a cell, so no task holds more than two
-   blocks and every pair is compared in exactly one cell. A cell counts common n-grams of
+   blocks and every pair is compared in exactly one cell. A component of more than MOST_BLOCKS blocks
+   is mostly a chain of unlike families: it is not compared as a whole, but bucket by bucket, in cells
+   of the bucket's blocks, and a pair counts in the first band that it shares. So a class meets a
+   bounded number of others besides those it shares a bucket with. A cell counts common n-grams of
    all its pairs by a matrix product and returns one row per class: how many documents it
    is linked with, and the least class it hangs together with.
 """
@@ -21,7 +24,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import row_key, unused
@@ -33,6 +36,8 @@ WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 192
 # N-grams of a block; every class counts for CLASS_WEIGHT more, so a block has a thousand classes at
 # most and the pairs of a cell's two blocks are some 4 million numbers. One class alone may be more.
 BLOCK_WEIGHT, CLASS_WEIGHT = 250_000, 250
+# Blocks of a component up to which all its pairs are compared, whatever buckets they share.
+MOST_BLOCKS = 8
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int) -> tuple[int, int]:
@@ -91,7 +96,8 @@ def _set_key(grams: np.ndarray, text: str) -> tuple[int, int] | None:
 
 
 SIGNATURES = "_id long, _a long, _h long, _k1 long, _k2 long, _grams long, _bands array<long>"
-SETS = "_node long, _component long, _copies long, _blocks int, _block int, _set binary"
+CELL = "array<struct<group:long,part:int,blocks:int,block:int>>"
+SETS = f"_node long, _copies long, _bands array<long>, _cells {CELL}, _set binary"
 CELLS = "_node long, _linked long, _root long"
 
 
@@ -123,9 +129,14 @@ def signatures(
 
 def compare_cell(
     sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, within: bool, threshold: Fraction,
+    earlier: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """For each class of a cell the documents it is linked with, and the first class (by order of
-    rows) that it hangs together with. `within`: one block; else only pairs across `left`."""
+    rows) that it hangs together with. `within`: one block; else only pairs across `left`.
+
+    `earlier`: the keys of bands before the cell's own, a row for each class. Pairs that share one
+    count in that band's cells and not here.
+    """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
@@ -154,8 +165,12 @@ def compare_cell(
         lower = np.minimum(root, np.where(linked, root[None, :], n).min(axis=1))
         lower = lower[lower]
         if (lower == root).all():
-            return linked @ copies, root
+            break
         root = lower
+    if earlier is not None:
+        for keys in earlier.T:
+            linked &= keys[:, None] != keys[None, :]
+    return linked @ copies, root
 
 
 def _cells(threshold: Fraction):
@@ -163,13 +178,14 @@ def _cells(threshold: Fraction):
     names = [x.split()[0] for x in CELLS.split(", ")]
 
     def result(rows):
-        i, j = rows[0][1], rows[0][2]
-        rows.sort(key=lambda r: r[3])
-        sets = [np.frombuffer(r[6], "<u8") for r in rows]
+        part, i, j = rows[0][0], rows[0][2], rows[0][3]
+        rows.sort(key=lambda r: r[4])
+        sets = [np.frombuffer(r[8], "<u8") for r in rows]
+        earlier = np.array([r[7][:part] for r in rows], np.int64) if part > 0 else None
         linked, root = compare_cell(
-            sets, np.array([r[4] for r in rows], np.int64), np.array([r[5] == i for r in rows]),
-            i == j, threshold)
-        nodes = [r[3] for r in rows]
+            sets, np.array([r[5] for r in rows], np.int64), np.array([r[6] == i for r in rows]),
+            i == j, threshold, earlier)
+        nodes = [r[4] for r in rows]
         return pa.RecordBatch.from_arrays(
             [pa.array(nodes, pa.int64()), pa.array(linked, pa.int64()),
              pa.array([nodes[r] for r in root], pa.int64())], names)
@@ -178,10 +194,10 @@ def _cells(threshold: Fraction):
         cell, rows = None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != cell and rows:
+                if row[:4] != cell and rows:
                     yield result(rows)
                     rows = []
-                cell = row[:3]
+                cell = row[:4]
                 rows.append(row)
         if rows:
             yield result(rows)
@@ -220,13 +236,7 @@ def near_groups(
         F.col("_node").alias("u"), F.col("_hub").alias("v"))
     candidates = connected_components(stars).select(
         F.col("node").alias("_node"), F.col("component").alias("_component"))
-    weighed = classes.drop("_bands").join(candidates, "_node")
-    size = checkpointed(weighed.groupBy("_component").agg(
-        F.ceil(F.sum(F.col("_grams") + CLASS_WEIGHT) / BLOCK_WEIGHT).cast("int").alias("_blocks")))
-    dealt = weighed.join(size, "_component").select(
-        "_node", "_component", "_copies", "_blocks", F.col("_first._a").alias("_a"),
-        F.col("_first._h").alias("_h"),
-        F.pmod(F.xxhash64("_node"), "_blocks").cast("int").alias("_block"))
+    dealt = deal(classes.join(candidates, "_node"))
     compared = checkpointed(_compare(docs, dealt, id_column, text_column, width, limit))
     linked = compared.groupBy("_node").agg(F.sum("_linked").alias("_linked"))
     found = connected_components(
@@ -247,6 +257,41 @@ def near_groups(
         (F.col("_k1").isNull() | (F.col("_kept") == F.struct("_a", "_h"))).alias("_keep"))
 
 
+def _blocks():
+    weight = F.sum(F.col("_grams") + CLASS_WEIGHT)
+    return F.ceil(weight / BLOCK_WEIGHT).cast("int").alias("_blocks")
+
+
+def _cell(group: str, part) -> Column:
+    block = F.pmod(F.xxhash64("_node"), "_blocks").cast("int")
+    return F.struct(F.col(group).alias("group"), part.cast("int").alias("part"),
+                    F.col("_blocks").alias("blocks"), block.alias("block"))
+
+
+def deal(weighed: DataFrame) -> DataFrame:
+    """(_node, _copies, _bands, _cells, _a, _h): the groups in which each class is compared.
+
+    That is its component (part -1, no bands) if it has at most MOST_BLOCKS blocks, else each of its
+    buckets with other classes in it (part: the band).
+    """
+    size = checkpointed(weighed.groupBy("_component").agg(_blocks()))
+    sized = weighed.join(size, "_component")
+    key = (F.col("_first._a").alias("_a"), F.col("_first._h").alias("_h"))
+    whole = sized.where(F.col("_blocks") <= MOST_BLOCKS).select(
+        "_node", "_copies", F.lit(None).cast("array<long>").alias("_bands"),
+        F.array(_cell("_component", F.lit(-1))).alias("_cells"), *key)
+    if size.where(F.col("_blocks") > MOST_BLOCKS).isEmpty():
+        return whole
+    large = sized.where(F.col("_blocks") > MOST_BLOCKS).drop("_blocks")
+    members = large.select("_node", "_grams", F.posexplode("_bands").alias("_part", "_group"))
+    buckets = checkpointed(members.groupBy("_part", "_group").agg(
+        _blocks(), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    cells = members.join(buckets, ["_part", "_group"]).groupBy("_node").agg(
+        F.collect_list(_cell("_group", F.col("_part"))).alias("_cells"))
+    return whole.unionByName(
+        large.join(cells, "_node").select("_node", "_copies", "_bands", "_cells", *key))
+
+
 def _compare(docs, dealt, id_column, text_column, width, limit) -> DataFrame:
     """Read the texts of candidate classes, one document of each, and compare them in cells."""
     a, h = row_key(id_column, text_column)
@@ -256,20 +301,22 @@ def _compare(docs, dealt, id_column, text_column, width, limit) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, block in blocks(batch.column(5)):
+            for first, block in blocks(batch.column(4)):
                 sets = [s.astype("<u8").tobytes() for s in gram_sets(block, width)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(first, len(block)) for i in range(5)),
+                    [*(batch.column(i).slice(first, len(block)) for i in range(4)),
                      pa.array(sets, pa.binary())], names)
 
     sets = in_arrow(texts.dropDuplicates(["_a", "_h"]).select(
-        "_node", "_component", "_copies", "_blocks", "_block", "_text"), run, SETS)
-    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    cells = sets.select("*", others).select(
-        "_component", F.least("_block", "_other").alias("_i"),
-        F.greatest("_block", "_other").alias("_j"), "_node", "_copies", "_block", "_set")
-    together = cells.repartition("_component", "_i", "_j").sortWithinPartitions(
-        "_component", "_i", "_j")
+        "_node", "_copies", "_bands", "_cells", "_text"), run, SETS)
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other")
+    cells = sets.select("_node", "_copies", "_bands", "_set", F.inline("_cells")).select(
+        "*", others).select(
+        F.col("part").alias("_part"), F.col("group").alias("_group"),
+        F.least("block", "_other").alias("_i"), F.greatest("block", "_other").alias("_j"),
+        "_node", "_copies", F.col("block").alias("_block"), "_bands", "_set")
+    cell = ["_part", "_group", "_i", "_j"]
+    together = cells.repartition(*cell).sortWithinPartitions(*cell)
     return in_arrow(together, _cells(limit), CELLS)
 
 
