@@ -42,7 +42,7 @@ SHARD_PAIRS = 1 << 16
 # looked up together.
 HELD_PAIRS, LOOKUP_CHARS = 1 << 20, 1 << 18
 # Words whose alignments a task keeps, and links of them.
-KEPT_WORDS, KEPT_LINKS = 1 << 18, 1 << 21
+KEPT_WORDS, KEPT_LINKS = 1 << 19, 1 << 22
 # Vectors that one task adds up, and bytes of shards that a worker keeps.
 FAN_IN, KEPT_BYTES = 16, 64 << 20
 RESULT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "

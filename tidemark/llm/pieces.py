@@ -10,7 +10,7 @@ import sentencepiece
 SPACE = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 # A space that follows neither white space nor what the model reads as a space, before the end.
-_START = re.compile(rf"(?<=[^\s{SPACE}]) (?=.)", re.DOTALL)
+_START = re.compile(rf" (?<=[^\s{SPACE}] )(?=.)", re.DOTALL)
 
 
 @lru_cache(maxsize=2)
