@@ -42,7 +42,7 @@ SHARD_PAIRS = 1 << 16
 # looked up together.
 HELD_PAIRS, LOOKUP_CHARS = 1 << 20, 1 << 18
 # Words whose alignments a task keeps, and links of them.
-KEPT_WORDS, KEPT_LINKS = 1 << 19, 1 << 22
+KEPT_WORDS, KEPT_LINKS = 1 << 18, 1 << 21
 # Vectors that one task adds up, and bytes of shards that a worker keeps.
 FAN_IN, KEPT_BYTES = 16, 64 << 20
 RESULT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
@@ -220,7 +220,7 @@ class Words:
                 if some:
                     self._add(some)
             found[missing] = [self.number[words[i]] for i in missing]
-        self.uses[: len(self.groups)] += np.bincount(found, minlength=len(self.groups))
+        np.add.at(self.uses, found, 1)
         return found
 
     def _forget(self) -> None:
