@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import contamination, ngram_join, simhash
 from tidemark.llm.components import connected_components
@@ -95,6 +96,18 @@ def test_family_in_blocks(spark, family, monkeypatch):
         assert as_text(map(tuple, got.collect())) == want
 
 
+def test_classes_that_agree_in_half_their_key(spark, family, monkeypatch):
+    """Sets are told apart by 128 bits: with 64 equal ones everywhere nothing merges."""
+    whole = ngram_join.signatures
+    half = lambda *args: whole(*args).withColumn("_k1", F.expr("_k1 * 0"))
+    monkeypatch.setattr(ngram_join, "signatures", half)
+    rows = family + [(100, "nothing like it at all, not one word"), (101, None), (102, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.near_groups(frame, recall=0.99999, most_hashes=256)
+    assert as_text(map(tuple, got.select("doc_id", "class_id", "n_links").collect())) == as_text(
+        brute_groups(rows))
+
+
 def test_a_chain_of_templates_is_not_compared_as_a_whole(spark, monkeypatch):
     """Families that overlap a little make one component; pairs compared follow the buckets."""
     pick = random.Random(11)
@@ -181,6 +194,8 @@ def test_compare_cell():
 @pytest.mark.parametrize("edges", [
     [], [(1, 1)], [(1, 2), (2, 1), (1, 2)], [(i, i + 1) for i in range(40)],
     [(0, i) for i in range(1, 40)] + [(100, 39), (-5, 100), (7, 8)],
+    [(3, 1), (3, 2)], [(3, 2), (2, 1)], [(i, i * 7 % 97) for i in range(300)],
+    [(i, j) for i in range(12) for j in range(i)],
 ])
 def test_components(spark, edges):
     parent = {}

@@ -222,10 +222,11 @@ def near_groups(
     limit = Fraction(threshold).limit_denominator(10_000)
     bands, rows = bands_for(threshold, recall, most_hashes)
     signed = checkpointed(signatures(docs, id_column, text_column, width, bands, rows))
+    # a class is a node by its place in the table that is written here, so no two are one node
     classes = checkpointed(signed.where("_k1 IS NOT NULL").groupBy("_k1", "_k2").agg(
         F.min("_id").alias("_least"), F.min(F.struct("_a", "_h")).alias("_first"),
         F.count(F.lit(1)).alias("_copies"), F.max("_grams").alias("_grams"),
-        F.first("_bands").alias("_bands")).withColumn("_node", F.col("_k1")))
+        F.first("_bands").alias("_bands")).withColumn("_node", F.monotonically_increasing_id()))
     # stars from the members of a bucket to its least member
     members = classes.select("_node", F.explode("_bands").alias("_band"))
     # Grouped sides of the joins below are written out first. They are small, and a join that
