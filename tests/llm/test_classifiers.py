@@ -126,8 +126,9 @@ def test_a_sample_is_bounded_whatever_repeats(spark):
     found = sampling.with_texts(changing, ids, "doc_id", "text")
     assert sorted(map(tuple, found.select("_id", "_text", "y").collect())) == [
         (7, "a", 1), (8, "text 8", 0)]
-    many = spark.range(5000).select(F.col("id").cast("string").alias("lang"), "id")
-    assert sampling.capped(many, "lang", ["id"], 1, most_groups=10).count() <= 10
+    groups = spark.range(3600).selectExpr("cast(id % 120 AS string) AS lang", "id")
+    sample = sampling.capped(groups, "lang", ["id"], 30)
+    assert sample.count() == 3600  # no group is left out
 
 
 def test_every_language_is_learned(spark):

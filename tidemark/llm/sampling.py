@@ -8,18 +8,15 @@ from pyspark.sql import functions as F
 _SLOTS = 1 << 30
 
 
-def capped(
-    rows: DataFrame, group: str, keys: list[str], most: int, most_groups: int = 100
-) -> DataFrame:
+def capped(rows: DataFrame, group: str, keys: list[str], most: int) -> DataFrame:
     """About `most` different rows at most of each group, chosen by a hash of the key columns.
 
     A group's rows are counted and kept at the rate most / count, so the sample is spread over all
     rows, needs no sort and is the same on every run. Rows that repeat count once in it, however
-    many there are. Only the `most_groups` largest groups are sampled, which bounds the counts that
-    reach the driver and the sample.
+    many there are. One count per group passes the driver: this is for columns of few values, such as
+    labels; `of_every_group` is for columns of any number of values.
     """
-    sizes = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(most_groups)
-    counts = {r[group]: r["count"] for r in sizes.collect()}
+    counts = {r[group]: r["count"] for r in rows.groupBy(group).count().collect()}
     rate: Column = F.lit(0)
     for value, n in counts.items():
         share = min(_SLOTS, int(_SLOTS * most / n))
