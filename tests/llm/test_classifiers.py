@@ -59,6 +59,10 @@ def test_toxicity_query(spark, truth):
     marks = [int(bool(insults & set(truth[r["doc_id"]]["text"].lower().split()))) for r in english]
     assert all(r["predicted"] == (r["score"] >= 0.3) for r in held)
     assert auc([r["score"] for r in english], marks) > 0.95
+    called = {r["doc_id"] for r in held if r["predicted"]}
+    toxic = {r["doc_id"] for r, m in zip(english, marks) if m}
+    assert len(called & toxic) >= 0.9 * len(toxic) and len(toxic) > 10
+    assert len(called - toxic) <= 0.02 * (len(held) - len(toxic))
 
 
 @pytest.fixture(scope="module")
