@@ -286,3 +286,20 @@ def test_windows_filter_no_days(spark):
     text = item_growth.subscriber_metrics_v1(
         table, promos, Scope({1: "One"}))._jdf.queryExecution().optimizedPlan().toString()
     assert "upto" in text and "filter(upto" not in text and "aggregate(" not in text
+
+
+def test_days_without_snapshots_take_no_room(spark):
+    """Two snapshots 27 years apart are two rows: no day between them is filled, no row gathers all."""
+    table = spark.createDataFrame(
+        [(1, date(1974, 1, 1), 3, 7, 1, 1), (1, date(2001, 1, 2), 5, 7, 1, 1)],
+        "item_id int, snapshot_date date, active_subscribers long, marketplace_id int, "
+        "region_id int, category_code int")
+    promos = spark.createDataFrame(
+        [(1, "BSS", date(2001, 1, 1), date(2001, 1, 2)), (1, "BSS", None, date(2001, 1, 2)),
+         (1, "late", date(2001, 1, 3), None), (2, "none", date(2001, 1, 1), date(2001, 1, 2))],
+        "item_id int, event_name string, promo_start_date date, promo_end_date date")
+    found = item_growth.subscriber_metrics_v1(table, promos, Scope({1: "One"}))
+    assert rows(found, "event_name", "avg_deal_subscribers", "avg_pre_deal_subscribers") == [
+        ("BSS", None, None), ("BSS", 5.0, None), ("late", None, 5.0)]
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_repeat" not in text and "collect_list" not in text
