@@ -127,6 +127,23 @@ def test_expected_counts(spark, sf_dir):
     assert deal.groupBy().sum(*firsts.FLAGS).first() == (124, 102, 109, 77)
 
 
+def test_v1_amounts_are_looked_up_once(spark, sf_dir, tmp_path):
+    """Both summaries read one staged table of orders with amounts."""
+    with Staging(spark, str(tmp_path)) as staging:
+        p = ItemGrowthPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE, staging=staging)
+        assert p.report.count() == p.growth.count() > 0
+        assert sorted(f.name.rpartition("-")[0] for f in tmp_path.glob("*/*")) == [
+            "base_lines_v1", "deal_summary", "period_orders_v1", "pre_deal_summary",
+            "promo_windows"]
+        for summary, period_orders in (
+            (p.deal_summary, p.deal_orders), (p.pre_deal_summary, p.pre_deal_orders)
+        ):
+            own = firsts.flag_new_by_date(period_orders, p.first_purchases)
+            assert sorted(summary.columns) == sorted(own.columns)
+            assert summary.exceptAll(own.select(*summary.columns)).isEmpty()
+            assert summary.count() == own.count() > 0
+
+
 def test_company_chain_staged_and_lazy_agree(spark, sf_dir):
     src = load_testdata(spark, sf_dir)
     lazy = CompanyPipeline(src, RUN_DATE, SCOPE).flags
