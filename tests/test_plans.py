@@ -128,12 +128,12 @@ def test_expected_counts(spark, sf_dir):
 
 
 def test_v1_amounts_are_looked_up_once(spark, sf_dir, tmp_path):
-    """Both summaries read one staged table of orders with amounts."""
+    """Both summaries read one staged table of orders with amounts, the report one of growth rows."""
     with Staging(spark, str(tmp_path)) as staging:
         p = ItemGrowthPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE, staging=staging)
         assert p.report.count() == p.growth.count() > 0
         assert sorted(f.name.rpartition("-")[0] for f in tmp_path.glob("*/*")) == [
-            "base_lines_v1", "deal_summary", "period_orders_v1", "pre_deal_summary",
+            "base_lines_v1", "deal_summary", "growth_v1", "period_orders_v1", "pre_deal_summary",
             "promo_windows"]
         for summary, period_orders in (
             (p.deal_summary, p.deal_orders), (p.pre_deal_summary, p.pre_deal_orders)
