@@ -43,6 +43,15 @@ def test_history_bounds_reach_the_scan(spark, sf_dir):
     assert "LessThanOrEqual(o_orde" in text  # the plan text is cut here
 
 
+def test_items_are_not_broadcast(spark, sf_dir):
+    """Not even here, where their file is small: a task's memory must not follow the items."""
+    src = load_testdata(spark, sf_dir)
+    for base in (orders.base_lines, orders.base_lines_v1):
+        text = base(src, SCOPE, RUN_DATE)._jdf.queryExecution().sparkPlan().toString()
+        joins = [line for line in text.splitlines() if "HashJoin" in line and "item_id" in line]
+        assert "SortMergeJoin [item_id" in text and not joins
+
+
 def test_scan_reads_only_needed_columns(spark, sf_dir):
     text = plan(load_testdata(spark, sf_dir).cohort_orders.groupBy("vendor_code").count())
     assert not re.search(r"FileScan[^\n]*l_extendedprice", text)
