@@ -52,6 +52,28 @@ def test_items_are_not_broadcast(spark, sf_dir):
         assert "SortMergeJoin [item_id" in text and not joins
 
 
+def test_distinct_amounts_are_shuffled_once(spark):
+    """By the keys of the join; amounts without a line match nothing."""
+    lines = spark.createDataFrame(
+        [(1, "a"), (2, "b"), (3, None)], "item_id int, line_id string")
+    amounts = spark.createDataFrame(
+        [("a", 1, 7, 5), ("a", 1, 7, 5), ("a", 1, 7, 6), ("a", 1, 1, 9), (None, 3, 7, 4), ("b", 2, 7, None)],
+        "line_id string, item_id int, marketplace_id int, revenue int")
+    result = orders.attach_amounts(lines.hint("merge"), amounts, 7)
+    assert plan(result).count("Exchange hashpartitioning") == 2
+    assert sorted(map(tuple, result.select("item_id", "revenue").collect())) == [
+        (1, 5), (1, 6), (2, 0), (3, 0)]
+
+
+def test_amounts_of_other_lines_are_dropped_before_the_shuffle(spark, sf_dir, tmp_path):
+    src = load_testdata(spark, sf_dir)
+    with Staging(spark, str(tmp_path)) as staging:
+        staged = EventPipeline(src, RUN_DATE, SCOPE, staging=staging).period_orders
+        assert "_mask" in plan(staged) and list(tmp_path.glob("*/matched_orders-*"))
+        lazy = EventPipeline(src, RUN_DATE, SCOPE).period_orders.select(*staged.columns)
+        assert staged.exceptAll(lazy).isEmpty() and lazy.exceptAll(staged).isEmpty()
+
+
 def test_scan_reads_only_needed_columns(spark, sf_dir):
     text = plan(load_testdata(spark, sf_dir).cohort_orders.groupBy("vendor_code").count())
     assert not re.search(r"FileScan[^\n]*l_extendedprice", text)
