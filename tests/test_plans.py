@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 from checks.registry import QUERIES
-from tidemark.operators import firsts, orders
+from tidemark.operators import events, firsts, orders
 from tidemark.operators.metrics import LEVELS
 from tidemark.plans import CompanyPipeline, EventPipeline, ItemGrowthPipeline, run_event_reports
 from tidemark.session import Staging
@@ -52,6 +52,20 @@ def test_items_are_not_broadcast(spark, sf_dir):
         assert "SortMergeJoin [item_id" in text and not joins
 
 
+def joins(df) -> list[str]:
+    text = df._jdf.queryExecution().sparkPlan().toString()
+    return [line for line in text.splitlines() if "Join" in line]
+
+
+def test_promotions_and_their_items_are_not_broadcast(spark, sf_dir):
+    """Not even here, where their files are small: the driver's memory must not follow them."""
+    src = load_testdata(spark, sf_dir)
+    v3 = joins(events.promo_events(src.promo_lines, src.promotions, src.items, SCOPE, RUN_DATE))
+    v1 = joins(events.promo_events_v1(src.promo_lines, src.promotions, SCOPE, RUN_DATE))
+    assert [line for line in v3 if "SortMergeJoin [item_id" in line and "LeftSemi" in line]
+    assert all(any("SortMergeJoin [promotion_key" in line for line in own) for own in (v3, v1))
+
+
 def test_distinct_amounts_are_shuffled_once(spark):
     """By the keys of the join; amounts without a line match nothing."""
     lines = spark.createDataFrame(
