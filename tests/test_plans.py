@@ -66,6 +66,12 @@ def test_promotions_and_their_items_are_not_broadcast(spark, sf_dir):
     assert all(any("SortMergeJoin [promotion_key" in line for line in own) for own in (v3, v1))
 
 
+def test_orders_of_promotion_lines_and_parts_of_snapshots_are_not_broadcast(spark, sf_dir):
+    src = load_testdata(spark, sf_dir)
+    for df, key in ((src.promo_lines, "l_orderkey"), (src.subscriptions_daily, "l_partkey")):
+        assert [line for line in joins(df) if f"SortMergeJoin [{key}" in line]
+
+
 def test_distinct_amounts_are_shuffled_once(spark):
     """By the keys of the join; amounts without a line match nothing."""
     lines = spark.createDataFrame(
