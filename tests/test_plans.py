@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 from checks.registry import QUERIES
-from tidemark.operators import events, firsts, orders
+from tidemark.operators import events, firsts, orders, periods
 from tidemark.operators.metrics import LEVELS
 from tidemark.plans import CompanyPipeline, EventPipeline, ItemGrowthPipeline, run_event_reports
 from tidemark.session import Staging
@@ -72,6 +72,14 @@ def test_orders_of_promotion_lines_and_parts_of_snapshots_are_not_broadcast(spar
         assert [line for line in joins(df) if f"SortMergeJoin [{key}" in line]
 
 
+def test_staged_deal_lines_are_not_broadcast(spark, sf_dir):
+    with Staging(spark) as staging:
+        p = EventPipeline(load_testdata(spark, sf_dir), RUN_DATE, SCOPE, staging=staging)
+        deal = periods.match_deal(p.deal_lines, p.base_lines)
+        assert [line for line in joins(deal) if "SortMergeJoin [item_id" in line and "line_id" in line]
+        assert deal.count() == 134
+
+
 def test_distinct_amounts_are_shuffled_once(spark):
     """By the keys of the join; amounts without a line match nothing."""
     lines = spark.createDataFrame(
