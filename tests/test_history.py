@@ -125,6 +125,29 @@ def test_a_day_of_one_customer_is_split_into_even_ranges(spark, line_id):
     assert (len(sizes) > 5 and max(sizes) < 1200) if same else (len(sizes) > 40 and max(sizes) < 400)
 
 
+def test_whole_and_chunked_customers_with_nulls_and_repeated_rows(spark):
+    """Customers at both sides of the limit: missing times and customers, rows that come twice."""
+    lines = [line(i, DAY + timedelta(hours=i % 9), customer, item=i % 3)
+             for customer, n in ((1, 4), (2, 5), (3, 6), (4, 40), (None, 3)) for i in range(n)]
+    lines += [line(90, None, 1), line(91, None, 4), line(92, None, 4, item=2), line(93, None, None)]
+    lines += [line(i, DAY + timedelta(days=i), None, vendor="W") for i in range(12)]
+    lines += lines[:5] + lines[20:30]
+    frame = orders(spark, *lines)
+    key = lambda r: tuple((v is not None, v if v is not None else 0) for v in r)
+    expected = sorted(brute_force(lines), key=key)
+    for chunk_rows in (5, 8, 1000):
+        assert rows(history.purchase_history(frame, chunk_rows=chunk_rows), *COLUMNS) == expected
+
+
+def test_customers_without_many_orders_are_exchanged_once_and_not_joined(spark):
+    lines = [("V", i, i % 5, DAY + timedelta(hours=i), 1, f"{i:03d}") for i in range(100)]
+    result = history.purchase_history(orders(spark, *lines))
+    result.collect()
+    final = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in final
+    assert final.count("hashpartitioning(vendor_code") == 1
+
+
 def test_order_lines_are_exchanged_once(spark):
     """Both the windows inside chunks and the carried rows read one exchange of the orders."""
     lines = [("V", i, i % 5, DAY + timedelta(hours=i), 1, f"{i:03d}") for i in range(100)]

@@ -1,4 +1,4 @@
-"""A filter of bounded size on the keys of a join, applied before the large side is shuffled."""
+"""Filters of bounded size on keys, applied before the rows are shuffled."""
 
 from __future__ import annotations
 
@@ -30,6 +30,18 @@ def key_filter(df: DataFrame, keys, slots: int = SLOTS) -> DataFrame:
         F.bit_or(_mask(slot)).alias("mask"))
 
 
+def mark_frequent(df: DataFrame, keys, most: int, slots: int = SLOTS) -> DataFrame:
+    """(word, mask): the slots of keys with more than `most` rows, as in `key_filter`.
+
+    NULLs are keys like others. Every word that a row falls into is there, with a mask of 0 if
+    none of its keys has that many.
+    """
+    counts = df.groupBy(F.xxhash64(*keys).alias("hash")).agg(F.count(F.lit(1)).alias("n"))
+    slot = F.pmod("hash", F.lit(slots))
+    return counts.groupBy(F.floor(slot / _WORD_BITS).alias("word")).agg(
+        F.bit_or(F.when(F.col("n") > most, _mask(slot)).otherwise(0)).alias("mask"))
+
+
 def keep_marked(df: DataFrame, keys, marks: DataFrame, slots: int = SLOTS) -> DataFrame:
     """The rows whose keys may be among those of `marks`: all that are, and a few that are not.
 
@@ -40,3 +52,11 @@ def keep_marked(df: DataFrame, keys, marks: DataFrame, slots: int = SLOTS) -> Da
     words = F.broadcast(marks.withColumnsRenamed({"word": "_word", "mask": "_mask"}))
     joined = df.join(words, F.floor(slot / _WORD_BITS) == F.col("_word"))
     return joined.filter(F.col("_mask").bitwiseAND(_mask(slot)) != 0).select(*df.columns)
+
+
+def drop_marked(df: DataFrame, keys, marks: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The rows that `keep_marked` does not keep, for marks that have every word of `df`."""
+    slot = _slot(keys, slots)
+    words = F.broadcast(marks.withColumnsRenamed({"word": "_word", "mask": "_mask"}))
+    joined = df.join(words, F.floor(slot / _WORD_BITS) == F.col("_word"))
+    return joined.filter(F.col("_mask").bitwiseAND(_mask(slot)) == 0).select(*df.columns)
