@@ -173,6 +173,34 @@ def test_cohort_counts_customers_and_filters_repeats(spark):
     assert rows(kept, "gap_bucket", "customers") == [("2 mo", 1), ("new to brand", 2)]
 
 
+def test_cohort_of_odd_rows(spark):
+    """Rows that come twice, missing customers and times: any history, not only a sorted one."""
+    later = DAY + timedelta(100)
+    h = spark.createDataFrame(
+        [("V", 1, 1, DAY, None, None), ("V", 1, 1, DAY, None, None), ("V", 1, 2, DAY, None, None),
+         ("V", 1, None, DAY, None, None), ("V", 2, None, DAY, None, None),
+         ("V", 3, 1, None, None, 7), ("V", 3, 1, None, None, 7), ("V", 3, 1, None, DAY, 7),
+         (None, 4, 1, later, DAY, None), (None, 4, 1, later, DAY, None)],
+        "vendor_code string, item_id int, customer_id int, order_ts timestamp_ntz, "
+        "last_order_ts timestamp_ntz, last_item_id int")
+    got = cohorts.cohort_table(h)
+    assert got.columns == ["vendor_code", "item_id", "order_ts", "last_item_id", "last_order_ts",
+                           "gap_bucket", "customers"]
+    assert rows(got, "item_id", "gap_bucket", "customers") == [
+        (1, "new to brand", 2), (2, "new to brand", 0), (3, "new to brand", 1), (4, "> 3 mo", 1)]
+
+
+def test_cohort_is_exchanged_without_bucket_and_customers(spark):
+    lines = [line(i, DAY + timedelta(days=i), customer=i % 3, item=i % 4) for i in range(40)]
+    result = cohort(spark, *lines)
+    result.collect()
+    final = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [row for row in final.splitlines() if "hashpartitioning(vendor_code" in row]
+    assert len(dealt) == 2
+    assert not any("gap_bucket" in row for row in dealt)
+    assert sum("customer_id" in row.split("hashpartitioning")[1] for row in dealt) == 1
+
+
 def sample_cohort(spark):
     return spark.createDataFrame(
         [("V", 1, DAY, "new to brand", 97), ("V", 1, DAY + timedelta(40), "2 mo", 1),
