@@ -148,6 +148,22 @@ def test_customers_without_many_orders_are_exchanged_once_and_not_joined(spark):
     assert final.count("hashpartitioning(vendor_code") == 1
 
 
+def test_counting_deals_the_tables_of_the_orders_once(spark, sf_dir):
+    """One deal of the joined tables for the orders and a narrow one that all counts share."""
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in plain}
+    try:
+        for key, value in plain.items():
+            spark.conf.set(key, value)
+        h = history.purchase_history(load_testdata(spark, sf_dir).cohort_orders)
+        text = h._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    dealt = [row for row in text.splitlines() if "Exchange hashpartitioning(l_partkey" in row]
+    assert sum("ReusedExchange" not in row for row in dealt) == 2
+
+
 def test_order_lines_are_exchanged_once(spark):
     """Both the windows inside chunks and the carried rows read one exchange of the orders."""
     lines = [("V", i, i % 5, DAY + timedelta(hours=i), 1, f"{i:03d}") for i in range(100)]
